@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import licenses, media, packing
+from linkloom.llm import langid, licenses, lm, media, packing, simhash
 from linkloom.session import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
@@ -21,5 +35,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op9_licenses, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op5_packing, op9_licenses, op10_media)}
 ORACLES: dict[str, str] = {}
