@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, licenses, lm, media, packing, simhash
+from linkloom.llm import langid, licenses, lm, media, packing, simhash, suffixes
 from linkloom.session import table
 
 
@@ -27,6 +27,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licence.*")
 
@@ -35,5 +39,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op5_packing, op9_licenses, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op5_packing, op6_suffixes, op9_licenses, op10_media)}
 ORACLES: dict[str, str] = {}
