@@ -203,33 +203,48 @@ def samples(stored: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
-SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def padded(text: str | None, unit: int = 64) -> bytes:
+    """The text's UTF-8 bytes and zeros up to a positive multiple of `unit`."""
+    raw = utf8(text)
+    return raw + bytes(-len(raw) % unit if raw else unit)
 
 
-def digest_text(text: str | None, found, unit: int = 64) -> tuple:
-    raw = utf8(text)
-    stored = wav(raw + bytes(-len(raw) % unit if raw else unit))
+def store_texts(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
+    """Adds each text as a WAV file of 8-bit samples (binary column `into`), one per padded byte, and n_bytes before padding.
+
+    Null text: as empty, 64 zeros. Repeated rows: equal files. Map-only; every other column is kept.
+    """
+
+    def write(texts: pd.Series) -> pd.Series:
+        return pd.Series([wav(padded(x)) for x in texts], dtype=object)
+
+    body = F.col(text).cast("string")
+    return docs.withColumn(into, F.pandas_udf(write, "binary")(body)).withColumn("n_bytes", F.coalesce(F.octet_length(body), F.lit(0)).cast("long"))
+
+
+SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def read_file(stored: bytes, found, said: str = "text/plain") -> tuple:
     items = sniff(stored, found)
     if not items or items[0] != (0, len(stored), "audio/wav"):
-        raise ValueError("the stored form is not what was written")
+        raise ValueError("not one whole WAV file")
     back = samples(stored)
     inner = sniff(back, found)
     wave = np.frombuffer(back, np.uint8)
-    feature = f"{items[0][2]};declared=text/plain;corrected=1;min={wave.min()};max={wave.max()};sum={int(wave.sum(dtype=np.int64))};carved=" + ",".join(f"{k}@{a}+{n}" for a, n, k in inner)
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+    feature = f"{items[0][2]};declared={said};corrected={int(said != items[0][2])};min={wave.min()};max={wave.max()};sum={int(wave.sum(dtype=np.int64))};carved=" + ",".join(f"{k}@{a}+{n}" for a, n, k in inner)
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
-def store_texts(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
-    """Adds a struct column with the digest of each text stored as 8-bit samples, sniffed and read back.
+def read_back(df: DataFrame, media: str = "media", into: str = "samples") -> DataFrame:
+    """Adds a struct of what the stored files hold: they are recognised by signature, confirmed, and their samples carved.
 
-    The text's UTF-8 bytes are padded by zeros to a positive multiple of 64, stored as a WAV file declared as
-    text/plain, recognised by signature, confirmed, and carved back. Null text: as empty, 64 zeros. Repeated
-    rows get the same values. Map-only; one text is in memory at a time. Every other column is kept.
+    A file that is not one whole WAV file fails the job: the store would not be lossless. Null media: null fields.
     """
 
-    def read(texts: typing.Iterator[pd.Series]) -> typing.Iterator[pd.DataFrame]:
+    def read(files: typing.Iterator[pd.Series]) -> typing.Iterator[pd.DataFrame]:
         found = automaton()
-        for batch in texts:
-            yield pd.DataFrame([digest_text(x, found) for x in batch], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        for batch in files:
+            yield pd.DataFrame([(None,) * 6 if x is None else read_file(bytes(x), found) for x in batch], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.withColumn(into, F.pandas_udf(read, SCHEMA)(F.col(text).cast("string")))
+    return df.withColumn(into, F.pandas_udf(read, SCHEMA)(F.col(media)))

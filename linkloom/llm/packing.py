@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import base64
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long, bucket int"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, offset long, bucket int"
 
 
 def encoder(ranks_path: str, special: dict[str, int] | None = None):
@@ -39,8 +38,8 @@ def pack(docs: DataFrame, top: int = 1024, end_id: int = 0, vocabulary: str | No
     """Cut each document's ids (plus end_id) into pieces whose lengths are powers of two, at most `top`.
 
     Each piece is a sequence of its own, so no sequence crosses documents, every sequence has a length that
-    needs no padding, and sequences of equal length form a bucket (`bucket` = log2 of the length). One map-only
-    pass: no row is moved. sequence_id is unique in the result and the same for the same input files.
+    needs no padding, and sequences of equal length form a bucket (`bucket` = log2 of the length). `ids` holds a
+    piece's ids as little-endian unsigned 32-bit numbers. One map-only pass: no row is moved. sequence_id is unique in the result and the same for the same input files.
     Null text: empty, one piece of length 1. Null, repeated or tied ids: each row is cut on its own. Empty
     table: empty result. Very long texts are encoded whole. Extra columns are ignored.
     """
@@ -51,28 +50,28 @@ def pack(docs: DataFrame, top: int = 1024, end_id: int = 0, vocabulary: str | No
     def run(batches):
         enc = encoder(path, {"<|endoftext|>": 50256})
         for batch in batches:
-            rows, start, length, crc, total = [], [], [], [], []
+            rows, start, length, pieces, total = [], [], [], [], []
 
             def flush():
                 n = np.array(length, np.int64)
                 return pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(n), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(np.zeros(len(n), np.int64)), pa.array(np.log2(n).astype(np.int32))],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "bucket"],
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(n), pa.array(pieces, pa.binary()), pa.array(total, pa.int64()), pa.array(np.zeros(len(n), np.int64)), pa.array(np.log2(n).astype(np.int32))],
+                    ["doc_id", "start", "length", "ids", "doc_tokens", "offset", "bucket"],
                 )
 
             for i, text in enumerate(batch.column(1)):
                 ids = np.append(enc.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
-                raw, at = memoryview(ids.tobytes()), 0
+                raw, at = ids.tobytes(), 0
                 for n in piece_lengths(len(ids), top):
                     rows.append(i)
                     start.append(at)
                     length.append(n)
-                    crc.append(zlib.crc32(raw[4 * at : 4 * (at + n)]))
+                    pieces.append(raw[4 * at : 4 * (at + n)])
                     total.append(len(ids))
                     at += n
-                if len(rows) > 50_000:
+                if len(rows) > 5_000:
                     yield flush()
-                    rows, start, length, crc, total = [], [], [], [], []
+                    rows, start, length, pieces, total = [], [], [], [], []
             if rows:
                 yield flush()
 

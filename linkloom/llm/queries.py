@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, licenses, lm, media, packing, simhash, suffixes
+from linkloom.llm import langid, licenses, lm, media, mixing, packing, quality, simhash, suffixes, tokencount
 from linkloom.session import table
 
 
@@ -23,21 +23,37 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", *[F.col(mixing.PRE + c).alias(c) for c in ("size", "source_size", "target", "taken", "copies", "rate")])
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
+    packed = packing.pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", tokencount.own_edits())
+    return tokencount.counts(docs, "edits").select("doc_id", "counts.*")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licence.*")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media.*")
+    stored = media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.read_back(stored).select("doc_id", "n_bytes", "samples.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op5_packing, op6_suffixes, op9_licenses, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op4_mixing, op5_packing, op6_suffixes, op7_tokens, op8_quality, op9_licenses, op10_media)}
 ORACLES: dict[str, str] = {}

@@ -293,8 +293,11 @@ def _own_repeats(data: bytes, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def strip_repeats(docs: DataFrame, text: str = "text", length: int = 200, most: int = 60_000) -> DataFrame:
-    """Per distinct text: (key, n_bytes, n_removed, n_spans, kept binary, kept_sha256).
+def strip_repeats(docs: DataFrame, text: str = "text", length: int = 200, most: int = 60_000, texts_too: bool = True) -> DataFrame:
+    """Per distinct text: (key, n_bytes, n_removed, n_spans, kept, kept_sha256).
+
+    kept: the text without the removed bytes; of characters that are cut the rest goes too (null unless texts_too).
+    kept_sha256 is that of the remaining bytes as they are.
 
     Removed is every byte covered by a string of `length` bytes that starts anywhere else too, in the same text or
     another; overlapping strings count, and all are judged on the input. Join on `text_key`.
@@ -328,12 +331,12 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = 200, most:
                         end = e
                 kept.append(data[at if end is None else end :])
                 left = b"".join(kept)
-                rows.append((key, len(data), removed, runs, left, hashlib.sha256(left).hexdigest()))
+                rows.append((key, len(data), removed, runs, left.decode("utf-8", "ignore") if texts_too else None, hashlib.sha256(left).hexdigest()))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return joined.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string")
 
 
 def text_key(text: str = "text"):
@@ -342,5 +345,5 @@ def text_key(text: str = "text"):
 
 def report(docs: DataFrame, text: str = "text", length: int = 200, most: int = 60_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs; see strip_repeats."""
-    found = strip_repeats(docs, text, length, most).drop("kept")
+    found = strip_repeats(docs, text, length, most, texts_too=False).drop("kept")
     return docs.select("doc_id", text_key(text).alias("key")).join(found, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
