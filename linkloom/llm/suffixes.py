@@ -238,7 +238,7 @@ def covered(docs: DataFrame, text: str = "text", length: int = 200, most: int =
     """(texts, spans): distinct texts (key, body, copies) and their bytes covered by repeated strings (key, start, end)."""
     keyed = _keyed(docs, text)
     texts = keyed.groupBy("key").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-    rows = _anchor_rows(keyed, length)
+    rows = cut(_anchor_rows(keyed, length), "rows")
     often = cut(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     places = rows.join(often, "anchor").select("key", F.struct("at", (F.col("n") > most).alias("many")).alias("p")).groupBy("key").agg(F.collect_set("p").alias("places"))
 
