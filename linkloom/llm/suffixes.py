@@ -267,7 +267,8 @@ def covered(docs: DataFrame, text: str = "text", length: int = 200, most: int =
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["anchor", "key", "at", "first", "data", "digest"])
 
-    found = texts.join(places, "key").select("key", "body", "places").mapInArrow(stretch, "anchor long, key long, at long, first long, data binary, digest binary")
+    # All columns of texts, so that this join and the one that ends the work read one shuffle of the texts.
+    found = texts.join(places, "key").select("key", "body", "places", "copies").mapInArrow(stretch, "anchor long, key long, at long, first long, data binary, digest binary")
     spans = _matched(found.where("data is not null").select("anchor", "key", "at", "first", "data"), length)
     if not often.where(F.col("n") > most).isEmpty():
         strings = found.where("digest is not null").select("anchor", (F.col("at") - F.col("first")).alias("place"), "digest", "key", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
