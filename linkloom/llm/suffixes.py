@@ -22,7 +22,7 @@ from linkloom.llm.textops import groups, mix, utf8
 from linkloom.session import cut
 
 GRAM = 32
-PIECE = 1 << 20
+PIECE = 1 << 17
 SHORT_PERIOD = 16
 ABSENT = 256
 
