@@ -151,7 +151,7 @@ def clustered(n=700, seed=4):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most", [50_000, 20])
+@pytest.mark.parametrize("most", [50_000, 8])
 def test_index_loses_no_link(spark, most):
     from pyspark.sql import functions as F
 
@@ -389,7 +389,7 @@ def test_rules_find_bad_documents_and_spare_the_rest(spark):
     out = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
     assert len(out) == 400 and all(out[i].kept == bool(q) for i, q in marks.items())
     assert not any(r.base_failed for r in out.values())
-    assert {r.rule for r in out.values() if not r.kept} >= {1, 2}
+    assert {r.rule for r in out.values() if r.kept} == {0}
 
 
 def test_rules_without_labels_and_without_rows(spark, docs, none):
