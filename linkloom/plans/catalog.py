@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from linkloom.plans import family_queries, link_queries, page_queries  # noqa: F401
+from linkloom.plans.registry import ORACLES, QUERIES  # noqa: F401
