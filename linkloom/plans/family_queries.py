@@ -21,10 +21,6 @@ LIB_SQL = (
     "keys as (select lib.id, 'band' as kind, cast((4 + i) * 65536 + ((u >> (16 * i)::integer) & 65535) as varchar) as value from lib join uu using (id), range(4) r(i) where words >= 20 union all select id, 'dom', dom_hash from lib where dom_hash is not null and words >= 20 union all select id, 'icon', cast(icon as varchar) from lib where words >= 20 and icon not in (select icon from icons)), "
     "bk as (select kind, value, count(*) as size from keys group by all having count(*) > 1)"
 )
-LIKE_SQL = (
-    "case when x.dom_hash = y.dom_hash then 1.5 else 0 end + coalesce(case when d <= 4 then 2.0 when d <= 8 then 1.25 when d <= 12 then 0.5 end, 0) + case when x.icon = y.icon and x.icon not in (select icon from icons) then 1.0 else 0 end"
-)
-
 
 def library(spark, sf):
     """documents and labels in the role of the page library; written once, since several joins read it."""
@@ -37,7 +33,7 @@ def library(spark, sf):
     return cut(lib.select("*", P.bands(F.col("txt"), 1).alias("bands"), F.lit(None).cast("string").alias("title"), F.lit(20).alias("tags"), F.lit(None).cast("long").alias("dom"), F.lit(None).cast("long").alias("look")), "library")
 
 
-@query("g01_page_copies", f"with {PRINTS_SQL}, q as (select *, case when txt < 0 then txt::hugeint + 18446744073709551616 else txt::hugeint end as u from prints), p2 as (select x.page_id as a, y.page_id as b, x.host as a_host, y.host as b_host, x.dom_hash is not distinct from y.dom_hash as same, bit_count(xor(x.dom, y.dom)) as sd, bit_count(xor(x.txt, y.txt)) as wd, least(x.tags, y.tags) < 15 as tiny from q x join q y on x.page_id < y.page_id where x.tags >= 15 and y.tags >= 15 and x.words >= 20 and y.words >= 20), s as (select *, case when same then 1.5 when sd <= 3 then 1.25 when sd <= 8 then 0.75 else 0 end as sp, case when wd <= 4 then 2.0 when wd <= 8 then 1.25 when wd <= 12 then 0.5 else 0 end as wp from p2) select a, b, a_host, b_host, round(sp + wp, 2) as points, cast(round_even(((case when same then 1.0 else 1 - sd / 64.0 end) + (1 - wd / 64.0)) * 50, 0) as integer) as percent from s where sp > 0 and wp > 0 and sp + wp >= 3.0")
+@query("g01_page_copies", f"with {PRINTS_SQL}, q as (select *, case when txt < 0 then txt::hugeint + 18446744073709551616 else txt::hugeint end as u from prints), p2 as (select x.page_id as a, y.page_id as b, x.host as a_host, y.host as b_host, x.dom_hash is not distinct from y.dom_hash as same, bit_count(xor(x.dom, y.dom)) as sd, bit_count(xor(x.txt, y.txt)) as wd, least(x.tags, y.tags) < 15 as tiny from q x join q y on x.page_id < y.page_id where x.tags >= 15 and y.tags >= 15 and x.words >= 20 and y.words >= 20), s as (select *, case when same then 1.5 when sd <= 3 then 1.25 when sd <= 8 then 0.75 else 0 end as sp, case when wd <= 4 then 2.0 when wd <= 8 then 1.25 when wd <= 12 then 0.5 else 0 end as wp from p2) select a, b, a_host, b_host, round(sp + wp, 2)::double as points, cast(round_even(((case when same then 1.0 else 1 - sd / 64.0 end) + (1 - wd / 64.0)) * 50, 0) as integer) as percent from s where sp > 0 and wp > 0 and sp + wp >= 3.0")
 def g01(spark, sf):
     """Which captured pages are copies of each other: structure and wording agree."""
     f = cut(fingerprints(spark, sf), "prints")
@@ -77,7 +73,7 @@ def matches(spark, sf, lib):
     return S.compared(S.pairs(S.buckets(lib, icons), lib), lib, icons).where("match")
 
 
-@query("g01_likeness", f"with {LIB_SQL}, {PAIR_SQL} select a, b, round(points, 2) as points, k as n_kinds from m")
+@query("g01_likeness", f"with {LIB_SQL}, {PAIR_SQL} select a, b, round(points, 2)::double as points, k as n_kinds from m")
 def g01b(spark, sf):
     return matches(spark, sf, library(spark, sf)).select("a", "b", "points", F.size("kinds").alias("n_kinds"))
 
@@ -117,7 +113,7 @@ def s13(spark, sf):
     return new.join(old, "id", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("id", "before", "after")
 
 
-@query("j01_g04_lookup", f"with {LIB_SQL}, k2 as (select id, value as key from (select lib.id, cast((4 + i) * 65536 + ((u >> (16 * i)::integer) & 65535) as varchar) as value from lib join uu using (id), range(4) r(i) union all select id, 'd' || dom_hash from lib where dom_hash is not null union all select id, 'i' || icon from lib)), h as (select distinct p.id as probe, l.id from k2 p join k2 l using (key) where p.id % 100 = 0 and p.id <> l.id), r as (select probe, h.id, row_number() over (partition by probe order by label <> 'phish', h.id) as n from h join lib using (id)), c as (select * from r where n <= 800), s as (select probe, c.id, x.dom_hash = y.dom_hash as same, bit_count(xor(x.txt, y.txt)) as d, x.icon = y.icon as ic from c join lib x on x.id = c.probe join lib y on y.id = c.id), pt as (select probe, id, round(case when same then 1.5 else 0 end + coalesce(case when d <= 4 then 2.0 when d <= 8 then 1.25 when d <= 12 then 0.5 end, 0) + case when ic then 1.0 else 0 end, 2) as points, cast(round_even((case when same then 1.0 else 0 end + coalesce(1 - d / 64.0, 0)) * 100 / (coalesce(same, false)::int + (d is not null)::int), 0) as integer) as percent from s where coalesce(same, false)::int + coalesce(d <= 12, false)::int + coalesce(ic, false)::int >= 2), w as (select *, row_number() over (partition by probe order by points desc, percent desc, id) as rank from pt where points >= 3.0) select probe, id, points, percent, rank from w where rank <= 12")
+@query("j01_g04_lookup", f"with {LIB_SQL}, k2 as (select id, value as key from (select lib.id, cast((4 + i) * 65536 + ((u >> (16 * i)::integer) & 65535) as varchar) as value from lib join uu using (id), range(4) r(i) union all select id, 'd' || dom_hash from lib where dom_hash is not null union all select id, 'i' || icon from lib)), h as (select distinct p.id as probe, l.id from k2 p join k2 l using (key) where p.id % 100 = 0 and p.id <> l.id), r as (select probe, h.id, row_number() over (partition by probe order by label <> 'phish', h.id) as n from h join lib using (id)), c as (select * from r where n <= 800), s as (select probe, c.id, x.dom_hash = y.dom_hash as same, bit_count(xor(x.txt, y.txt)) as d, x.icon = y.icon as ic from c join lib x on x.id = c.probe join lib y on y.id = c.id), pt as (select probe, id, round(case when same then 1.5 else 0 end + coalesce(case when d <= 4 then 2.0 when d <= 8 then 1.25 when d <= 12 then 0.5 end, 0) + case when ic then 1.0 else 0 end, 2)::double as points, cast(round_even((case when same then 1.0 else 0 end + coalesce(1 - d / 64.0, 0)) * 100 / (coalesce(same, false)::int + (d is not null)::int), 0) as integer) as percent from s where coalesce(same, false)::int + coalesce(d <= 12, false)::int + coalesce(ic, false)::int >= 2), w as (select *, row_number() over (partition by probe order by points desc, percent desc, id) as rank from pt where points >= 3.0) select probe, id, points, percent, rank from w where rank <= 12")
 def j01(spark, sf):
     """Closest library pages of every hundredth page: candidates, likeness, rank."""
     from pyspark.sql import Window as W

@@ -25,7 +25,7 @@ def vectors(spark, sf):
     return M.vector(labelled(spark, sf), "id", ["n_chars"], ["marks", "capitals"], ["english"])
 
 
-@query("m01_vector", f"with {FEATURE_SQL} select id, round(f0::float, 4) as f0, round(f1::float, 4) as f1, round(f2::float, 4) as f2, cast(f3 as integer) as f3 from f")
+@query("m01_vector", f"with {FEATURE_SQL} select id, round(f0::float::double, 4) as f0, round(f1::float::double, 4) as f1, round(f2::float::double, 4) as f2, cast(f3 as integer) as f3 from f")
 def m01(spark, sf):
     v = vectors(spark, sf)
     return v.select("id", *[F.round(F.col("features")[i].cast("double"), 4).alias(f"f{i}") for i in range(3)], F.col("features")[3].cast("int").alias("f3"))
@@ -41,7 +41,7 @@ def scored(spark, sf):
     return M.score(vectors(spark, sf), nodes, depth=3)
 
 
-@query("m04_score", f"with {FEATURE_SQL}, {TREE_SQL} select id, round(raw, 6) as raw, round(1 / (1 + exp(-raw)), 6) as probability, 0.0::double as rest from s")
+@query("m04_score", f"with {FEATURE_SQL}, {TREE_SQL} select id, round(raw, 6)::double as raw, round(1 / (1 + exp(-raw)), 6) as probability, 0.0::double as rest from s")
 def m04(spark, sf):
     """Sum of leaves and its logistic; what the steps and the roots leave unexplained is zero."""
     s = scored(spark, sf)
@@ -49,7 +49,7 @@ def m04(spark, sf):
     return s.select("id", F.round("raw", 6).alias("raw"), F.round(1 / (1 + F.exp(-F.col("raw"))), 6).alias("probability"), F.abs(F.round(F.col("raw") - F.col("roots") - told, 6)).alias("rest"))
 
 
-@query("m04_causes", f"with {FEATURE_SQL}, {TREE_SQL}, p as (select id, 1 as f, case when a then -0.9 else 1.4 end as push from s union all select id, 0, case when b then -0.5 else 0.7 end from s where not a union all select id, 2, case when c then -0.4 else 1.3 end from s) select id, f, round(push, 6) as push from p")
+@query("m04_causes", f"with {FEATURE_SQL}, {TREE_SQL}, p as (select id, 1 as f, case when a then -0.9 else 1.4 end as push from s union all select id, 0, case when b then -0.5 else 0.7 end from s where not a union all select id, 2, case when c then -0.4 else 1.3 end from s) select id, f, round(push, 6)::double as push from p")
 def m04b(spark, sf):
     return M.causes(scored(spark, sf)).withColumn("push", F.round("push", 6))
 

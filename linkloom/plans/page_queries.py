@@ -176,3 +176,13 @@ def f02(spark, sf):
 @query("f04_bands", f"with {PRINTS_SQL}, u as (select page_id, case when txt < 0 then txt::hugeint + 18446744073709551616 else txt::hugeint end as t from prints where txt is not null) select page_id, cast(i as integer) as i, cast((4 + i) * 65536 + ((t >> (16 * i)::integer) & 65535) as integer) as band from u, range(4) r(i)")
 def f04(spark, sf):
     return fingerprints(spark, sf).select("page_id", F.posexplode(P.bands(F.col("txt"), 1)).alias("i", "band"))
+
+
+@query("h14_digest", f"with {PRINTS_SQL} select p.page_id, length(url) as length, len({EL.format('form')}) as forms, len({EL.format('script')}) as scripts, len({EL.format('a')}) as links, prints.tags, prints.words, dom, txt from pages p join prints using (page_id)")
+def h14(spark, sf):
+    """Everything that is read from link and html in one row per page: link facts, forms, structure, fingerprints."""
+    from linkloom.plans.link_queries import u14
+
+    p = pages(spark, sf).withColumn("host", L.host(F.col("url")))
+    facts = u14(spark, sf).join(O.forms(p), "page_id").join(O.structure(p), "page_id").join(fingerprints(spark, sf), "page_id")
+    return facts.select("page_id", "length", "forms", "scripts", "links", "tags", "words", "dom", "txt")

@@ -58,6 +58,28 @@ def s07(spark, sf):
     return s.select("page_id", "site").join(ranks, "site", "left")
 
 
+@query("s08_brand_dimension", "select distinct p_brand as name, lower(p_brand) as label from part")
+def s08(spark, sf):
+    """The brand dimension as JSON lines read back by schema, one row per label."""
+    b = table(spark, sf, "part").select(F.col("p_brand").alias("name")).distinct().select("name", F.array(F.lower("name")).alias("labels"), F.array(F.concat(F.lit("="), "name")).alias("keywords"))
+    return T.json_round_trip(b).select("name", F.explode("labels").alias("label"))
+
+
+@query("s09_block_lists", f"with {PAGE_SITES} select 'domain' as list, site as key from h where page_id % 11 = 0 group by 2 union all select 'link', host || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') from h where page_id % 7 = 0 group by 2")
+def s09(spark, sf):
+    """Links keyed by host and path, domains by lower-cased name; one row per key, lists of any size."""
+    s = with_sites(spark, sf)
+    path = F.coalesce(F.nullif(L.path(F.col("url")), F.lit("")), F.lit("/"))
+    links = s.where("page_id % 7 = 0").select(F.lit("link").alias("list"), F.concat("host", path).alias("key"))
+    return links.unionByName(s.where("page_id % 11 = 0").select(F.lit("domain").alias("list"), F.lower("site").alias("key"))).distinct()
+
+
+@query("s10_library_scan", "select doc_id as id, source as site, n_chars, text is not null as has_thumb from documents order by 1")
+def s10(spark, sf):
+    """The library without its wide column, which becomes a flag before anything is moved."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("site"), "n_chars", F.col("text").isNotNull().alias("has_thumb"))
+
+
 @query("s11_upsert", "with old as (select o_orderkey as k, o_orderpriority as v, 0 as b from orders where o_orderkey % 3 <> 0), new as (select o_orderkey, o_orderstatus, 1 from orders where o_orderkey % 5 = 0), u as (select * from old union all select * from new) select k, arg_max(v, b) as v from u group by k")
 def s11(spark, sf):
     o = table(spark, sf, "orders")
