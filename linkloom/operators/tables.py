@@ -1,91 +1,12 @@
-"""Jobs on tables: feeds, upserts, retention, owners, address ranges, counts and evaluation."""
+"""Jobs on tables: owners, address ranges, counts and evaluation."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.functions import links as L
 from linkloom.operators.similar import NOTICE
-from linkloom.session import shared_dir
-
-
-def write_features(rows: DataFrame, split: str, per_file: int = 3072) -> str:
-    """Write a feature table by split, small zstd files; returns its folder."""
-    path = f"{shared_dir(rows.sparkSession)}/linkloom/features-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").option("maxRecordsPerFile", per_file).partitionBy(split).parquet(path)
-    return path
-
-
-def read_features(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """The feature table at path; fails with the first column that is missing."""
-    df = spark.read.parquet(path)
-    for name in wanted:
-        if name not in df.columns:
-            raise ValueError(f"the feature table has no column {name}")
-    return df.select(*wanted)
-
-
-def json_round_trip(rows: DataFrame) -> DataFrame:
-    path = f"{shared_dir(rows.sparkSession)}/linkloom/lines-{uuid.uuid4().hex}"
-    rows.write.json(path)
-    return rows.sparkSession.read.schema(rows.schema).json(path)
-
-
-def feed_lines(lines: DataFrame) -> DataFrame:
-    """url, pos of a text feed (pos, line): comments, blanks and refused links dropped, the first place of each kept."""
-    text = F.trim("line")
-    ok = lines.where((text != "") & ~text.startswith("#") & (F.length(text) <= 1500)).select("pos", L.clean(F.col("line")).alias("url"))
-    return ok.where(L.reject_reason(F.col("url")).isNull()).groupBy("url").agg(F.min("pos").alias("pos"))
-
-
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both; of equal keys the new row."""
-    rest = [c for c in old.columns if c not in keys]
-    both = old.withColumn("__b", F.lit(0)).unionByName(new.withColumn("__b", F.lit(1)))
-    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__b").alias("m"))
-    return best.select(*keys, *[F.col(f"m.{c}").alias(c) for c in rest])
-
-
-def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
-
-
-def retained(rows: DataFrame, at: str, as_of: Column, null_after_days: dict[str, int], expires: Column, expire_days: int) -> DataFrame:
-    """Columns to null once a row is older than their days; rows under `expires` out once older than expire_days."""
-    old = lambda d: F.col(at) < as_of - F.make_interval(days=F.lit(d))
-    out = rows.where(~(expires & old(expire_days)))
-    for name, days in null_after_days.items():
-        out = out.withColumn(name, F.when(~old(days), F.col(name)))
-    return out
-
-
-def still_valid(cache: DataFrame, as_of: Column) -> DataFrame:
-    """key, value: the latest row of each key among those that have not expired."""
-    return cache.where(F.col("expires_at") > as_of).groupBy("key").agg(F.max_by("value", "ts").alias("value"))
-
-
-def certificate_history(rows: DataFrame, top: int = 3) -> DataFrame:
-    """Per domain: certificates (first row of each id), first and latest day, main issuers. rows: domain, id, dn, d."""
-    first = rows.groupBy("id").agg(F.min(F.struct("d", "domain", "dn")).alias("m")).select("m.*").withColumn("issuer", F.regexp_extract("dn", "O=([^,]+)", 1))
-    counts = first.groupBy("domain", "issuer").agg(F.count("*").alias("n"), F.min("d").alias("a"), F.max("d").alias("z"))
-    by = counts.groupBy("domain").agg(F.sum("n").alias("certs"), F.min("a").alias("first_seen"), F.max("z").alias("latest"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "issuer"))), 1, top).alias("i"))
-    return by.select("domain", "certs", "first_seen", "latest", F.array_join(F.transform("i", lambda x: x["issuer"]), "+").alias("issuers"))
-
-
-def ns_key(names: Column) -> Column:
-    """Name servers in lower case without trailing dot, sorted, unique, joined."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(names, lambda x: F.regexp_replace(F.lower(x), r"\.$", "")))), ",")
-
-
-def registrations(docs: DataFrame, key: str, doc: str = "doc") -> DataFrame:
-    """Flat columns of nested registration documents: registrar, abuse mail, name servers."""
-    d = docs.select(key, F.from_json(doc, "entities array<struct<roles:array<string>,name:string,mail:string>>, nameservers array<string>").alias("d"))
-    role = lambda r: F.get(F.filter("d.entities", lambda e: F.array_contains(e["roles"], r)), F.lit(0))
-    return d.select(key, role("registrar")["name"].alias("registrar"), role("abuse")["mail"].alias("abuse"), ns_key(F.col("d.nameservers")).alias("name_servers"))
 
 
 def looks_dead(status: Column, stopped: Column, tags: Column, title: Column) -> Column:

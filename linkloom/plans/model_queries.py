@@ -9,6 +9,7 @@ from linkloom.operators import model as M
 from linkloom.operators import tables as T
 from linkloom.plans.registry import query
 from linkloom.session import cut, table
+from linkloom.sources import tables as D
 from linkloom.streaming import jobs as S
 
 
@@ -175,7 +176,7 @@ def t02(spark, sf):
     batch = table(spark, sf, "pages").where(F.length("html") >= 200)
     rows = lambda d: d.select(F.col("page_id").alias("source_ref"), F.length("html").alias("n_html"))
     got = S.run_once(rows(stream))
-    return T.upsert(rows(batch).where("source_ref % 2 = 0"), got, ["source_ref"])
+    return D.upsert(rows(batch).where("source_ref % 2 = 0"), got, ["source_ref"])
 
 
 @query("u06_redact_record", "select page_id, 'https://x.com/?q=1&token=REDACTED' as final, 'https://y.com/#top' as popup, 2 as n from pages")

@@ -10,6 +10,7 @@ from linkloom.operators import tables as T
 from linkloom.plans.link_queries import HOST_SQL, PAGE_SITES, with_sites
 from linkloom.plans.registry import query
 from linkloom.session import table
+from linkloom.sources import tables as D
 
 VERDICT_SQL = "case event_type when 'error' then 'dangerous' when 'click' then 'suspicious' else 'safe' end"
 
@@ -33,14 +34,14 @@ def s01(spark, sf):
 def s03(spark, sf):
     """A feature table written by split as zstd Parquet, read back behind a schema gate."""
     rows = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 100).cast("smallint").alias("rule_score"), F.col("n_chars").cast("float").alias("chars"), F.col("lang").alias("split"))
-    return T.read_features(spark, T.write_features(rows, "split"), ["doc_id", "rule_score", "chars", "split"])
+    return D.read_features(spark, D.write_features(rows, "split"), ["doc_id", "rule_score", "chars", "split"])
 
 
 @query("s05_feed_lines", "with r as (select event_id, case event_id % 5 when 0 then '# note' when 1 then '' when 2 then 'hxxps://a' || (event_id % 50) || '[.]com/x' when 3 then '  https://a' || (event_id % 50) || '.com/x ' else 'http://localhost/' end as line from events), c as (select event_id, replace(replace(trim(line), 'hxxps', 'https'), '[.]', '.') as url from r where event_id % 5 in (2, 3)) select url, min(event_id) as first_pos from c group by url")
 def s05(spark, sf):
     """A feed of text lines: comments, blanks and refused links dropped, links cleaned, first place kept."""
     line = F.expr("case event_id % 5 when 0 then '# note' when 1 then '' when 2 then concat('hxxps://a', event_id % 50, '[.]com/x') when 3 then concat('  https://a', event_id % 50, '.com/x ') else 'http://localhost/' end")
-    return T.feed_lines(table(spark, sf, "events").select(F.col("event_id").alias("pos"), line.alias("line"))).select("url", F.col("pos").alias("first_pos"))
+    return D.feed_lines(table(spark, sf, "events").select(F.col("event_id").alias("pos"), line.alias("line"))).select("url", F.col("pos").alias("first_pos"))
 
 
 @query("s06_feeds", "select event_type as feed, event_id, row_number() over (partition by event_type order by ts desc, event_id) as n from events")
@@ -62,7 +63,7 @@ def s07(spark, sf):
 def s08(spark, sf):
     """The brand dimension as JSON lines read back by schema, one row per label."""
     b = table(spark, sf, "part").select(F.col("p_brand").alias("name")).distinct().select("name", F.array(F.lower("name")).alias("labels"), F.array(F.concat(F.lit("="), "name")).alias("keywords"))
-    return T.json_round_trip(b).select("name", F.explode("labels").alias("label"))
+    return D.json_round_trip(b).select("name", F.explode("labels").alias("label"))
 
 
 @query("s09_block_lists", f"with {PAGE_SITES} select 'domain' as list, site as key from h where page_id % 11 = 0 group by 2 union all select 'link', host || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') from h where page_id % 7 = 0 group by 2")
@@ -84,21 +85,21 @@ def s10(spark, sf):
 def s11(spark, sf):
     o = table(spark, sf, "orders")
     old = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v"))
-    return T.upsert(old, o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v")), ["k"])
+    return D.upsert(old, o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v")), ["k"])
 
 
 @query("s12_insert_absent", "select o_custkey as k, min(o_orderkey) as v, 'old' as origin from orders where o_orderkey % 2 = 0 group by 1 union all select o_custkey, min(o_orderkey), 'new' from orders where o_orderkey % 2 = 1 and o_custkey not in (select o_custkey from orders where o_orderkey % 2 = 0) group by 1")
 def s12(spark, sf):
     o = table(spark, sf, "orders")
     part = lambda r, n: o.where(f"o_orderkey % 2 = {r}").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("v")).withColumn("origin", F.lit(n))
-    return T.insert_absent(part(0, "old"), part(1, "new"), ["k"])
+    return D.insert_absent(part(0, "old"), part(1, "new"), ["k"])
 
 
 @query("s14_retention", "select event_id, case when ts < timestamp '2024-01-20 00:00:00' then null else props end as props from events where not (event_type = 'view' and ts < timestamp '2024-01-10 00:00:00')")
 def s14(spark, sf):
     """Old thumbnails to null, expired rows out, as of a given day."""
     e = table(spark, sf, "events")
-    return T.retained(e, "ts", F.lit("2024-01-30").cast("timestamp"), {"props": 10}, (F.col("event_type") == "view"), 20).select("event_id", "props")
+    return D.retained(e, "ts", F.lit("2024-01-30").cast("timestamp"), {"props": 10}, (F.col("event_type") == "view"), 20).select("event_id", "props")
 
 
 @query("s15_run_log", "select event_type as job, count(*) as fetched, count(*) filter (value > 100) as added, count(*) filter (value is null) as failed, min(ts) as started_at, max(ts) as finished_at, true as ok from events group by 1")
@@ -109,7 +110,7 @@ def s15(spark, sf):
 @query("s16_json_lines", "select page_id, url from pages")
 def s16(spark, sf):
     """Rows written as JSON lines and read back by a fixed schema."""
-    return T.json_round_trip(table(spark, sf, "pages").select("page_id", "url"))
+    return D.json_round_trip(table(spark, sf, "pages").select("page_id", "url"))
 
 
 @query("s17_scan_documents", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, 'ok' as comparison from events")
@@ -122,7 +123,7 @@ def s17(spark, sf):
 @query("s18_lookup_cache", "select user_id as key, arg_max(value, ts) as value from events where ts + interval 5 days > timestamp '2024-01-29 00:00:00' group by 1")
 def s18(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("key"), "value", "ts", (F.col("ts") + F.expr("interval 5 days")).alias("expires_at"))
-    return T.still_valid(e, F.lit("2024-01-29").cast("timestamp"))
+    return D.still_valid(e, F.lit("2024-01-29").cast("timestamp"))
 
 
 @query("s19_annotated", "select o_orderkey, 'https://x.com/' || o_orderkey as url, case when o_orderkey % 3 = 0 then null else o_orderpriority end as note from orders where o_orderkey % 4 <> 0")
@@ -137,20 +138,20 @@ def s19(spark, sf):
 def s20(spark, sf):
     """Certificates: first row of each id, then history per domain with its three main issuers."""
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("domain"), (F.col("o_orderkey") % 4000).alias("id"), F.concat(F.lit("O="), "o_orderpriority", F.lit(", C=US")).alias("dn"), F.col("o_orderdate").alias("d"))
-    return T.certificate_history(o)
+    return D.certificate_history(o)
 
 
 @query("s21_registrations", "select c_custkey, c_mktsegment as registrar, 'abuse@' || c_custkey || '.org' as abuse, 'a.ns,b.ns' as name_servers from customer")
 def s21(spark, sf):
     """Registration documents with nested entities to a flat table."""
     doc = F.expr("concat('{\"entities\":[{\"roles\":[\"registrar\"],\"name\":\"', c_mktsegment, '\"},{\"roles\":[\"abuse\"],\"mail\":\"abuse@', c_custkey, '.org\"}],\"nameservers\":[\"B.ns.\",\"a.ns\",\"b.ns\"]}')")
-    return T.registrations(table(spark, sf, "customer").select("c_custkey", doc.alias("doc")), "c_custkey")
+    return D.registrations(table(spark, sf, "customer").select("c_custkey", doc.alias("doc")), "c_custkey")
 
 
 @query("s22_owner_columns", "select c_custkey, c_nationkey || '.ns,x.ns' as ns_key from customer")
 def s22(spark, sf):
     ns = F.array(F.lit("X.NS."), F.concat(F.col("c_nationkey").cast("string"), F.lit(".Ns")))
-    return table(spark, sf, "customer").select("c_custkey", T.ns_key(ns).alias("ns_key"))
+    return table(spark, sf, "customer").select("c_custkey", D.ns_key(ns).alias("ns_key"))
 
 
 # --- predicates ----------------------------------------------------------------------------------------------------

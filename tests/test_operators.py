@@ -10,6 +10,7 @@ from linkloom.functions import links as L
 from linkloom.functions import prints as P
 from linkloom.operators import graph, links, model, ranking, similar, tables
 from linkloom.operators.components import components
+from linkloom.sources import tables as stored
 from linkloom.streaming import jobs
 
 
@@ -190,10 +191,10 @@ def test_denied_calls_do_not_count(spark):
 
 
 def test_feature_tables_fail_with_the_missing_column(spark):
-    path = tables.write_features(spark.createDataFrame([(1, "a")], "x int, split string"), "split")
-    assert tables.read_features(spark, path, ["x", "split"]).collect()[0].x == 1
+    path = stored.write_features(spark.createDataFrame([(1, "a")], "x int, split string"), "split")
+    assert stored.read_features(spark, path, ["x", "split"]).collect()[0].x == 1
     with pytest.raises(ValueError, match="nothing"):
-        tables.read_features(spark, path, ["x", "nothing"])
+        stored.read_features(spark, path, ["x", "nothing"])
 
 
 def test_entropy_and_random_names(spark):
