@@ -95,13 +95,13 @@ def held_out(doc_id: str = "doc_id", folds: int = 3):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 1
 
 
-def train(rows: list[tuple[str, str]], bits: int = 15, width: int = 16, epochs: int = 12, rate: float = 0.5, seed: int = 7, lose: float = 0.001) -> Model:
+def train(rows: list[tuple[str, str]], bits: int = 15, width: int = 16, epochs: int = 12, rate: float = 0.5, seed: int = 7, lose: float = 0.005) -> Model:
     """Fit on (text, language) rows: embeddings are averaged over a text's grams, scored by a linear softmax.
 
     Stochastic gradient descent in numpy; buckets that training never meets keep a zero embedding, so foreign
     text scores near the bias alone. One row in five is left out of the descent: on those the softmax is tempered
-    (one scale, least log loss) and the rejection bound is set to the probability that all but `lose` of the
-    correctly named rows exceed, but to no more than a twentieth above what a text of unknown grams scores.
+    (one scale, least log loss), and the rejection bound is set a twentieth above what a text of unknown grams scores, or
+    lower where more than `lose` of the correctly named rows would fall below it.
     """
     languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
