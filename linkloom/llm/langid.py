@@ -100,8 +100,8 @@ def train(rows: list[tuple[str, str]], bits: int = 15, width: int = 16, epochs:
 
     Stochastic gradient descent in numpy; buckets that training never meets keep a zero embedding, so foreign
     text scores near the bias alone. One row in five is left out of the descent: on those the softmax is tempered
-    (one scale, least log loss), and the rejection bound is set a twentieth above what a text of unknown grams scores, or
-    lower where more than `lose` of the correctly named rows would fall below it.
+    (one scale, least log loss), and the rejection bound is set where 19 in 20 short texts of random grams fall below it, or
+    lower where more than `lose` of the correctly named rows would too.
     """
     languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
@@ -155,8 +155,11 @@ def train(rows: list[tuple[str, str]], bits: int = 15, width: int = 16, epochs:
     s = np.exp(model.heat * (z - z.max(axis=1, keepdims=True)))
     s /= s.sum(axis=1, keepdims=True)
     right = s.max(axis=1)[s.argmax(axis=1) == true]
-    blank = np.exp(model.heat * (model.bias - model.bias.max()))  # what a text of grams never met scores
-    model.least = float(min(1.05 * blank.max() / blank.sum(), np.quantile(right, lose))) if len(right) else 0.0
+    # Texts of 20 grams that fall into any bucket, as those of a foreign language do.
+    noise = table[rng.integers(0, 1 << bits, (2000, 20))].mean(axis=1, dtype=np.float64) + bias
+    blank = np.exp(model.heat * (noise - noise.max(axis=1, keepdims=True)))
+    blank = blank.max(axis=1) / blank.sum(axis=1)
+    model.least = float(min(np.quantile(blank, 0.95), np.quantile(right, lose))) if len(right) else 0.0
     return model
 
 
