@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import links as L
 
+MOST_LABELS = 5_000
+
 
 def suffix_table(spark: SparkSession, rows=None) -> DataFrame:
     """(suffix, private): a dimension of a few thousand rows at most."""
@@ -50,10 +52,12 @@ def imitations(labels: DataFrame, brands: DataFrame) -> DataFrame:
     """Which brand a label (of a host that is not official) imitates, and how: (host, brand, kind).
 
     labels: host, label, subdomain. Look-alike letters and digits win outright, in brand order; else the first of a near
-    spelling, added words or a sub-domain. The brand table is a dimension of some hundred labels, so each label is
-    compared with each: that join is bounded by the dimension, and runs on distinct labels.
+    spelling, added words or a sub-domain. The brand table is a stated set of names, MOST_LABELS at most (counted here,
+    more is an error), which every distinct label is compared with; beyond that, pass it in parts and keep the least row.
     """
     forms = brands.select("ord", F.col("name").alias("brand"), F.posexplode("labels").alias("pos", "b"))
+    if (n_forms := forms.count()) > MOST_LABELS:
+        raise ValueError(f"{n_forms} brand labels; {MOST_LABELS} at most")
     rows = labels.select("host", "label", "subdomain").where("label is not null").distinct()
     n = F.length("b")
     far = F.when(n >= 9, 2).when(n >= 6, 1).otherwise(0)

@@ -27,13 +27,7 @@ def site_brands(spark, sf):
     """A brand for each site of the pages: a dimension derived from the data."""
     s = with_sites(spark, sf).select("site").distinct()
     label = F.regexp_extract("site", r"^([^.]*)", 1)
-    return s.select(F.dense_rank().over(_by("site")).alias("ord"), F.initcap(label).alias("name"), F.array("site").alias("domains"), F.array(label).alias("labels"))
-
-
-def _by(*c):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*c)
+    return s.select(F.col("site").alias("ord"), F.initcap(label).alias("name"), F.array("site").alias("domains"), F.array(label).alias("labels"))
 
 
 @query("u01_refang", "select page_id, url as refanged, regexp_replace(replace(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), '.', '[.]'), '^http', 'hxxp') || regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) as defanged from pages")
@@ -132,12 +126,13 @@ def u15(spark, sf):
     return O.official(hosts, b.withColumn("name", F.concat(F.upper(F.substring(F.col("labels")[0], 1, 1)), F.lower(F.substring(F.col("labels")[0], F.lit(2), F.length(F.col("labels")[0]))))))
 
 
-@query("u16_imitations", f"with {PAGE_SITES}, s as (select distinct site, string_split(site, '.')[1] as l from h), b as (select l, row_number() over (order by l) as ord from (select distinct l from s)), x as (select s.l || '-login' as host, s.l || '-login' as label from s), p as (select x.host, b.ord, b.l as brand, case when length(b.l) >= 6 and damerau_levenshtein(x.label, b.l) <= case when length(b.l) >= 9 then 2 else 1 end then 'typo' when list_contains(string_split_regex(x.label, '[-_.0-9]+'), b.l) or (length(b.l) >= 5 and contains(x.label, b.l)) then 'combo' end as kind from x, b where x.label <> b.l) select host, arg_min(brand, ord) as brand, arg_min(kind, ord) as kind from p where kind is not null group by host")
+@query("u16_imitations", "with b as (select lower(replace(n_name, '_', '')) as l from nation), x as (select distinct case c_custkey % 4 when 0 then 'nat1on' || c_nationkey when 1 then 'nation' || c_nationkey || 'x' when 2 then 'login-nation' || c_nationkey || '-page' else lower(replace(c_name, '#', '')) end as label from customer), p as (select label, l, case when label <> l and translate(label, '01345789', 'oleastbg') = l then 0 when length(l) >= 6 and label <> l and damerau_levenshtein(label, l) <= case when length(l) >= 9 then 2 else 1 end then 1 when label <> l and (list_contains(string_split_regex(label, '[-_.0-9]+'), l) or contains(label, l)) then 2 end as k from x, b) select label as host, arg_min(l, ((k > 0)::int, l)) as brand, case when arg_min(k, ((k > 0)::int, l)) = 2 then 'combo' else 'typo' end as kind from p where k is not null group by label")
 def u16(spark, sf):
-    s = with_sites(spark, sf).select(F.regexp_extract("site", r"^([^.]*)", 1).alias("l")).distinct()
-    b = s.select(F.row_number().over(_by("l")).alias("ord"), F.col("l").alias("name"), F.array("l").alias("labels"))
-    x = s.select(F.concat("l", F.lit("-login")).alias("host"), F.concat("l", F.lit("-login")).alias("label"), F.lit("").alias("subdomain"))
-    return O.imitations(x, b)
+    """Which of a fixed set of names (the nations) the labels of all customers imitate."""
+    label = F.lower(F.replace("n_name", F.lit("_"), F.lit("")))
+    b = table(spark, sf, "nation").select(label.alias("ord"), label.alias("name"), F.array(label).alias("labels"))
+    raw = F.expr("case c_custkey % 4 when 0 then concat('nat1on', c_nationkey) when 1 then concat('nation', c_nationkey, 'x') when 2 then concat('login-nation', c_nationkey, '-page') else lower(replace(c_name, '#', '')) end")
+    return O.imitations(table(spark, sf, "customer").select(raw.alias("host"), raw.alias("label"), F.lit("").alias("subdomain")), b)
 
 
 @query("u17_variants")

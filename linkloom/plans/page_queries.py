@@ -92,9 +92,7 @@ def word_brands(spark, sf):
     from linkloom.session import table
 
     k = table(spark, sf, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("k")).union(spark.createDataFrame([(x,) for x in ("the", "and", "que", "les")], "k string")).distinct()
-    from pyspark.sql import Window
-
-    return k.select(F.row_number().over(Window.orderBy("k")).alias("ord"), F.col("k").alias("name"), F.array("k").alias("keywords"))
+    return k.select(F.col("k").alias("ord"), F.col("k").alias("name"), F.array("k").alias("keywords"))
 
 
 @query("h09_mentions", f"with {BRAND_SQL}, w as (select page_id, unnest(regexp_extract_all(lower({TEXT_SQL}), '[\\p{{L}}\\p{{N}}_]+')) as word from pages), c as (select page_id, k as brand, ord, count(*) as times from w join b on b.k = w.word group by all), r as (select *, row_number() over (partition by page_id order by times desc, ord) as n from c) select page_id, brand, times from r where n = 1")
