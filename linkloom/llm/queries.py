@@ -56,4 +56,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op4_mixing, op5_packing, op6_suffixes, op7_tokens, op8_quality, op9_licenses, op10_media)}
-ORACLES: dict[str, str] = {}
+#: Every 200-byte string of every text, counted; the bytes of those that occur twice go.
+SUFFIXES_SQL = """with h as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+st as (select r, i, md5(substr(x, 2 * i + 1, 400)) as k from (select r, x, unnest(range(0, greatest(length(x) // 2 - 199, 0))) as i from h)),
+dup as (select k from st group by k having count(*) > 1),
+ds as (select r, i, i > lag(i) over (partition by r order by i) + 200 as gap from st semi join dup using (k)),
+isl as (select r, i, sum(coalesce(gap, true)::int) over (partition by r order by i) as g from ds),
+sp as (select r, g, min(i) as a, max(i) + 200 as e from isl group by r, g),
+n as (select r, cast(sum(e - a) as bigint) as n_removed, count(*) as n_spans, max(e) as e from sp group by r),
+p as (select r, coalesce(lag(e) over (partition by r order by a), 0) as s, a as t from sp union all select h.r, coalesce(n.e, 0), length(x) // 2 from h left join n using (r)),
+k as (select r, string_agg(substr(x, 2 * s + 1, 2 * (t - s)), '' order by s) as kept from p join h using (r) group by r)
+select doc_id, length(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept)) as kept_sha256 from h left join n using (r) join k using (r)"""
+ORACLES: dict[str, str] = {"op6_suffixes": SUFFIXES_SQL}

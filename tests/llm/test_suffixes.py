@@ -60,3 +60,16 @@ def test_empty_table_and_repeated_rows(spark):
     assert suffixes.report(empty).collect() == []
     twice = spark.createDataFrame([(1, "x" * 50 + "y" * 300), (1, "x" * 50 + "y" * 300), (None, None)], "doc_id long, text string")
     assert sorted((r.n_bytes, r.n_removed) for r in suffixes.report(twice).collect()) == [(0, 0), (350, 350), (350, 350)]
+
+
+def test_sql_twin(spark, tmp_path):
+    import duckdb
+
+    from linkloom.llm import queries
+
+    docs = spark.createDataFrame(list(enumerate(cases())), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.QUERIES["op6_suffixes"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLES["op6_suffixes"]).fetchall())
