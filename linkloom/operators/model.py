@@ -45,6 +45,12 @@ def flatten(model, spark) -> DataFrame:
     return spark.createDataFrame(rows, "tree int, node int, f int, t double, l int, r int, v double")
 
 
+def gain_shares(model, spark, names: list[str], top: int = 15) -> DataFrame:
+    """feature, share: the features with most of the trees' gain; as many rows as the model has features."""
+    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
+    return spark.createDataFrame(rows, "feature string, share double").orderBy(F.desc("share"), "feature").limit(top)
+
+
 def score(rows: DataFrame, nodes: DataFrame, key: str = "id", depth: int = 12) -> DataFrame:
     """key, raw, steps: the sum of leaves, and each step's change of value by feature; steps and roots add up to raw.
 

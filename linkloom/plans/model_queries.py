@@ -69,20 +69,31 @@ def m07(spark, sf):
     return M.auc(rows).select(F.round("roc_auc", 6).alias("roc_auc"), F.round("pr_auc", 6).alias("pr_auc"))
 
 
-@query("m02_m03_m08_m09_training")
-def m02(spark, sf):
-    """Train on the first 85 % of labelled rows with group weights, flatten the trees, score all by the table of nodes, report rates."""
+def trained(spark, sf):
+    """(model, rows): boosted trees on the first 85 % of labelled rows with group weights."""
     rows = cut(labelled(spark, sf), "labelled")
     held = T.hold_out(rows.withColumn("day", F.floor(F.col("id") / 1000)), "id", "day", 0.85)
     weights = T.group_weights(rows.select(F.col("y"), F.col("n_chars").alias("size"), F.col("english").alias("bare")), [200, 1000, 3000, 8000])
     stepped = rows.withColumn("step", T.size_step(F.col("n_chars"), [200, 1000, 3000, 8000])).join(weights.withColumnRenamed("bare", "english"), ["step", "english"])
     v = M.vector(rows, "id", ["n_chars"], ["marks", "capitals"], ["english"])
     data = cut(v.join(stepped.select("id", "y", F.when(F.col("y") == 0, F.col("weight")).otherwise(1.0).alias("weight")), "id").join(held, "id"), "training")
-    model = M.train(data, max_iter=8, depth=3)
+    return M.train(data, max_iter=8, depth=3), data
+
+
+@query("m02_m03_m09_training")
+def m02(spark, sf):
+    """Train, flatten the trees, score all rows by the table of nodes, report rates."""
+    model, data = trained(spark, sf)
     raw = M.score(data, M.flatten(model, spark), depth=3).select("id", (100 / (1 + F.exp(-2 * F.col("raw")))).alias("score")).join(data.select("id", "y"), "id")
     return M.report(raw, [40, 60, 80, 95])
 
 
+@query("m08_gain_shares")
+def m08(spark, sf):
+    """How much of the trees' gain each feature has, fifteen at most."""
+    return M.gain_shares(trained(spark, sf)[0], spark, ["n_chars", "marks", "capitals", "english"])
+
+
 # --- fingerprints of vectors ---------------------------------------------------------------------------------------
 
 
