@@ -35,6 +35,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if names is None:
-        return pairs.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
+        return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))  # no links, no rows
     least = names.groupBy("name").agg(F.min("node").alias("component"))
     return names.join(least, "name").select("node", "component")
