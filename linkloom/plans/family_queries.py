@@ -89,11 +89,17 @@ def g02(spark, sf):
 FAM_SQL = "mem as (select lib.id, component, label, site, brand from cc join lib using (id)), fam as (select component, count(*) as size, count(distinct site) as sites, count(*) filter (label = 'phish') as scams, count(*) filter (label = 'benign') as ordinary from mem group by 1), fk as (select * from fam where size >= 3 and sites >= 2 and scams >= 2 and not (ordinary >= 2 and scams / (scams + ordinary) < 0.6)), tb as (select component, brand, count(*) as n, min(id) as f from mem where label = 'phish' group by all), tt as (select component, sum(n) as t from tb group by 1), tr as (select tb.component, brand, n, t, row_number() over (partition by tb.component order by n desc, f) as r from tb join tt using (component) where brand is not null)"
 
 
+def member_rows(groups, lib):
+    """Grouped pages with what families are judged by; documents have no scam type, title or thumbnail."""
+    none = F.lit(None).cast("string")
+    return groups.join(lib, "id").select("id", "component", "label", "site", "brand", none.alias("scam_type"), none.alias("title"), F.lit("2024-01-01").cast("timestamp").alias("seen_at"), F.lit(False).alias("has_thumb"))
+
+
 @query("a06_families", f"with {LIB_SQL}, {PAIR_SQL}, {G2_SQL}, {FAM_SQL} select component as id, size, sites, brand, case when brand is null then 'unnamed scam kit' else 'fake ' || brand || ' page' end as label, round(n / t, 2) as purity from fk left join (select component, case when n / t >= 0.5 then brand end as brand, n, t from tr where r = 1) using (component)")
 def a06(spark, sf):
     """Families of scam pages with their name and brand purity."""
     lib = library(spark, sf)
-    mem = S.grouped(matches(spark, sf, lib)).join(lib, "id").select("id", "component", "label", "site", "brand", F.lit(None).cast("string").alias("scam_type"), F.lit(None).cast("string").alias("title"), F.lit("2024-01-01").cast("timestamp").alias("seen_at"), F.lit(False).alias("has_thumb"))
+    mem = member_rows(S.grouped(matches(spark, sf, lib)), lib)
     return S.families(mem).select("id", "size", "sites", "brand", "label", "purity")
 
 
@@ -107,7 +113,7 @@ def s13(spark, sf):
     """Pages whose family changes: members that leave, members that come or move."""
     lib = library(spark, sf)
     groups = cut(S.grouped(matches(spark, sf, lib)), "groups")
-    fam = a06(spark, sf).select(F.col("id").alias("component"))
+    fam = S.families(member_rows(groups, lib)).select(F.col("id").alias("component"))
     new = groups.join(fam, "component", "left_semi").select("id", F.col("component").alias("after"))
     old = lib.where("id % 3 = 0").select("id", (F.col("id") % 7).alias("before"))
     return new.join(old, "id", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("id", "before", "after")
@@ -126,6 +132,36 @@ def j01(spark, sf):
     return alike.withColumn("rank", F.row_number().over(w)).where("rank <= 12").select(F.col("a").alias("probe"), F.col("b").alias("id"), "points", "percent", "rank")
 
 
+TITLE_NOUNS = "case lang when 'de' then 'shop' when 'en' then 'banking' when 'es' then 'prize' end"
+
+
+@query("g03_names", f"select doc_id, case when brand is not null and noun is not null then 'fake ' || brand || ' ' || noun when brand is not null then 'fake ' || brand || ' page' when noun is not null then noun || ' with no clear brand' when title is not null then 'pages titled \"' || substr(title, 1, 40) || '\"' else 'unnamed scam kit' end as name from (select doc_id, case when doc_id % 2 = 0 then source end as brand, case {TITLE_NOUNS} when 'shop' then 'shop' when 'banking' then 'banking page' when 'prize' then 'prize page' end as noun, case when doc_id % 3 = 0 then text end as title from documents)")
+def g03(spark, sf):
+    """What a family is called from its brand, type and title."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", S.named(F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.expr(TITLE_NOUNS), F.when(F.col("doc_id") % 3 == 0, F.col("text"))).alias("name"))
+
+
+@query("j05_left_families", f"with {LIB_SQL}, {PAIR_SQL}, {G2_SQL}, {FAM_SQL} select id, component as family from mem where component not in (select component from fk)")
+def j05(spark, sf):
+    """Pages of groups that are no family (any more): those whose family must be cleared."""
+    lib = library(spark, sf)
+    groups = cut(S.grouped(matches(spark, sf, lib)), "groups")
+    fam = S.families(member_rows(groups, lib)).select(F.col("id").alias("component"))
+    return groups.join(fam, "component", "left_anti").select("id", F.col("component").alias("family"))
+
+
+@query("w03_ranked_matches", f"with {LIB_SQL}, {PAIR_SQL}, mp as (select a, b, round(points, 2)::double as points, cast(round_even((case when same then 1.0 else 0 end + coalesce(1 - d / 64.0, 0)) * 100 / (coalesce(same, false)::int + (d is not null)::int), 0) as integer) as percent from m join sc using (a, b)), x as (select * from mp union all select b, a, points, percent from mp), r as (select *, row_number() over (partition by a order by points desc, percent desc, b)::integer as rank from x) select a as id, b as other, points, percent, rank from r where rank <= 12")
+def w03(spark, sf):
+    """The twelve best matches of each page: points, then percent, then the lower id."""
+    from pyspark.sql import Window as W
+
+    m = cut(matches(spark, sf, library(spark, sf)).select("a", "b", "points", "percent"), "matches")
+    both = m.unionByName(m.select(F.col("b").alias("a"), F.col("a").alias("b"), "points", "percent"))
+    w = W.partitionBy("a").orderBy(F.desc("points"), F.desc("percent"), "b")
+    return both.withColumn("rank", F.row_number().over(w)).where("rank <= 12").select(F.col("a").alias("id"), F.col("b").alias("other"), "points", "percent", "rank")
+
+
 @query("g05_described", f"with {LIB_SQL}, {PAIR_SQL} select m.a, m.b, case when same and d <= 12 and ic then 'the same page structure, nearly the same wording and the same site icon' when same and d <= 12 then 'the same page structure and nearly the same wording' when same then 'the same page structure and the same site icon' else 'nearly the same wording and the same site icon' end as alike from m join sc using (a, b)")
 def g05(spark, sf):
     return matches(spark, sf, library(spark, sf)).select("a", "b", S.described(F.col("kinds")).alias("alike"))

@@ -15,6 +15,27 @@ LAB_SQL = "lab as (select p_partkey as site, case when p_size <= 12 and p_size %
 HOOD_SQL = f"{EDGE_SQL}, {LAB_SQL}, nb as (select src as probe, dst as site from ed where src % 100 = 0 union select dst, src from ed where dst % 100 = 0 union select distinct src, src from ed where src % 100 = 0), mem as (select probe, nb.site, case when probe = nb.site then 0 else label end as label from nb join lab on lab.site = nb.site), he as (select a.probe, src, dst, case when a.label = 0 then 0 when a.label < 0 or b.label < 0 then -1 else 1 end as sign from ed join mem a on a.site = src join mem b on b.site = dst and b.probe = a.probe)"
 
 
+ROUND_SQL = (
+    "t{k} as (select x.probe, x.src as i, x.dst as j, y.dst as k, x.sign as s1, y.sign as s2, z.sign as s3 from e{k} x join e{k} y on y.probe = x.probe and y.src = x.dst join e{k} z on z.probe = x.probe and z.src = x.src and z.dst = y.dst "
+    "join mm a on a.probe = x.probe and a.site = x.src join mm b on b.probe = x.probe and b.site = x.dst join mm c on c.probe = x.probe and c.site = y.dst "
+    "where (x.sign = 0)::int + (y.sign = 0)::int + (z.sign = 0)::int = 1 and (a.label = 0)::int + (b.label = 0)::int + (c.label = 0)::int = 1), "
+    "v{k} as (select probe, case when s2 = 0 then j else i end as src, case when s1 = 0 then j else k end as dst, sum(case when s1 = 0 then 1 else s1 end * case when s2 = 0 then 1 else s2 end * case when s3 = 0 then 1 else s3 end) as votes from t{k} group by all having votes <> 0), "
+    "e{n} as materialized (select e.probe, e.src, e.dst, case when e.sign = 0 and votes is not null then sign(votes)::integer else e.sign end as sign, e.inferred or (e.sign = 0 and votes is not null) as inferred from e{k} e left join v{k} using (probe, src, dst))"
+)
+#: The rounds of the balance rule, of the rank and of the centrality, one table each.
+INFER_SQL = f"with {HOOD_SQL}, mm as materialized (select * from mem), e0 as materialized (select *, false as inferred from he), " + ", ".join(ROUND_SQL.format(k=k, n=k + 1) for k in range(20)) + " select probe, src, dst, sign, inferred from e20"
+RANK_SQL = (
+    f"with {EDGE_SQL}, em as materialized (select * from ed), nd as materialized (select src as site from em union select dst from em), ln as materialized (select em.src, dst, o from em join (select src, count(*) as o from em group by 1) using (src)), r0 as (select site, 1.0::double / (select count(*) from nd) as rank from nd), "
+    + ", ".join(f"r{k + 1} as materialized (select nd.site, (1 - 0.85::double) / (select count(*) from nd) + 0.85::double * coalesce(got, 0) as rank from nd left join (select dst, sum(rank / o) as got from ln join r{k} on src = site group by 1) on dst = nd.site)" for k in range(30))
+    + " select site, round(rank / (select sum(rank) from r30), 7) as rank from r30"
+)
+CENTRE_SQL = (
+    f"with {EDGE_SQL}, em as materialized (select * from ed), bo as materialized (select src, dst from em union select dst, src from em union select src, src from em union select dst, dst from em), c0 as (select distinct src as site, 1.0::double as score from bo), "
+    + ", ".join(f"c{k + 1} as materialized (select dst as site, sum(score) as score from bo join c{k} on src = site group by 1)" for k in range(30))
+    + " select site, round(score / (select sqrt(sum(score * score)) from c30), 5) as score from c30"
+)
+
+
 def edges(spark, sf):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
@@ -50,7 +71,7 @@ def g08(spark, sf):
     return G.balance_round(*hood(spark, sf))
 
 
-@query("g08_infer")
+@query("g08_infer", INFER_SQL)
 def g08b(spark, sf):
     """Signs after all rounds of the balance rule."""
     e, mem = hood(spark, sf)
@@ -63,12 +84,12 @@ def g09(spark, sf):
     return G.judged(e, mem, mem)
 
 
-@query("g10_pagerank")
+@query("g10_pagerank", RANK_SQL)
 def g10(spark, sf):
     return G.pagerank(edges(spark, sf)).withColumn("rank", F.round("rank", 7))
 
 
-@query("g11_eigenvector")
+@query("g11_eigenvector", CENTRE_SQL)
 def g11(spark, sf):
     return G.eigenvector(edges(spark, sf)).withColumn("score", F.round("score", 5))
 
@@ -92,6 +113,14 @@ def g12(spark, sf):
     return k.where("dst is not null and pos <= 5").select("visit", F.col("host").alias("src"), "dst", F.lit("redirect").alias("kind"), "pos")
 
 
+@query("w08_moving_hosts", "with c as (select user_id as visit, event_type as host, ts, event_id, lag(event_type) over (partition by user_id order by ts, event_id) as p from events) select visit, string_agg(host, ' > ' order by ts, event_id) as hosts from c where p is null or p <> host group by 1")
+def w08(spark, sf):
+    """The hosts a chain moves over, one after the other: equal hosts in a row stand once."""
+    w = W.partitionBy("visit").orderBy("ts", "event_id")
+    h = table(spark, sf, "events").select(F.col("user_id").alias("visit"), "ts", "event_id", F.col("event_type").alias("host")).withColumn("p", F.lag("host").over(w)).where("p is null or p <> host")
+    return h.groupBy("visit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "host"))), lambda x: x["host"]), " > ").alias("hosts"))
+
+
 @query("j08_who_links", f"with {EDGE_SQL}, r as (select dst as site, src as linker, row_number() over (partition by dst order by src) as n from ed) select site, linker from r where n <= 120")
 def j08(spark, sf):
     w = W.partitionBy("dst").orderBy("src")

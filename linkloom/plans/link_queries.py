@@ -12,6 +12,13 @@ from linkloom.session import table
 HOST_SQL = "regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '\\.$', '')"
 #: Hosts of the given pages end in one of three private suffixes of two labels.
 SITE_SQL = f"array_to_string(string_split({HOST_SQL}, '.')[-3:], '.')"
+VARIANT_SQL = (
+    "d as (select distinct label, label || '.com' as domain from (select string_split(site, '.')[1] as label from h)), pl as (select label, domain, unnest(range(1, length(label) + 1)) as i from d), inn as (select label, domain, unnest(range(2, greatest(length(label), 2) + 1)) as i from d), "
+    "mk as (select domain, 1 as k, label || '.' || e as v from d, unnest(['com', 'net', 'org', 'in', 'co.in', 'xyz', 'top', 'info', 'online', 'site', 'shop', 'live', 'app']) u(e) union all select domain, 2, substr(label, 1, i - 1) || substr(label, i + 1) || '.com' from pl union all select domain, 3, substr(label, 1, i) || substr(label, i) || '.com' from pl "
+    "union all select domain, 4, substr(label, 1, i - 2) || substr(label, i, 1) || substr(label, i - 1, 1) || substr(label, i + 1) || '.com' from inn union all select domain, 5, substr(label, 1, i - 1) || '-' || substr(label, i) || '.com' from inn union all select domain, 6, label || 's.com' from d union all select domain, 7, translate(label, 'oliea', '01134') || '.com' from d), "
+    "gd as (select domain, v as variant, min(k) as k from mk where v <> domain and v not like '.%' and v not like '-%' and v not like '%-.%' and v not like '%--%' group by all), "
+    "rk as (select *, row_number() over (partition by domain order by k, variant)::integer as n from gd) select domain, variant, n from rk where n <= 90"
+)
 PAGE_SITES = f"h as (select page_id, url, html, {HOST_SQL} as host, {SITE_SQL} as site from pages)"
 
 
@@ -99,7 +106,7 @@ def u12(spark, sf):
     return pages(spark, sf).select("page_id", L.skeleton(F.col("url")).alias("skeleton"))
 
 
-@query("u13_punycode")
+@query("u13_punycode", f"with {PAGE_SITES} select page_id, case page_id % 4 when 0 then 'xn--bcher-kva.' when 1 then 'xn--80ak6aa92e.' when 2 then 'xn--ß.' else '' end || host as host, case page_id % 4 when 0 then 'bücher.' when 1 then 'аррӏе.' when 2 then 'ß.' else '' end || host as seen from h")
 def u13(spark, sf):
     """Names as people see them, label by label; broken punycode loses its prefix only."""
     h = pages(spark, sf).select("page_id", F.concat(F.element_at(F.array(F.lit("xn--bcher-kva."), F.lit("xn--80ak6aa92e."), F.lit("xn--ß."), F.lit("")), (F.col("page_id") % 4 + 1).cast("int")), L.host(F.col("url"))).alias("host"))
@@ -135,7 +142,7 @@ def u16(spark, sf):
     return O.imitations(table(spark, sf, "customer").select(raw.alias("host"), raw.alias("label"), F.lit("").alias("subdomain")), b)
 
 
-@query("u17_variants")
+@query("u17_variants", f"with {PAGE_SITES}, {VARIANT_SQL}")
 def u17(spark, sf):
     return O.variants(with_sites(spark, sf).select(F.concat(F.regexp_extract("site", r"^([^.]*)", 1), F.lit(".com")).alias("domain")).distinct())
 
