@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.prints import distance
 from linkloom.operators.components import components
 from linkloom.operators.ranking import ranked
+from linkloom.session import cut
 
 MIN_TAGS = 15
 MIN_WORDS = 20
@@ -102,6 +103,30 @@ def compared(candidates: DataFrame, library: DataFrame, icons: DataFrame) -> Dat
     return likeness(joined).select("a", "b", "points", "kinds", "percent", "match")
 
 
+def near_sets(sets: DataFrame, key: str, items: str, least: float = 0.8) -> DataFrame:
+    """(a, b, same, both), a < b: rows whose item sets share `same` of `both` items, at least `least` of them; exact.
+
+    Items are ordered from rare to common over the whole table. Two such sets share one of the first n - ceil(least * n) + 1
+    items of each, so rows meet on those only, in neighbouring classes of size; where a pair meets bounds what it can still
+    share, and pairs that cannot reach it drop out before their sets are fetched. Keys are unique; empty and null sets
+    meet nothing.
+    """
+    flat = sets.select(F.col(key).alias("id"), F.explode(F.array_distinct(items)).alias("item")).where("item is not null")
+    often = flat.groupBy("item").agg(F.count("*").alias("often"))
+    rows = flat.join(often, "item").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "item"))), lambda x: x["item"]).alias("items"))
+    rows = cut(rows.withColumn("n", F.size("items")), "sets")
+    first = F.slice("items", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
+    heads = rows.select("id", "n", F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9).alias("class"), F.posexplode(first).alias("pos", "item"))
+    side = lambda s: heads.select("item", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "class", "pos")])
+    guests = side("y").withColumn("x_class", F.explode(F.array(F.col("y_class"), F.col("y_class") + 1)))
+    wanted = F.ceil((F.col("x_n") + F.col("y_n")) * (least / (1 + least)) - 1e-9)
+    met = side("x").join(guests, ["item", "x_class"]).where((F.col("x_class") != F.col("y_class")) | (F.col("x_id") < F.col("y_id")))
+    met = met.where(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= wanted).select("x_id", "y_id").distinct()
+    whole = lambda s: rows.select(F.col("id").alias(f"{s}_id"), F.col("items").alias(s), F.col("n").alias(f"{s}_n"))
+    shared = met.join(whole("x"), "x_id").join(whole("y"), "y_id").withColumn("same", F.size(F.array_intersect("x", "y"))).withColumn("both", F.col("x_n") + F.col("y_n") - F.col("same"))
+    return shared.where(F.col("same") >= F.col("both") * least - 1e-9).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), "same", "both")
+
+
 def grouped(matches: DataFrame) -> DataFrame:
     """(id, component) of pages linked by matches, named by the lowest id."""
     return components(matches, "a", "b").select(F.col("node").alias("id"), "component")

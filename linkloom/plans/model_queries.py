@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from linkloom.functions import prints as P
 from linkloom.operators import model as M
 from linkloom.operators import tables as T
+from linkloom.operators.similar import near_sets
+from linkloom.plans.page_queries import TAGS_SQL, read, shingle_sql
 from linkloom.plans.registry import query
 from linkloom.session import cut, table
 from linkloom.sources import tables as D
@@ -103,22 +105,27 @@ def f05(spark, sf):
     return o.select("o_orderkey", P.distance((F.col("o_orderkey") * 7919).cast("long"), (F.col("o_custkey") * 104729).cast("long")).alias("bits"))
 
 
-@query("f06_code_likeness")
-def f06(spark, sf):
-    """Page structures whose tag shingles share most: MinHash candidates, exact share of common shingles, point steps.
+CODE_SQL = f"ct as (select page_id, {TAGS_SQL} as t from pages), cs as (select page_id, list_sort(list_distinct({shingle_sql('t', 4)})) as s from ct), cg as (select page_id, s, min(page_id) over (partition by s) as structure from cs where len(s) > 0)"
+
+
+def structures(spark, sf):
+    """page_id, its tag shingles as a sorted set, and the first page with the same set."""
+    s = cut(read(spark, sf).select("page_id", F.array_sort(F.array_distinct(P.shingles(F.col("tags"), 4))).alias("s")).where(F.size("s") > 0), "shingles")
+    return s.join(s.groupBy("s").agg(F.min("page_id").alias("structure")), "s")
 
-    Pages of one structure are collapsed to the first before any are joined; links are between different structures.
-    """
-    from pyspark.ml.feature import CountVectorizer, MinHashLSH
 
-    from linkloom.plans.page_queries import read
+@query("f06_structures", f"with {CODE_SQL} select page_id, structure from cg")
+def f06b(spark, sf):
+    """Which pages have one structure, named by its first page."""
+    return structures(spark, sf).select("page_id", "structure")
 
-    s = read(spark, sf).select("page_id", F.array_distinct(P.shingles(F.col("tags"), 4)).alias("s")).where(F.size("s") > 0)
-    s = s.groupBy(F.array_sort("s").alias("s")).agg(F.min("page_id").alias("page_id"))
-    v = CountVectorizer(inputCol="s", outputCol="v", binary=True).fit(s).transform(s).select("page_id", "v")
-    lsh = MinHashLSH(inputCol="v", outputCol="h", numHashTables=4, seed=3).fit(v)
-    near = lsh.approxSimilarityJoin(v, v, 0.2, "distance").where("datasetA.page_id < datasetB.page_id")
-    return near.select(F.col("datasetA.page_id").alias("a"), F.col("datasetB.page_id").alias("b"), F.round("distance", 4).alias("distance")).withColumn("points", F.when(F.col("distance") <= 0.05, 2.5).when(F.col("distance") <= 0.1, 2.0).otherwise(1.0))
+
+@query("f06_code_likeness", f"with {CODE_SQL}, x as (select page_id, len(s) as n, unnest(s) as i from cg where page_id = structure), j as (select x.page_id as a, y.page_id as b, x.n + y.n - count(*) as u, count(*) as c from x join x y using (i) where x.page_id < y.page_id group by x.page_id, y.page_id, x.n, y.n), d as (select a, b, round((u - c) / u, 4) as distance from j where c >= 0.8 * u - 1e-9) select a, b, distance, case when distance <= 0.05 then 2.5 when distance <= 0.1 then 2.0 else 1.0 end::double as points from d")
+def f06(spark, sf):
+    """Page structures whose tag shingles share 0.8 or more, and point steps for the rest; one row for two structures."""
+    s = structures(spark, sf).where("page_id = structure")
+    near = near_sets(s, "page_id", "s").select("a", "b", F.round((F.col("both") - F.col("same")) / F.col("both"), 4).alias("distance"))
+    return near.withColumn("points", F.when(F.col("distance") <= 0.05, 2.5).when(F.col("distance") <= 0.1, 2.0).otherwise(1.0))
 
 
 @query("f07_look_hash", "with s as (select vec_id, b, sum(case when hash_bit = 1 then x else -x end) as s from (select vec_id, b, embedding[i + 1] as x, ('0x' || substr(md5(b || '/' || i), 1, 1))::integer & 1 as hash_bit from embeddings, range(64) t(b), range(64) u(i)) group by all) select vec_id, cast(sum(case when s > 0 then case when b = 63 then -9223372036854775808::hugeint else (1::hugeint << b::integer) end else 0 end) as bigint) as look from s group by 1")

@@ -103,6 +103,18 @@ def test_large_buckets_stay_connected_with_few_pairs(spark):
     assert {r.component for r in components(pairs).collect()} == {0}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_sets_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    base = [frozenset(rng.sample(range(60), rng.randint(1, 30))) for _ in range(12)]
+    sets = [sorted(s ^ set(rng.sample(range(60), rng.randint(0, 4)))) for s in base for _ in range(8)] + [[], [1], [1]]
+    df = spark.createDataFrame([(i, [str(x) for x in s] + ([str(s[0])] if s else [])) for i, s in enumerate(sets)] + [(999, None)], "id long, s array<string>")
+    want = {(a, b, len(set(x) & set(y)), len(set(x) | set(y))) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and x and 10 * len(set(x) & set(y)) >= 8 * len(set(x) | set(y))}
+    got = [tuple(r) for r in similar.near_sets(df, "id", "s").collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+    assert similar.near_sets(df.where("id < 0"), "id", "s").count() == 0
+
+
 def test_families_and_templates(spark):
     kit = [(i, 100, "phish", f"s{i}", "B", None, "t", "2024-01-02", False) for i in range(100, 108)]
     blog = [(i, 200, "benign", f"b{i}", None, None, "t", "2024-01-02", False) for i in range(200, 206)] + [(206, 200, "phish", "z", None, None, "t", "2024-01-02", False)]

@@ -44,10 +44,8 @@ def test_twin(spark, duck, name):
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"g10_pagerank", "g11_eigenvector", "m02_m03_m09_training", "m08_gain_shares", "f06_code_likeness", "t03_trend_stream_final"}))
-def test_runs_agree(spark, name):
-    one, two = (sorted(map(str, catalog.QUERIES[name](spark, SF).collect())) for _ in range(2))
-    assert one == two and one
+def test_only_learnt_trees_have_no_twin():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"m02_m03_m09_training", "m08_gain_shares"}
 
 
 def test_entry(spark):
