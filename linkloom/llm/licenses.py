@@ -124,10 +124,11 @@ def scan_text(text: str | None, found) -> dict:
     plain = b" " + b" ".join(words) + b" "
     starts, base, labels, weight, leads = [], set(), set(), 1.0, False
     duty, expressions, tagged = 0, [], False
+    blanks, upto = 0, 0  # blanks before place `upto`: matches come in order of their ends, so the text is counted once
     for end, (kind, phrase, label) in found.iter(plain.decode("latin-1")):
-        at = end - len(phrase) - 1
         if kind == "base":
-            starts.append(plain.count(b" ", 0, at + 1) - 1)
+            blanks, upto = blanks + plain.count(b" ", upto, end + 1), end + 1
+            starts.append(blanks - phrase.count(" ") - 2)
             base.add(label)
         elif kind == "notice":
             labels.add(label)
