@@ -96,8 +96,8 @@ def counts(docs: DataFrame, edits: str, text: str = "text", into: str = "counts"
     path = vocabulary or ranks_path()
 
     def read(cols: typing.Iterator[tuple[pd.Series, pd.Series]]) -> typing.Iterator[pd.DataFrame]:
-        enc = encoder(path)
-        count = lambda x: len(enc.encode_to_numpy(x, disallowed_special=()))
+        enc = encoder(path, {"<|endoftext|>": 50256})
+        count = lambda x: len(enc.encode_to_numpy(x, allowed_special="all"))
         for texts, lists in cols:
             rows = []
             for body, todo in zip(texts, lists):

@@ -476,3 +476,18 @@ def test_types_are_corrected_and_content_carved(spark):
     assert out["none"].type is None and out["junk"].type == "application/octet-stream" and not out["junk"].items
     found = out["mixed"]["items"]
     assert [(x.type, x.sha256) for x in found] == [(k, hashlib.sha256(known[k]).hexdigest()) for k in ("image/png", "image/gif")]
+
+
+def test_licence_places_equal_brute_force():
+    rng, found = random.Random(5), licenses.automaton()
+    for _ in range(500):
+        words = [rng.choice("mit license apache general public x é foo 3".split()) for _ in range(rng.randint(0, 30))]
+        want = [i for p in licenses.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        got = licenses.scan_text(", ".join(words), found)
+        assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (len(words), len(want), min(want, default=None), max(want, default=None))
+
+
+def test_token_counts_and_packing_read_special_tokens_alike(spark):
+    docs = spark.createDataFrame([(1, "One two.  <|endoftext|> three" + " and more words" * 300 + " <|endoftext|>")], "doc_id long, text string")
+    counted = tokencount.counts(docs.withColumn("e", tokencount.own_edits()), "e").select("counts.tokens_before").first()[0]
+    assert counted + 1 == packing.pack(docs).agg({"length": "sum"}).first()[0]
