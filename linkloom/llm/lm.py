@@ -2,7 +2,8 @@
 
 Counts of words and word pairs are gathered from all training texts. A gram of count c is entered once for each
 quantised level up to that of c; its count is read back by probing level after level until one is absent. The
-filters are built slice by slice on the executors and broadcast; their size has a fixed upper bound.
+filters grow with the input and stay in slices on the executors: the distinct grams of each block of texts are sent
+to their slices, probed there, and their levels sent back. `max_bits` asks for the bounded, broadcast form instead.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,14 @@ BLOCK = 512
 PROBES = 4
 BITS_PER_ENTRY = 8
 PACKED = "slice int, keys binary, counts binary"
+#: Slices of the word filter, numbered behind those of pairs; behind both come a block's words by rank, then its texts.
+WORD_SLICE_BITS = 10
+PAIR_SLICES, SLICES = 1 << SLICE_BITS, (1 << SLICE_BITS) + (1 << WORD_SLICE_BITS)
+RANKS, TEXT = SLICES, SLICES + 1
+TEXT_BLOCK = 1 << 24
+OF_TEXT = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<long>"
+SENT = f"place int, block long, part int, keys binary, counts binary, {OF_TEXT}"
+BACK = f"block long, part int, a binary, b binary, singles long, {OF_TEXT}"
 
 
 def _bounds() -> np.ndarray:
@@ -58,6 +68,20 @@ def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(plane(keys).view("<u8").ravel(), dtype=np.uint64), plane(counts).view("<i8").ravel()
 
 
+def _keys(keys: bytes) -> np.ndarray:
+    return _unpack(keys, bytes(len(keys)))[0]
+
+
+def _squeeze(small: np.ndarray) -> bytes:
+    """Numbers under 2^32 as compressed bytes of equal weight."""
+    return pa.compress(np.ascontiguousarray(small.astype("<u4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes, n: int) -> np.ndarray:
+    plane = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(plane.reshape(4, n).T).view("<u4").ravel()
+
+
 def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -191,6 +215,15 @@ def positions(keys: np.ndarray, at: int, blocks: int) -> np.ndarray:
     return np.stack([base + ((y >> np.uint64(9 * i)) & np.uint64(BLOCK - 1)) for i in range(PROBES)], axis=1)
 
 
+def enter(keys: np.ndarray, own: np.ndarray, blocks: int, floor: int = 1) -> np.ndarray:
+    """The bits of one slice, packed, in which each key is entered at every level from floor to its own."""
+    flags = np.zeros(blocks * BLOCK, bool)
+    for at in range(floor, int(own.max(initial=0)) + 1):
+        keys, own = keys[own >= at], own[own >= at]
+        flags[positions(keys, at, blocks)] = True
+    return np.packbits(flags)
+
+
 @dataclass
 class LogFrequencyFilter:
     """bits of all slices, blocks in each, and the lowest level that is entered."""
@@ -198,12 +231,13 @@ class LogFrequencyFilter:
     bits: np.ndarray
     blocks: int
     floor: int = 1
+    sliced: bool = True
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Quantised level of each key, 0 where the lowest probe fails."""
         out = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
-        slices = (keys >> np.uint64(64 - SLICE_BITS)) * np.uint64(self.blocks * BLOCK)
+        slices = (keys >> np.uint64(64 - SLICE_BITS)) * np.uint64(self.blocks * BLOCK if self.sliced else 0)
         at = self.floor
         while len(alive) and at < len(VALUES):
             place = positions(keys[alive], at, self.blocks) + slices[alive, None]
@@ -230,11 +264,7 @@ def build_filter(packed: DataFrame, per_level: dict[int, int], max_bits: int) ->
         for batch in batches:
             for place, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 keys, counts = _unpack(keys, counts)
-                flags, own = np.zeros(blocks * BLOCK, bool), level(counts)
-                for at in range(floor, int(own.max()) + 1):
-                    keys, own = keys[own >= at], own[own >= at]
-                    flags[positions(keys, at, blocks)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], ["slice", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([enter(keys, level(counts), blocks, floor).tobytes()], pa.binary())], ["slice", "bits"])
 
     size = blocks * BLOCK // 8
     bits = np.zeros(size << SLICE_BITS, np.uint8)
@@ -245,10 +275,10 @@ def build_filter(packed: DataFrame, per_level: dict[int, int], max_bits: int) ->
 
 @dataclass
 class Model:
-    """words, links: the filters; total, kinds, texts: N, V and the number of training texts; pull: weight of the word model."""
+    """words, links: the filters if broadcast; total, kinds, texts: N, V and the number of training texts; pull: weight of the word model."""
 
-    words: LogFrequencyFilter
-    links: LogFrequencyFilter
+    words: LogFrequencyFilter | None
+    links: LogFrequencyFilter | None
     total: int
     kinds: int
     texts: int
@@ -269,7 +299,10 @@ class Model:
         context = np.empty(len(grams))
         context[1:] = own[:-1]
         context[np.cumsum(n) - n] = self.texts
-        both = VALUES[self.links.probe(pairs(before(grams, n), grams))]
+        return self.smoothed(VALUES[self.links.probe(pairs(before(grams, n), grams))], context, own, alone)
+
+    def smoothed(self, both: np.ndarray, context: np.ndarray, own: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """log10 probability from the counts of pair, context and word, and the word's own chance."""
         both = np.minimum(both, np.minimum(context, own))
         return np.log10((both + self.pull * alone) / (context + self.pull))
 
@@ -281,6 +314,15 @@ class Model:
         hit = self.common[at] == grams
         return np.where(hit, self.common_counts[at], 0), ~hit
 
+    def base(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 word chance of each token, whether it is known, and which tokens are left to the join of rare ones."""
+        counts, away = self.exact(grams)
+        if self.complete:
+            away[:] = False
+        out = np.log10(self.chance(counts))
+        out[away] = 0
+        return out, (counts > 0).astype(np.int64), away
+
 
 def pull(words: DataFrame, singles: int, total: int) -> float:
     """The weight at which the share of tokens left to the word model equals the share of pairs seen once.
@@ -301,11 +343,13 @@ def pull(words: DataFrame, singles: int, total: int) -> float:
     return (low * high) ** 0.5
 
 
-def fit(docs: DataFrame, folds: int = 5, max_bits: int = 1 << 29, most_common: int = 1 << 19) -> tuple[Model, DataFrame]:
-    """The model and the table of exact word counts (h, c), learnt from every text outside the held-out fold."""
+def fit(docs: DataFrame, folds: int = 5, max_bits: int | None = None, most_common: int = 1 << 19) -> tuple[Model, DataFrame]:
+    """The model and the table of exact word counts (h, c), learnt from every text outside the held-out fold.
+
+    With `max_bits` it holds filters of that size at most, and its weight; without, `slices` finds both later.
+    """
     texts = docs.where(~held_out(folds=folds)).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     words = cut(count_words(texts), "words")
-    links = cut(count_pairs(texts), "pairs")
     total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = words.where(F.col("h") == int(END.view(np.int64))).first()
     # The common tokens: all whose count exceeds a bound, set so that there are at most `most_common`.
@@ -318,27 +362,191 @@ def fit(docs: DataFrame, folds: int = 5, max_bits: int = 1 << 29, most_common: i
     common = words.where(F.floor(F.log2("c")) >= least).toPandas() if least is not None else pd.DataFrame({"h": [], "c": []})
     keys = common["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    packed, link_levels = cut(pack_words(words), "packed"), levels(links)
-    model = Model(
-        build_filter(packed, levels(packed), max_bits // 4), build_filter(links, link_levels, max_bits), total, kinds, ends.c if ends else 0,
-        pull(words, link_levels.get(1, 0), total), keys[order], common["c"].to_numpy(np.int64)[order], held == kinds,
-    )
+    model = Model(None, None, total, kinds, ends.c if ends else 0, 1.0, keys[order], common["c"].to_numpy(np.int64)[order], held == kinds)
+    if max_bits is not None:
+        links = cut(count_pairs(texts), "pairs")
+        packed, link_levels = cut(pack_words(words), "packed"), levels(links)
+        model.words, model.links = build_filter(packed, levels(packed), max_bits // 4), build_filter(links, link_levels, max_bits)
+        model.pull = pull(words, link_levels.get(1, 0), total)
     return model, words
 
 
+def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    """n rows of the schema; columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+
+
+def send(marked: DataFrame, model: Model) -> DataFrame:
+    """Of each block of texts: its distinct pairs and words by slice, with training counts (0 if only held-out texts
+    have them); which word each rank by frequency is; and each text as ranks, with what exact counts say of it.
+    """
+    sent, schema = marked.sparkSession.sparkContext.broadcast(model), _arrow(SENT)
+
+    def grams_by_slice(block: int, keys: np.ndarray, counts: np.ndarray, bits: int, first: int) -> pa.RecordBatch:
+        place = (keys >> np.uint64(64 - bits)).astype(np.int32) + np.int32(first)
+        begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        packed = [_pack(keys[a:b], counts[a:b]) for a, b in zip(begin, np.append(begin[1:], len(keys)))]
+        return _rows(schema, len(begin), place=place[begin], part=place[begin], block=np.full(len(begin), block), keys=[k for k, _ in packed], counts=[c for _, c in packed])
+
+    def run(batches):
+        known, task = sent.value, TaskContext.get().partitionId() << 33
+        row = block = 0
+        for batch in batches:
+            ids, texts, held = batch.column(0), batch.column(1), batch.column(2)
+            for a, b in groups([len(x or b"") for x in texts.cast(pa.binary()).to_pylist()], TEXT_BLOCK):
+                grams, n = tokens(texts.slice(a, b - a).to_pylist())
+                at = np.cumsum(n) - n
+                train = np.repeat(~held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool), n)
+                words, own = np.unique(grams, return_inverse=True)
+                links, code = np.unique(pairs(before(grams, n), grams), return_inverse=True)
+                by_rank = np.argsort(-np.bincount(own), kind="stable")
+                rank = np.empty_like(by_rank)
+                rank[by_rank] = np.arange(len(words))
+                where = task + block
+                block += 1
+                yield grams_by_slice(where, links, np.bincount(code[train], minlength=len(links)), SLICE_BITS, 0)
+                yield grams_by_slice(where, words, np.bincount(own[train], minlength=len(words)), WORD_SLICE_BITS, PAIR_SLICES)
+                yield _rows(schema, 1, place=[where % SLICES], part=[RANKS], block=[where], keys=[_squeeze(by_rank)], n_tokens=[len(words)])
+                code = rank[own]
+                del links, own
+                base, seen, away = known.base(grams)
+                ends = at + n
+                for i in range(0, len(n), 1000):
+                    lo, hi = at[i : i + 1000], ends[i : i + 1000]
+                    m = len(lo)
+                    yield _rows(
+                        schema, m, place=((row + np.arange(m)) % SLICES).astype(np.int32), part=np.full(m, TEXT, np.int32), block=np.full(m, where), keys=[_squeeze(code[x:y]) for x, y in zip(lo, hi)],
+                        row=task + row + np.arange(m), doc_id=ids.slice(a + i, m), held_out=held.slice(a + i, m), n_tokens=n[i : i + m], n_known=np.add.reduceat(seen[lo[0] : hi[-1]], lo - lo[0]),
+                        base_score=np.add.reduceat(base[lo[0] : hi[-1]], lo - lo[0]), rare=[grams[x:y][away[x:y]].view(np.int64) for x, y in zip(lo, hi)],
+                    )
+                    row += m
+
+    return marked.select("doc_id", "text", "held_out").mapInArrow(run, SENT)
+
+
+def slices(sent: DataFrame) -> DataFrame:
+    """What `send` sent, with the levels of grams in their place: each slice's filter is built from all its training
+    counts, at eight bits an entry, and probed once for each gram that any block has. Words keep their keys, from which
+    those of pairs follow. A task holds one slice at a time.
+    """
+    schema = _arrow(BACK)
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        grams = [_unpack(k, c) for *_, k, c in held]
+        keys, at = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, at, np.concatenate([c for _, c in grams]))
+        own = level(counts)
+        blocks = max(1, -(-int(own.sum()) * BITS_PER_ENTRY // BLOCK))
+        read = LogFrequencyFilter(enter(keys[own > 0], own[own > 0], blocks), blocks, sliced=False).probe(keys).astype(np.uint8)[at]
+        ends = np.cumsum([len(k) for k, _ in grams])
+        singles = np.zeros(len(held), np.int64)
+        singles[0] = (counts == 1).sum()
+        return _rows(schema, len(held), block=[x[0] for x in held], part=[x[1] for x in held], a=[read[e - len(k) : e].tobytes() for e, (k, _) in zip(ends, grams)], b=[x[2] if x[1] >= PAIR_SLICES else None for x in held], singles=singles)
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            rest = batch.filter(pa.array(part >= RANKS))
+            if rest.num_rows:
+                given = {"a": rest.column("keys"), "b": rest.column("counts")}
+                yield pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(rest.num_rows, f.type) if f.name == "singles" else rest.column(f.name) for f in schema], schema=schema)
+            for x in zip(*(batch.filter(pa.array(part < RANKS)).column(c).to_pylist() for c in ("block", "part", "keys", "counts"))):
+                if held and held[0][1] != x[1]:
+                    yield flush(held)
+                    held = []
+                held.append(x)
+        if held:
+            yield flush(held)
+
+    return sent.repartition("place").sortWithinPartitions("place", "part").mapInArrow(run, BACK)
+
+
+def gather(back: DataFrame, model: Model) -> DataFrame:
+    """The texts with their scores: a block's levels come first, in the order of its grams, then its texts."""
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+    schema = _arrow(OF_TEXT.replace("rare array<long>", "score double"))
+
+    def run(batches):
+        block, levels_, keys, codes, texts, ranks = None, ([], []), [], [], [], None
+
+        def flush() -> pa.RecordBatch:
+            both, count = (VALUES[np.frombuffer(b"".join(x), np.uint8)] for x in levels_)
+            words, n = np.concatenate(keys), np.array([len(x) for x in codes])
+            own = ranks[np.concatenate(codes)]
+            context = np.empty_like(own)
+            context[1:], context[np.cumsum(n) - n] = own[:-1], len(words)
+            grams = words[own]
+            links, code = np.unique(pairs(before(grams, n), grams), return_inverse=True)
+            if len(links) != len(both) or len(ranks) != len(words) or len(count) != len(words):
+                raise ValueError(f"block {block}: {len(both)} pairs and {len(count)} words came back")
+            chances = model.smoothed(both[code], np.append(count, model.texts)[context], count[own], model.chance(count)[own])
+            return _rows(schema, len(n), **dict(zip(kept, zip(*texts))), score=np.add.reduceat(chances, np.cumsum(n) - n))
+
+        for batch in batches:
+            for where, part, a, b, *text in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "a", "b", *kept))):
+                if where != block:
+                    if texts:
+                        yield flush()
+                    block, levels_, keys, codes, texts = where, ([], []), [], [], []
+                if part < SLICES:
+                    levels_[part >= PAIR_SLICES].append(a)
+                    if part >= PAIR_SLICES:
+                        keys.append(_keys(b))
+                elif part == RANKS:
+                    ranks = _unsqueeze(a, text[kept.index("n_tokens")])
+                else:
+                    codes.append(_unsqueeze(a, text[kept.index("n_tokens")]))
+                    texts.append(text)
+        if texts:
+            yield flush()
+
+    found = back.select("block", "part", "a", "b", *kept)
+    return found.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, OF_TEXT.replace("rare array<long>", "score double"))
+
+
 SCHEMA = "n_tokens long, n_known long, base_score double, score double, rare array<long>"
 
 
-def score(docs: DataFrame, folds: int = 5, max_bits: int = 1 << 29, most_common: int = 1 << 19) -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, max_bits: int | None = None, most_common: int = 1 << 19) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, whole texts.
 
-    score: log10 probability under the pair model. base_score and n_known use exact counts: those of at most
+    score: log10 probability under the pair model, whose filters hold every gram whatever the input; `max_bits` bounds
+    and broadcasts them instead, see `build_filter`. base_score and n_known use exact counts: those of at most
     `most_common` common tokens come by broadcast, all others by a join of (document, token) rows.
     Null text: empty, one end token. Null doc_id: in the training part, held_out false. Repeated rows: each is
     counted and scored. No training text: every probability is the smoothing's. Empty table: no rows.
     """
     model, words = fit(docs, folds, max_bits, most_common)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(folds=folds))
+    if max_bits is None:
+        back = cut(slices(send(marked, model)), "levels")
+        singles = back.where(F.col("part") < PAIR_SLICES).agg(F.coalesce(F.sum("singles"), F.lit(0))).first()[0]
+        model.pull = pull(words, singles, model.total)
+        model.common = model.common_counts = np.zeros(0, np.int64)
+        scored, rare = gather(back, model), back.where((F.col("part") == TEXT) & (F.size("rare") > 0)).select("row", "rare")
+    else:
+        scored = cut(probed(marked, model), "scored")
+        rare = scored.where(F.size("rare") > 0).select("row", "rare")
+        scored = scored.drop("rare")
+    if not model.complete:
+        some = rare.select("row", F.explode("rare").alias("h"))
+        chance = (F.coalesce("c", F.lit(0)) + 0.5) / (model.total + 0.5 * (model.kinds + 1))
+        found = some.join(words, "h", "left").groupBy("row").agg(F.sum(F.log10(chance)).alias("more"), F.count("c").alias("known"))
+        scored = scored.join(found, "row", "left")
+        scored = scored.withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def probed(marked: DataFrame, model: Model) -> DataFrame:
+    """Rows and scores under a model whose filters are broadcast."""
+    sent = marked.sparkSession.sparkContext.broadcast(model)
 
     def read(texts: typing.Iterator[pd.Series]) -> typing.Iterator[pd.DataFrame]:
         known = sent.value
@@ -348,24 +556,12 @@ def score(docs: DataFrame, folds: int = 5, max_bits: int = 1 << 29, most_common:
             for a, b in groups([len(x or "") for x in batch], 1 << 20):
                 grams, n = tokens(batch[a:b])
                 at = np.cumsum(n) - n
-                counts, away = known.exact(grams)
-                base = np.log10(known.chance(counts))
-                if known.complete:
-                    away[:] = False
-                base[away] = 0
-                sums = [np.add.reduceat(x, at) for x in (base, known.log10(grams, n), (counts > 0).astype(np.int64))]
+                base, seen, away = known.base(grams)
+                sums = [np.add.reduceat(x, at) for x in (base, known.log10(grams, n), seen)]
                 for i, (lo, m) in enumerate(zip(at, n)):
                     rare = grams[lo : lo + m][away[lo : lo + m]].view(np.int64)
                     rows.append((int(m), int(sums[2][i]), float(sums[0][i]), float(sums[1][i]), rare))
             yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "rare"])
 
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = marked.withColumn("held_out", held_out(folds=folds)).withColumn("s", F.pandas_udf(read, SCHEMA)("text"))
-    scored = cut(marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*"), "scored")
-    if not model.complete:
-        some = scored.where(F.size("rare") > 0).select("row", F.explode("rare").alias("h"))
-        chance = (F.coalesce("c", F.lit(0)) + 0.5) / (model.total + 0.5 * (model.kinds + 1))
-        found = some.join(words, "h", "left").groupBy("row").agg(F.sum(F.log10(chance)).alias("more"), F.count("c").alias("known"))
-        scored = scored.drop("rare").join(found, "row", "left")
-        scored = scored.withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0)))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = marked.withColumn("s", F.pandas_udf(read, SCHEMA)("text"))
+    return scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*")
