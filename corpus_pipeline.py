@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import langid, mixing, packing, simhash, suffixes
-from linkloom.session import shared_dir, table
+from linkloom.session import cut, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows without an id all stay."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs.doc_id == first["__first"], "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies: that with the smallest id, null last, and of equal ids the first as written."""
+    # Rows are numbered and written before they are fingerprinted, so that every later read sees the same numbers.
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).join(rows.select("__row", "doc_id"), "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    first = named.groupBy("__group").agg(F.min(order).alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,12 @@ def test_stages(spark, folder):
         kept.append(len(after))
         docs = spark.createDataFrame(after, out.schema)
     assert corpus_pipeline.run(spark, path).count() == kept[-1]
+
+
+def test_one_row_of_each_group_of_near_copies(spark):
+    """Repeated rows, an id on two texts and copies without an id: each group keeps one row, each text stays once."""
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "bird", "cedar", "dune"))
+    rows = [(1, one), (1, one), (2, one), (None, one), (3, two), (3, three), (None, three), (None, four), (None, four)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, one), (3, two), (3, three), (None, four)]))
