@@ -71,12 +71,14 @@ def balance(cells: DataFrame, goal: DataFrame, tolerance: float = 1e-9, max_step
     return state.select("source", "source_size", "target", F.when((F.col("target") <= 0) & (F.col("source_size") > 0), F.lit(0.0)).otherwise(F.round(F.exp("m"), 11)).alias("rate"))
 
 
-def plan_copies(cells: DataFrame, rates: DataFrame, rounds: int = 6) -> DataFrame:
+def plan_copies(cells: DataFrame, rates: DataFrame, rounds: int | None = None) -> DataFrame:
     """(source, size, n, total): how many copies the documents of each cell get together.
 
-    Rounding is cumulative over the sizes of a source, longest first, so errors don't add up; what is left at the end
-    (half a long document at most) is then made up by single copies of the largest cell size that fits, again and
-    again. A cell of n documents keeps between 0 and 2n copies, so no document exceeds two.
+    Rounding is cumulative over the sizes of a source, longest first, so errors don't add up. What is left at the end
+    (half a long document at most) is then made up, pass by pass: the cells that fit, longest first, together give or
+    take all their room up to a running sum of what is left, and the first cell beyond that as many copies as fit.
+    Passes go on until no cell fits, or for `rounds`. A cell of n documents keeps between 0 and 2n copies, so no
+    document exceeds two.
     """
     joined = cells.join(rates.select("source", "rate", "target"), "source")
     down = W.partitionBy("source").orderBy(F.desc("size"))
@@ -85,18 +87,20 @@ def plan_copies(cells: DataFrame, rates: DataFrame, rounds: int = 6) -> DataFram
     up_to = F.sum(F.greatest(part, F.lit(0.0))).over(down.rowsBetween(W.unboundedPreceding, 0))
     before = F.coalesce(F.sum(F.greatest(part, F.lit(0.0))).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     state = cut(joined.select("source", "size", "n", "target", F.least(F.col("n") * 2, F.floor(wish + 1e-9) + F.floor(up_to + 0.5) - F.floor(before + 0.5)).cast("long").alias("total")), "cells")
-    for _ in range(rounds):
-        # "away" is what the source still lacks (or has too much, below 0); one cell a source takes or gives copies.
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        # "away" is what the source still lacks (or has too much, below 0); each pass that moves anything makes it smaller.
         have = state.groupBy("source").agg((F.max("target") - F.sum(F.col("total") * F.col("size"))).alias("away"))
-        open_ = state.join(have, "source")
         room = F.when(F.col("away") > 0, F.col("n") * 2 - F.col("total")).otherwise(F.col("total"))
-        fits = open_.where("size > 0 and abs(away) >= size").withColumn("room", room).where("room > 0")
-        moves = F.least(F.col("room"), F.greatest(F.lit(1), F.floor(F.abs("away") / F.col("size"))))
-        best = fits.groupBy("source").agg(F.max(F.struct(F.col("size").alias("z"), (F.signum("away") * moves).cast("long").alias("moves"))).alias("b")).select("source", F.col("b.z").alias("size"), "b.moves")
-        best = cut(best, "moves")
-        if best.isEmpty():
+        fits = state.join(have, "source").where("size > 0 and abs(away) >= size").withColumn("room", room).where("room > 0")
+        earlier = F.coalesce(F.sum(F.col("room") * F.col("size")).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        moves = F.least(F.col("room"), F.floor((F.abs("away") - earlier) / F.col("size")))
+        moved = fits.withColumn("most", moves).where("most > 0").select("source", "size", (F.signum("away") * F.col("most")).cast("long").alias("moves"))
+        moved = cut(moved, "moves")
+        if moved.isEmpty():
             break
-        state = cut(state.join(best, ["source", "size"], "left").select("source", "size", "n", "target", (F.col("total") + F.coalesce("moves", F.lit(0))).alias("total")), "cells")
+        state = cut(state.join(moved, ["source", "size"], "left").select("source", "size", "n", "target", (F.col("total") + F.coalesce("moves", F.lit(0))).alias("total")), "cells")
     return state.select("source", "size", "n", "total")
 
 
