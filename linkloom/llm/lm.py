@@ -2,17 +2,17 @@
 
 Counts of words and word pairs are gathered from all training texts. A gram of count c is entered once for each
 quantised level up to that of c; its count is read back by probing level after level until one is absent. The
-filters grow with the input and stay in slices on the executors: the distinct grams of each block of texts are sent
-to their slices, probed there, and their levels sent back. `max_bits` asks for the bounded, broadcast form instead.
+filters hold every gram, so they grow with the input and are not broadcast: they stay in slices on the executors.
+The distinct grams of each block of texts are sent to their slices, entered and probed there, and their levels sent
+back. Words also bring their exact counts, from which the base follows.
 """
 
 from __future__ import annotations
 
 import typing
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,19 +24,18 @@ from linkloom.session import cut
 
 END = np.uint64(0x6A09E667F3BCC909)
 START = np.uint64(0xBB67AE8584CAA73B)
-SLICE_BITS = 12
+#: Pairs are told apart by 48 bits, far below the filter's own error; words, which are counted exactly, by 64.
+PAIR_MASK = np.uint64(0xFFFFFFFFFFFF0000)
 BLOCK = 512
 PROBES = 4
 BITS_PER_ENTRY = 8
-PACKED = "slice int, keys binary, counts binary"
-#: Slices of the word filter, numbered behind those of pairs; behind both come a block's words by rank, then its texts.
-WORD_SLICE_BITS = 10
-PAIR_SLICES, SLICES = 1 << SLICE_BITS, (1 << SLICE_BITS) + (1 << WORD_SLICE_BITS)
-RANKS, TEXT = SLICES, SLICES + 1
+#: Bytes of text in a block, tokens in a packed row of texts, bytes of text whose grams may fall to one slice.
 TEXT_BLOCK = 1 << 24
-OF_TEXT = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<long>"
-SENT = f"place int, block long, part int, keys binary, counts binary, {OF_TEXT}"
-BACK = f"block long, part int, a binary, b binary, singles long, {OF_TEXT}"
+TEXT_ROW = 1 << 16
+PER_SLICE = 400_000_000
+SENT = "place int, block long, part int, keys binary, counts binary, ids array<long>, held array<boolean>, n array<long>"
+BACK = "block long, part int, a binary, b binary, c binary, stats array<long>, ids array<long>, held array<boolean>, n array<long>"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _bounds() -> np.ndarray:
@@ -56,45 +55,55 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(BOUNDS, counts, "right")
 
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys as differences, bytes of equal weight together: what they have in common compresses away."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes(), counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+@dataclass(frozen=True)
+class Slices:
+    """How grams are dealt out: pairs and words by the leading bits of their hashes; behind both come what a block's ranks mean, then its texts."""
 
+    pair_bits: int = 12
+    word_bits: int = 10
 
-def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(keys) // 8
-    plane = lambda x: np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, n).T)
-    return np.cumsum(plane(keys).view("<u8").ravel(), dtype=np.uint64), plane(counts).view("<i8").ravel()
+    @property
+    def pairs(self) -> int:
+        return 1 << self.pair_bits
 
+    @property
+    def grams(self) -> int:
+        return self.pairs + (1 << self.word_bits)
 
-def _keys(keys: bytes) -> np.ndarray:
-    return _unpack(keys, bytes(len(keys)))[0]
+    @property
+    def ranks(self) -> int:
+        return self.grams
 
+    @property
+    def texts(self) -> int:
+        return self.grams + 1
 
-def _squeeze(small: np.ndarray) -> bytes:
-    """Numbers under 2^32 as compressed bytes of equal weight."""
-    return pa.compress(np.ascontiguousarray(small.astype("<u4").view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True)
 
+def planned(n_bytes: int) -> Slices:
+    """Slices for that much text: 4,096 of pairs up to 1.6 TB, then more, so that none outgrows a task's memory."""
+    more = max(0, (max(1, n_bytes) // PER_SLICE).bit_length() - 12)
+    return Slices(min(24, 12 + more), min(22, 10 + more))
 
-def _unsqueeze(data: bytes, n: int) -> np.ndarray:
-    plane = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(plane.reshape(4, n).T).view("<u4").ravel()
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T), codec="zstd", asbytes=True)
 
-def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
+def _unplanes(data: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    plane = np.frombuffer(pa.decompress(data, decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(plane.reshape(width, n).T).view(kind).ravel()
 
-def _sliced(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Sorted keys as one packed row per slice."""
-    place = (keys >> np.uint64(64 - SLICE_BITS)).astype(np.int32)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
-    packed = [_pack(keys[a:b], counts[a:b]) for a, b in zip(first, np.append(first[1:], len(keys)))]
-    return pa.RecordBatch.from_arrays([pa.array(place[first]), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())], ["slice", "keys", "counts"])
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, bytes of equal weight together: their common zeros compress away in the shuffle."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    plane = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, len(data) // 8).T)
+    return np.cumsum(plane.view("<u8").ravel(), dtype=np.uint64)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,95 +125,7 @@ def before(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def pairs(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
-
-
-def _blocks(texts: pa.Array) -> typing.Iterator[list[str | None]]:
-    sizes = [len(x or b"") for x in texts.cast(pa.binary()).to_pylist()]
-    for a, b in groups(sizes, 1 << 21):
-        yield texts.slice(a, b - a).to_pylist()
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(h, c): training count of every token; counted per task before anything is moved."""
-
-    def run(batches):
-        for batch in batches:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            for block in _blocks(batch.column(0)):
-                held.append(np.unique(tokens(block)[0], return_counts=True))
-            if held:
-                keys, counts = _add_up(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-                for a in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000].astype(np.int64))], ["h", "c"])
-
-    return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def count_pairs(texts: DataFrame) -> DataFrame:
-    """Packed counts of neighbouring tokens, one row per slice of the key space."""
-
-    def run(batches):
-        for batch in batches:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            for block in _blocks(batch.column(0)):
-                grams, n = tokens(block)
-                held.append(np.unique(pairs(before(grams, n), grams), return_counts=True))
-            if held:
-                yield _sliced(*_add_up(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])))
-
-    return _merge(texts.mapInArrow(run, PACKED))
-
-
-def _merge(packed: DataFrame) -> DataFrame:
-    """One row per slice. Slices arrive in order, so a task holds one at a time: a 4096th of all grams."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        at = None
-
-        def flush():
-            keys, counts = _add_up(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            return _sliced(keys, counts)
-
-        for batch in batches:
-            for place, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if place != at and held:
-                    yield flush()
-                    held = []
-                at = place
-                held.append(_unpack(keys, counts))
-                if len(held) >= 64:
-                    held = [_add_up(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-        if held:
-            yield flush()
-
-    return packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, PACKED)
-
-
-def pack_words(words: DataFrame) -> DataFrame:
-    """The word counts in packed rows, as pairs have them."""
-
-    def run(batches):
-        for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            yield _sliced(*_add_up(keys, batch.column(1).to_numpy()))
-
-    return _merge(words.select("h", "c").mapInArrow(run, PACKED))
-
-
-def levels(packed: DataFrame) -> dict[int, int]:
-    """How many grams there are of each level; some 200 numbers at most."""
-
-    def run(batches):
-        for batch in batches:
-            total = np.zeros(len(VALUES), np.int64)
-            for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                total += np.bincount(level(_unpack(keys, counts)[1]), minlength=len(VALUES))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["level", "n"])
-
-    return {r.level: r.n for r in packed.mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + word) & PAIR_MASK
 
 
 def positions(keys: np.ndarray, at: int, blocks: int) -> np.ndarray:
@@ -215,123 +136,55 @@ def positions(keys: np.ndarray, at: int, blocks: int) -> np.ndarray:
     return np.stack([base + ((y >> np.uint64(9 * i)) & np.uint64(BLOCK - 1)) for i in range(PROBES)], axis=1)
 
 
-def enter(keys: np.ndarray, own: np.ndarray, blocks: int, floor: int = 1) -> np.ndarray:
-    """The bits of one slice, packed, in which each key is entered at every level from floor to its own."""
-    flags = np.zeros(blocks * BLOCK, bool)
-    for at in range(floor, int(own.max(initial=0)) + 1):
-        keys, own = keys[own >= at], own[own >= at]
-        flags[positions(keys, at, blocks)] = True
-    return np.packbits(flags)
-
-
-@dataclass
 class LogFrequencyFilter:
-    """bits of all slices, blocks in each, and the lowest level that is entered."""
+    """The filter of one slice, with BITS_PER_ENTRY bits for each level that a key is entered at."""
 
-    bits: np.ndarray
-    blocks: int
-    floor: int = 1
-    sliced: bool = True
+    def __init__(self, keys: np.ndarray, own: np.ndarray):
+        """Enter each key at every level from the first to its own."""
+        keys, own = keys[own > 0], own[own > 0]
+        self.blocks = max(1, -(-int(own.sum()) * BITS_PER_ENTRY // BLOCK))
+        self.bits = np.zeros(self.blocks * BLOCK, bool)
+        for at in range(1, int(own.max(initial=0)) + 1):
+            keys, own = keys[own >= at], own[own >= at]
+            self.bits[positions(keys, at, self.blocks)] = True
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised level of each key, 0 where the lowest probe fails."""
+        """Quantised level of each key, 0 where the lowest probe fails; never too low."""
         out = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
-        slices = (keys >> np.uint64(64 - SLICE_BITS)) * np.uint64(self.blocks * BLOCK if self.sliced else 0)
-        at = self.floor
+        alive, at = np.arange(len(keys)), 1
         while len(alive) and at < len(VALUES):
-            place = positions(keys[alive], at, self.blocks) + slices[alive, None]
-            hit = (self.bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1
-            alive = alive[hit.all(axis=1)]
+            alive = alive[self.bits[positions(keys[alive], at, self.blocks)].all(axis=1)]
             out[alive] = at
             at += 1
         return out
 
 
-def build_filter(packed: DataFrame, per_level: dict[int, int], max_bits: int) -> LogFrequencyFilter:
-    """Enter every gram at every level up to its own; of `max_bits` bits at most, which bounds the broadcast.
-
-    If eight bits an entry would need more, the lowest level entered rises until they suffice: rarer grams then
-    read as absent, which smoothing covers. Counts and their statistics still come from all grams.
-    """
-    floor = 1
-    entries = lambda f: sum(n * (j - f + 1) for j, n in per_level.items() if j >= f)
-    while entries(floor) * BITS_PER_ENTRY > max_bits and floor < len(VALUES) - 1:
-        floor += 1
-    blocks = max(1, -(-entries(floor) * BITS_PER_ENTRY // (BLOCK << SLICE_BITS)))
-
-    def run(batches):
-        for batch in batches:
-            for place, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                keys, counts = _unpack(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([enter(keys, level(counts), blocks, floor).tobytes()], pa.binary())], ["slice", "bits"])
-
-    size = blocks * BLOCK // 8
-    bits = np.zeros(size << SLICE_BITS, np.uint8)
-    for row in packed.mapInArrow(run, "slice int, bits binary").toLocalIterator():
-        bits[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return LogFrequencyFilter(bits, blocks, floor)
-
-
-@dataclass
+@dataclass(frozen=True)
 class Model:
-    """words, links: the filters if broadcast; total, kinds, texts: N, V and the number of training texts; pull: weight of the word model."""
+    """total, kinds, texts: N, V and the number of training texts; pull: the weight of the word model."""
 
-    words: LogFrequencyFilter | None
-    links: LogFrequencyFilter | None
     total: int
     kinds: int
     texts: int
-    pull: float
-    common: np.ndarray = field(repr=False)
-    common_counts: np.ndarray = field(repr=False)
-    complete: bool
+    pull: float = 1.0
 
     def chance(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.kinds + 1))
 
-    def log10(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 probability of each token given the one before: pair counts smoothed towards the word's own chance."""
-        kinds, at = np.unique(grams, return_inverse=True)
-        count = VALUES[self.words.probe(kinds)]
-        alone = self.chance(count)[at]
-        own = count[at]
-        context = np.empty(len(grams))
-        context[1:] = own[:-1]
-        context[np.cumsum(n) - n] = self.texts
-        return self.smoothed(VALUES[self.links.probe(pairs(before(grams, n), grams))], context, own, alone)
-
     def smoothed(self, both: np.ndarray, context: np.ndarray, own: np.ndarray, alone: np.ndarray) -> np.ndarray:
         """log10 probability from the counts of pair, context and word, and the word's own chance."""
         both = np.minimum(both, np.minimum(context, own))
         return np.log10((both + self.pull * alone) / (context + self.pull))
 
-    def exact(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the common tokens, and which tokens are not among those."""
-        if not len(self.common):
-            return np.zeros(len(grams), np.int64), np.ones(len(grams), bool)
-        at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
-        hit = self.common[at] == grams
-        return np.where(hit, self.common_counts[at], 0), ~hit
-
-    def base(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 word chance of each token, whether it is known, and which tokens are left to the join of rare ones."""
-        counts, away = self.exact(grams)
-        if self.complete:
-            away[:] = False
-        out = np.log10(self.chance(counts))
-        out[away] = 0
-        return out, (counts > 0).astype(np.int64), away
-
-
-def pull(words: DataFrame, singles: int, total: int) -> float:
+
+def pull(mass: list[tuple[float, float]], singles: int, total: int) -> float:
     """The weight at which the share of tokens left to the word model equals the share of pairs seen once.
 
-    That share is the Turing estimate of meeting a new pair; both sides cover all training data.
+    mass: (count, tokens) of words by level. The share is the Turing estimate of meeting a new pair; both sides cover all
+    training data.
     """
     if not total:
         return 1.0
-    mass = [(r.c, r.m) for r in words.groupBy(F.floor(F.log("c") / F.log(F.lit(1.25))).alias("g")).agg((F.sum("c") / F.count("*")).alias("c"), F.sum("c").cast("double").alias("m")).collect()]
     share = min(0.999, max(0.001, singles / total))
     low, high = 1e-3, 1e12
     for _ in range(100):
@@ -343,65 +196,38 @@ def pull(words: DataFrame, singles: int, total: int) -> float:
     return (low * high) ** 0.5
 
 
-def fit(docs: DataFrame, folds: int = 5, max_bits: int | None = None, most_common: int = 1 << 19) -> tuple[Model, DataFrame]:
-    """The model and the table of exact word counts (h, c), learnt from every text outside the held-out fold.
-
-    With `max_bits` it holds filters of that size at most, and its weight; without, `slices` finds both later.
-    """
-    texts = docs.where(~held_out(folds=folds)).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = cut(count_words(texts), "words")
-    total, kinds = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = words.where(F.col("h") == int(END.view(np.int64))).first()
-    # The common tokens: all whose count exceeds a bound, set so that there are at most `most_common`.
-    steps = sorted(((r.g, r.n) for r in words.groupBy(F.floor(F.log2("c")).alias("g")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, held = None, 0
-    for g, n in steps:
-        if held + n > most_common:
-            break
-        least, held = g, held + n
-    common = words.where(F.floor(F.log2("c")) >= least).toPandas() if least is not None else pd.DataFrame({"h": [], "c": []})
-    keys = common["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    model = Model(None, None, total, kinds, ends.c if ends else 0, 1.0, keys[order], common["c"].to_numpy(np.int64)[order], held == kinds)
-    if max_bits is not None:
-        links = cut(count_pairs(texts), "pairs")
-        packed, link_levels = cut(pack_words(words), "packed"), levels(links)
-        model.words, model.links = build_filter(packed, levels(packed), max_bits // 4), build_filter(links, link_levels, max_bits)
-        model.pull = pull(words, link_levels.get(1, 0), total)
-    return model, words
-
-
-def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+def _rows(schema: pa.Schema, n: int, /, **columns) -> pa.RecordBatch:
     """n rows of the schema; columns that are not given are null."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
-def send(marked: DataFrame, model: Model) -> DataFrame:
+def send(marked: DataFrame, dealt: Slices) -> DataFrame:
     """Of each block of texts: its distinct pairs and words by slice, with training counts (0 if only held-out texts
-    have them); which word each rank by frequency is; and each text as ranks, with what exact counts say of it.
+    have them); which word each rank by frequency is; and the texts as ranks.
     """
-    sent, schema = marked.sparkSession.sparkContext.broadcast(model), _arrow(SENT)
+    schema = _arrow(SENT)
 
     def grams_by_slice(block: int, keys: np.ndarray, counts: np.ndarray, bits: int, first: int) -> pa.RecordBatch:
         place = (keys >> np.uint64(64 - bits)).astype(np.int32) + np.int32(first)
         begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        packed = [_pack(keys[a:b], counts[a:b]) for a, b in zip(begin, np.append(begin[1:], len(keys)))]
-        return _rows(schema, len(begin), place=place[begin], part=place[begin], block=np.full(len(begin), block), keys=[k for k, _ in packed], counts=[c for _, c in packed])
+        ends = np.append(begin[1:], len(keys))
+        packed = [pack_keys(keys[a:b]) for a, b in zip(begin, ends)]
+        return _rows(schema, len(begin), place=place[begin], part=place[begin], block=np.full(len(begin), block), keys=packed, counts=[_planes(counts[a:b].astype("<u4")) for a, b in zip(begin, ends)])
 
     def run(batches):
-        known, task = sent.value, TaskContext.get().partitionId() << 33
-        row = block = 0
+        task = TaskContext.get().partitionId() << 33
+        block = 0
         for batch in batches:
             ids, texts, held = batch.column(0), batch.column(1), batch.column(2)
             for a, b in groups([len(x or b"") for x in texts.cast(pa.binary()).to_pylist()], TEXT_BLOCK):
                 grams, n = tokens(texts.slice(a, b - a).to_pylist())
-                at = np.cumsum(n) - n
-                train = np.repeat(~held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool), n)
+                mine, own_ids = held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool), ids.slice(a, b - a)
+                train = np.repeat(~mine, n)
                 words, own = np.unique(grams, return_inverse=True)
                 links, code = np.unique(pairs(before(grams, n), grams), return_inverse=True)
                 by_rank = np.argsort(-np.bincount(own), kind="stable")
@@ -409,55 +235,55 @@ def send(marked: DataFrame, model: Model) -> DataFrame:
                 rank[by_rank] = np.arange(len(words))
                 where = task + block
                 block += 1
-                yield grams_by_slice(where, links, np.bincount(code[train], minlength=len(links)), SLICE_BITS, 0)
-                yield grams_by_slice(where, words, np.bincount(own[train], minlength=len(words)), WORD_SLICE_BITS, PAIR_SLICES)
-                yield _rows(schema, 1, place=[where % SLICES], part=[RANKS], block=[where], keys=[_squeeze(by_rank)], n_tokens=[len(words)])
-                code = rank[own]
-                del links, own
-                base, seen, away = known.base(grams)
-                ends = at + n
-                for i in range(0, len(n), 1000):
-                    lo, hi = at[i : i + 1000], ends[i : i + 1000]
-                    m = len(lo)
-                    yield _rows(
-                        schema, m, place=((row + np.arange(m)) % SLICES).astype(np.int32), part=np.full(m, TEXT, np.int32), block=np.full(m, where), keys=[_squeeze(code[x:y]) for x, y in zip(lo, hi)],
-                        row=task + row + np.arange(m), doc_id=ids.slice(a + i, m), held_out=held.slice(a + i, m), n_tokens=n[i : i + m], n_known=np.add.reduceat(seen[lo[0] : hi[-1]], lo - lo[0]),
-                        base_score=np.add.reduceat(base[lo[0] : hi[-1]], lo - lo[0]), rare=[grams[x:y][away[x:y]].view(np.int64) for x, y in zip(lo, hi)],
-                    )
-                    row += m
+                yield grams_by_slice(where, links, np.bincount(code[train], minlength=len(links)), dealt.pair_bits, 0)
+                yield grams_by_slice(where, words, np.bincount(own[train], minlength=len(words)), dealt.word_bits, dealt.pairs)
+                yield _rows(schema, 1, place=[where % dealt.grams], part=[dealt.ranks], block=[where], keys=[_planes(by_rank.astype("<u4"))], n=[[len(words)]])
+                ranks, at = rank[own].astype("<u4"), np.append(0, np.cumsum(n))
+                for k, (i, j) in enumerate(groups(n.tolist(), TEXT_ROW)):
+                    yield _rows(schema, 1, place=[(where + k) % dealt.grams], part=[dealt.texts], block=[where], keys=[_planes(ranks[at[i] : at[j]])], ids=[own_ids.slice(i, j - i).to_pylist()], held=[mine[i:j].tolist()], n=[n[i:j].tolist()])
 
     return marked.select("doc_id", "text", "held_out").mapInArrow(run, SENT)
 
 
-def slices(sent: DataFrame) -> DataFrame:
+#: Places in the stats of a slice: pairs seen once; tokens, words and ends in training; then words and tokens by level.
+SINGLES, TOTAL, KINDS, ENDS, LEVELS = 0, 1, 2, 3, 4
+
+
+def slices(sent: DataFrame, dealt: Slices) -> DataFrame:
     """What `send` sent, with the levels of grams in their place: each slice's filter is built from all its training
     counts, at eight bits an entry, and probed once for each gram that any block has. Words keep their keys, from which
-    those of pairs follow. A task holds one slice at a time.
+    those of pairs follow, and their exact counts. A task holds one slice at a time.
     """
     schema = _arrow(BACK)
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        grams = [_unpack(k, c) for *_, k, c in held]
-        keys, at = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
+        grams = [unpack_keys(k) for *_, k, _ in held]
+        keys, at = np.unique(np.concatenate(grams), return_inverse=True)
+        given = np.concatenate([_unplanes(c, len(k), "<u4") for k, (*_, c) in zip(grams, held)])
         counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, at, np.concatenate([c for _, c in grams]))
+        np.add.at(counts, at, given.astype(np.int64))
         own = level(counts)
-        blocks = max(1, -(-int(own.sum()) * BITS_PER_ENTRY // BLOCK))
-        read = LogFrequencyFilter(enter(keys[own > 0], own[own > 0], blocks), blocks, sliced=False).probe(keys).astype(np.uint8)[at]
-        ends = np.cumsum([len(k) for k, _ in grams])
-        singles = np.zeros(len(held), np.int64)
-        singles[0] = (counts == 1).sum()
-        return _rows(schema, len(held), block=[x[0] for x in held], part=[x[1] for x in held], a=[read[e - len(k) : e].tobytes() for e, (k, _) in zip(ends, grams)], b=[x[2] if x[1] >= PAIR_SLICES else None for x in held], singles=singles)
+        read = LogFrequencyFilter(keys, own).probe(keys).astype(np.uint8)[at]
+        cuts = np.cumsum([len(k) for k in grams])[:-1]
+        words, n = held[0][1] >= dealt.pairs, len(held)
+        if words:
+            ends = int(counts[keys == END].sum())
+            stats = [0, int(counts.sum()), int((counts > 0).sum()), ends, *np.bincount(own, minlength=len(VALUES)).tolist(), *np.bincount(own, weights=counts, minlength=len(VALUES)).astype(np.int64).tolist()]
+        else:
+            stats = [int((counts == 1).sum())]
+        return _rows(
+            schema, n, block=[x[0] for x in held], part=[x[1] for x in held], a=[pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(read, cuts)], b=[x[2] if words else None for x in held],
+            c=[_planes(x) for x in np.split(counts[at], cuts)] if words else [None] * n, stats=[stats] + [None] * (n - 1), n=[[len(k)] for k in grams],
+        )
 
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
             part = batch.column("part").to_numpy()
-            rest = batch.filter(pa.array(part >= RANKS))
+            rest = batch.filter(pa.array(part >= dealt.grams))
             if rest.num_rows:
-                given = {"a": rest.column("keys"), "b": rest.column("counts")}
-                yield pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(rest.num_rows, f.type) if f.name == "singles" else rest.column(f.name) for f in schema], schema=schema)
-            for x in zip(*(batch.filter(pa.array(part < RANKS)).column(c).to_pylist() for c in ("block", "part", "keys", "counts"))):
+                yield pa.RecordBatch.from_arrays([rest.column("keys" if f.name == "a" else f.name) if f.name in ("a", "block", "part", "ids", "held", "n") else pa.nulls(rest.num_rows, f.type) for f in schema], schema=schema)
+            for x in zip(*(batch.filter(pa.array(part < dealt.grams)).column(c).to_pylist() for c in ("block", "part", "keys", "counts"))):
                 if held and held[0][1] != x[1]:
                     yield flush(held)
                     held = []
@@ -468,100 +294,77 @@ def slices(sent: DataFrame) -> DataFrame:
     return sent.repartition("place").sortWithinPartitions("place", "part").mapInArrow(run, BACK)
 
 
-def gather(back: DataFrame, model: Model) -> DataFrame:
+def learnt(back: DataFrame) -> Model:
+    """N, V, the number of training texts and the weight, added up over the slices: some 400 numbers."""
+    sums = {r.at: r.n for r in back.where("stats is not null").select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("n")).collect()}
+    number = lambda at: int(sums.get(at, 0))
+    held = [(number(LEVELS + j), number(LEVELS + len(VALUES) + j)) for j in range(len(VALUES))]
+    model = Model(number(TOTAL), number(KINDS), number(ENDS))
+    return replace(model, pull=pull([(m / n, m) for n, m in held if n and m], number(SINGLES), model.total))
+
+
+def gather(back: DataFrame, model: Model, dealt: Slices) -> DataFrame:
     """The texts with their scores: a block's levels come first, in the order of its grams, then its texts."""
-    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
-    schema = _arrow(OF_TEXT.replace("rare array<long>", "score double"))
+    schema = _arrow(SCHEMA)
 
     def run(batches):
-        block, levels_, keys, codes, texts, ranks = None, ([], []), [], [], [], None
+        block = None
+        read: tuple[list, list] = ([], [])
+        keys, exact, texts, ranks = [], [], [], None
 
         def flush() -> pa.RecordBatch:
-            both, count = (VALUES[np.frombuffer(b"".join(x), np.uint8)] for x in levels_)
-            words, n = np.concatenate(keys), np.array([len(x) for x in codes])
-            own = ranks[np.concatenate(codes)]
+            both, count = (VALUES[np.frombuffer(b"".join(x), np.uint8)] for x in read)
+            words, counts = np.concatenate(keys), np.concatenate(exact)
+            n = np.concatenate([np.array(x[2], np.int64) for x in texts])
+            own = ranks[np.concatenate([_unplanes(a, sum(m), "<u4") for a, _, m, _ in texts])]
+            at = np.cumsum(n) - n
             context = np.empty_like(own)
-            context[1:], context[np.cumsum(n) - n] = own[:-1], len(words)
+            context[1:], context[at] = own[:-1], len(words)
             grams = words[own]
             links, code = np.unique(pairs(before(grams, n), grams), return_inverse=True)
-            if len(links) != len(both) or len(ranks) != len(words) or len(count) != len(words):
+            if not len(links) == len(both) or not len(ranks) == len(words) == len(count) == len(counts):
                 raise ValueError(f"block {block}: {len(both)} pairs and {len(count)} words came back")
             chances = model.smoothed(both[code], np.append(count, model.texts)[context], count[own], model.chance(count)[own])
-            return _rows(schema, len(n), **dict(zip(kept, zip(*texts))), score=np.add.reduceat(chances, np.cumsum(n) - n))
+            return _rows(
+                schema, len(n), doc_id=[i for x in texts for i in x[1]], held_out=[h for x in texts for h in x[3]], n_tokens=n, n_known=np.add.reduceat((counts > 0).astype(np.int64)[own], at),
+                base_score=np.add.reduceat(np.log10(model.chance(counts))[own], at), score=np.add.reduceat(chances, at),
+            )
 
         for batch in batches:
-            for where, part, a, b, *text in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "a", "b", *kept))):
+            for where, part, a, b, c, ids, held, n in zip(*(batch.column(x).to_pylist() for x in ("block", "part", "a", "b", "c", "ids", "held", "n"))):
                 if where != block:
                     if texts:
                         yield flush()
-                    block, levels_, keys, codes, texts = where, ([], []), [], [], []
-                if part < SLICES:
-                    levels_[part >= PAIR_SLICES].append(a)
-                    if part >= PAIR_SLICES:
-                        keys.append(_keys(b))
-                elif part == RANKS:
-                    ranks = _unsqueeze(a, text[kept.index("n_tokens")])
+                    block, read, keys, exact, texts = where, ([], []), [], [], []
+                if part < dealt.grams:
+                    read[part >= dealt.pairs].append(pa.decompress(a, decompressed_size=n[0], codec="zstd", asbytes=True))
+                    if part >= dealt.pairs:
+                        keys.append(unpack_keys(b))
+                        exact.append(_unplanes(c, n[0], "<i8"))
+                elif part == dealt.ranks:
+                    ranks = _unplanes(a, n[0], "<u4")
                 else:
-                    codes.append(_unsqueeze(a, text[kept.index("n_tokens")]))
-                    texts.append(text)
+                    texts.append((a, ids, n, held))
         if texts:
             yield flush()
 
-    found = back.select("block", "part", "a", "b", *kept)
-    return found.repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, OF_TEXT.replace("rare array<long>", "score double"))
-
+    return back.drop("stats").repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, SCHEMA)
 
-SCHEMA = "n_tokens long, n_known long, base_score double, score double, rare array<long>"
 
-
-def score(docs: DataFrame, folds: int = 5, max_bits: int | None = None, most_common: int = 1 << 19) -> DataFrame:
+def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, whole texts.
 
-    score: log10 probability under the pair model, whose filters hold every gram whatever the input; `max_bits` bounds
-    and broadcasts them instead, see `build_filter`. base_score and n_known use exact counts: those of at most
-    `most_common` common tokens come by broadcast, all others by a join of (document, token) rows.
+    score: log10 probability under the pair model, learnt from every text outside the held-out fold; its filters hold
+    every gram whatever the input. base_score and n_known use exact counts. The tables are cut into blocks of about 16 MB
+    of text; a longer text is a block of its own, held by one task as 8 bytes a token.
     Null text: empty, one end token. Null doc_id: in the training part, held_out false. Repeated rows: each is
-    counted and scored. No training text: every probability is the smoothing's. Empty table: no rows.
+    counted and scored. Texts that tie have equal scores. No training text: every probability is the smoothing's.
+    Empty table: no rows. Other columns are not read.
     """
-    model, words = fit(docs, folds, max_bits, most_common)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(folds=folds))
-    if max_bits is None:
-        back = cut(slices(send(marked, model)), "levels")
-        singles = back.where(F.col("part") < PAIR_SLICES).agg(F.coalesce(F.sum("singles"), F.lit(0))).first()[0]
-        model.pull = pull(words, singles, model.total)
-        model.common = model.common_counts = np.zeros(0, np.int64)
-        scored, rare = gather(back, model), back.where((F.col("part") == TEXT) & (F.size("rare") > 0)).select("row", "rare")
-    else:
-        scored = cut(probed(marked, model), "scored")
-        rare = scored.where(F.size("rare") > 0).select("row", "rare")
-        scored = scored.drop("rare")
-    if not model.complete:
-        some = rare.select("row", F.explode("rare").alias("h"))
-        chance = (F.coalesce("c", F.lit(0)) + 0.5) / (model.total + 0.5 * (model.kinds + 1))
-        found = some.join(words, "h", "left").groupBy("row").agg(F.sum(F.log10(chance)).alias("more"), F.count("c").alias("known"))
-        scored = scored.join(found, "row", "left")
-        scored = scored.withColumn("base_score", F.col("base_score") + F.coalesce("more", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("known", F.lit(0)))
+    n_bytes = marked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    dealt = planned(n_bytes)
+    back = cut(slices(send(marked, dealt), dealt), "levels")
+    model = learnt(back)
+    scored = gather(back, model, dealt)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def probed(marked: DataFrame, model: Model) -> DataFrame:
-    """Rows and scores under a model whose filters are broadcast."""
-    sent = marked.sparkSession.sparkContext.broadcast(model)
-
-    def read(texts: typing.Iterator[pd.Series]) -> typing.Iterator[pd.DataFrame]:
-        known = sent.value
-        for batch in texts:
-            rows: list[tuple] = []
-            batch = [None if x is None else x for x in batch]
-            for a, b in groups([len(x or "") for x in batch], 1 << 20):
-                grams, n = tokens(batch[a:b])
-                at = np.cumsum(n) - n
-                base, seen, away = known.base(grams)
-                sums = [np.add.reduceat(x, at) for x in (base, known.log10(grams, n), seen)]
-                for i, (lo, m) in enumerate(zip(at, n)):
-                    rare = grams[lo : lo + m][away[lo : lo + m]].view(np.int64)
-                    rows.append((int(m), int(sums[2][i]), float(sums[0][i]), float(sums[1][i]), rare))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "rare"])
-
-    scored = marked.withColumn("s", F.pandas_udf(read, SCHEMA)("text"))
-    return scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "s.*")

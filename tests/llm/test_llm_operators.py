@@ -189,15 +189,14 @@ def test_near_duplicates_odd_rows(docs, none):
 # --- 3 language model ----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("common", [1 << 19, 6])
-def test_base_scores_are_exact_and_the_model_is_better_on_new_text(docs, common):
+def test_base_scores_are_exact_and_the_model_is_better_on_new_text(docs):
     rows = docs.select("doc_id", "text").collect()
     tokens = [WORD.findall(low(t or "")) + [None] for _, t in rows]
     held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows]
     count = Counter(x for t, h in zip(tokens, held) if not h for x in t)
     N, V = sum(count.values()), len(count)
     expect = sorted((str(d), len(t), sum(count[x] > 0 for x in t), N, h, round(sum(math.log10((count[x] + 0.5) / (N + 0.5 * (V + 1))) for x in t), 5)) for (d, _), t, h in zip(rows, tokens, held))
-    got = lm.score(docs, max_bits=1 << 22, most_common=common).collect()
+    got = lm.score(docs).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.held_out, round(r.base_score, 5)) for r in got) == expect
     assert all(r.score < 0 for r in got)
     new = [r for r in got if r.held_out]
@@ -213,13 +212,12 @@ def test_filter_counts_are_never_too_low(spark):
     read = own.probe(keys)
     assert (read >= lm.level(counts)).all() and (read == lm.level(counts)).mean() > 0.9
     assert (own.probe(textops.mix(np.arange(10_000, 20_000, dtype=np.uint64))) > 0).mean() < 0.1
-    small = lm.build_filter(packed, lm.levels(packed), 1 << 14)
-    assert small.floor > 1 and len(small.bits) * 8 <= lm.BLOCK << lm.SLICE_BITS
+    assert len(own.bits) <= lm.BITS_PER_ENTRY * lm.level(counts).sum() + lm.BLOCK
 
 
 def test_language_model_without_rows(none, spark):
     assert lm.score(none).count() == 0
-    (row,) = lm.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), max_bits=1 << 20).collect()
+    (row,) = lm.score(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
     assert row.held_out == (zlib.crc32(b"1") % 5 == 1) and row.n_tokens == 2
 
 

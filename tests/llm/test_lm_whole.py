@@ -13,17 +13,17 @@ from linkloom.llm import lm
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("common", [1 << 19, 6])
-def test_scores_follow_all_pairs(spark, common, monkeypatch):
+@pytest.mark.parametrize(("block", "row", "bits"), [(2000, 1 << 16, (12, 10)), (1 << 24, 500, (14, 11))])
+def test_scores_follow_all_pairs(spark, block, row, bits, monkeypatch):
     r = random.Random(3)
     kinds = [f"w{i}" for i in range(3000)]
     rows = [(i, " ".join(r.choice(kinds) for _ in range(r.randint(1, 80)))) for i in range(600)]
     rows += [(700 + i, "a b c d") for i in range(40)] + [(900, None), (None, "a b"), (901, ""), (900, "a b")]
-    monkeypatch.setattr(lm, "TEXT_BLOCK", 2000)
-    # Filters of bounded size, whose floor rises with the input, are for callers who ask for them.
-    monkeypatch.setattr(lm, "build_filter", lambda *_: pytest.fail("bounded filter"))
+    monkeypatch.setattr(lm, "TEXT_BLOCK", block)
+    monkeypatch.setattr(lm, "TEXT_ROW", row)
+    monkeypatch.setattr(lm, "planned", lambda _: lm.Slices(*bits))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = lm.score(docs, most_common=common).collect()
+    got = lm.score(docs).collect()
     tokens = [WORD.findall(t or "") + [None] for _, t in rows]
     held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows]
     pairs = lambda t: list(zip(["^", *t[:-1]], t))
@@ -32,8 +32,10 @@ def test_scores_follow_all_pairs(spark, common, monkeypatch):
     N, V, starts = sum(words.values()), len(words), sum(not h for h in held)
     value = lambda c: lm.VALUES[lm.level(c)]
     singles = sum(c == 1 for c in both.values())
-    table = spark.createDataFrame([(i, c) for i, c in enumerate(words.values())], "h long, c long")
-    pull = lm.pull(table, singles, N)
+    at_level = {}
+    for c in words.values():
+        at_level.setdefault(int(lm.level(c)), []).append(c)
+    pull = lm.pull([(sum(x) / len(x), sum(x)) for x in at_level.values()], singles, N)
 
     def plain(t):
         out = 0.0
@@ -49,3 +51,10 @@ def test_scores_follow_all_pairs(spark, common, monkeypatch):
     # A filter may read a gram too high, never too low; that moves few texts, and those by little.
     off = [abs(a[4] - b[4]) / a[1] for a, b in zip(got, expect)]
     assert sum(off) / len(off) < 0.02
+
+
+def test_slices_grow_with_the_input():
+    assert lm.planned(0) == lm.planned(1 << 40) == lm.Slices(12, 10)
+    for n in (10**13, 10**14):
+        dealt = lm.planned(n)
+        assert n / dealt.pairs <= 2 * lm.PER_SLICE and dealt.pairs <= 1 << 24
