@@ -203,12 +203,10 @@ def test_base_scores_are_exact_and_the_model_is_better_on_new_text(docs):
     assert sum(r.score for r in new) > sum(r.base_score for r in new)
 
 
-def test_filter_counts_are_never_too_low(spark):
+def test_filter_counts_are_never_too_low():
     keys = textops.mix(np.arange(1, 3001, dtype=np.uint64))
     counts = (np.arange(3000) % 50 + 1).astype(np.int64)
-    packed = spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys.view(np.int64), counts)], "h long, c long")
-    packed = lm.pack_words(packed)
-    own = lm.build_filter(packed, lm.levels(packed), 1 << 24)
+    own = lm.LogFrequencyFilter(keys, lm.level(counts))
     read = own.probe(keys)
     assert (read >= lm.level(counts)).all() and (read == lm.level(counts)).mean() > 0.9
     assert (own.probe(textops.mix(np.arange(10_000, 20_000, dtype=np.uint64))) > 0).mean() < 0.1
@@ -306,8 +304,8 @@ def test_packing_of_repeated_rows_and_of_nothing(docs, none):
 
 
 def test_edits_count_as_a_full_count_would(docs):
-    enc = packing.encoder(packing.ranks_path())
-    count = lambda x: len(enc.encode_ordinary(x))
+    enc = packing.encoder(packing.ranks_path(), {"<|endoftext|>": 50256})
+    count = lambda x: len(enc.encode_to_numpy(x, allowed_special="all"))
     r = random.Random(11)
     texts = [t or "" for _, t, *_ in corpus(25) + odd()[:3]] + ["don't  stop\n\n  now " * 60, "x" * 3000, " " * 900, "end. Next\n" * 90]
     for text in texts:
@@ -325,8 +323,9 @@ def test_edits_count_as_a_full_count_would(docs):
 def test_only_touched_leaves_are_encoded(docs, none):
     from pyspark.sql import functions as F
 
-    enc = packing.encoder(packing.ranks_path())
-    tree = tokencount.TokenTree("some words here " * 5000, lambda x: len(enc.encode_ordinary(x)))
+    enc = packing.encoder(packing.ranks_path(), {"<|endoftext|>": 50256})
+    count = lambda x: len(enc.encode_to_numpy(x, allowed_special="all"))
+    tree = tokencount.TokenTree("some words here " * 5000, count)
     tree.edit(40_000, 2, "zz")
     assert tree.encoded < 2000
     rows = tokencount.counts(docs.withColumn("e", tokencount.own_edits()), "e").select("text", "e", "counts.*").collect()
@@ -335,7 +334,7 @@ def test_only_touched_leaves_are_encoded(docs, none):
         for e in r.e:
             at = min(e.start, len(now))
             now = now[:at] + e.put + now[at + e.cut :]
-        assert r.tokens_after == len(enc.encode_ordinary(now)) and r.tokens_before == len(enc.encode_ordinary(r.text or ""))
+        assert r.tokens_after == count(now) and r.tokens_before == count(r.text or "")
     nothing = tokencount.counts(docs.withColumn("e", F.lit(None).cast("array<struct<start:int,cut:int,put:string>>")), "e").select("counts.*").collect()
     assert all(r.tokens_before == r.tokens_after and r.chars_encoded_again == 0 for r in nothing)
     assert tokencount.counts(none.withColumn("e", tokencount.own_edits()), "e").count() == 0
