@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import typing
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -30,110 +33,235 @@ MAGIC = {
 }
 
 
-def _wav(data: memoryview) -> int:
-    """Length of the RIFF/WAVE file at the head of data, 0 if its chunks don't add up."""
-    if len(data) < 44 or data[8:12] != b"WAVE":
+class Buffer:
+    """Bytes in which items are looked for. What formats say at their end is listed once, so no hit reads on to the end itself."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.gif_places: dict[int, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    @cached_property
+    def jpeg_ends(self) -> list[int]:
+        return [m.end() for m in re.finditer(rb"\xff\xd9", self.data)]
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Each archive's end by its start: the end record says how far before it the archive begins."""
+        out = {}
+        for m in re.finditer(rb"PK\x05\x06", self.data):
+            at = m.start()
+            if at + 22 > len(self.data):
+                break
+            n, size, where, note = struct.unpack_from("<HIIH", self.data, at + 10)
+            start, end = at - size - where, at + 22 + note
+            if start >= 0 and end <= len(self.data) and (self.data.startswith(b"PK\x01\x02", start + where) if n else not size):
+                out[start] = end
+        return out
+
+    @cached_property
+    def pdf_ends(self) -> dict[int, int]:
+        """Each document's last end by its start: a trailer gives the distance from the start to its table of objects."""
+        tables = [m.start() for m in re.finditer(rb"(?<!start)xref\s|\b\d{1,10} \d{1,5} obj\b", self.data)]
+        out = {}
+        for m in re.finditer(rb"startxref\s{1,4}(\d{1,15})\s{1,4}%%EOF", self.data):
+            i = bisect.bisect_left(tables, m.start()) - 1
+            # The table is the last thing before its trailer that can be one; a trailer between holds no object.
+            if i >= 0 and (start := tables[i] - int(m[1])) >= 0:
+                out[start] = m.end()
+        return out
+
+
+    def gif_end(self, at: int) -> int:
+        """End of the GIF whose blocks go on at that place, 0 if they break off.
+
+        What follows a place does not depend on what went before, so over all hits each place is walked once.
+        """
+        data, walked, inside = self.data, [], False
+        while (state := 2 * at + inside) not in self.gif_places:
+            walked.append(state)
+            end = None
+            if at >= len(data):
+                end = 0
+            elif inside:
+                at, inside = at + data[at] + 1, data[at] > 0
+            elif data[at] == 0x3B:
+                end = at + 1
+            elif data[at] == 0x21:
+                at, inside = at + 2, True
+            elif data[at] == 0x2C and at + 10 < len(data):
+                at, inside = at + 11 + (3 << (data[at + 9] & 7) + 1 if data[at + 9] & 0x80 else 0), True
+            else:
+                end = 0
+            if end is not None:
+                self.gif_places[state] = end
+                break
+        end = self.gif_places[state]
+        self.gif_places.update(dict.fromkeys(walked, end))
+        return end
+
+
+def _wav(buffer: Buffer, start: int) -> int:
+    """Length of the RIFF/WAVE file that begins there, 0 if its chunks don't add up."""
+    data = buffer.data
+    if start + 44 > len(data) or data[start + 8 : start + 12] != b"WAVE":
         return 0
-    total = 8 + struct.unpack_from("<I", data, 4)[0]
-    at, seen = 12, set()
-    while at + 8 <= min(total, len(data)):
-        name, n = bytes(data[at : at + 4]), struct.unpack_from("<I", data, at + 4)[0]
+    total = start + 8 + struct.unpack_from("<I", data, start + 4)[0]
+    if total > len(data):
+        return 0
+    at, seen = start + 12, set()
+    while at + 8 <= total:
+        name, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         seen.add(name)
         at += 8 + n + (n & 1)
-    return total if at == total <= len(data) and {b"fmt ", b"data"} <= seen else 0
+    return total - start if at == total and {b"fmt ", b"data"} <= seen else 0
 
 
-def _png(data: memoryview) -> int:
-    at = 8
+def _png(buffer: Buffer, start: int) -> int:
+    data, view, at = buffer.data, memoryview(buffer.data), start + 8
     while at + 12 <= len(data):
-        n, name = struct.unpack_from(">I", data, at)[0], bytes(data[at + 4 : at + 8])
-        if at + 12 + n > len(data) or zlib.crc32(data[at + 4 : at + 8 + n]) != struct.unpack_from(">I", data, at + 8 + n)[0]:
+        n, name = struct.unpack_from(">I", data, at)[0], data[at + 4 : at + 8]
+        if at == start + 8 and (name != b"IHDR" or n != 13):
+            return 0
+        if at + 12 + n > len(data) or zlib.crc32(view[at + 4 : at + 8 + n]) != struct.unpack_from(">I", data, at + 8 + n)[0]:
             return 0
         at += 12 + n
         if name == b"IEND":
-            return at
+            return at - start
     return 0
 
 
-def _jpeg(data: memoryview) -> int:
-    at = 2
+def _jpeg(buffer: Buffer, start: int) -> int:
+    data, at = buffer.data, start + 2
     while at + 4 <= len(data) and data[at] == 0xFF:
         kind, n = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         if kind == 0xDA:
-            end = bytes(data[at:]).find(b"\xff\xd9")
-            return at + end + 2 if end >= 0 else 0
+            i = bisect.bisect_left(buffer.jpeg_ends, at + 6)
+            return buffer.jpeg_ends[i] - start if i < len(buffer.jpeg_ends) else 0
         if n < 2:
             return 0
         at += 2 + n
     return 0
 
 
-def _gif(data: memoryview) -> int:
-    if len(data) < 14:
+def _gif(buffer: Buffer, start: int) -> int:
+    data = buffer.data
+    if start + 14 > len(data):
         return 0
-    at = 13 + (3 << (data[10] & 7) + 1 if data[10] & 0x80 else 0)
-    while at < len(data):
-        kind = data[at]
-        if kind == 0x3B:
-            return at + 1
-        if kind == 0x21:
-            at += 2
-        elif kind == 0x2C and at + 10 < len(data):
-            flags = data[at + 9]
-            at += 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-        else:
-            return 0
-        while at < len(data) and data[at]:
-            at += data[at] + 1
-        at += 1
-    return 0
+    end = buffer.gif_end(start + 13 + (3 << (data[start + 10] & 7) + 1 if data[start + 10] & 0x80 else 0))
+    return end - start if end else 0
 
 
-def _bmp(data: memoryview) -> int:
-    if len(data) < 30:
+def _bmp(buffer: Buffer, start: int) -> int:
+    if start + 30 > len(buffer):
         return 0
-    total, _, where, head = struct.unpack_from("<IIII", data, 2)
-    return total if head in (12, 40, 52, 56, 108, 124) and 26 <= where <= total <= len(data) else 0
+    total, _, where, head = struct.unpack_from("<IIII", buffer.data, start + 2)
+    return total if head in (12, 40, 52, 56, 108, 124) and 26 <= where <= total <= len(buffer) - start else 0
 
 
-def _pdf(data: memoryview) -> int:
-    end = bytes(data).rfind(b"%%EOF")
-    return end + 5 if end > 8 and data[5:6].tobytes().isdigit() else 0
+def _pdf(buffer: Buffer, start: int) -> int:
+    end = buffer.pdf_ends.get(start, start)
+    return end - start if buffer.data[start + 5 : start + 6].isdigit() else 0
 
 
-def _zip(data: memoryview) -> int:
-    whole = bytes(data)
-    end = whole.rfind(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(whole):
-        return 0
-    size, where = struct.unpack_from("<II", whole, end + 12)
-    return end + 22 + struct.unpack_from("<H", whole, end + 20)[0] if where + size == end else 0
+def _zip(buffer: Buffer, start: int) -> int:
+    return buffer.zip_ends.get(start, start) - start
 
 
-def _gzip(data: memoryview) -> int:
+def _gzip(buffer: Buffer, start: int) -> int:
+    view, one, at = memoryview(buffer.data), zlib.decompressobj(31), start
     try:
-        one = zlib.decompressobj(31)
-        left = one.unconsumed_tail or bytes(data)
-        while left and not one.eof:
-            one.decompress(left, 1 << 20)
-            left = one.unconsumed_tail
-        return len(data) - len(one.unused_data) if one.eof else 0
+        while not one.eof and at < len(view):
+            left = view[at : at + (1 << 16)]
+            at += len(left)
+            while len(left) and not one.eof:
+                one.decompress(left, 1 << 20)
+                left = one.unconsumed_tail
+        return at - len(one.unused_data) - start if one.eof else 0
     except zlib.error:
         return 0
 
 
-def _ogg(data: memoryview) -> int:
-    at = 0
-    while at + 27 <= len(data) and data[at : at + 4] == b"OggS" and data[at + 4] == 0:
+def _ogg(buffer: Buffer, start: int) -> int:
+    """Pages from one that begins a stream to the last that follows without a gap."""
+    data, at = buffer.data, start
+    while at + 27 <= len(data) and data.startswith(b"OggS\0", at) and (at > start or data[at + 5] & 2):
         n = data[at + 26]
-        if at + 27 + n > len(data):
-            return 0
-        at += 27 + n + sum(data[at + 27 : at + 27 + n])
-    return at if 0 < at <= len(data) else 0
+        end = at + 27 + n + sum(data[at + 27 : at + 27 + n])
+        if at + 27 + n > len(data) or end > len(data):
+            break
+        at = end
+    return at - start
+
+
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out, top = [], 1 << bits - 1
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ poly) if x & top else x << 1
+        out.append(x & (1 << bits) - 1)
+    return out
 
 
-def _flac(data: memoryview) -> int:
-    return len(data) if len(data) >= 42 and data[4] & 0x7F == 0 and bytes(data[5:8]) == b"\x00\x00\x22" else 0
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(data: bytes, at: int) -> int:
+    """Length of the frame header at that place, 0 if it is none: sync code, coded number, check sum."""
+    if at + 6 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8 or data[at + 2] >> 4 == 0 or data[at + 2] & 15 == 15 or data[at + 3] & 1:
+        return 0
+    first = data[at + 4]
+    more = 0 if first < 0x80 else 8 - (first ^ 0xFF).bit_length() - 1
+    if first >= 0x80 and not 1 <= more <= 6:
+        return 0
+    n = 5 + more + {6: 1, 7: 2}.get(data[at + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(data[at + 2] & 15, 0)
+    if at + n >= len(data):
+        return 0
+    crc = 0
+    for x in data[at : at + n]:
+        crc = CRC8[crc ^ x]
+    return n + 1 if crc == data[at + n] else 0
+
+
+def _flac_samples(data: bytes, at: int) -> int:
+    """Samples in the frame at that place, from its header."""
+    code = data[at + 2] >> 4
+    if code in (6, 7):
+        first = data[at + 4]
+        place = at + 5 + (0 if first < 0x80 else 8 - (first ^ 0xFF).bit_length() - 1)
+        return 1 + int.from_bytes(data[place : place + code - 5], "big")
+    return 192 if code == 1 else 576 << code - 2 if code < 6 else 256 << code - 8
+
+
+def _flac(buffer: Buffer, start: int) -> int:
+    """Metadata blocks, then frames whose check sums hold, up to the number of samples that the head states."""
+    data, at, last = buffer.data, start + 4, False
+    if data[at + 1 : at + 4] != b"\x00\x00\x22" or at + 38 > len(data) or data[at] & 0x7F:
+        return 0
+    least, most = (int.from_bytes(data[at + i : at + i + 3], "big") for i in (8, 11))
+    total = int.from_bytes(data[at + 17 : at + 22], "big") & (1 << 36) - 1
+    while not last and at + 4 <= len(data):
+        last = bool(data[at] & 0x80)
+        at += 4 + int.from_bytes(data[at + 1 : at + 4], "big")
+    done = 0
+    while last and (n := _flac_frame(data, at)):
+        done += _flac_samples(data, at)
+        crc, first, end = 0, 0, 0
+        for i in range(at, min(len(data), at + (most or 1 << 24))):
+            crc = (crc << 8 & 0xFFFF) ^ CRC16[crc >> 8 ^ data[i]]
+            # Over a frame with its own sum the check sum is zero; the last sample or a further frame must be due there.
+            if not crc and i + 1 - at >= max(least, n + 3):
+                if (total and done >= total) or _flac_frame(data, i + 1):
+                    end = i + 1
+                    break
+                first = first or i + 1
+        at = end or (0 if total else first)
+        if not at or (total and done >= total):
+            break
+    return at - start if at and done and (done >= total if total else last) else 0
 
 
 VALIDATE = {
@@ -154,10 +282,10 @@ def automaton():
 
 def sniff(data: bytes, found) -> list[tuple[int, int, str]]:
     """(start, length, type) of every outermost confirmed item, in order; items inside one that is confirmed are its own."""
-    view, out, free = memoryview(data), [], 0
+    buffer, out, free = Buffer(data), [], 0
     for end, (n, kind) in found.iter(data.decode("latin-1")):
         at = end - n + 1
-        if at >= free and (length := VALIDATE[kind](view[at:])):
+        if at >= free and (length := VALIDATE[kind](buffer, at)):
             out.append((at, length, kind))
             free = at + length
     return out
@@ -166,7 +294,9 @@ def sniff(data: bytes, found) -> list[tuple[int, int, str]]:
 def identify(df: DataFrame, content: str = "content", declared: str | None = None, into: str = "media") -> DataFrame:
     """Adds a struct column: true type of the bytes, whether the declared type was wrong, and the items carved from inside.
 
-    Null content: type null, nothing carved. Unconfirmed bytes: application/octet-stream. Every other column is kept.
+    Null content: type null, nothing carved. Unconfirmed and empty bytes: application/octet-stream. Overlapping items: the one
+    that begins first. Very long content: one value in memory at a time, read once whatever magic bytes it repeats.
+    Repeated rows: each on its own. Empty table: no rows. Every other column is kept, but one named as `into` is replaced.
     """
     schema = "type string, corrected boolean, items array<struct<start:long,length:long,type:string,sha256:string>>"
 
@@ -212,7 +342,8 @@ def padded(text: str | None, unit: int = 64) -> bytes:
 def store_texts(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
     """Adds each text as a WAV file of 8-bit samples (binary column `into`), one per padded byte, and n_bytes before padding.
 
-    Null text: as empty, 64 zeros. Repeated rows: equal files. Map-only; every other column is kept.
+    Null text: as empty, 64 zeros. Repeated rows: equal files. Very long texts: one at a time (a file ends at 4 GB). Empty
+    table: no rows. Map-only; every other column is kept, but those named as `into` and n_bytes are replaced.
     """
 
     def write(texts: pd.Series) -> pd.Series:
@@ -225,14 +356,15 @@ def store_texts(docs: DataFrame, text: str = "text", into: str = "media") -> Dat
 SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def read_file(stored: bytes, found, said: str = "text/plain") -> tuple:
+def read_file(stored: bytes, found) -> tuple:
     items = sniff(stored, found)
     if not items or items[0] != (0, len(stored), "audio/wav"):
         raise ValueError("not one whole WAV file")
     back = samples(stored)
     inner = sniff(back, found)
     wave = np.frombuffer(back, np.uint8)
-    feature = f"{items[0][2]};declared={said};corrected={int(said != items[0][2])};min={wave.min()};max={wave.max()};sum={int(wave.sum(dtype=np.int64))};carved=" + ",".join(f"{k}@{a}+{n}" for a, n, k in inner)
+    kind = inner[0][2] if inner and inner[0][0] == 0 else "text/plain"
+    feature = f"{kind};min={wave.min()};max={wave.max()};sum={int(wave.sum(dtype=np.int64))};carved=" + ",".join(f"{k}@{a}+{n}" for a, n, k in inner)
     return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
 
 
@@ -240,6 +372,9 @@ def read_back(df: DataFrame, media: str = "media", into: str = "samples") -> Dat
     """Adds a struct of what the stored files hold: they are recognised by signature, confirmed, and their samples carved.
 
     A file that is not one whole WAV file fails the job: the store would not be lossless. Null media: null fields.
+    feature: type of the samples as bytes (text/plain if no signature is confirmed), their range and sum, carved items.
+    Repeated rows: each on its own. Very long files: one at a time. Empty table: no rows. Every other column is kept, but
+    one named as `into` is replaced.
     """
 
     def read(files: typing.Iterator[pd.Series]) -> typing.Iterator[pd.DataFrame]:

@@ -320,6 +320,30 @@ def test_edits_count_as_a_full_count_would(docs):
             assert (tree.text(), tree.tokens, tree.chars) == (now, count(now), len(now))
 
 
+def test_leaves_stay_short_and_the_tree_flat():
+    count = lambda x: len(x.split())
+    r, now = random.Random(2), "some words here " * 50
+    tree = tokencount.TokenTree(now, count)
+    for k in range(400):
+        at, cut, put = (400, 0, " more new words of some length for one place " * 5) if k < 200 else (r.randrange(len(now)), r.choice((0, 5, 900)), " tail")
+        now = now[:at] + put + now[at + cut :]
+        before = tree.encoded
+        tree.edit(at, cut, put)
+        assert tree.encoded - before <= len(put) + 8 * tokencount.LEAF
+        assert tree.chars == len(now)
+    assert tree.text() == now and tree.tokens == sum(count(x.text) for x in tree.leaves())
+    assert max(x.chars for x in tree.leaves()) <= 3 * tokencount.LEAF
+
+    def deep(node):
+        return 1 + max(map(deep, node.kids)) if node.kids else 1
+
+    assert deep(tree.root) <= 2 + math.log(len(tree.leaves()), tokencount.FAN / 4)
+    tree.edit(0, len(now), "")
+    assert (tree.chars, tree.tokens, tree.text()) == (0, 0, "")
+    tree.edit(5, 9, "new start")
+    assert tree.text() == "new start"
+
+
 def test_only_touched_leaves_are_encoded(docs, none):
     from pyspark.sql import functions as F
 
@@ -444,10 +468,35 @@ def test_texts_survive_the_store(docs, none):
         with wave.open(io.BytesIO(r.media)) as f:
             assert (f.getsampwidth(), f.getnchannels()) == (1, 1) and f.readframes(f.getnframes()) == payload
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest()) and r.feature.startswith("audio/wav;declared=text/plain;corrected=1")
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(r.media).hexdigest()) and r.feature.startswith("text/plain;min=")
     assert media.store_texts(none).count() == 0
 
 
+def pdf(body=b"1 0 obj\n<<>>\nendobj\n"):
+    head = b"%PDF-1.4\n" + body
+    return head + b"xref\n0 1\n0000000000 65535 f \ntrailer\n<<>>\nstartxref\n" + str(len(head)).encode() + b"\n%%EOF"
+
+
+def flac(frames=3, total=None):
+    """Frames of 192 zero samples, 8 bits, one channel: constant subframes."""
+
+    def crc(data, poly, bits):
+        out = 0
+        for x in data:
+            out ^= x << bits - 8
+            for _ in range(8):
+                out = (out << 1 ^ poly if out >> bits - 1 else out << 1) & (1 << bits) - 1
+        return out.to_bytes(bits // 8, "big")
+
+    n = frames * 192 if total is None else total
+    out = b"fLaC" + bytes([0x80, 0, 0, 34]) + b"\0\xc0\0\xc0" + bytes(6) + ((8000 << 44) | (7 << 36) | n).to_bytes(8, "big") + bytes(16)
+    for k in range(frames):
+        frame = bytes([0xFF, 0xF8, 0x14, 0x02, k])
+        frame += crc(frame, 7, 8) + bytes([0, k])
+        out += frame + crc(frame, 0x8005, 16)
+    return out
+
+
 def files():
     import gzip
     import struct
@@ -460,7 +509,7 @@ def files():
     with zipfile.ZipFile(box, "w") as z:
         z.writestr("a.txt", "hello")
     bmp = b"BM" + struct.pack("<IIII", 58, 0, 54, 40) + bytes(40)
-    return {"image/png": png, "image/gif": gif, "application/zip": box.getvalue(), "audio/wav": media.wav(b"abcd"), "application/gzip": gzip.compress(b"x" * 99), "image/bmp": bmp, "application/pdf": b"%PDF-1.4\nhi\n%%EOF"}
+    return {"image/png": png, "image/gif": gif, "application/zip": box.getvalue(), "audio/wav": media.wav(b"abcd"), "application/gzip": gzip.compress(b"x" * 99), "image/bmp": bmp, "application/pdf": pdf()}
 
 
 def test_types_are_corrected_and_content_carved(spark):
@@ -475,6 +524,29 @@ def test_types_are_corrected_and_content_carved(spark):
     assert [(x.type, x.sha256) for x in found] == [(k, hashlib.sha256(known[k]).hexdigest()) for k in ("image/png", "image/gif")]
 
 
+def test_items_end_where_their_format_says():
+    known, found = files(), media.automaton()
+    for total in (None, 0):
+        data = b"xx" + flac(total=total) + known["audio/wav"] + b"fLaC" + flac()[4:30] + known["image/png"]
+        assert [x[2] for x in media.sniff(data, found)] == ["audio/flac", "audio/wav", "image/png"]
+        assert media.sniff(data, found)[0][:2] == (2, len(flac()))
+    assert not media.sniff(flac()[:-3] + b"zzz", found)
+    # A wrong head before a right file, a file inside another, two in a row.
+    data = b"%PDF-1.7 not one " + pdf() + b"PK\x03\x04" + known["application/zip"] + pdf(b"1 0 obj\n" + known["image/gif"] + b"\nendobj\n")
+    assert [x[2] for x in media.sniff(data, found)] == ["application/pdf", "application/zip", "application/pdf"]
+    assert media.sniff(b"%PDF-1.7 not one " + pdf(), found) == [(17, len(pdf()), "application/pdf")]
+
+
+@pytest.mark.parametrize("part", [b"%PDF-1 ", b"GIF89a!! ,;x" * 3 + b"!!  ", b"PK\x03\x04 PK\x05\x06" + bytes(18), b"RIFF    WAVE", b"BM  \0\0 \0\0\0", b"\xff\xd8\xff\xda\0\2 ", b"\x1f\x8b\x08 ", b"OggS\0\2" + bytes(20) + b"\1 ", b"fLaC\0\0\0\x22" + b"\0" * 34, b"startxref 12 %%EOF xref %PDF-1"])
+def test_repeated_magic_bytes_take_linear_time(part):
+    import time
+
+    data, found = part * (1_000_000 // len(part)), media.automaton()
+    began = time.process_time()
+    media.sniff(data, found)
+    assert time.process_time() - began < 10
+
+
 def test_licence_places_equal_brute_force():
     rng, found = random.Random(5), licenses.automaton()
     for _ in range(500):
