@@ -20,3 +20,19 @@ def ranked(df: DataFrame, group: list[str], order: list[str], into: str = "n") -
     before = counts.select(*group, "__p", F.coalesce(F.sum("__c").over(W.partitionBy(*group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = laid.withColumn("__r", F.row_number().over(W.partitionBy(*group, "__p").orderBy(*order)))
     return own.join(before, [*group, "__p"]).withColumn(into, F.col("__before") + F.col("__r")).drop("__p", "__r", "__before")
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each (into: column), the column's sum over all rows before this one in the given order; 0 for the first.
+
+    As with ranks, rows are range-partitioned and partitions are shifted by the totals of those before. Nulls add nothing.
+    """
+    laid = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "laid")
+    zero = F.lit(0)
+    totals = laid.groupBy("__p").agg(*[F.coalesce(F.sum(c), zero).alias(f"__t_{k}") for k, c in sums.items()])
+    # One row a partition.
+    back = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select("__p", *[F.coalesce(F.sum(f"__t_{k}").over(back), zero).alias(f"__b_{k}") for k in sums])
+    inside = W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = laid.select("*", *[F.coalesce(F.sum(c).over(inside), zero).alias(f"__o_{k}") for k, c in sums.items()]).join(before, "__p")
+    return own.select(*df.columns, *[(F.col(f"__b_{k}") + F.col(f"__o_{k}")).alias(k) for k in sums])
