@@ -1,16 +1,20 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame operations only.
 
-The rates r of documents minimise sum(size * (r ln r - r + 1)) under one token constraint for each source,
-sum(size * r) = target. The dual is convex with one multiplier a source; its Newton steps need the tilted token
-totals, which Spark sums up. Rates exp(multiplier) are then rounded into copies.
+The rates r of documents minimise sum(r ln r - r + 1) under one token constraint for each source,
+sum(size * r) = target, and 0 <= r <= most. The dual is convex with one multiplier a source; its Newton steps need the
+tilted token totals and their slopes, which Spark sums up. The rates min(most, exp(multiplier * size)) are then rounded
+into copies.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkloom.operators.ranking import ranked, running
 from linkloom.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,46 +37,64 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     Sources (as `named` makes them; a table of one row each) are numbered by code point, null last. What is above a
     source's limit is shared again by weight among the others until none is above: with sources sorted by limit over
     weight, those up to some place are full and the rest take one common level, which running sums find without a loop.
+    Numbers and sums run over range partitions, so any number of sources will do; two numbers come to the driver.
     """
-    ranked = sources.withColumn("k", F.row_number().over(W.orderBy("source")))
-    weighed = ranked.select("source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") - 1) % len(weights) + 1).alias("w"))
-    limit = F.col("source_size") * F.lit(float(most))
-    by_level = W.orderBy(F.col("limit") / F.col("w"), "source")
+    nth = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("k") - 1) % len(weights) + 1).cast("int"))
+    weighed = ranked(sources, [], ["source"], "k").select("source", "source_size", nth.alias("w"))
     # A source without words has limit 0 and so is full from the start.
-    summed = weighed.withColumn("limit", limit).select(
-        "*",
-        F.coalesce(F.sum("limit").over(by_level.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("full"),
-        F.sum("w").over(by_level.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("open_w"),
-        (F.sum("source_size").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) * F.lit(float(share))).alias("budget"),
-    )
-    level = (F.col("budget") - F.col("full")) / F.col("open_w")
-    stops = summed.withColumn("level", level).withColumn("stop", F.col("level") * F.col("w") <= F.col("limit"))
-    final = F.min(F.when(F.col("stop"), F.struct("full", "level"))).over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return stops.withColumn("final", final).select("source", "source_size", F.when(F.col("final").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("final.level") * F.col("w"))).alias("target"))
+    rising = weighed.withColumn("limit", F.col("source_size") * F.lit(float(most))).withColumn("level", F.col("limit") / F.col("w"))
+    summed = cut(running(rising, ["level", "source"], {"full": "limit", "before": "w"}), "levels")
+    size, all_w = summed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    common = (F.lit(float(size) * share) - F.col("full")) / (F.lit(all_w) - F.col("before"))
+    stop = summed.withColumn("common", common).where(F.col("common") * F.col("w") <= F.col("limit")).agg(F.min(F.struct("full", "common"))).first()[0]
+    target = F.col("limit") if stop is None else F.least("limit", F.lit(stop.common) * F.col("w"))
+    return summed.select("source", "source_size", target.alias("target"))
+
+
+def rate(most: float) -> Column:
+    """The rate of a document from its size and its source's multiplier; null multiplier: the source is taken `most` times."""
+    tilted = F.least(F.lit(float(most)), F.exp(F.col("m") * F.col("size")))
+    return F.when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.coalesce(tilted, F.lit(float(most))))
 
 
-def balance(cells: DataFrame, goal: DataFrame, tolerance: float = 1e-9, max_steps: int = 40) -> DataFrame:
-    """(source, source_size, target, rate): Newton's iterations on the dual.
+def balance(cells: DataFrame, goal: DataFrame, most: float = 2.0, tolerance: float = 1e-9, max_steps: int = 60) -> DataFrame:
+    """(source, source_size, target, m): the multipliers by Newton's iterations on the dual.
 
-    cells: (source, size, n). Every step sums the tilted sizes by source over the cells, map-side first, and moves each
-    multiplier by (target - total) / total. It stops when no source is off by more than the tolerance.
-    Rates are rounded at the eleventh place, so the order in which Spark adds cannot show in them.
-    A source whose target is zero gets rate zero; one without words gets rate one, which costs nothing.
+    cells: (source, size, n). Every step sums by source over the cells, map-side first, the tilted sizes and the slope of
+    that total, and moves each multiplier by the step on the total's logarithm. The root lies between 0 and what
+    the smallest document alone would need; a step that would leave what is known to hold the root goes to its middle.
+    It stops when no source is off by more than the tolerance, or its bracket has closed.
+    A source whose target is `most` times its size has no finite multiplier: null. One without words gets 0.
     """
-    state = goal.withColumn("m", F.lit(0.0))
+    goal = goal.join(cells.where("size > 0").groupBy("source").agg(F.min("size").alias("least")), "source", "left")
+    ratio = F.try_divide("target", F.col("source_size").cast("double"))
+    full = (F.col("target") > 0) & (ratio >= most * (1 - 1e-12))
+    end = F.when(ratio > 1, F.lit(math.log(most))).otherwise(F.log(ratio)) / F.col("least")
+    settled = F.coalesce((F.col("target") <= 0) | (F.col("source_size") <= 0) | full, F.lit(True))
+    state = goal.select("source", "source_size", "target", F.when(full, None).otherwise(0.0).alias("m"), F.least(F.lit(0.0), end).alias("low"), F.greatest(F.lit(0.0), end).alias("high"), settled.alias("done"))
+    state = cut(state, "dual")
     for _ in range(max_steps):
-        tilted = cells.join(state.select("source", "m"), "source").groupBy("source").agg(F.sum(F.col("n") * F.col("size") * F.exp("m")).alias("total"))
-        step = F.when((F.col("total") > 0) & (F.col("target") > 0), (F.col("target") - F.col("total")) / F.col("total")).otherwise(F.lit(0.0))
-        state = cut(state.join(tilted, "source", "left").select("source", "source_size", "target", (F.col("m") + step).alias("m"), F.abs(step).alias("off")), "dual")
-        worst = state.agg(F.max("off")).first()[0]
-        state = state.drop("off")
-        if worst is None or worst <= tolerance:
+        if state.where("not done").isEmpty():
             break
-    return state.select("source", "source_size", "target", F.when((F.col("target") <= 0) & (F.col("source_size") > 0), F.lit(0.0)).otherwise(F.round(F.exp("m"), 11)).alias("rate"))
+        open_ = state.where("not done").select("source", "m")
+        r = F.exp(F.col("m") * F.col("size"))
+        slope = F.when(r < most, F.col("n") * F.col("size") * F.col("size") * r).otherwise(F.lit(0.0))
+        sums = cells.join(open_, "source").groupBy("source").agg(F.sum(F.col("n") * F.col("size") * F.least(r, F.lit(float(most)))).alias("total"), F.sum(slope).alias("slope"))
+        moved = state.join(sums, "source", "left")
+        above = F.col("total") > F.col("target")
+        low, high = F.when(above, F.col("low")).otherwise(F.col("m")), F.when(above, F.col("m")).otherwise(F.col("high"))
+        newton = F.col("m") - F.log(F.col("total") / F.col("target")) * F.try_divide("total", "slope")
+        inside = F.coalesce((newton > F.col("lo")) & (newton < F.col("hi")), F.lit(False))
+        near = (F.abs(F.col("total") / F.col("target") - 1) <= tolerance) | (F.col("hi") - F.col("lo") <= F.abs("m") * 1e-14)
+        moved = moved.withColumn("lo", low).withColumn("hi", high).withColumn("next", F.when(near, F.col("m")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2))
+        keep = lambda old, new: F.when(F.col("done"), F.col(old)).otherwise(new).alias(old)
+        state = cut(moved.select("source", "source_size", "target", keep("m", F.col("next")), keep("low", F.col("lo")), keep("high", F.col("hi")), (F.col("done") | near).alias("done")), "dual")
+    # Rounded, so that the order in which Spark adds cannot show.
+    return state.select("source", "source_size", "target", F.bround("m", 13).alias("m"))
 
 
 def plan_copies(cells: DataFrame, rates: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(source, size, n, total): how many copies the documents of each cell get together.
+    """(source, size, n, total): how many copies the documents of each cell get together; rates: source, m, target.
 
     Rounding is cumulative over the sizes of a source, longest first, so errors don't add up. What is left at the end
     (half a long document at most) is then made up, pass by pass: the cells that fit, longest first, together give or
@@ -80,7 +102,7 @@ def plan_copies(cells: DataFrame, rates: DataFrame, rounds: int | None = None) -
     Passes go on until no cell fits, or for `rounds`. A cell of n documents keeps between 0 and 2n copies, so no
     document exceeds two.
     """
-    joined = cells.join(rates.select("source", "rate", "target"), "source")
+    joined = cells.join(rates.select("source", "m", "target"), "source").withColumn("rate", rate(2.0))
     down = W.partitionBy("source").orderBy(F.desc("size"))
     wish = F.col("n") * F.col("rate")
     part = wish - F.floor(wish + 1e-9)
@@ -117,9 +139,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     narrow = own.select(F.col(PRE + "source").alias("source"), F.col(PRE + "size").alias("size"))
     cells = cut(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
     goal = cut(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size")), weights, share, most), "targets")
-    rates = cut(balance(cells, goal), "rates")
+    rates = balance(cells, goal, most)
     copies = plan_copies(cells, rates)
-    plan = copies.join(rates, "source")
+    plan = copies.join(rates, "source").withColumn("rate", F.bround(rate(most), 9)).drop("m")
     plan = cut(plan.select(*[F.col(c).alias(PRE + "p_" + c) for c in plan.columns]), "plan")
     h = F.xxhash64(F.col("doc_id").cast("string"), F.col(text).cast("string"))
     salted = own.withColumn(PRE + "h", h).withColumn(PRE + "salt", F.pmod(F.col(PRE + "h"), F.lit(SALTS)).cast("int"))
