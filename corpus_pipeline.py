@@ -1,6 +1,7 @@
 """A training corpus from `documents`: language, near copies, repeated passages, mixing, packing.
 
-Each stage works on all that the one before kept, as Parquet. All but the last return the columns of documents.
+Each stage works on all that the one before kept, as Parquet. All but the last return the columns of documents. Every
+stage gives no rows for an empty table, takes nulls in any column, and carries columns that it does not know along.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import langid, mixing, packing, simhash, suffixes
-from linkloom.session import cut, shared_dir, table
+from linkloom.session import cut, folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter or below the calibrated bound go."""
+    """Documents whose language is recognised; those without a letter (null and empty texts among them) or below the bound go.
+
+    Repeated rows stay or go together. Without labels nothing can be learnt and every text is rejected.
+    """
     marked = langid.identify(docs, langid.fit(docs), into="__language")
     return marked.where(~F.col("__language.rejected")).select(*docs.columns)
 
@@ -41,12 +45,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; null and empty texts have no size and are repeated at the rate of size 0.
+
+    A null source is a source of its own. Repeated rows count each. Ties are settled by hash.
+    """
     return mixing.repeat(mixing.mix(docs), docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids, each a sequence of power-of-two length from one document."""
+    """Pieces of token ids, each a sequence of power-of-two length from one document; null and empty texts: one piece of one id.
+
+    Repeated rows (copies that the mix took) are packed each.
+    """
     return packing.pack(docs)
 
 
@@ -64,10 +74,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; between two of them the rows are written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/linkloom/pipeline-{uuid.uuid4().hex}"
+    docs, where = table(spark, sf_dir, "documents"), f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+            docs.write.parquet(f"{where}/{k}")
+            docs = spark.read.parquet(f"{where}/{k}")
     return docs

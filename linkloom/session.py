@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,17 +30,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = getattr(spark, "_linkloom_dir", None) or tempfile.mkdtemp(prefix="spark-linkloom-", dir="/tmp")
         spark._linkloom_dir = where
     return where.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables, see clean."""
+    return f"{shared_dir(spark)}/linkloom-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; DataFrames that read them can't be used any more."""
+    jvm, where = spark.sparkContext._jvm, folder(spark)
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _kept.pop(where, None)
+
+
+#: By folder: tables written once in this application, by name and input files.
+_kept: dict[str, dict[tuple, DataFrame]] = {}
+
+
+def kept(spark: SparkSession, name: str, inputs: list[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that `make` derives from the inputs: written at its first use, then read as long as the inputs' files are the same."""
+    mine = _kept.setdefault(folder(spark), {})
+    key = (name, *[f for x in inputs for f in sorted(x.inputFiles())])
+    if key not in mine:
+        mine[key] = cut(make(), name)
+    return mine[key]
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: later steps then survive lost executors without recomputing it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import links as L
-from linkloom.session import shared_dir
+from linkloom.session import folder
 
 
 def write_features(rows: DataFrame, split: str, per_file: int = 3072) -> str:
     """Write a feature table by split, small zstd files; returns its folder."""
-    path = f"{shared_dir(rows.sparkSession)}/linkloom/features-{uuid.uuid4().hex}"
+    path = f"{folder(rows.sparkSession)}/features-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").option("maxRecordsPerFile", per_file).partitionBy(split).parquet(path)
     return path
 
@@ -28,7 +28,7 @@ def read_features(spark: SparkSession, path: str, wanted: list[str]) -> DataFram
 
 
 def json_round_trip(rows: DataFrame) -> DataFrame:
-    path = f"{shared_dir(rows.sparkSession)}/linkloom/lines-{uuid.uuid4().hex}"
+    path = f"{folder(rows.sparkSession)}/lines-{uuid.uuid4().hex}"
     rows.write.json(path)
     return rows.sparkSession.read.schema(rows.schema).json(path)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import links as L
-from linkloom.session import shared_dir
+from linkloom.session import folder
 
 
 def landed(spark: SparkSession, folder: str, schema, pattern: str) -> DataFrame:
@@ -21,7 +21,7 @@ def landed(spark: SparkSession, folder: str, schema, pattern: str) -> DataFrame:
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that has landed, through the stream to Parquet, read back. Offsets and state are kept in the shared folder."""
-    spark, at = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/linkloom/stream-{uuid.uuid4().hex}"
+    spark, at = stream.sparkSession, f"{folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
