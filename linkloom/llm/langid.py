@@ -179,10 +179,11 @@ def fit(docs: DataFrame, sample: int = 3000, longest: int = 20_000, folds: int =
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
-    """Adds a struct (lang_pred, score, rejected) read from the whole text; every other column is kept.
+    """Adds a struct (lang_pred, score, rejected) read from the whole text; every other column is kept, but one named as `into` is replaced.
 
     Null text or text without a letter: `und`, score 0, rejected. The model (half a megabyte per language) is
-    broadcast once. Map-only; repeated rows and ties get the same answer (first language by name).
+    broadcast once. Map-only; repeated rows and ties get the same answer (first language by name). Very long texts are read
+    in pieces. Empty table: no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -162,12 +162,14 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "licence") -> DataFrame:
-    """Adds a struct column `into` with the licence findings of each text; every other column is kept.
+    """Adds a struct column `into` with the licence findings of each text; every other column is kept, but one
+    named as `into` is replaced.
 
     labels: base phrases, further notices and identifiers of tag expressions; score: how sure it is that the
     text states a licence; duty: what the licence asks (0 to 5), expressions decide where there are any.
     Null text: as the empty text (no words, no labels, score 0). Ties and repeated rows: each row on its own.
-    Malformed expressions are ignored. Map-only, one automaton per task.
+    Malformed expressions are ignored. Very long texts: one at a time, in linear time. Empty table: no rows. Map-only, one
+    automaton per task.
     """
 
     def find(texts: typing.Iterator[pd.Series]) -> typing.Iterator[pd.DataFrame]:

@@ -47,7 +47,10 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """Adds the fingerprint as 16 hex digits; every other column is kept. Null and wordless texts: zeros."""
+    """Adds the fingerprint as 16 hex digits; every other column is kept, but one named as `into` is replaced.
+
+    Null and wordless texts: zeros. Repeated rows: each on its own. Empty table: no rows.
+    """
 
     def read(texts: pd.Series) -> pd.Series:
         return pd.Series([f"{fingerprint(x):016x}" for x in texts])
@@ -81,15 +84,17 @@ def node_keys(f: Column, differ: int) -> Column:
     return F.array(*out)
 
 
-def finer_keys(f: Column, key: Column, differ: int) -> Column:
-    """Keys for members of a crowded node: its key with one block of a second tiling of the bits, differ + 1 blocks.
+def finer_keys(f: Column, key: Column, differ: int, turn: int = 0) -> Column:
+    """Keys for members of a crowded node: its key with one block of a further tiling of the bits, differ + 1 blocks.
 
-    At most `differ` of the blocks can hold a difference, so two linked members still share one of these keys.
+    At most `differ` of the blocks can hold a difference, so two linked members still share one of these keys. Every turn
+    tiles the bits from another place on.
     """
-    n = differ + 1
+    n, by = differ + 1, 5 * turn % BITS
+    turned = F.shiftleft(f, by).bitwiseOR(F.shiftrightunsigned(f, BITS - by)) if by else f
     widths = [BITS // n + (i < BITS % n) for i in range(n)]
     spans = [(BITS - end, w) for end, w in zip(accumulate(widths), widths)]
-    return F.array(*[F.xxhash64(key, F.lit(i), _block(f, s)) for i, s in enumerate(spans)])
+    return F.array(*[F.xxhash64(key, F.lit(turn), F.lit(i), _block(turned, s)) for i, s in enumerate(spans)])
 
 
 def gray_rank(f: np.ndarray) -> np.ndarray:
@@ -222,6 +227,26 @@ def crowded(reps: DataFrame, differ: int, most: int) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
+def divided(routed: DataFrame, many: DataFrame | None, differ: int, most: int, turns: int = 6) -> DataFrame:
+    """(key, f, rep) with the nodes in `many` divided by further blocks, and those again, until none has over `most` members.
+
+    Every turn fixes some 13 more of the bits that members share. Even where all members lie around one text, each new
+    node holds less than half of them, so the largest shrinks faster than the number of keys grows.
+    """
+    small = []
+    for turn in range(turns):
+        if many is None:
+            break
+        small.append(routed.join(many, "key", "left_anti"))
+        inside = routed.join(many, "key", "left_semi")
+        routed = cut(inside.select(F.explode(finer_keys(F.col("f"), F.col("key"), differ, turn)).alias("key"), "f", "rep"), "inside")
+        found = cut(routed.groupBy("key").count().where(F.col("count") > most).select("key"), "crowded")
+        many = None if found.isEmpty() else found
+    for x in small:
+        routed = routed.unionByName(x)
+    return routed
+
+
 def near_duplicates(docs: DataFrame, differ: int = 4, most: int = 50_000) -> DataFrame:
     """Each document's fingerprint and group: (doc_id, fingerprint, component_id).
 
@@ -235,10 +260,7 @@ def near_duplicates(docs: DataFrame, differ: int = 4, most: int = 50_000) -> Dat
     marked = cut(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "fingerprint"), "marked")
     reps = cut(marked.withColumn("f", signed("fingerprint")).groupBy("f").agg(F.min("doc_id").alias("rep")), "reps")
     named = reps.where("rep is not null")
-    routed = named.select(F.explode(node_keys(F.col("f"), differ)).alias("key"), "f", "rep")
-    if (many := crowded(named, differ, most)) is not None:
-        inside = routed.join(many, "key", "left_semi").select(F.explode(finer_keys(F.col("f"), F.col("key"), differ)).alias("key"), "f", "rep")
-        routed = routed.join(many, "key", "left_anti").unionByName(inside)
+    routed = divided(named.select(F.explode(node_keys(F.col("f"), differ)).alias("key"), "f", "rep"), crowded(named, differ, most), differ, most)
     grouped = components(links(routed, differ))
     final = reps.join(grouped, reps.rep == grouped.node, "left").select("f", F.coalesce("component", "rep").alias("component_id"))
     return marked.withColumn("f", signed("fingerprint")).join(final, "f").select("doc_id", "fingerprint", "component_id")

@@ -15,7 +15,7 @@ import typing
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.textops import groups, mix, utf8
@@ -118,19 +118,23 @@ def anchors(data: list[bytes], length: int) -> typing.Iterator[tuple[int, np.nda
             yield row, place[mine] + shift, h[place[mine]].view(np.int64), first[mine] + shift, last[mine] + shift
 
 
+def text_key(text: str = "text") -> Column:
+    """128 bits of the text's SHA-256: equal keys are equal texts at any size of collection."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """key: 64-bit hash of the text; null texts count as empty."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(body).alias("key"), body.alias("body"))
+    """key: what texts are told apart by (text_key); null texts count as empty."""
+    return docs.select(text_key(text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
 
 
 def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data = [utf8(x) for x in batch.column(1).to_pylist()]
-            keys = batch.column(0).to_numpy()
+            keys = batch.column(0)
             for row, place, h, _, _ in anchors(data, length):
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), keys[row])), pa.array(place)], ["anchor", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.repeat(keys[row], len(h)), pa.array(place)], ["anchor", "key", "at"])
 
     def merged(batches):
         """Few larger batches."""
@@ -144,7 +148,7 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return keyed.mapInArrow(merged, "anchor long, key long, at long")
+    return keyed.mapInArrow(merged, "anchor long, key binary, at long")
 
 
 def repeats_in_columns(owner: np.ndarray, symbols: np.ndarray, length: int) -> np.ndarray:
@@ -204,8 +208,8 @@ def _matched(stretches: DataFrame, length: int, batch_rows: int = 4096) -> DataF
         if not len(row):
             return None
         at = np.array([x[2] for x in part], np.int64)[row] - reach
-        key = np.array([x[1] for x in part], np.int64)[row]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(at + begin), pa.array(at + end - 1 + length)], ["key", "start", "end"])
+        key = [part[i][1] for i in row]
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(at + begin), pa.array(at + end - 1 + length)], ["key", "start", "end"])
 
     def run(batches):
         part: list[tuple] = []
@@ -222,7 +226,7 @@ def _matched(stretches: DataFrame, length: int, batch_rows: int = 4096) -> DataF
         if part and (found := emit(part)) is not None:
             yield found
 
-    return stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "key long, start long, end long")
+    return stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "key binary, start long, end long")
 
 
 def _matched_by_string(strings: DataFrame) -> DataFrame:
@@ -264,11 +268,11 @@ def covered(docs: DataFrame, text: str = "text", length: int = 200, most: int =
                 yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["anchor", "key", "at", "first", "data", "digest"])
 
     # All columns of texts, so that this join and the one that ends the work read one shuffle of the texts.
-    found = texts.join(places, "key").select("key", "body", "places", "copies").mapInArrow(stretch, "anchor long, key long, at long, first long, data binary, digest binary")
+    found = texts.join(places, "key").select("key", "body", "places", "copies").mapInArrow(stretch, "anchor long, key binary, at long, first long, data binary, digest binary")
     spans = _matched(found.where("data is not null").select("anchor", "key", "at", "first", "data"), length)
     if not often.where(F.col("n") > most).isEmpty():
         strings = found.where("digest is not null").select("anchor", (F.col("at") - F.col("first")).alias("place"), "digest", "key", F.col("first").alias("start"), (F.col("first") + length).alias("end"))
@@ -304,7 +308,9 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = 200, most:
     another; overlapping strings count, and all are judged on the input. Join on `text_key`.
     Null text: as empty, nothing removed. Exact copies are handled once; if there are two or more and they are long
     enough, all their bytes go. Anchors with over `most` occurrences are compared string by string through counts
-    that are added up before they are moved. Very long texts are read in pieces.
+    that are added up before they are moved. Very long texts are read in pieces. Repeated rows: one row a distinct
+    text. Strings that tie in their anchor's hash take the last place, in every copy alike. Empty table: no rows. Other
+    columns are not read.
     """
     texts, spans = covered(docs, text, length, most)
     joined = texts.join(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "key", "left").select("key", "body", "copies", "spans")
@@ -334,14 +340,10 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = 200, most:
                 left = b"".join(kept)
                 rows.append((key, len(data), removed, runs, left.decode("utf-8", "ignore") if texts_too else None, hashlib.sha256(left).hexdigest()))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return joined.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string")
-
-
-def text_key(text: str = "text"):
-    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return joined.mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string")
 
 
 def report(docs: DataFrame, text: str = "text", length: int = 200, most: int = 60_000) -> DataFrame:

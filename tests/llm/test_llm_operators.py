@@ -160,9 +160,8 @@ def test_index_loses_no_link(spark, most):
     routed = reps.select(F.explode(simhash.node_keys(F.col("f"), 4)).alias("key"), "f", "rep")
     many = simhash.crowded(reps, 4, most)
     assert (many is None) == (most == 50_000)
-    if many is not None:
-        inside = routed.join(many, "key", "left_semi").select(F.explode(simhash.finer_keys(F.col("f"), F.col("key"), 4)).alias("key"), "f", "rep")
-        routed = routed.join(many, "key", "left_anti").unionByName(inside)
+    routed = simhash.divided(routed, many, 4, most)
+    assert routed.groupBy("key").count().agg({"count": "max"}).first()[0] <= max(most, 20)
     parent = list(range(len(prints)))
     rows = simhash.links(routed, 4).collect()
     for _ in range(30):
@@ -180,6 +179,18 @@ def test_close_pairs_equal_all_pairs():
     assert found == {(i, j) for j in range(len(f)) for i in range(j) if run[i] == run[j] and int(f[i] ^ f[j]).bit_count() <= 4}
 
 
+def test_columns_named_as_a_result_are_replaced_and_others_kept(spark):
+    rows = [(1, "mit license one", "a", "b", "c", "d", 7), (None, None, "a", "b", "c", "d", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, language string, licence string, fingerprint string, media string, n_bytes int")
+    model = langid.train([("the one", "en"), ("el uno", "es")])
+    for out, new in ((langid.identify(docs, model), {"language"}), (licenses.scan(docs), {"licence"}), (simhash.with_fingerprint(docs), {"fingerprint"}), (media.store_texts(docs), {"media", "n_bytes"})):
+        assert out.columns == docs.columns and out.count() == 2
+        first = out.where("doc_id = 1").first()
+        assert all((first[c] == rows[0][i]) == (c not in new) for i, c in enumerate(docs.columns))
+    wide = docs.select("*", *[docs.text.alias(c) for c in ("size", "rate", "key", "copies", "kept", "spans", "h", "n", "row")])
+    assert mixing.mix(wide).columns[: len(wide.columns)] == wide.columns and lm.score(wide).count() == simhash.near_duplicates(wide).count() == 2
+
+
 def test_near_duplicates_odd_rows(docs, none):
     got = simhash.near_duplicates(docs)
     assert got.count() == docs.count() and got.columns == ["doc_id", "fingerprint", "component_id"]

@@ -67,6 +67,15 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, path).count() == kept[-1]
 
 
+def test_empty_table(spark, folder, tmp_path):
+    path, *_ = folder
+    spark.read.parquet(f"{path}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_one_row_of_each_group_of_near_copies(spark):
     """Repeated rows, an id on two texts and copies without an id: each group keeps one row, each text stays once."""
     one, two, three, four = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "bird", "cedar", "dune"))
