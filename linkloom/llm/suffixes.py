@@ -119,8 +119,12 @@ def anchors(data: list[bytes], length: int) -> typing.Iterator[tuple[int, np.nda
 
 
 def text_key(text: str = "text") -> Column:
-    """128 bits of the text's SHA-256: equal keys are equal texts at any size of collection."""
-    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+    """128 bits of the text's SHA-256: equal keys are equal texts at any size of collection.
+
+    Spark must know that it is never null, or it filters nulls before one of two joins and shuffles the texts twice.
+    """
+    digest = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+    return F.coalesce(digest, F.lit(bytearray(16)))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
