@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_TAGS = 6000
-MAX_WORDS = 6000
 #: Very common words that say nothing about a page.
 STOPWORDS = (
     "the and for you your with this that from are was were will have has not but all can our out get more new one use any may who how its their they them there here what when where which while been about into over also than then these those such only other some very just most each per via "
@@ -32,8 +30,13 @@ ASKS = {
 }
 
 
-def tags(html: Column) -> Column:
-    return F.slice(F.transform(F.regexp_extract_all(html, F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1), lambda t: F.lower(t)), 1, MAX_TAGS)
+def first(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
+def tags(html: Column, most: int | None = None) -> Column:
+    """Names of all opening tags in order, or of the first `most`."""
+    return first(F.transform(F.regexp_extract_all(html, F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1), lambda t: F.lower(t)), most)
 
 
 def visible_text(html: Column) -> Column:
@@ -46,9 +49,9 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 
-def words(text: Column) -> Column:
-    """Lower-case words of 3 to 30 letters, combining marks kept."""
-    return F.slice(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: F.length(w).between(3, 30)), 1, MAX_WORDS)
+def words(text: Column, most: int | None = None) -> Column:
+    """Lower-case words of 3 to 30 letters, combining marks kept; all of them or the first `most`."""
+    return first(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: F.length(w).between(3, 30)), most)
 
 
 def title(html: Column) -> Column:

@@ -15,26 +15,18 @@ def shingles(tokens: Column, k: int) -> Column:
 
 
 def simhash(df: DataFrame, key: str, items: str, into: str) -> DataFrame:
-    """(key, into): strict majority of each bit over the items' 64-bit digests; null under four items.
+    """(key, into): strict majority of each bit over the items' 64-bit digests; null under four items, no row without items.
 
-    The votes of one row are summed in the row's own expressions, so nothing is moved.
+    Keys are unique. Votes are added up two bits to a number, 32 sums in generated code, and first inside each task: what
+    is moved is one row of sums for each key, however many items it has.
     """
-    hashed = df.select(key, F.transform(items, md5_long).alias("h"))
-    bit = lambda b: F.aggregate("h", F.lit(0), lambda a, x: a + F.shiftrightunsigned(x, b).bitwiseAND(F.lit(1).cast("long")).cast("int"))
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        value = value.bitwiseOR(F.when(bit(b) * 2 > F.size("h"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return hashed.select(key, F.when(F.size("h") >= 4, value).alias(into))
-
-
-def simhash_by_votes(df: DataFrame, key: str, items: str, into: str) -> DataFrame:
-    """The same by exploding the items and adding votes up with partial aggregates: for rows with very many items."""
     votes = df.select(key, F.explode(items).alias("i")).select(key, md5_long(F.col("i")).alias("h"))
-    ones = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64)]
-    summed = votes.groupBy(key).agg(F.count("*").alias("n"), *ones)
+    both = F.lit(0x100000001).cast("long")
+    summed = votes.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(both)).alias(f"b{b}") for b in range(32)])
     value = F.lit(0).cast("long")
     for b in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        ones = F.shiftrightunsigned(f"b{b - 32}", 32) if b > 31 else F.col(f"b{b}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+        value = value.bitwiseOR(F.when(ones * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
     return summed.select(key, F.when(F.col("n") >= 4, value).alias(into))
 
 

@@ -28,30 +28,45 @@ def signed(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def balance_round(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(probe, src, dst, votes): votes of triangles i>j, j>k, i>k with one unknown link and one unlabelled site, added up."""
-    e = edges.select("probe", F.col("src").alias("i"), F.col("dst").alias("j"), F.col("sign").alias("s1"))
-    f = edges.select("probe", F.col("src").alias("j"), F.col("dst").alias("k"), F.col("sign").alias("s2"))
-    g = edges.select("probe", F.col("src").alias("i"), F.col("dst").alias("k"), F.col("sign").alias("s3"))
-    t = e.join(f, ["probe", "j"]).where("i <> k").join(g, ["probe", "i", "k"])
-    t = t.where("int(s1 = 0) + int(s2 = 0) + int(s3 = 0) = 1")
-    lab = lambda c, n: labels.select("probe", F.col("site").alias(c), F.col("label").alias(n))
-    t = t.join(lab("i", "li"), ["probe", "i"]).join(lab("j", "lj"), ["probe", "j"]).join(lab("k", "lk"), ["probe", "k"]).where("int(li = 0) + int(lj = 0) + int(lk = 0) = 1")
+    """(probe, src, dst, votes): votes of triangles i>j, j>k, i>k with one unknown link and one unlabelled site, added up.
+
+    Triangles are found once each among pairs of linked sites, from the end with fewer neighbours, so a hub's pairs are never
+    all listed; each is then read in its six directions.
+    """
+    ab, ba = F.when(F.col("src") < F.col("dst"), F.col("sign")), F.when(F.col("src") > F.col("dst"), F.col("sign"))
+    pairs = edges.groupBy("probe", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(ab).alias("ab"), F.max(ba).alias("ba"))
+    sites = pairs.select("probe", F.explode(F.array("a", "b")).alias("site")).groupBy("probe", "site").agg(F.count("*").alias("d")).join(labels.select("probe", "site", "label"), ["probe", "site"])
+    end = lambda c: sites.select("probe", F.col("site").alias(c), F.struct("d", "site", "label").alias("e" + c))
+    known = cut(pairs.join(end("a"), ["probe", "a"]).join(end("b"), ["probe", "b"]), "pairs")
+    low, up = F.struct("ea", "eb", F.col("ab").alias("there"), F.col("ba").alias("back")), F.struct(F.col("eb").alias("ea"), F.col("ea").alias("eb"), F.col("ba").alias("there"), F.col("ab").alias("back"))
+    o = known.select("probe", F.when(F.col("ea") < F.col("eb"), low).otherwise(up).alias("o")).select("probe", F.col("o.ea.site").alias("u"), F.col("o.ea.label").alias("lu"), F.col("o.eb.site").alias("v"), F.col("o.eb.label").alias("lv"), "o.there", "o.back")
+    side = lambda s: o.select("probe", "u", "lu", F.col("v").alias(s), F.col("lv").alias("l" + s), F.col("there").alias("u" + s), F.col("back").alias(s + "u"))
+    wedge = side("x").join(side("y").drop("lu"), ["probe", "u"]).where("x < y")
+    t = wedge.join(pairs.select("probe", F.col("a").alias("x"), F.col("b").alias("y"), F.col("ab").alias("xy"), F.col("ba").alias("yx")), ["probe", "x", "y"])
+    t = t.where("int(lu = 0) + int(lx = 0) + int(ly = 0) = 1")
+    way = lambda i, j, k: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(k).alias("k"), F.col(i + j).alias("s1"), F.col(j + k).alias("s2"), F.col(i + k).alias("s3"))
+    ways = F.array(*[way(i, j, k) for i, j, k in (("u", "x", "y"), ("u", "y", "x"), ("x", "u", "y"), ("x", "y", "u"), ("y", "u", "x"), ("y", "x", "u"))])
+    t = t.select("probe", F.explode(ways).alias("w")).select("probe", "w.*").where("int(s1 = 0) + int(s2 = 0) + int(s3 = 0) = 1")
     product = F.when(F.col("s1") == 0, 1).otherwise(F.col("s1")) * F.when(F.col("s2") == 0, 1).otherwise(F.col("s2")) * F.when(F.col("s3") == 0, 1).otherwise(F.col("s3"))
     src = F.when(F.col("s2") == 0, F.col("j")).otherwise(F.col("i"))
     dst = F.when(F.col("s1") == 0, F.col("j")).otherwise(F.col("k"))
     return t.select("probe", src.alias("src"), dst.alias("dst"), product.alias("v")).groupBy("probe", "src", "dst").agg(F.sum("v").alias("votes"))
 
 
-def infer(edges: DataFrame, labels: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """Unknown signs filled in round by round until none changes: probe, src, dst, sign, inferred."""
+def infer(edges: DataFrame, labels: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """Unknown signs filled in round by round until none changes: probe, src, dst, sign, inferred.
+
+    A round settles a link for good, so rounds end; should they outlast `max_rounds`, that is an error, not a result.
+    """
     cur = cut(edges.withColumn("inferred", F.lit(False)), "signs")
     for _ in range(max_rounds):
         votes = balance_round(cur, labels).where("votes <> 0")
-        new = cut(cur.join(votes, ["probe", "src", "dst"], "left").select("probe", "src", "dst", F.when((F.col("sign") == 0) & F.col("votes").isNotNull(), F.signum("votes").cast("int")).otherwise(F.col("sign")).alias("sign"), (F.col("inferred") | ((F.col("sign") == 0) & F.col("votes").isNotNull())).alias("inferred"), ((F.col("sign") == 0) & F.col("votes").isNotNull()).alias("fresh")), "signs")
+        fresh = (F.col("sign") == 0) & F.col("votes").isNotNull()
+        new = cut(cur.join(votes, ["probe", "src", "dst"], "left").select("probe", "src", "dst", F.when(fresh, F.signum("votes").cast("int")).otherwise(F.col("sign")).alias("sign"), (F.col("inferred") | fresh).alias("inferred"), fresh.alias("fresh")), "signs")
         cur = new.drop("fresh")
         if new.where("fresh").isEmpty():
-            break
-    return cur
+            return cur
+    raise RuntimeError(f"signs did not settle in {max_rounds} rounds")
 
 
 def judged(edges: DataFrame, labels: DataFrame, probes: DataFrame) -> DataFrame:

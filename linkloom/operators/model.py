@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkloom.operators.ranking import running
 from linkloom.session import cut
 
 
@@ -51,23 +54,40 @@ def gain_shares(model, spark, names: list[str], top: int = 15) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, share double").orderBy(F.desc("share"), "feature").limit(top)
 
 
-def score(rows: DataFrame, nodes: DataFrame, key: str = "id", depth: int = 12) -> DataFrame:
-    """key, raw, steps: the sum of leaves, and each step's change of value by feature; steps and roots add up to raw.
+def score(rows: DataFrame, nodes: DataFrame, key: str = "id", most_nodes: int = 200_000) -> DataFrame:
+    """key, raw, roots, steps: the sum of leaves, that of roots, and what each feature on the paths adds; roots and steps add up to raw.
 
-    Rows walk all trees at once, one level per join with the node table (a bounded dimension); a value equal to a
-    threshold goes left.
+    A value equal to a threshold goes left. The trees are a model of bounded size (`most_nodes`, an error beyond) that
+    every task holds once; rows walk all trees in Arrow batches and are not moved.
     """
-    tree = F.broadcast(nodes)
-    at = rows.crossJoin(F.broadcast(nodes.where("node = 0").select("tree", F.col("v").alias("root"), "f", "t", "l", "r", "v"))).select(key, "features", "tree", "root", "f", "t", "l", "r", "v", F.array().cast("array<struct<f:int,d:double>>").alias("steps"))
-    for _ in range(depth):
-        next_ = F.when(F.col("f") < 0, -1).when(F.get("features", F.col("f")) <= F.col("t"), F.col("l")).otherwise(F.col("r"))
-        moved = at.withColumn("next", next_)
-        child = tree.select(F.col("tree").alias("ct"), F.col("node").alias("cn"), F.col("f").alias("cf"), F.col("t").alias("ctt"), F.col("l").alias("cl"), F.col("r").alias("cr"), F.col("v").alias("cv"))
-        j = moved.join(child, (F.col("tree") == F.col("ct")) & (F.col("next") == F.col("cn")), "left")
-        step = F.when(F.col("cn").isNotNull(), F.concat("steps", F.array(F.struct("f", (F.col("cv") - F.col("v")).alias("d"))))).otherwise(F.col("steps"))
-        keep = lambda new, old: F.coalesce(F.col(new), F.col(old))
-        at = j.select(key, "features", "tree", "root", step.alias("steps"), F.when(F.col("cn").isNull(), -1).otherwise(F.col("cf")).alias("f"), keep("ctt", "t").alias("t"), keep("cl", "l").alias("l"), keep("cr", "r").alias("r"), keep("cv", "v").alias("v"))
-    return at.groupBy(key).agg(F.sum("v").alias("raw"), F.sum("root").alias("roots"), F.flatten(F.collect_list("steps")).alias("steps"))
+    table = nodes.limit(most_nodes + 1).toPandas().sort_values(["tree", "node"])
+    if len(table) > most_nodes:
+        raise ValueError(f"the model has over {most_nodes} nodes")
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        trees = [t.set_index("node").reindex(range(t["node"].max() + 1), fill_value=-1) for _, t in sent.value.groupby("tree")]
+        trees = [tuple(t[c].to_numpy() for c in ("f", "t", "l", "r", "v")) for t in trees]
+        for batch in batches:
+            x = np.array(batch["features"].tolist(), float).reshape(len(batch), -1)
+            raw, roots, push, met = np.zeros(len(x)), 0.0, {}, {}
+            for f, t, left, right, v in trees:
+                at, every = np.zeros(len(x), int), np.arange(len(x))
+                roots += v[0]
+                while (open_ := every[f[at] >= 0]).size:
+                    now = at[open_]
+                    to = np.where(x[open_, f[now]] <= t[now], left[now], right[now])
+                    for k in np.unique(f[now]):
+                        mine = open_[f[now] == k]
+                        push.setdefault(k, np.zeros(len(x)))[mine] += (v[to] - v[now])[f[now] == k]
+                        met.setdefault(k, np.zeros(len(x), bool))[mine] = True
+                    at[open_] = to
+                raw += v[at]
+            steps = [[{"f": int(k), "d": float(push[k][i])} for k in sorted(push) if met[k][i]] for i in range(len(x))]
+            yield pd.DataFrame({key: batch[key], "raw": raw, "roots": roots, "steps": steps})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "features").mapInPandas(run, f"{key} {kind}, raw double, roots double, steps array<struct<f:int,d:double>>")
 
 
 def causes(scored: DataFrame, key: str = "id", top: int = 4, least: float = 0.05) -> DataFrame:
@@ -86,16 +106,32 @@ def say(p: Column, rule: Column, backing: Column, trusted: Column, shared: Colum
     return F.when((x > 0) & trusted, 0).when((x > 0) & (backing < 8), F.greatest(F.lit(0), F.least(x, F.lit(20), F.lit(30) - rule))).when((x > 0) & shared, F.least(x, F.lit(20))).otherwise(x)
 
 
-def auc(rows: DataFrame, grid: int = 10_000) -> DataFrame:
-    """One row: ROC AUC with mean ranks of ties, and average precision. rows: y (0/1), p in 0..1, on a grid of `grid` steps.
+def auc(rows: DataFrame) -> DataFrame:
+    """One row: ROC AUC with mean ranks of ties, and average precision. rows: y (0/1), p.
 
-    Counts per step come from one aggregate; only those, `grid` + 1 at most, are put in order.
+    Rows are counted by value of p, and the counts added up from above over range partitions, so p may take any number of values.
     """
-    c = rows.groupBy(F.round(F.col("p") * grid).cast("int").alias("g")).agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
-    down = W.orderBy(F.desc("g"))
-    run = c.select("a", "b", F.sum("a").over(down).alias("ta"), F.sum("b").over(down).alias("tb"))
-    s = run.agg(F.sum(F.col("b") * (F.col("ta") - F.col("a") / 2)).alias("u"), F.sum("a").alias("A"), F.sum("b").alias("B"), F.sum(F.col("a") * F.col("ta") / (F.col("ta") + F.col("tb"))).alias("ap"))
-    return s.select((F.col("u") / (F.col("A") * F.col("B"))).alias("roc_auc"), (F.col("ap") / F.col("A")).alias("pr_auc"))
+    c = rows.groupBy((-F.col("p")).alias("down")).agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
+    run = running(c, ["down"], {"ra": "a", "rb": "b"}).withColumn("ta", F.col("ra") + F.col("a")).withColumn("tb", F.col("rb") + F.col("b"))
+    s = run.agg(F.sum(F.col("b") * (F.col("ta") - F.col("a") / 2)).alias("u"), F.sum("a").alias("A"), F.sum("b").alias("B"), F.sum(F.try_divide(F.col("a") * F.col("ta"), F.col("ta") + F.col("tb"))).alias("ap"))
+    return s.select(F.try_divide(F.col("u"), F.col("A") * F.col("B")).alias("roc_auc"), F.try_divide("ap", "A").alias("pr_auc"))
+
+
+def furthest(a: DataFrame, b: DataFrame, key: str = "id", value: str = "p") -> DataFrame:
+    """rows, worst: how many rows two scorers share and their largest difference."""
+    return a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key).agg(F.count("*").alias("rows"), F.max(F.abs(F.col("x") - F.col("y"))).alias("worst"))
+
+
+def rated(rows: DataFrame) -> DataFrame:
+    """Adds total and free: rule score plus the model's points with and without the limits, in 0..100.
+
+    rows: p, rule, backing, trusted, shared. Without limits the page counts as backed; trusted sites stay as they are.
+    """
+    clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), x))
+    c = {n: F.col(n) for n in ("p", "rule", "backing", "trusted", "shared")}
+    bound = say(c["p"], c["rule"], c["backing"], c["trusted"], c["shared"])
+    free = say(c["p"], c["rule"], F.lit(100), F.lit(False), F.lit(False))
+    return rows.withColumn("total", clamp(c["rule"] + bound)).withColumn("free", clamp(c["rule"] + free))
 
 
 def report(scored: DataFrame, cutoffs: list[int]) -> DataFrame:

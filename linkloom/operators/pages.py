@@ -10,8 +10,48 @@ from linkloom.functions import html as H
 from linkloom.functions import links as L
 
 SKIPPED_KINDS = ("hidden", "submit", "button", "image", "reset", "checkbox", "radio")
-#: Fixed values: (header, text in its value, technology).
-HEADER_RULES = [("server", "cloudflare", "Cloudflare"), ("server", "nginx", "nginx"), ("server", "apache", "Apache"), ("x-powered-by", "php", "PHP"), ("x-powered-by", "express", "Express")]
+#: Fixed values: (technology, header, text in its value; "" for any value).
+HEADER_RULES = [
+    ("Cloudflare", "cf-ray", ""),
+    ("Cloudflare", "server", "cloudflare"),
+    ("Vercel", "x-vercel-id", ""),
+    ("Netlify", "x-nf-request-id", ""),
+    ("Amazon CloudFront", "x-amz-cf-id", ""),
+    ("Amazon S3", "server", "amazons3"),
+    ("Fastly", "x-fastly-request-id", ""),
+    ("Fastly", "x-served-by", "cache-"),
+    ("GitHub Pages", "server", "github.com"),
+    ("Google Cloud", "server", "google frontend"),
+    ("Firebase Hosting", "x-firebase-hosting", ""),
+    ("Shopify", "x-shopid", ""),
+    ("Wix", "x-wix-request-id", ""),
+    ("nginx", "server", "nginx"),
+    ("Apache", "server", "apache"),
+    ("LiteSpeed", "server", "litespeed"),
+    ("Microsoft IIS", "server", "microsoft-iis"),
+    ("PHP", "x-powered-by", "php"),
+    ("Express", "x-powered-by", "express"),
+    ("ASP.NET", "x-powered-by", "asp.net"),
+    ("ASP.NET", "x-aspnet-version", ""),
+    ("Next.js", "x-powered-by", "next.js"),
+]
+#: Fixed values: (technology, pattern in the html).
+HTML_RULES = [
+    ("WordPress", "/wp-content/|/wp-includes/"),
+    ("Shopify", r"cdn\.shopify\.com"),
+    ("Wix", r"static\.wixstatic\.com"),
+    ("Squarespace", r"static1\.squarespace\.com"),
+    ("Weebly", r"weebly\.com"),
+    ("jQuery", r"jquery(?:\.min)?\.js"),
+]
+#: The html of bot checks, first match wins.
+BOT_CHECKS = [
+    ("Cloudflare challenge", r"challenges\.cloudflare\.com|cf-chl-|cf_chl_|/cdn-cgi/challenge-platform"),
+    ("reCAPTCHA", "google\\.com/recaptcha|recaptcha/api\\.js|class=[\"'][^\"']*g-recaptcha"),
+    ("hCaptcha", "hcaptcha\\.com|class=[\"'][^\"']*h-captcha"),
+]
+#: Fixed value: long runs of base64.
+BLOB = "[A-Za-z0-9+/]{200,}={0,2}"
 SECURITY_HEADERS = ("strict-transport-security", "content-security-policy", "x-frame-options", "x-content-type-options", "referrer-policy")
 
 
@@ -93,11 +133,52 @@ def wallets(text: Column) -> Column:
     return F.filter(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in kinds.items()]), lambda x: x.isNotNull())
 
 
-def technology(rows: DataFrame, key: str, headers: str) -> DataFrame:
-    """(key, technologies in rule order, missing security headers) from a map of lower-cased headers."""
-    found = F.array_distinct(F.filter(F.array(*[F.when(F.lower(F.element_at(headers, h)).contains(v), F.lit(t)) for h, v, t in HEADER_RULES]), lambda x: x.isNotNull()))
+def technology(rows: DataFrame, key: str, headers: str, html: str | None = None) -> DataFrame:
+    """(key, technologies in rule order, missing security headers, generator) from a map of lower-cased headers and the html."""
+    value = lambda h: F.try_element_at(F.col(headers), F.lit(h))
+    hits = [F.when(value(h).isNotNull() & F.lower(value(h)).contains(v), F.lit(t)) for t, h, v in HEADER_RULES]
+    hits += [F.when(F.col(html).rlike("(?i)" + p), F.lit(t)) for t, p in HTML_RULES] if html else []
+    found = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
     missing = F.filter(F.array(*[F.lit(h) for h in SECURITY_HEADERS]), lambda h: ~F.map_contains_key(headers, h))
-    return rows.select(key, found.alias("technologies"), missing.alias("missing"))
+    named = F.nullif(F.trim(F.regexp_extract(F.col(html), "(?i)<meta[^>]+name=[\"']generator[\"'][^>]*content=[\"']([^\"']{1,80})", 1)), F.lit("")) if html else F.lit(None).cast("string")
+    return rows.select(key, found.alias("technologies"), missing.alias("missing"), named.alias("generator"))
+
+
+def refresh_target(html: Column) -> Column:
+    """Where the first meta refresh leads; empty if nowhere."""
+    metas = F.filter(H.elements(html, "meta"), lambda t: F.lower(H.attribute(t, "http-equiv")) == "refresh")
+    return F.coalesce(F.regexp_extract(F.get(metas, F.lit(0)), "(?i)url=([^\"'>]*)", 1), F.lit(""))
+
+
+def declared_icon(html: Column) -> Column:
+    icons = F.filter(H.elements(html, "link"), lambda t: F.lower(H.attribute(t, "rel")).contains("icon"))
+    return F.coalesce(H.attribute(F.get(icons, F.lit(0)), "href"), F.lit(""))
+
+
+def bot_check(html: Column) -> Column:
+    """The vendor of a bot check, null if there is none."""
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(BOT_CHECKS):
+        out = F.when(html.rlike("(?i)" + pattern), name).otherwise(out)
+    return out
+
+
+def blob_share(html: Column) -> Column:
+    """Share of the html that is encoded blobs, three places."""
+    found = F.aggregate(F.regexp_extract_all(html, F.lit(BLOB), 0), F.lit(0), lambda a, x: a + F.length(x))
+    return F.round(found / F.greatest(F.length(html), F.lit(1)), 3)
+
+
+def impersonated(imitated: Column, in_title: Column, top: Column, mentions: Column, named: Column, asks: Column, official: Column) -> Column:
+    """Brands that a page pretends to be: the one its link imitates, those in its title, and the one it is about if it asks for data.
+
+    in_title and official (brands whose real site this is) are arrays of names; named counts the brands mentioned, asks the
+    kinds of data asked for. A page is about a brand that it names at least three times and beside two others at most.
+    """
+    about = F.when((asks > 0) & (mentions >= 3) & (named <= 3), top)
+    empty = F.array().cast("array<string>")
+    claimed = F.filter(F.concat(F.coalesce(in_title, empty), F.array(about)), lambda b: b.isNotNull() & ~F.array_contains(F.coalesce(official, empty), b))
+    return F.array_distinct(F.concat(F.filter(F.array(imitated), lambda b: b.isNotNull()), claimed))
 
 
 def first_mention(df: DataFrame, key: str) -> DataFrame:

@@ -165,11 +165,60 @@ def named(brand: Column, scam_type: Column, title: Column) -> Column:
 
 
 def lookup(probes: DataFrame, library: DataFrame, most: int = 800) -> DataFrame:
-    """(probe, id, ...) candidates of each probe: shared band, structure or icon; family members, then scams, first."""
-    keys = lambda df, who: df.select(F.col("id").alias(who), F.explode(F.concat(F.transform("bands", lambda b: b.cast("string")), F.filter(F.array(F.concat(F.lit("d"), "dom_hash"), F.concat(F.lit("i"), F.col("icon").cast("string"))), lambda x: x.isNotNull()))).alias("key"))
-    hits = keys(probes, "probe").join(keys(library, "id"), "key").where("probe <> id").select("probe", "id").distinct()
-    w = W.partitionBy("probe").orderBy(F.col("family_id").isNull(), F.col("label") != "phish", "id")
-    return hits.join(library.select("id", "family_id", "label", "site"), "id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    """(probe, id, ...) candidates of each probe: shared band, structure or icon; family members, then scams, first.
+
+    Of the pages that share one value only the first `most` + 1 in that order can be among a probe's first `most`, so each
+    value's pages are ranked over partitions before probes meet them: a value that a third of all pages share costs a probe
+    no more than any other.
+    """
+    values = F.concat(F.transform("bands", lambda b: b.cast("string")), F.filter(F.array(F.concat(F.lit("d"), "dom_hash"), F.concat(F.lit("i"), F.col("icon").cast("string"))), lambda x: x.isNotNull()))
+    asked = probes.select(F.col("id").alias("probe"), F.explode(values).alias("key"))
+    known = library.select("id", F.col("family_id").isNull().alias("loose"), (F.col("label") != "phish").alias("tame"), F.explode(values).alias("key"))
+    known = known.join(asked.select("key").distinct(), "key", "left_semi")
+    first = ranked(known, ["key"], ["loose", "tame", "id"], "place").where(F.col("place") <= most + 1)
+    hits = asked.join(first, "key").where("probe <> id").select("probe", "id", "loose", "tame").distinct()
+    w = W.partitionBy("probe").orderBy("loose", "tame", "id")
+    found = hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("loose", "tame")
+    return found.join(library.select("id", "family_id", "label", "site"), "id")
+
+
+def best_first(matches: DataFrame, by: str, other: str = "id") -> DataFrame:
+    """Adds rank: points, then percent, then the lower id. A page's matches are bounded by its candidates."""
+    return matches.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("points"), F.desc("percent"), other)))
+
+
+def verdicts(probes: DataFrame, matches: DataFrame, least: int = 85) -> DataFrame:
+    """One row per probe: status, family_id, percent, scam_matches, copied_site.
+
+    probes: id, title, words and prints (dom_hash, txt, look). matches: probe, rank, label, site, family_id (null if the page is
+    in no family), percent, kinds. skipped: nothing to compare, or a notice; matched: the family of most matches, of
+    equal ones the lowest; similar: scams without a family; copy: wording and `least` percent of an ordinary page; else none.
+    """
+    scam = F.col("label") == "phish"
+    copied = (F.col("label") == "benign") & F.array_contains("kinds", "words") & (F.col("percent") >= least)
+    family = matches.where("family_id is not null").groupBy("probe", "family_id").agg(F.count("*").alias("n"), F.max("percent").alias("p"))
+    family = family.groupBy("probe").agg(F.max_by(F.struct("family_id", "p"), F.struct("n", (-F.col("family_id")).alias("low"))).alias("f"))
+    rest = matches.groupBy("probe").agg(F.count_if(scam).alias("scams"), F.min_by("percent", F.when(scam, F.col("rank"))).alias("alike"), F.min_by(F.struct("site"), F.when(copied, F.col("rank"))).alias("original"))
+    nothing = F.col("dom_hash").isNull() & F.col("txt").isNull() & F.col("look").isNull()
+    rows = probes.select(F.col("id").alias("probe"), (nothing | boilerplate(F.col("title"), F.col("words"))).alias("skip")).join(family, "probe", "left").join(rest, "probe", "left")
+    status = F.when(F.col("skip"), "skipped").when(F.col("f").isNotNull(), "matched").when(F.col("scams") > 0, "similar").when(F.col("original").isNotNull(), "copy").otherwise("none")
+    rows = rows.withColumn("status", status)
+    return rows.select(
+        "probe", "status", F.when(F.col("status") == "matched", F.col("f.family_id")).alias("family_id"),
+        F.when(F.col("status") == "matched", F.col("f.p")).when(F.col("status") == "similar", F.col("alike")).alias("percent"),
+        F.when(F.col("skip"), 0).otherwise(F.coalesce("scams", F.lit(0))).cast("long").alias("scam_matches"), F.when(F.col("status") == "copy", F.col("original.site")).alias("copied_site"),
+    )
+
+
+def same_design(matches: DataFrame, own: DataFrame) -> DataFrame:
+    """(probe, name, why, known_scam): other sites among a probe's matches, one row a name with its best match, scams kept.
+
+    matches: probe, rank, site, label, percent, kinds; own: probe, own_site.
+    """
+    rows = matches.join(own, "probe").where("site is not null and not (site <=> own_site)")
+    alike = described(F.col("kinds"))
+    why = F.concat(F.col("percent").cast("string"), F.lit("% alike"), F.when(alike != "", F.concat(F.lit(": "), alike)).otherwise(""))
+    return rows.withColumn("why", why).groupBy("probe", F.col("site").alias("name")).agg(F.min_by("why", "rank").alias("why"), F.bool_or(F.col("label") == "phish").alias("known_scam"))
 
 
 def described(kinds: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkloom.operators.ranking import ranked
 from linkloom.operators.similar import NOTICE
 
 
@@ -29,24 +30,89 @@ def same_server(probes: DataFrame, library: DataFrame, most: int = 200) -> DataF
     return rows.withColumn("n", F.row_number().over(W.partitionBy("probe").orderBy("site"))).where(F.col("n") <= most).drop("n")
 
 
+HIDDEN_OWNER = "(?i)redacted|privacy|withheld|protect"
+
+
 def same_owner(probes: DataFrame, library: DataFrame, days: int = 2) -> DataFrame:
-    """probe, id: same name servers and registrar, and created within `days` of each other."""
-    p = probes.select(F.col("id").alias("probe"), "ns_key", "registrar", F.col("created").alias("at"))
-    return p.join(library, ["ns_key", "registrar"]).where((F.col("probe") != F.col("id")) & (F.abs(F.datediff("at", "created")) <= days)).select("probe", "id")
+    """probe, id: same name servers and registrar, and created within `days` of each other.
+
+    Both sides carry the period of `days` + 1 days in which they were created, the probe its neighbours too, so a large
+    registrar's domains meet only those of about the same date.
+    """
+    period = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / (days + 1))
+    p = probes.select(F.col("id").alias("probe"), "ns_key", "registrar", F.col("created").alias("at"), F.explode(F.sequence(period("created") - 1, period("created") + 1)).alias("__k"))
+    known = library.withColumn("__k", period("created"))
+    return p.join(known, ["ns_key", "registrar", "__k"]).where((F.col("probe") != F.col("id")) & (F.abs(F.datediff("at", "created")) <= days)).select("probe", "id")
+
+
+def siblings(probes: DataFrame, library: DataFrame, certificates: DataFrame, days: int = 2) -> DataFrame:
+    """(probe, name, why, known_scam): sites with the same registrant, the same registrar, name servers and date, or a common certificate.
+
+    probes: id, site, registrant, ns_key, registrar, created; library: those and scam; certificates: cert, name. Hidden
+    registrants tie nobody together. One row a probe and name; of several ties the first of these three, scams kept.
+    """
+    own = probes.select(F.col("id").alias("probe"), F.col("site").alias("own"), "registrant")
+    named = own.where((F.coalesce(F.trim("registrant"), F.lit("")) != "") & ~F.col("registrant").rlike(HIDDEN_OWNER))
+    sites = library.where("site is not null").groupBy("registrant", "site").agg(F.bool_or("scam").alias("scam"))
+    by_owner = named.join(sites, "registrant").select("probe", "own", "site", "scam", F.lit(1).alias("tie"))
+    near = same_owner(probes, library, days).join(library.select("id", "site", "scam"), "id").join(own.select("probe", "own"), "probe")
+    by_date = near.where("site is not null").select("probe", "own", "site", "scam", F.lit(2).alias("tie"))
+    certs = certificates.select("cert", "name").distinct()
+    shared = own.join(certs, own.own == certs.name).select("probe", "own", "cert").join(certs, "cert").select("probe", "own", F.col("name").alias("site"))
+    marks = library.groupBy("site").agg(F.bool_or("scam").alias("scam"))
+    by_cert = shared.join(marks, "site", "left").select("probe", "own", "site", F.coalesce("scam", F.lit(False)).alias("scam"), F.lit(3).alias("tie"))
+    ties = by_owner.unionByName(by_date).unionByName(by_cert).where("not (site <=> own)").groupBy("probe", F.col("site").alias("name")).agg(F.min("tie").alias("tie"), F.bool_or("scam").alias("known_scam"))
+    why = F.when(F.col("tie") == 1, "registered by the same owner").when(F.col("tie") == 2, "same registrar and name servers, registered within two days").otherwise("on the same certificate")
+    return ties.select("probe", "name", why.alias("why"), "known_scam")
+
+
+def blocks(lo: Column, hi: Column, bits: int = 32) -> Column:
+    """The range as aligned blocks (k, at), 2^k addresses from at * 2^k on; two of each k at most."""
+
+    def of(k: Column) -> Column:
+        left = F.ceil(lo / F.pow(F.lit(2.0), k)).cast("long")
+        right = F.floor((hi + 1) / F.pow(F.lit(2.0), k)).cast("long")
+        take = lambda odd, at: F.when((left < right) & (odd % 2 == 1), F.struct(k.cast("int").alias("k"), at.alias("at")))
+        return F.array(take(left, left), take(right, right - 1))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), of)), lambda x: x.isNotNull())
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, key: str, ip: str, facts: list[str]) -> DataFrame:
     """key and facts of the range that holds the address and starts last. ranges: lo, hi, tie and facts.
 
-    Both sides are dealt by the /8 block, ranges once for each block they touch, so the join is an equal one.
+    Ranges are cut into aligned blocks and addresses look up their block of each size that occurs (33 at most), so the
+    join is an equal one, every hit is a true one, and no address meets the ranges of its neighbourhood.
     """
-    block = lambda c: F.floor(c / 16777216)
-    r = ranges.withColumn("__k", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi")))))
-    hit = rows.withColumn("__k", block(F.col(ip))).join(r, "__k").where(F.col(ip).between(F.col("lo"), F.col("hi")))
+    r = ranges.select("lo", "tie", *facts, F.explode(blocks(F.col("lo"), F.col("hi"))).alias("__b")).select("lo", "tie", *facts, "__b.k", "__b.at")
+    sizes = sorted(x.k for x in r.select("k").distinct().collect())
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(F.col(ip), k).alias("at")) for k in sizes])
+    asked = rows.select(key, F.explode(places).alias("__b")) if sizes else rows.limit(0).select(key, F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("at")).alias("__b"))
+    hit = asked.select(key, "__b.k", "__b.at").join(r, ["k", "at"])
     best = hit.groupBy(key).agg(F.max_by(F.struct(*facts), F.struct("lo", "tie")).alias("m"))
     return best.select(key, "m.*")
 
 
+def longest_prefix(rows: DataFrame, registry: DataFrame, key: str, ip: str, facts: list[str]) -> DataFrame:
+    """key and facts of the narrowest network (net, length) that holds the address; of equal networks the least facts."""
+    lengths = sorted(x.length for x in registry.select("length").distinct().collect())
+    places = F.array(*[F.struct(F.lit(n).alias("length"), F.shiftleft(F.shiftright(F.col(ip), 32 - n), 32 - n).alias("net")) for n in lengths])
+    asked = rows.select(key, F.explode(places).alias("__p")).select(key, "__p.*") if lengths else rows.limit(0).select(key, F.lit(0).alias("length"), F.lit(0).cast("long").alias("net"))
+    one = registry.select(F.col("length").cast("int").alias("length"), F.col("net").cast("long").alias("net"), *facts).groupBy("length", "net").agg(F.min(F.struct(*facts)).alias("f"))
+    return asked.join(one, ["length", "net"]).groupBy(key).agg(F.max_by("f", "length").alias("f")).select(key, "f.*")
+
+
+def interleaved(lists: DataFrame) -> DataFrame:
+    """(link, shared, turn, feed, place): links of several feeds first, then each feed's newest in turn. lists: feed, link, pos.
+
+    Turns inside a feed and the final places are ranks over range partitions, so one feed may hold most links.
+    """
+    turns = ranked(lists, ["feed"], ["pos", "link"], "turn")
+    one = turns.groupBy("link").agg((F.count_distinct("feed") > 1).alias("shared"), F.min(F.struct("turn", "feed")).alias("m"))
+    rows = one.select("link", "shared", "m.turn", "m.feed", (~F.col("shared")).alias("__alone"))
+    return ranked(rows, [], ["__alone", "turn", "feed"], "place").drop("__alone")
+
+
 def merged(base: DataFrame, others: list[DataFrame], key: str, value: str) -> DataFrame:
     """base with later frames laid over it; the last one that has the key wins."""
     out = base.withColumnRenamed(value, "__0")

@@ -9,9 +9,9 @@ from linkloom.functions.html import words as split_words
 from linkloom.operators import similar as S
 from linkloom.plans.page_queries import PRINTS_SQL, fingerprints, shingle_sql, sim_sql
 from linkloom.plans.registry import query
-from linkloom.session import cut, table
+from linkloom.session import cut, kept, table
 
-LIB_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}]+'), lambda w: length(w) between 3 and 30)[:6000]"
+LIB_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}]+'), lambda w: length(w) between 3 and 30)"
 LIB_SQL = (
     f"ld as (select d.doc_id as id, source as site, lang as brand, case when toxic = 1 then 'phish' when quality = 1 then 'benign' else 'unknown' end as label, {LIB_WORDS} as w, n_chars from documents d left join labels l using (doc_id)), "
     f"ls as (select id, {shingle_sql('w', 3)} as s from ld where len(w) >= 12), " + sim_sql("ls", "id", "s", "txt") + ", "
@@ -23,14 +23,18 @@ LIB_SQL = (
 )
 
 def library(spark, sf):
-    """documents and labels in the role of the page library; written once, since several joins read it."""
+    """documents and labels in the role of the page library: the table of prints, made once and then read."""
     d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return kept(spark, "library", [d, lab], lambda: library_rows(d, lab))
+
+
+def library_rows(d, lab):
     base = d.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("source").alias("site"), F.col("lang").alias("brand"), F.when(F.col("toxic") == 1, "phish").when(F.col("quality") == 1, "benign").otherwise("unknown").alias("label"), split_words(F.col("text")).alias("w"), "n_chars",
     )
     txt = P.simhash(base.where(F.size("w") >= 12).select("id", P.shingles(F.col("w"), 3).alias("s")), "id", "s", "txt")
     lib = base.select("id", "site", "brand", "label", F.size("w").alias("words"), "n_chars", F.when(F.size("w") >= 8, F.substring(F.md5(F.array_join(F.slice("w", 1, 8), " ").cast("binary")), 1, 16)).alias("dom_hash"), (F.col("n_chars") % 50).cast("int").alias("icon")).join(txt, "id", "left")
-    return cut(lib.select("*", P.bands(F.col("txt"), 1).alias("bands"), F.lit(None).cast("string").alias("title"), F.lit(20).alias("tags"), F.lit(None).cast("long").alias("dom"), F.lit(None).cast("long").alias("look")), "library")
+    return lib.select("*", P.bands(F.col("txt"), 1).alias("bands"), F.lit(None).cast("string").alias("title"), F.lit(20).alias("tags"), F.lit(None).cast("long").alias("dom"), F.lit(None).cast("long").alias("look"))
 
 
 @query("g01_page_copies", f"with {PRINTS_SQL}, q as (select *, case when txt < 0 then txt::hugeint + 18446744073709551616 else txt::hugeint end as u from prints), p2 as (select x.page_id as a, y.page_id as b, x.host as a_host, y.host as b_host, x.dom_hash is not distinct from y.dom_hash as same, bit_count(xor(x.dom, y.dom)) as sd, bit_count(xor(x.txt, y.txt)) as wd, least(x.tags, y.tags) < 15 as tiny from q x join q y on x.page_id < y.page_id where x.tags >= 15 and y.tags >= 15 and x.words >= 20 and y.words >= 20), s as (select *, case when same then 1.5 when sd <= 3 then 1.25 when sd <= 8 then 0.75 else 0 end as sp, case when wd <= 4 then 2.0 when wd <= 8 then 1.25 when wd <= 12 then 0.5 else 0 end as wp from p2) select a, b, a_host, b_host, round(sp + wp, 2)::double as points, cast(round_even(((case when same then 1.0 else 1 - sd / 64.0 end) + (1 - wd / 64.0)) * 50, 0) as integer) as percent from s where sp > 0 and wp > 0 and sp + wp >= 3.0")
@@ -69,8 +73,9 @@ def j03(spark, sf):
 
 
 def matches(spark, sf, lib):
+    """Matching pairs of the library; made once and then read."""
     icons = S.common_icons(lib)
-    return S.compared(S.pairs(S.buckets(lib, icons), lib), lib, icons).where("match")
+    return kept(spark, "matches", [lib], lambda: S.compared(S.pairs(S.buckets(lib, icons), lib), lib, icons).where("match"))
 
 
 @query("g01_likeness", f"with {LIB_SQL}, {PAIR_SQL} select a, b, round(points, 2)::double as points, k as n_kinds from m")
@@ -132,6 +137,54 @@ def j01(spark, sf):
     return alike.withColumn("rank", F.row_number().over(w)).where("rank <= 12").select(F.col("a").alias("probe"), F.col("b").alias("id"), "points", "percent", "rank")
 
 
+VERDICT_SQL = """fm as (select id, component as fam from mem where component in (select component from fk)),
+k2 as (select id, value as key from (select lib.id, cast((4 + i) * 65536 + ((u >> (16 * i)::integer) & 65535) as varchar) as value from lib join uu using (id), range(4) r(i) union all select id, 'd' || dom_hash from lib where dom_hash is not null union all select id, 'i' || icon from lib)),
+h as (select distinct p.id as probe, l.id from k2 p join k2 l using (key) where p.id % 100 = 0 and p.id <> l.id),
+r as (select probe, h.id, row_number() over (partition by probe order by fam is null, label <> 'phish', h.id) as n from h join lib using (id) left join fm using (id)),
+s as (select probe, r.id, x.dom_hash = y.dom_hash as same, bit_count(xor(x.txt, y.txt)) as d, x.icon = y.icon and x.icon not in (select icon from icons) as ic, y.label, y.site, x.site as own from r join lib x on x.id = probe join lib y on y.id = r.id where n <= 800),
+pt as (select *, round(case when same then 1.5 else 0 end + coalesce(case when d <= 4 then 2.0 when d <= 8 then 1.25 when d <= 12 then 0.5 end, 0) + case when ic then 1.0 else 0 end, 2)::double as points, cast(round_even((case when same then 1.0 else 0 end + coalesce(1 - d / 64.0, 0)) * 100 / (coalesce(same, false)::int + (d is not null)::int), 0) as integer) as percent from s where coalesce(same, false)::int + coalesce(d <= 12, false)::int + coalesce(ic, false)::int >= 2),
+w as (select pt.*, fam, row_number() over (partition by probe order by points desc, percent desc, pt.id) as rank from pt left join fm using (id) where points >= 3.0 and OWN)"""
+STATUS_SQL = """nf as (select probe, fam, count(*) as n, max(percent) as p from w where fam is not null group by all), bf as (select probe, arg_max(fam, (n, -fam)) as fam, arg_max(p, (n, -fam)) as p from nf group by 1),
+rs as (select probe, count(*) filter (label = 'phish') as scams, arg_min(percent, rank) filter (label = 'phish') as alike, count(*) filter (label = 'benign' and d <= 12 and percent >= 85) as originals, arg_min(site, rank) filter (label = 'benign' and d <= 12 and percent >= 85) as original from w group by 1),
+v as (select lib.id as probe, bf.fam, bf.p, coalesce(scams, 0) as scams, alike, original, case when (dom_hash is null and txt is null) or words < 20 then 'skipped' when bf.fam is not null then 'matched' when scams > 0 then 'similar' when originals > 0 then 'copy' else 'none' end as status from lib left join bf on bf.probe = id left join rs on rs.probe = id where id % 100 = 0)
+select probe, status, case when status = 'matched' then fam end as family_id, case status when 'matched' then p when 'similar' then alike end as percent, case when status = 'skipped' then 0 else scams end as scam_matches, case when status = 'copy' then original end as copied_site from v"""
+
+
+def probed(spark, sf, elsewhere):
+    """(probes, matches) of every hundredth page against the whole library, ranked; only those on other sites if `elsewhere`."""
+    lib = library(spark, sf)
+    groups = cut(S.grouped(matches(spark, sf, lib)), "groups")
+    fam = S.families(member_rows(groups, lib)).select(F.col("id").alias("component"))
+    known = lib.join(groups.join(fam, "component", "left_semi").select("id", F.col("component").alias("family_id")), "id", "left")
+    probes = lib.where("id % 100 = 0")
+    c = S.lookup(probes, known)
+    alike = S.compared(c.select(F.col("probe").alias("a"), F.col("id").alias("b")), lib, S.common_icons(lib)).where("match").withColumnsRenamed({"a": "probe", "b": "id"})
+    rows = alike.join(c.select("probe", "id", "label", "site", "family_id"), ["probe", "id"]).join(probes.select(F.col("id").alias("probe"), F.col("site").alias("own_site")), "probe")
+    rows = rows.where("not (site <=> own_site)") if elsewhere else rows
+    return probes, S.best_first(rows.drop("own_site"), "probe")
+
+
+@query("g04_verdict", f"with {LIB_SQL}, {PAIR_SQL}, {G2_SQL}, {FAM_SQL}, {VERDICT_SQL.replace('OWN', 'true')}, {STATUS_SQL}")
+def g04(spark, sf):
+    """What the library says of every hundredth page: matched to a family, similar to scams, a copy, none, or skipped."""
+    return S.verdicts(*probed(spark, sf, False))
+
+
+@query("g05_same_design", f"with {LIB_SQL}, {PAIR_SQL}, {G2_SQL}, {FAM_SQL}, {VERDICT_SQL.replace('OWN', 'site <> own')}, k as (select probe, site as name, percent, rank, label, percent || '% alike: ' || case when same and d <= 12 and ic then 'the same page structure, nearly the same wording and the same site icon' when same and d <= 12 then 'the same page structure and nearly the same wording' when same then 'the same page structure and the same site icon' else 'nearly the same wording and the same site icon' end as why from w) select probe, name, arg_min(why, rank) as why, bool_or(label = 'phish') as known_scam from k group by all")
+def g05b(spark, sf):
+    """Other sites that share a page's design, one row a site."""
+    probes, found = probed(spark, sf, True)
+    return S.same_design(found, probes.select(F.col("id").alias("probe"), F.col("site").alias("own_site")))
+
+
+@query("a04_family_board", f"with {LIB_SQL}, {PAIR_SQL}, {G2_SQL}, {FAM_SQL} (select 'family' as board, cast(component as varchar) as name, size as n from fk order by size desc, component limit 8) union all (select 'brand', brand, count(*) from lib where label = 'phish' and brand is not null group by 2 order by 3 desc, 2 limit 10)")
+def a04(spark, sf):
+    """The largest families and the brands copied most."""
+    fam = a06(spark, sf).orderBy(F.desc("size"), "id").limit(8).select(F.lit("family").alias("board"), F.col("id").cast("string").alias("name"), F.col("size").alias("n"))
+    lib = library(spark, sf).where("label = 'phish' and brand is not null").groupBy("brand").agg(F.count("*").alias("n"))
+    return fam.unionByName(lib.orderBy(F.desc("n"), "brand").limit(10).select(F.lit("brand").alias("board"), F.col("brand").alias("name"), "n"))
+
+
 TITLE_NOUNS = "case lang when 'de' then 'shop' when 'en' then 'banking' when 'es' then 'prize' end"
 
 

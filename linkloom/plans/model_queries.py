@@ -41,7 +41,7 @@ TREE_SQL = "s as (select id, y, case when f1::float <= 0.02 then -0.8 when f0::f
 
 def scored(spark, sf):
     nodes = spark.createDataFrame(TREES, "tree int, node int, f int, t double, l int, r int, v double")
-    return M.score(vectors(spark, sf), nodes, depth=3)
+    return M.score(vectors(spark, sf), nodes)
 
 
 @query("m04_score", f"with {FEATURE_SQL}, {TREE_SQL} select id, round(raw, 6)::double as raw, round(1 / (1 + exp(-raw)), 6) as probability, 0.0::double as rest from s")
@@ -65,7 +65,7 @@ def m05(spark, sf):
     return x.select("event_id", M.points(F.col("p")).alias("points"), said.alias("said"), F.least(F.greatest(F.col("rule") + said, F.lit(0)), F.lit(100)).cast("int").alias("score"))
 
 
-@query("m07_auc", f"with {FEATURE_SQL}, q as (select y, round(least(f1 * 10, 1) * 10000) as g from f), c as (select g, count(*) filter (y = 1) as a, count(*) filter (y = 0) as b from q group by 1), r as (select *, sum(a) over (order by g desc) as ta, sum(b) over (order by g desc) as tb from c) select round(sum(b * (ta - a / 2)) / (sum(a) * sum(b)), 6) as roc_auc, round(sum(a * ta / (ta + tb)) / sum(a), 6) as pr_auc from r")
+@query("m07_auc", f"with {FEATURE_SQL}, q as (select y, least(f1 * 10, 1) as g from f), c as (select g, count(*) filter (y = 1) as a, count(*) filter (y = 0) as b from q group by 1), r as (select *, sum(a) over (order by g desc) as ta, sum(b) over (order by g desc) as tb from c) select round(sum(b * (ta - a / 2)) / (sum(a) * sum(b)), 6) as roc_auc, round(sum(a * ta / (ta + tb)) / sum(a), 6) as pr_auc from r")
 def m07(spark, sf):
     rows = labelled(spark, sf).select("y", F.least(F.col("marks") * 10, F.lit(1.0)).alias("p"))
     return M.auc(rows).select(F.round("roc_auc", 6).alias("roc_auc"), F.round("pr_auc", 6).alias("pr_auc"))
@@ -86,7 +86,7 @@ def trained(spark, sf):
 def m02(spark, sf):
     """Train, flatten the trees, score all rows by the table of nodes, report rates."""
     model, data = trained(spark, sf)
-    raw = M.score(data, M.flatten(model, spark), depth=3).select("id", (100 / (1 + F.exp(-2 * F.col("raw")))).alias("score")).join(data.select("id", "y"), "id")
+    raw = M.score(data, M.flatten(model, spark)).select("id", (100 / (1 + F.exp(-2 * F.col("raw")))).alias("score")).join(data.select("id", "y"), "id")
     return M.report(raw, [40, 60, 80, 95])
 
 
@@ -205,3 +205,22 @@ def u06(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.struct(F.concat(F.lit("https://x.com/?q=1&token="), F.col("page_id").cast("string")).alias("final"), F.array(F.lit("https://y.com/#top"), F.lit("https://z.com")).alias("popups")).alias("scan"))
     safe = p.withColumn("scan", F.col("scan").withField("final", redact(F.col("scan.final"))).withField("popups", F.transform("scan.popups", redact)))
     return safe.select("page_id", "scan.final", F.get("scan.popups", F.lit(0)).alias("popup"), F.size("scan.popups").alias("n"))
+
+
+RATED = "select event_id, (event_id % 101) / 100.0 as p, event_id % 40 as rule, event_id % 13 as backing, event_id % 9 = 0 as trusted, event_id % 5 = 0 as shared from events"
+
+
+@query("m06_rated", f"with x as ({RATED}), y as (select *, case when p >= 0.95 then 50 when p >= 0.8 then 40 when p >= 0.6 then 25 when p >= 0.4 then 10 when p <= 0.05 then -20 when p <= 0.15 then -10 else 0 end as pts from x), z as (select *, case when pts > 0 and trusted then 0 when pts > 0 and backing < 8 then greatest(0, least(pts, 20, 30 - rule)) when pts > 0 and shared then least(pts, 20) else pts end as said from y) select event_id, cast(least(greatest(rule + said, 0), 100) as integer) as total, cast(least(greatest(rule + pts, 0), 100) as integer) as free from z")
+def m06(spark, sf):
+    """Scores of rules plus model, with and without the limits."""
+    e = table(spark, sf, "events").selectExpr(*RATED.removeprefix("select ").removesuffix(" from events").split(", ")).withColumn("p", F.col("p").cast("double"))
+    return M.rated(e).select("event_id", F.col("total").cast("int").alias("total"), F.col("free").cast("int").alias("free"))
+
+
+@query("m07_parity", f"with {FEATURE_SQL}, {TREE_SQL} select count(*) as rows, 0.0::double as worst from s")
+def m07b(spark, sf):
+    """How far apart the walk over the table of nodes and the same trees as one expression are."""
+    f = lambda i: F.get("features", F.lit(i))
+    raw = F.when(f(1) <= 0.02, -0.8).otherwise(F.when(f(0) <= 8.0, 1.0).otherwise(2.2)) + F.when(f(2) <= 0.1, -0.3).otherwise(1.4)
+    v = vectors(spark, sf)
+    return M.furthest(scored(spark, sf).select("id", F.col("raw").alias("p")), v.select("id", raw.alias("p"))).withColumn("worst", F.round("worst", 9))

@@ -10,6 +10,7 @@ from linkloom.functions import prints as P
 from linkloom.operators import pages as O
 from linkloom.plans.link_queries import HOST_SQL, pages
 from linkloom.plans.registry import query
+from linkloom.session import kept
 
 #: Forms, frames and wording that the given pages lack, added by page number; the same text in both dialects.
 AUG = (
@@ -25,8 +26,8 @@ TEXT_SQL = "regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g')"
 for _n in ("script", "style", "noscript", "template", "svg", "head"):
     TEXT_SQL = f"regexp_replace({TEXT_SQL}, '(?is)<{_n}[ >].*?</{_n}>', ' ', 'g')"
 TEXT_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace({TEXT_SQL}, '(?s)<[^>]*>', ' ', 'g'), '&[a-zA-Z0-9#]+;', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
-WORDS_SQL = f"list_filter(string_split_regex(lower({TEXT_SQL}), '[^\\p{{L}}\\p{{M}}]+'), lambda w: length(w) between 3 and 30)[:6000]"
-TAGS_SQL = "list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda t: lower(t))[:6000]"
+WORDS_SQL = f"list_filter(string_split_regex(lower({TEXT_SQL}), '[^\\p{{L}}\\p{{M}}]+'), lambda w: length(w) between 3 and 30)"
+TAGS_SQL = "list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda t: lower(t))"
 STOP_SQL = ", ".join(f"'{w}'" for w in H.STOPWORDS)
 
 
@@ -60,29 +61,58 @@ def h04(spark, sf):
     return O.terms(read(spark, sf))
 
 
-@query("h05_out_sites", f"with x as (select p.page_id, {HOST_SQL.replace('url', 'p.url')} as host, {HOST_SQL.replace('url', 'q.url')} as t1, {HOST_SQL.replace('url', 'r.url')} as t2 from pages p join pages q on q.page_id = p.page_id + 1 join pages r on r.page_id = p.page_id + 2), y as (select page_id, list_filter(list_distinct([t1, t2]), lambda h: h <> host) as l, host, t1, t2 from x), z as (select page_id, 0 as pos, t1 as target from y where t1 <> host union all select page_id, case when t1 <> host then 1 else 0 end, t2 from y where t2 <> host and t2 <> t1) select page_id, pos, target from z")
+OUT_SQL = f"""with x as (select p.page_id, {HOST_SQL.replace('url', 'p.url')} as host, {HOST_SQL.replace('url', 'q.url')} as t1, {HOST_SQL.replace('url', 'r.url')} as t2
+from pages p left join pages q on q.page_id = p.page_id + 1 left join pages r on r.page_id = p.page_id + 2)
+select page_id, 0 as pos, t1 as target from x where t1 <> host
+union all select page_id, case when t1 <> host then 1 else 0 end, t2 from x where t2 <> host and t2 is distinct from t1"""
+
+
+@query("h05_out_sites", OUT_SQL)
 def h05(spark, sf):
     p = pages(spark, sf)
     later = lambda k: p.select((F.col("page_id") - k).alias("page_id"), F.col("url").alias(f"u{k}"))
-    x = p.join(later(1), "page_id").join(later(2), "page_id")
-    html = F.concat("html", F.lit('<a class=x href="'), "u1", F.lit('">a</a><a href="'), "u2", F.lit('">b</a>'))
+    x = p.join(later(1), "page_id", "left").join(later(2), "page_id", "left")
+    link = lambda a, u: F.coalesce(F.concat(F.lit(a), u, F.lit('">a</a>')), F.lit(""))
+    html = F.concat("html", link('<a class=x href="', F.col("u1")), link('<a href="', F.col("u2")))
     return O.out_sites(x.select("page_id", L.host(F.col("url")).alias("host"), html.alias("html")))
 
 
-@query("h06_forms", f"with {AUG_SQL} select page_id, len({EL.format('form')}) as forms, len({EL.format('input|select|textarea')}) as inputs, case when page_id % 4 = 0 then 1 else 0 end as hidden_fields, case when page_id % 4 = 0 then 1 else 0 end as password_fields, case page_id % 4 when 0 then 'otp,password' when 1 then 'card' when 2 then 'seed_phrase' else '' end as asks from a")
+FIELDS_SQL = f"fs as (select page_id, html, {EL.format('input|select|textarea')} as f from a)"
+TEXTS_SQL = "list_transform(list_filter(f, lambda t: lower({0}) not in ({1})), lambda t: lower(concat_ws(' ', {2})))".format(ATT.format("t", "type"), ", ".join(f"'{k}'" for k in O.SKIPPED_KINDS), ", ".join(ATT.format("t", a) for a in ("name", "id", "placeholder", "aria-label", "autocomplete", "title", "type")))
+OF_KIND = "len(list_filter(f, lambda t: lower({0}) = '{1}'))"
+ASKS_SQL = ", ".join(f"case when len(list_filter(x, lambda v: regexp_matches(v, '{p}'))) > 0" + (" or secret > 0" if k == "password" else "") + f" then '{k}' end" for k, p in H.ASKS.items())
+FORMS_SQL = f"""with {AUG_SQL}, {FIELDS_SQL}, ft as (select page_id, html, f, {TEXTS_SQL} as x, {OF_KIND.format(ATT.format('t', 'type'), 'password')} as secret from fs)
+select page_id, len({EL.format('form')}) as forms, len(f) as inputs, {OF_KIND.format(ATT.format('t', 'type'), 'hidden')} as hidden_fields, secret as password_fields,
+coalesce(array_to_string(list_sort(list_filter([{ASKS_SQL}], lambda v: v is not null)), ','), '') as asks from ft"""
+
+
+@query("h06_forms", FORMS_SQL)
 def h06(spark, sf):
     return O.forms(augmented(spark, sf)).withColumn("asks", F.array_join("asks", ","))
 
 
-@query("h07_form_targets", f"with {AUG_SQL} select page_id, case when page_id % 4 = 0 then 'collect' || (page_id % 3) || '.net' else '' end as targets, page_id % 4 = 2 as mailto, page_id % 4 = 1 as without_target from a")
+TARGETS_SQL = f"""with {AUG_SQL}, x as (select page_id, host, list_transform({EL.format('form')}, lambda t: trim({ATT.format('t', 'action')})) as l from a)
+select page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(l, lambda v: regexp_matches(v, '(?i)^https?://')), lambda v: {HOST_SQL.replace('url', 'v')}), lambda h: h <> '' and h <> host))), ',') as targets,
+len(list_filter(l, lambda v: regexp_matches(v, '(?i)^mailto:'))) > 0 as mailto, len(list_filter(l, lambda v: v in ('', '#', 'about:blank') or regexp_matches(v, '(?i)^javascript:'))) > 0 as without_target from x"""
+
+
+@query("h07_form_targets", TARGETS_SQL)
 def h07(spark, sf):
     return O.form_targets(augmented(spark, sf)).withColumn("targets", F.array_join("targets", ","))
 
 
-@query("h08_phrases", f"with {AUG_SQL}, t as (select page_id, lower({TEXT_SQL}) as x from a) select page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(x, 'congratulations|you(''ve| have)? won|\\bwinner\\b|lottery|lucky draw|claim (your )?(prize|reward|gift)|free gift|spin (the|to) win|scratch card')))[:5], ',') as prize, array_to_string(list_sort(list_distinct(regexp_extract_all(x, '(account|card|kyc).{{0,40}}(suspend|block|expir|clos|lock|deactivat)|within 24 hours|immediately|unusual activity|confirm your identity|update your kyc|kyc (update|pending|expired)|last warning|final notice')))[:5], ',') as urgency from t")
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+PHRASE_SQL = f"with {AUG_SQL}, t as (select page_id, lower({TEXT_SQL}) as x from a) select page_id, " + ", ".join(f"array_to_string(list_sort(list_distinct(regexp_extract_all(x, {quoted('|'.join(p))})))[:5], ',') as {g}" for g, p in H.PHRASES.items()) + " from t"
+
+
+@query("h08_phrases", PHRASE_SQL)
 def h08(spark, sf):
+    """Wording of all eight groups, five different hits a group at most."""
     t = augmented(spark, sf).select("page_id", H.visible_text(F.col("html")).alias("x"))
-    return t.select("page_id", *[F.array_join(H.phrase_hits(F.col("x"), g), ",").alias(g) for g in ("prize", "urgency")])
+    return t.select("page_id", *[F.array_join(H.phrase_hits(F.col("x"), g), ",").alias(g) for g in H.PHRASES])
 
 
 BRAND_SQL = "b as (select k, row_number() over (order by k) as ord from (select distinct lower(split_part(p_name, ' ', 2)) as k from part union select unnest(['the', 'and', 'que', 'les']) as k))"
@@ -112,27 +142,85 @@ def h11(spark, sf):
     return O.structure(augmented(spark, sf)).withColumn("programs", F.array_join("programs", ","))
 
 
-@query("h13_technology", "select user_id, case event_id % 3 when 0 then 'Cloudflare,PHP' when 1 then 'nginx' else '' end as technologies, case event_id % 3 when 0 then 4 when 1 then 5 else 4 end as missing, event_id from events")
+#: Response headers that the given pages lack, by page number; the same text in both dialects.
+HEADERS = {
+    "server": "case page_id % 9 when 0 then 'cloudflare' when 1 then 'nginx/1.2' when 2 then 'Apache/2.4' when 3 then 'AmazonS3' when 4 then 'GitHub.com' when 5 then 'Google Frontend' when 6 then 'LiteSpeed' when 7 then 'Microsoft-IIS/10' end",
+    "x-powered-by": "case page_id % 7 when 0 then 'PHP/8.1' when 1 then 'Express' when 2 then 'ASP.NET' when 3 then 'Next.js' end",
+    "cf-ray": "case when page_id % 5 = 0 then 'r' end",
+    "x-served-by": "case page_id % 6 when 0 then 'cache-fra' when 1 then 'web1' end",
+    "x-shopid": "case when page_id % 11 = 0 then '' end",
+    "x-frame-options": "case when page_id % 2 = 0 then 'DENY' end",
+    "referrer-policy": "case when page_id % 3 = 0 then 'no-referrer' end",
+}
+TECH_HTML = (
+    "html || case page_id % 6 when 0 then '<link href=\"/wp-content/x.css\"><meta name=\"generator\" content=\" WordPress 6 \">' when 1 then '<script src=\"https://cdn.shopify.com/a.js\"></script>'"
+    " when 2 then '<script src=\"/jquery.min.js\"></script><img src=\"https://static.wixstatic.com/a.png\">' when 3 then '<meta name=\"generator\" content=\"Hugo\">' else '' end"
+)
+TECH_SQL = (
+    f"with p as (select page_id, {TECH_HTML} as html from pages), hv as (" + " union all ".join(f"select page_id, '{h}' as header, {e} as value from pages" for h, e in HEADERS.items()) + "), "
+    + "rules(ord, tech, header, needle) as (values " + ", ".join(f"({i}, '{t}', '{h}', '{v}')" for i, (t, h, v) in enumerate(O.HEADER_RULES)) + "), "
+    + "marks(ord, tech, pattern) as (values " + ", ".join(f"({i + 100}, '{t}', '(?i){p}')" for i, (t, p) in enumerate(O.HTML_RULES)) + "), "
+    + "hits as (select page_id, ord, tech from hv join rules using (header) where value is not null and contains(lower(value), needle) union all select page_id, ord, tech from p, marks where regexp_matches(html, pattern)), "
+    + "one as (select page_id, tech, min(ord) as ord from hits group by all), t as (select page_id, string_agg(tech, ',' order by ord) as technologies from one group by 1), "
+    + "m as (select page_id, 5 - count(*) filter (value is not null and header in (" + ", ".join(f"'{h}'" for h in O.SECURITY_HEADERS) + ")) as missing from hv group by 1) "
+    + "select p.page_id, coalesce(technologies, '') as technologies, missing, nullif(trim(regexp_extract(html, '(?i)<meta[^>]+name=[\"'']generator[\"''][^>]*content=[\"'']([^\"'']{1,80})', 1)), '') as generator from p join m using (page_id) left join t using (page_id)"
+)
+
+
+@query("h13_technology", TECH_SQL)
 def h13(spark, sf):
-    from linkloom.session import table
+    """What runs a page, by all header and html rules; missing security headers; the generator."""
+    entries = F.filter(F.array(*[F.struct(F.lit(h).alias("k"), F.expr(e).alias("v")) for h, e in HEADERS.items()]), lambda x: x["v"].isNotNull())
+    p = pages(spark, sf).select("page_id", F.expr(TECH_HTML).alias("html"), F.map_from_entries(entries).alias("headers"))
+    return O.technology(p, "page_id", "headers", "html").select("page_id", F.array_join("technologies", ",").alias("technologies"), F.size("missing").alias("missing"), "generator")
+
 
-    e = table(spark, sf, "events")
-    kind = F.col("event_id") % 3
-    h = F.when(kind == 0, F.create_map(F.lit("server"), F.lit("cloudflare"), F.lit("x-powered-by"), F.lit("PHP/8.1"), F.lit("x-frame-options"), F.col("event_type"))).when(kind == 1, F.create_map(F.lit("server"), F.lit("nginx/1.2"))).otherwise(F.create_map(F.lit("referrer-policy"), F.col("event_type")))
-    rows = e.select("event_id", "user_id", h.alias("headers"))
-    t = O.technology(rows.select(F.struct("event_id", "user_id").alias("k"), "headers"), "k", "headers")
-    return t.select("k.event_id", "k.user_id", F.array_join("technologies", ",").alias("technologies"), F.size("missing").alias("missing"))
+BOT_HTML = AUG + (
+    " || case page_id % 7 when 0 then '<script src=\"https://challenges.cloudflare.com/t.js\"></script>' when 1 then '<div class=\"x g-recaptcha\"></div>' when 2 then '<script src=\"https://hcaptcha.com/1/api.js\"></script>'"
+    " when 3 then '<div class=\"h-captcha\"></div><script src=\"https://www.google.com/recaptcha/api.js\"></script>' else '' end"
+)
+BOT_SQL = (
+    f"with b as (select page_id, {BOT_HTML} as html from pages), x as (select page_id, html, list_filter({EL.format('meta')}, lambda t: lower({ATT.format('t', 'http-equiv')}) = 'refresh') as m, list_filter({EL.format('link')}, lambda t: contains(lower({ATT.format('t', 'rel')}), 'icon')) as i from b) "
+    + f"select page_id, coalesce(regexp_extract(m[1], '(?i)url=([^\"''>]*)', 1), '') as refresh, coalesce({ATT.format('i[1]', 'href')}, '') as icon, case " + " ".join(f"when regexp_matches(html, {quoted('(?i)' + p)}) then '{n}'" for n, p in O.BOT_CHECKS) + " end as bot_check from x"
+)
 
 
-@query("h15_refresh_icon", f"with {AUG_SQL} select page_id, case when page_id % 4 = 2 then '/next' else '' end as refresh, case when page_id % 4 = 2 then '/i.ico' else '' end as icon, case when page_id % 4 = 3 then 'captcha' end as bot_check from a")
+@query("h15_refresh_icon", BOT_SQL)
 def h15(spark, sf):
     """Where a page refreshes to, its declared icon, and the vendor of a bot check (first match wins)."""
-    a = augmented(spark, sf)
-    metas, icons = H.elements(F.col("html"), "meta"), H.elements(F.col("html"), "link")
-    refresh = F.filter(metas, lambda t: F.lower(H.attribute(t, "http-equiv")) == "refresh")
-    icon = F.filter(icons, lambda t: F.lower(H.attribute(t, "rel")).contains("icon"))
-    bot = F.when(F.col("html").rlike("cf-turnstile|challenge-platform"), "cloudflare").when(F.col("html").rlike("oncontextmenu"), "captcha")
-    return a.select("page_id", F.coalesce(F.regexp_extract(F.get(refresh, F.lit(0)), "(?i)url=([^\"'>]*)", 1), F.lit("")).alias("refresh"), F.coalesce(H.attribute(F.get(icon, F.lit(0)), "href"), F.lit("")).alias("icon"), bot.alias("bot_check"))
+    a, html = pages(spark, sf).select("page_id", F.expr(BOT_HTML).alias("html")), F.col("html")
+    return a.select("page_id", O.refresh_target(html).alias("refresh"), O.declared_icon(html).alias("icon"), O.bot_check(html).alias("bot_check"))
+
+
+BLOB_HTML = AUG + " || repeat(md5(url), 1 + cast(page_id % 13 as int))"
+
+
+@query("h10_blobs", f"with b as (select page_id, {BLOB_HTML} as html from pages) select page_id, round(coalesce(list_sum(list_transform(regexp_extract_all(html, '{O.BLOB}'), lambda x: length(x))), 0) / length(html), 3) as blob_share from b")
+def h10b(spark, sf):
+    """The share of encoded blobs in the html."""
+    return pages(spark, sf).select("page_id", O.blob_share(F.expr(BLOB_HTML)).alias("blob_share"))
+
+
+POSE_SQL = f"""with {BRAND_SQL}, pg as (select page_id, {HOST_SQL} as host, {TEXT_SQL} as text, lower(trim(substr(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 1, 200))) as title from pages),
+w as (select page_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as word from pg), c as (select page_id, k, ord, count(*) as times from w join b on b.k = w.word group by all),
+f as (select page_id, count(*) as named, arg_min(k, (-times, ord)) as top, max(times) as mentions from c group by 1),
+t as (select page_id, list_sort(list_distinct(list(k))) as l from (select page_id, unnest(regexp_extract_all(title, '[\\p{{L}}\\p{{N}}_]+')) as word from pg) join b on b.k = word group by 1),
+x as (select pg.page_id, string_split(host, '.')[-3] as own, case when page_id % 17 = 0 then 'que' end as imitated, coalesce(l, []) as l, case when page_id % 3 > 0 and mentions >= 3 and named <= 3 then top end as about from pg left join f using (page_id) left join t using (page_id))
+select page_id, coalesce(array_to_string(list_filter([imitated], lambda v: v is not null) || list_filter(list_filter(l, lambda v: v <> own and v is distinct from imitated) || case when about is null or about = own or list_contains(l, about) or about is not distinct from imitated then [] else [about] end, lambda v: v is not null), ','), '') as brands from x"""
+
+
+@query("r10_impersonated", POSE_SQL)
+def r10(spark, sf):
+    """Brands that each page poses as: a link that imitates one, the title, or a page about one that asks for data."""
+    brands = word_brands(spark, sf)
+    p = pages(spark, sf).select("page_id", L.host(F.col("url")).alias("host"), H.visible_text(F.col("html")).alias("text"), H.title(F.col("html")).alias("title"))
+    named = O.mentions(p, brands)
+    most = O.first_mention(named, "page_id").select("page_id", F.col("brand").alias("top"), F.col("times").alias("mentions")).join(named.groupBy("page_id").agg(F.count("*").alias("named")), "page_id")
+    titled = O.mentions(p, brands, text="title").groupBy("page_id").agg(F.array_sort(F.collect_list("brand")).alias("in_title"))
+    rows = p.select("page_id", "host").join(most, "page_id", "left").join(titled, "page_id", "left")
+    official = F.array(F.element_at(F.split("host", r"\."), -3))
+    imitated, asks = F.when(F.col("page_id") % 17 == 0, "que"), F.col("page_id") % 3
+    return rows.select("page_id", F.array_join(O.impersonated(imitated, F.col("in_title"), F.col("top"), F.col("mentions"), F.col("named"), asks, official), ",").alias("brands"))
 
 
 def sim_sql(source: str, key: str, items: str, into: str) -> str:
@@ -159,7 +247,11 @@ PRINTS_SQL = f"p as (select page_id, {HOST_SQL} as host, {TAGS_SQL} as tags, {WO
 
 
 def fingerprints(spark, sf):
-    """page_id, host, tags, words (counts), dom_hash, dom, txt of every page."""
+    """page_id, host, tags, words (counts), dom_hash, dom, txt of every page; made once and then read."""
+    return kept(spark, "fingerprints", [pages(spark, sf)], lambda: fingerprinted(spark, sf))
+
+
+def fingerprinted(spark, sf):
     r = read(spark, sf)
     dom = P.simhash(r.where(F.size("tags") >= 8).select("page_id", P.shingles(F.col("tags"), 4).alias("s")), "page_id", "s", "dom")
     txt = P.simhash(r.where(F.size("words") >= 12).select("page_id", P.shingles(F.col("words"), 3).alias("s")), "page_id", "s", "txt")

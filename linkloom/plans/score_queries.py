@@ -38,9 +38,9 @@ def r02(spark, sf):
     return x.select(K, F.aggregate(S.page_reasons(), F.lit(0), lambda a, r: a + r["points"]).cast("long").alias("points"))
 
 
-@query("r03_behaviour", "with w as (select user_id, array_agg(event_type order by ts, event_id) as h from events where event_id < 2000 group by 1), m as (select user_id, h, (select count(*) from range(1, len(h) + 1) t(i) where i = 1 or h[i] <> h[i - 1]) as moves from w) select user_id, cast(case when user_id % 7 = 0 then 25 else 0 end + case when user_id % 5 = 0 then 30 else 0 end + case when moves >= 3 then 5 else 0 end + case when list_contains(h[2:], 'click') then 5 else 0 end + case when user_id % 3 = 0 then 3 else 0 end + case when user_id % 4 = 0 then 3 else 0 end as bigint) as points from m")
+@query("r03_behaviour", "with w as (select user_id, array_agg(event_type order by ts, event_id) as h from events group by 1), m as (select user_id, h, (select count(*) from range(1, len(h) + 1) t(i) where i = 1 or h[i] <> h[i - 1]) as moves from w) select user_id, cast(case when user_id % 7 = 0 then 25 else 0 end + case when user_id % 5 = 0 then 30 else 0 end + case when moves >= 3 then 5 else 0 end + case when list_contains(h[2:], 'click') then 5 else 0 end + case when user_id % 3 = 0 then 3 else 0 end + case when user_id % 4 = 0 then 3 else 0 end as bigint) as points from m")
 def r03(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 2000").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("hosts"))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("hosts"))
     u = F.col("user_id")
     x = e.select("user_id", "hosts", F.when(u % 7 == 0, "blocked").alias("stopped"), F.when(u % 5 == 0, 1).otherwise(0).alias("downloads"), F.transform("hosts", lambda h: F.when(h == "click", "meta").otherwise("http")).alias("hop_kinds"), F.when(u % 3 == 0, "v").alias("bot_check"), F.when(u % 4 == 0, 1).otherwise(0).alias("popups"))
     return x.select("user_id", F.aggregate(S.behaviour_reasons(), F.lit(0), lambda a, r: a + r["points"]).cast("long").alias("points"))
@@ -101,16 +101,6 @@ def r09(spark, sf):
     return judged(spark, sf).select(K, "rule_score", "backing", "score", "verdict")
 
 
-@query("r10_impersonated", "select event_id, case when event_id % 3 = 0 then 'A' when event_id % 4 = 0 and event_id % 7 <> 0 then 'B' when event_id % 2 = 0 and event_id % 5 >= 3 and event_id % 6 <= 3 and event_id % 7 <> 0 then 'B' end as brand from events")
-def r10(spark, sf):
-    """The first brand that a link or page poses as: by imitation, title, or a page about one brand that asks for data."""
-    c = F.col(K)
-    real = c % 7 == 0
-    about = (c % 2 == 0) & (c % 5 >= 3) & (c % 6 <= 3)
-    names = F.array(F.when(c % 3 == 0, "A"), F.when((c % 4 == 0) & ~real, "B"), F.when(about & ~real, "B"))
-    return table(spark, sf, "events").select(K, F.get(F.filter(names, lambda x: x.isNotNull()), F.lit(0)).alias("brand"))
-
-
 @query("r11_scam_type", "with x as (select event_id, event_id % 3 = 0 as bank, event_id % 2 = 0 as otp, event_id % 5 = 0 as seed, event_id % 4 as prize, event_id % 7 = 0 as dl from events), p as (select event_id, [case when bank then 3 else 0 end + case when otp then 2 else 0 end, case when otp then 2 else 0 end, case when seed then 4 else 0 end, case when prize >= 2 then 3 when prize > 0 then 1 else 0 end, 0, 0, case when dl then 4 else 0 end, 0, 0] as l from x) select event_id, case when list_max(l) >= 3 then ['banking', 'credentials', 'crypto', 'prize', 'shop', 'tech_support', 'malware', 'job', 'government'][list_position(l, list_max(l))] end as type from p")
 def r11(spark, sf):
     c = F.col(K)

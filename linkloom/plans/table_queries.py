@@ -22,7 +22,7 @@ def events(spark, sf):
 # --- sources and sinks ---------------------------------------------------------------------------------------------
 
 
-@query("s01_s02_admit", "select page_id, url, length(html) as kept from pages where length(html) >= 200 and regexp_matches(url, '^https?://') and page_id not in (select page_id from pages where page_id % 9 = 0)")
+@query("s01_s02_admit", "select page_id, url, length(substr(html, 1, 2000000)) as kept from pages where length(html) >= 200 and regexp_matches(url, '^https?://') and page_id not in (select page_id from pages where page_id % 9 = 0)")
 def s01(spark, sf):
     """Columns wanted, html cut to two million characters, rows that qualify, those already loaded left out."""
     p = table(spark, sf, "pages").select("page_id", "url", F.substring("html", 1, 2_000_000).alias("html"))
@@ -50,11 +50,11 @@ def s06(spark, sf):
     return table(spark, sf, "events").select(F.col("event_type").alias("feed"), "event_id", "ts").withColumn("n", F.row_number().over(W.partitionBy("feed").orderBy(F.desc("ts"), "event_id"))).drop("ts")
 
 
-@query("s07_popularity", f"with {PAGE_SITES}, t as (select site, count(*) as c from h group by 1), r as (select site, row_number() over (order by c desc, site) as rank from t) select page_id, site, case when rank <= 20 then rank end as rank from h left join r using (site)")
+@query("s07_popularity", f"with {PAGE_SITES}, t as (select site, count(*) as c from h group by 1), r as (select site, row_number() over (order by c desc, site) as rank from t) select page_id, site, case when rank <= 100000 then rank end as rank from h left join r using (site)")
 def s07(spark, sf):
     """A popularity list (here: sites by pages) joined to pages; ranks beyond the list are null."""
     s = with_sites(spark, sf)
-    top = s.groupBy("site").count().orderBy(F.desc("count"), "site").limit(20)
+    top = s.groupBy("site").count().orderBy(F.desc("count"), "site").limit(100_000)
     ranks = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("count"), "site"))).select("site", "rank")
     return s.select("page_id", "site").join(ranks, "site", "left")
 
@@ -324,10 +324,11 @@ def a20(spark, sf):
 # --- windows and sets ----------------------------------------------------------------------------------------------
 
 
-@query("w01_interleave", "with s as (select user_id as link, count(distinct event_type) > 3 as shared, min(event_type) as feed, max(ts) as t from events group by 1), r as (select *, row_number() over (partition by feed order by t desc, link) as turn from s) select link, shared, feed, turn from r")
+@query("w01_interleave", "with l as (select event_type as feed, user_id as link, max(ts) as t from events group by all), r as (select *, row_number() over (partition by feed order by t desc, link) as turn from l), o as (select link, count(*) > 1 as shared, min(turn) as turn, arg_min(feed, (turn, feed)) as feed from r group by 1) select *, row_number() over (order by not shared, turn, feed) as place from o")
 def w01(spark, sf):
-    s = table(spark, sf, "events").groupBy(F.col("user_id").alias("link")).agg((F.countDistinct("event_type") > 3).alias("shared"), F.min("event_type").alias("feed"), F.max("ts").alias("t"))
-    return s.withColumn("turn", F.row_number().over(W.partitionBy("feed").orderBy(F.desc("t"), "link"))).select("link", "shared", "feed", "turn")
+    """All feeds as one list: links that several feeds have first, then the feeds' newest in turn."""
+    lists = table(spark, sf, "events").groupBy(F.col("event_type").alias("feed"), F.col("user_id").alias("link")).agg((-F.unix_micros(F.max("ts").cast("timestamp"))).alias("pos"))
+    return T.interleaved(lists)
 
 
 @query("w02_choose", f"with {PAGE_SITES}, r as (select page_id, site, row_number() over (partition by site order by page_id % 3, md5(url)) as n from h where page_id % 10 <> 0) select page_id, site from (select *, md5(cast(page_id as varchar)) as o from r where n = 1) order by page_id % 3, o limit 40")
@@ -378,3 +379,22 @@ def x03(spark, sf):
 @query("j06_host_counts", f"select {HOST_SQL} as host, count(*) as pages from pages group by 1")
 def j06(spark, sf):
     return table(spark, sf, "pages").groupBy(L.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
+
+
+OWNERS = "select c_custkey as id, 's' || c_custkey || '.com' as site, case c_custkey % 5 when 0 then 'Privacy Protect' when 1 then null else c_mktsegment || c_nationkey end as registrant, 'ns' || c_nationkey as ns_key, c_mktsegment as registrar, c_acctbal < 0 as scam"
+
+
+@query("j11_siblings", f"with o as ({OWNERS}, date '2024-01-01' + cast(c_custkey % 400 as integer) as created, c_custkey // 3 as cert from customer), p as (select * from o where id % 100 = 0), t as (select p.id as probe, p.site as own, o.site as name, 1 as tie, o.scam from p join o using (registrant) where registrant not ilike '%privacy%' union all select p.id, p.site, o.site, 2, o.scam from p join o using (ns_key, registrar) where abs(date_diff('day', p.created, o.created)) <= 2 union all select p.id, p.site, o.site, 3, o.scam from p join o using (cert)), g as (select probe, name, min(tie) as tie, bool_or(scam) as known_scam from t where name <> own group by all) select probe, name, case tie when 1 then 'registered by the same owner' when 2 then 'same registrar and name servers, registered within two days' else 'on the same certificate' end as why, known_scam from g")
+def j11b(spark, sf):
+    """Sites of the same owner by registrant, by registrar, name servers and date, or by certificate."""
+    c = table(spark, sf, "customer").selectExpr(*OWNERS.removeprefix("select ").split(", "), "date_add(date '2024-01-01', cast(c_custkey % 400 as int)) as created", "c_custkey div 3 as cert")
+    return T.siblings(c.where("id % 100 = 0"), c, c.select("cert", F.col("site").alias("name")))
+
+
+@query("j12_registry", "with x as (select o_orderkey, (o_orderkey * 2654435761) % 4294967296 as ip from orders), n as (select 4 + s_suppkey % 21 as length, (s_suppkey * 40000000) % 4294967296 as a, s_nationkey from supplier), r as (select length, a - a % (1::bigint << (32 - length)::integer) as net, s_nationkey as registry from n) select o_orderkey, registry from x join r on ip >= net and ip < net + (1::bigint << (32 - length)::integer) qualify row_number() over (partition by o_orderkey order by length desc, registry) = 1")
+def j12b(spark, sf):
+    """The registry of the longest network prefix that holds an address."""
+    x = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_orderkey") * 2654435761) % 4294967296).alias("ip"))
+    n = table(spark, sf, "supplier").select((4 + F.col("s_suppkey") % 21).cast("int").alias("length"), ((F.col("s_suppkey") * 40000000) % 4294967296).alias("a"), F.col("s_nationkey").alias("registry"))
+    r = n.select("length", (F.col("a") - F.col("a") % F.pow(F.lit(2.0), 32 - F.col("length")).cast("long")).alias("net"), "registry")
+    return T.longest_prefix(x, r, "o_orderkey", "ip", ["registry"])

@@ -70,12 +70,15 @@ def test_variants_never_repeat_the_name(spark):
     assert len(got) == len(set(got)) <= 90 and "my-bank.com" not in got and not any("--" in v for v in got) and "my-bank.net" in got and "mybank.com" in got
 
 
-def test_both_ways_to_a_similarity_hash_agree(spark):
+def test_similarity_hash_is_the_majority_of_each_bit(spark):
+    import hashlib
+
     rows = [(i, [f"w{(i * j) % 17}" for j in range(i)]) for i in range(12)]
-    df = spark.createDataFrame(rows, "k int, s array<string>")
-    one = {r.k: r.h for r in P.simhash(df, "k", "s", "h").collect()}
-    two = {r.k: r.h for r in P.simhash_by_votes(df, "k", "s", "h").collect()}
-    assert {k: v for k, v in one.items() if k} == two and all(one[k] is None for k in range(4))
+    got = {r.k: r.h for r in P.simhash(spark.createDataFrame(rows, "k int, s array<string>"), "k", "s", "h").collect()}
+    for k, items in rows:
+        digests = [int(hashlib.md5(x.encode()).hexdigest()[:16], 16) for x in items]
+        value = sum(1 << b for b in range(64) if 2 * sum(d >> b & 1 for d in digests) > len(items))
+        assert got.get(k) == ((value - (1 << 64) if value >> 63 else value) if k >= 4 else None)
 
 
 def prints(i, **how):
@@ -165,7 +168,7 @@ def test_ranks_of_a_graph(spark):
 def test_trees_add_up_and_equal_goes_left(spark):
     nodes = spark.createDataFrame([(0, 0, 0, 0.5, 1, 2, 0.1), (0, 1, -1, 0.0, -1, -1, -1.0), (0, 2, -1, 0.0, -1, -1, 2.0), (1, 0, -1, 0.0, -1, -1, 0.4)], "tree int, node int, f int, t double, l int, r int, v double")
     rows = spark.createDataFrame([(1, [0.5]), (2, [0.6])], "id int, features array<float>")
-    got = {r.id: r for r in model.score(rows, nodes, depth=3).collect()}
+    got = {r.id: r for r in model.score(rows, nodes).collect()}
     assert got[1].raw == pytest.approx(-0.6) and got[2].raw == pytest.approx(2.4)
     assert all(r.roots + sum(s.d for s in r.steps) == pytest.approx(r.raw) for r in got.values())
 
@@ -214,3 +217,27 @@ def test_entropy_and_random_names(spark):
     got = {r.n: (r.e, r.r) for r in df.select("n", L.entropy(F.col("n")).alias("e"), L.looks_random(F.col("n")).alias("r")).collect()}
     assert got[""][0] == 0 and got["aaaa"][0] == pytest.approx(0) and math.isclose(got["abcd"][0], 2)
     assert [got[x][1] for x in ("xk7qz9vbt2mw", "sbi-kyc-update", "internationalization")] == [True, False, False]
+
+
+def test_a_value_shared_by_all_costs_a_lookup_no_more(spark):
+    lib = spark.createDataFrame([(i, [1], None, None, i % 7 if i % 7 < 2 else None, "phish" if i % 3 == 0 else "benign", "s") for i in range(300)], "id long, bands array<int>, dom_hash string, icon int, family_id long, label string, site string")
+    got = similar.lookup(lib.where("id in (4, 100)"), lib, most=20).collect()
+    for probe in (4, 100):
+        order = sorted((r for r in range(300) if r != probe), key=lambda i: (i % 7 >= 2, i % 3 != 0, i))
+        assert sorted((r.n, r.id) for r in got if r.probe == probe) == list(enumerate(order[:20], 1))
+
+
+def test_verdict_of_the_library(spark):
+    probes = spark.createDataFrame([(1, None, 50, "d"), (2, None, 50, "d"), (3, None, 50, "d"), (4, None, 50, "d"), (5, "404 Not Found", 50, "d"), (6, None, 50, None)], "id long, title string, words int, dom_hash string")
+    probes = probes.withColumn("txt", F.lit(None).cast("long")).withColumn("look", F.lit(None).cast("long"))
+    rows = [(1, 1, "benign", "a", 9, 70, ["words"]), (1, 2, "phish", "b", 8, 60, ["words"]), (1, 3, "phish", "c", 9, 90, ["words"]), (2, 1, "phish", "a", None, 77, ["icon"]), (3, 1, "benign", "o", None, 85, ["words"]), (4, 1, "benign", "o", None, 99, ["icon"]), (5, 1, "phish", "a", 9, 99, ["words"])]
+    m = spark.createDataFrame(rows, "probe long, rank int, label string, site string, family_id long, percent int, kinds array<string>")
+    got = {r.probe: (r.status, r.family_id, r.percent, r.scam_matches, r.copied_site) for r in similar.verdicts(probes, m).collect()}
+    assert got == {1: ("matched", 9, 90, 2, None), 2: ("similar", None, 77, 1, None), 3: ("copy", None, None, 0, "o"), 4: ("none", None, None, 0, None), 5: ("skipped", None, None, 0, None), 6: ("skipped", None, None, 0, None)}
+
+
+def test_blocks_cover_ranges_exactly(spark):
+    cases = [(0, 0), (5, 9), (0, 255), (1, 254), (7, 7), (3, 1000)]
+    rows = spark.createDataFrame(cases, "lo long, hi long").select("lo", "hi", tables.blocks(F.col("lo"), F.col("hi")).alias("b")).collect()
+    for r in rows:
+        assert sorted(x for k, at in r.b for x in range(at << k, (at + 1) << k)) == list(range(r.lo, r.hi + 1))
