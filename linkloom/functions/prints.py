@@ -10,7 +10,8 @@ from linkloom.functions.links import md5_long
 
 def shingles(tokens: Column, k: int) -> Column:
     """All runs of k tokens; a shorter list is one shingle, an empty one none."""
-    many = F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))
+    # Single elements are read in place; a slice would copy the whole list for every run.
+    many = F.transform(F.sequence(F.lit(0), F.size(tokens) - k), lambda i: F.concat_ws(" ", *[F.get(tokens, i + j) for j in range(k)]))
     return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).when(F.size(tokens) < k, F.array(F.array_join(tokens, " "))).otherwise(many)
 
 

@@ -10,7 +10,7 @@ from linkloom.functions import prints as P
 from linkloom.operators import pages as O
 from linkloom.plans.link_queries import HOST_SQL, pages
 from linkloom.plans.registry import query
-from linkloom.session import kept
+from linkloom.session import cut, kept
 
 #: Forms, frames and wording that the given pages lack, added by page number; the same text in both dialects.
 AUG = (
@@ -252,7 +252,8 @@ def fingerprints(spark, sf):
 
 
 def fingerprinted(spark, sf):
-    r = read(spark, sf)
+    # Written first: else the html would be read again for every shingle.
+    r = cut(read(spark, sf), "words")
     dom = P.simhash(r.where(F.size("tags") >= 8).select("page_id", P.shingles(F.col("tags"), 4).alias("s")), "page_id", "s", "dom")
     txt = P.simhash(r.where(F.size("words") >= 12).select("page_id", P.shingles(F.col("words"), 3).alias("s")), "page_id", "s", "txt")
     return r.select("page_id", "host", F.size("tags").alias("tags"), F.size("words").alias("words"), P.exact(F.col("tags")).alias("dom_hash")).join(dom, "page_id", "left").join(txt, "page_id", "left")
