@@ -53,3 +53,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["a", "b", "a_host", "b_host", "points", "percent"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_without_the_optional_subpackage(monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setattr(__spark_entry__, "_llm", lambda: None)
+    assert set(__spark_entry__.queries()) == set(catalog.QUERIES) and set(__spark_entry__.oracle_sql()) == set(catalog.ORACLES)
