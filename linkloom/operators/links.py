@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from linkloom.functions import links as L
 
 MOST_LABELS = 5_000
+#: Endings that only one kind of body can register, and what that body is.
+RESTRICTED = [(".bank.in", "a registered Indian bank"), (".gov.in", "Government of India"), (".nic.in", "Government of India")]
 
 
 def suffix_table(spark: SparkSession, rows=None) -> DataFrame:
@@ -41,6 +43,48 @@ def sites(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     return hosts.join(one, "host", "left")
 
 
+def seen_names(hosts: DataFrame) -> DataFrame:
+    """(host, seen) of punycode hosts as people see them, label by label; a broken label only loses its prefix."""
+    labels = hosts.select("host").where(F.col("host").contains("xn--")).distinct().select("host", F.posexplode(F.split("host", r"\.")).alias("i", "x"))
+    decoded = F.nullif(F.try_reflect(F.lit("java.net.IDN"), F.lit("toUnicode"), F.col("x"), F.lit(1)), F.col("x"))
+    shown = labels.withColumn("x", F.when(~F.col("x").startswith("xn--"), F.col("x")).otherwise(F.coalesce(decoded, F.substring("x", F.lit(5), F.length("x")))))
+    return shown.groupBy("host").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]), ".").alias("seen"))
+
+
+def facts(urls: DataFrame, suffixes: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """key, host, site, registered_domain, label, free_hosting, subdomain and what the link itself says, one row per row.
+
+    The path of a link without one is "/". Names are measured as people see them; an address has no label, depth,
+    digits, hyphens or entropy. A null link has null facts.
+    """
+    u = F.col(url)
+    rows = sites(urls.select(key, url, L.host(u).alias("host")), suffixes)
+    rows = rows.join(seen_names(rows), "host", "left")
+    address = F.col("host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | F.col("host").startswith("[")
+    shown = F.coalesce("seen", "host")
+    label = F.coalesce(F.try_element_at(F.split(shown, r"\."), -F.size(F.split("registered_domain", r"\."))), F.lit(""))
+    path = F.coalesce(F.nullif(L.path(u), F.lit("")), F.lit("/"))
+    words = F.array_union(F.split(F.lower(F.concat(L.path(u), F.lit(" "), L.query(u))), "[^a-z0-9-]+"), F.split("host", "[^a-z0-9]+"))
+    named = lambda c: F.when(address, F.lit(0).cast(c[1])).otherwise(c[0].cast(c[1]))
+    below = F.length("host") - F.length("registered_domain") - 1
+    return rows.select(
+        key, "host", "site", "registered_domain", "label", "free_hosting", F.when(below > 0, F.substring("host", F.lit(1), below)).otherwise("").alias("subdomain"),
+        F.length(shown).alias("host_length"), F.length(path).alias("path_length"), F.regexp_count(path, F.lit("/")).alias("path_depth"), F.regexp_count("host", F.lit("[.]")).alias("host_dots"), u.rlike("(?i)^https://").alias("https"),
+        named((F.col("subdomain_depth"), "int")).alias("subdomain_depth"), named((F.round(F.regexp_count(shown, F.lit("[0-9]")) / F.greatest(F.length(shown), F.lit(1)), 2), "double")).alias("digit_ratio"),
+        named((F.regexp_count(label, F.lit("-")), "int")).alias("hyphens"), named((F.round(L.entropy(label), 2), "double")).alias("entropy"), (L.looks_random(label) & ~address).alias("random_name"), address.alias("is_ip"),
+        L.authority(u).contains("@").alias("has_at"), F.substring(L.path(u), F.lit(2), F.length(u)).contains("//").alias("double_slash_path"),
+        (F.coalesce(F.substring_index("suffix", ".", -1).isin(L.ABUSED), F.lit(False)) & ~address).alias("abused_tld"), F.coalesce(F.col("registered_domain").isin(L.SHORTENERS), F.lit(False)).alias("shortener"),
+        L.port(u).isNotNull().alias("odd_port"), (F.col("host").contains("xn--") & ~address).alias("punycode"), F.array_sort(F.array_intersect(words, F.array(*[F.lit(w) for w in L.URL_WORDS]))).alias("url_words"),
+    )
+
+
+def official_names(hosts: DataFrame, brands: DataFrame) -> DataFrame:
+    """(host, brand): the brand whose own site a host is, else the body that alone can register its ending."""
+    names = hosts.select("host").where("host is not null").distinct().join(official(hosts, brands), "host", "left")
+    body = F.coalesce(*[F.when(F.col("host").endswith(e), F.lit(b)) for e, b in RESTRICTED])
+    return names.select("host", F.coalesce("brand", body).alias("brand")).where("brand is not null")
+
+
 def official(hosts: DataFrame, brands: DataFrame) -> DataFrame:
     """(host, brand) of hosts on a brand's own domain, below it or below its own ending; the first brand by `ord`."""
     names = hosts.select("host").distinct().select("host", F.explode(L.host_suffixes(F.col("host"))).alias("domain"))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkloom.functions import html as H
+from linkloom.functions import links as L
+from linkloom.operators import links as LT
+from linkloom.operators import pages as PT
 from linkloom.operators.ranking import running
 from linkloom.session import cut
 
@@ -18,6 +22,49 @@ def vector(df: DataFrame, key: str, sizes: list[str], shares: list[str], flags:
     return df.select(key, F.array(*[v.cast("float") for v in values]).alias("features"))
 
 
+#: The numbers of a page's vector, in their order.
+FEATURES = (
+    "host_length path_length path_depth host_dots https subdomain_depth digit_ratio hyphens entropy random_name is_ip has_at double_slash_path abused_tld shortener odd_port punycode url_words "
+    "lookalike lookalike_homograph lookalike_typo lookalike_combo lookalike_subdomain "
+    "captured forms inputs password_fields hidden_fields asks_count " + " ".join(f"asks_{k}" for k in H.ASKS) + " "
+    "form_to_other_domain form_without_target mailto_form brands_mentioned brand_in_title impersonated wallets " + " ".join(f"phrases_{g}" for g in H.PHRASES) + " "
+    "iframes hidden_iframes right_click_blocked obfuscation base64_share links empty_link_share external_link_share executable_links phone_numbers scripts external_scripts images meta_refresh noindex "
+    "has_title title_length tags_log words_log words_per_tag out_domains"
+).split()
+
+
+def page_vector(pages: DataFrame, suffixes: DataFrame, brands: DataFrame, key: str = "page_id") -> DataFrame:
+    """key and a double for each of FEATURES, from the link and the html alone. pages: key (unique), url, html.
+
+    suffixes as in links.sites; brands: ord, name, domains, labels, keywords (a stated set of names). The html is read once;
+    what it says is written and then read for counts of brand names and of other sites. What is absent is 0.
+    """
+    link = cut(LT.facts(pages, suffixes, key), "links")
+    page = cut(PT.page_facts(pages.withColumn("host", L.host(F.col("url"))), key), "pages")
+    away = PT.reach(page, link, lambda h: LT.sites(h, suffixes), key)
+    official = LT.official_names(link, brands)
+    posing = LT.imitations(link.where("registered_domain is not null").join(official, "host", "left_anti"), brands).select("host", F.col("brand").alias("imitated"), "kind")
+    named = PT.mentions(page, brands, key, "said")
+    counted = named.groupBy(key).agg(F.count("*").alias("brands_mentioned")).join(PT.first_mention(named, key).select(key, F.col("brand").alias("top"), F.col("times").alias("mentions")), key)
+    titled = PT.mentions(page, brands, key, "title").groupBy(key).agg(F.array_sort(F.collect_list("brand")).alias("in_title"))
+    rows = link.join(posing, "host", "left").join(official.withColumnRenamed("brand", "body"), "host", "left")
+    rows = rows.join(page.drop("said", "reached", "external_scripts", "external_link_share"), key).join(away, key, "left").join(counted, key, "left").join(titled, key, "left")
+    own = F.when(F.col("body").isNull(), F.array().cast("array<string>")).otherwise(F.array("body"))
+    values = {
+        "url_words": F.size("url_words"), "lookalike": F.col("kind").isNotNull(), "asks_count": F.size("asks"), "form_without_target": F.col("without_target"), "mailto_form": F.col("mailto"), "brand_in_title": F.size(F.coalesce("in_title", F.array().cast("array<string>"))),
+        "impersonated": F.size(PT.impersonated(F.col("imitated"), F.col("in_title"), F.col("top"), F.coalesce("mentions", F.lit(0)), F.coalesce("brands_mentioned", F.lit(0)), F.size("asks"), own)),
+        "executable_links": F.least(F.size("programs"), F.lit(10)), "external_link_share": F.when(F.col("links") > 0, F.round(F.coalesce("external_links", F.lit(0)) / F.col("links"), 2)), "has_title": F.col("title") != "", "title_length": F.length("title"),
+        "tags_log": F.log1p("tags"), "words_log": F.log1p("words"), "words_per_tag": F.when(F.col("tags") > 0, F.col("words") / F.col("tags")),
+    }
+    values |= {f"lookalike_{k}": F.col("kind") == k for k in ("homograph", "typo", "combo", "subdomain")} | {f"asks_{k}": F.array_contains("asks", k) for k in H.ASKS}
+    return rows.select(key, *[F.coalesce(values.get(n, F.col(n)).cast("double"), F.lit(0.0)).alias(n) for n in FEATURES])
+
+
+def assembled(vectors: DataFrame, key: str = "page_id") -> DataFrame:
+    """key and `features`: the floats of a table of numbers, in the order of FEATURES."""
+    return vectors.select(key, F.array(*[F.col(n).cast("float") for n in FEATURES]).alias("features"))
+
+
 def train(rows: DataFrame, max_iter: int = 20, rate: float = 0.06, depth: int = 5, seed: int = 7):
     """Boosted trees on rows of features (array), y, weight, held_back; stops once the held-back rows gain no more."""
     from pyspark.ml.classification import GBTClassifier

@@ -185,3 +185,50 @@ def first_mention(df: DataFrame, key: str) -> DataFrame:
     """The most named brand of each page and its count; ties go to the first brand."""
     w = W.partitionBy(key).orderBy(F.desc("times"), "ord")
     return df.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, "brand", "times")
+
+
+def beside(rows: DataFrame, operator) -> DataFrame:
+    """The columns of `rows` and what a narrow page operator finds in their html and host: one pass, no join."""
+    packed = rows.select(F.struct("*").alias("__row"))
+    return operator(packed).select("__row.*", "*").drop("__row")
+
+
+def reached(html: Column) -> Column:
+    """(kind, host) of every absolute form target, script and link, in order."""
+    host = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), L.host(F.regexp_replace(x, "^//", "https://")).alias("host"))
+    found = lambda tag, a: F.transform(F.filter(F.transform(H.elements(html, tag), lambda t: F.trim(H.attribute(t, a))), lambda x: x.rlike("(?i)^(https?:)?//")), host(tag))
+    return F.filter(F.concat(found("form", "action"), found("script", "src"), found("a", "href")), lambda r: r["host"] != "")
+
+
+def page_facts(pages: DataFrame, key: str = "page_id", html: str = "html", host: str = "host") -> DataFrame:
+    """key, said (title, visible text and image descriptions), reached and the page's own facts, in one pass over the html.
+
+    A null or empty page is not captured and has empty facts.
+    """
+    rows = pages.select(key, F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    for operator in (forms, form_targets, structure):
+        rows = beside(rows, lambda x, f=operator: f(x, key="__row", html="__row.html", **({} if f is forms else {"host": "__row.host"})))
+    c = F.col("html")
+    rows = rows.withColumn("title", H.title(c)).withColumn("text", H.visible_text(c))
+    alts = F.array_join(F.transform(H.elements(c, "img"), lambda t: H.attribute(t, "alt")), " ")
+    rows = rows.withColumn("said", F.concat_ws(" ", "title", "text", alts))
+    kept = [x for x in rows.columns if x not in ("html", "text", "host", "targets")]
+    return rows.select(
+        *kept, (c != "").alias("captured"), reached(c).alias("reached"), F.size(H.tags(c)).alias("tags"), F.size(H.words(F.col("text"))).alias("words"), blob_share(c).alias("base64_share"),
+        F.size(wallets(F.col("text"))).alias("wallets"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\+?\d[\d\s().-]{8,}\d)"), 0))).alias("phone_numbers"),
+        *[F.size(H.phrase_hits(F.col("said"), g)).alias(f"phrases_{g}") for g in H.PHRASES],
+    )
+
+
+def reach(facts: DataFrame, own: DataFrame, sites, key: str = "page_id", most: int = 60) -> DataFrame:
+    """(key, form_to_other_domain, external_scripts, external_links, out_domains) of pages that reach other domains.
+
+    facts: key, reached; own: key, registered_domain, site; sites: adds site and registered_domain to rows with `host`. Equal
+    hosts of a page are counted before they meet the suffixes.
+    """
+    hosts = facts.select(key, F.explode("reached").alias("r")).groupBy(key, "r.kind", "r.host").agg(F.count("*").alias("n"))
+    met = sites(hosts).select(key, "kind", "n", F.coalesce("registered_domain", "host").alias("there"), F.col("site").alias("there_site")).join(own.select(key, F.col("registered_domain").alias("here"), F.col("site").alias("here_site")), key)
+    away = F.col("there") != F.col("here")
+    count = lambda kind: F.coalesce(F.sum(F.when(away & (F.col("kind") == kind), F.col("n"))), F.lit(0))
+    other = (F.col("kind") == "a") & F.col("there_site").contains(".") & ~F.col("there_site").eqNullSafe(F.col("here_site"))
+    return met.groupBy(key).agg((count("form") > 0).alias("form_to_other_domain"), count("script").alias("external_scripts"), count("a").alias("external_links"), F.least(F.countDistinct(F.when(other, F.col("there_site"))), F.lit(most)).alias("out_domains"))

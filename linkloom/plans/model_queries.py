@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linkloom.functions import html as H
+from linkloom.functions import links as L
 from linkloom.functions import prints as P
+from linkloom.operators import links as LT
 from linkloom.operators import model as M
+from linkloom.operators import pages as PT
 from linkloom.operators import tables as T
 from linkloom.operators.similar import near_sets
-from linkloom.plans.page_queries import TAGS_SQL, read, shingle_sql
+from linkloom.plans.link_queries import HOST_SQL
+from linkloom.plans.page_queries import ATT, AUG, EL, TAGS_SQL, TEXT_SQL, WORDS_SQL, quoted, read, shingle_sql
 from linkloom.plans.registry import query
 from linkloom.session import cut, table
 from linkloom.sources import tables as D
@@ -28,10 +33,79 @@ def vectors(spark, sf):
     return M.vector(labelled(spark, sf), "id", ["n_chars"], ["marks", "capitals"], ["english"])
 
 
-@query("m01_vector", f"with {FEATURE_SQL} select id, round(f0::float::double, 4) as f0, round(f1::float::double, 4) as f1, round(f2::float::double, 4) as f2, cast(f3 as integer) as f3 from f")
+#: Links whose sites are registered names, and some odd ones by page number; the same text in both dialects.
+URL = "replace(url, '.example.', '.')"
+ODD = (
+    "case page_id % 11 when 0 then 'https://' || (page_id % 200) || '.7.1.2:8080//login/' || page_id when 1 then 'http://user@login-tionsh' || (page_id % 7) || '.xyz' when 2 then 'https://thther.' || substr(md5(url), 1, 16) || '.top/verify?account=1'"
+    " when 3 then 'https://xn--bcher-kva.com/sign-in' when 4 then 'https://ti0nsh.net/free//x' else " + URL + " end"
+)
+#: A stated set of names: ord, name, domains, labels, keywords.
+NAMES = [(1, "Thther", ["thther.com"], ["thther"], ["the", "thther"]), (2, "Tionsh", ["tionsh.net"], ["tionsh"], ["que"]), (3, "Theron", ["theron.com", "theron.net"], ["theron"], ["congratulations", "und"])]
+
+
+def odd_pages(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", F.expr(ODD).alias("url"), F.expr(AUG).alias("html"))
+
+
+def vector_sql() -> str:
+    """The vector in DuckDB: link, forms, wording, structure, names and other sites, each from the link and the html."""
+    att = lambda n: ATT.format("t", n)
+    tail = lambda h, n: f"array_to_string(string_split({h}, '.')[-{n}:], '.')"
+    private = "regexp_matches({0}, '(^|\\.)example\\.(com|net|org)$')"
+    site = lambda h: f"case when {private.format(h)} then {tail(h, 3)} else {tail(h, 2)} end"
+    ent = lambda x: f"coalesce(list_sum(list_transform(list_distinct(string_split({x}, '')), lambda c: -((length({x}) - length(replace({x}, c, ''))) / length({x})) * log2((length({x}) - length(replace({x}, c, ''))) / length({x})))), 0)"
+    odd = (
+        "length(w) >= 10 and not regexp_matches(w, '[^\\x00-\\x7F]') and " + ent("w") + " >= 3.0 and ((regexp_matches(w, '[a-z]') and len(regexp_extract_all(w, '[aeiou]')) / greatest(len(regexp_extract_all(w, '[a-z]')), 1) < 0.2)"
+        " or len(regexp_extract_all(w, '[0-9]+')) * 2 - regexp_matches(w, '^[0-9]')::int - regexp_matches(w, '[0-9]$')::int >= 3 or regexp_matches(w, '[bcdfghjklmnpqrstvwxz]{6}'))"
+    )
+    rest = "'^[a-z]+://[^/?#]*([^?#]*)'"
+    kinds = "case when u.l <> b.l and translate(u.l, '01345789', 'oleastbg') = b.l then 0 when u.l <> b.l and damerau_levenshtein(u.l, b.l) <= 1 then 1 when u.l <> b.l and (list_contains(string_split_regex(u.l, '[-_.0-9]+'), b.l) or contains(u.l, b.l)) then 2 when list_contains(u.below, b.l) or len(list_filter(u.below, lambda s: starts_with(s, b.l || '-'))) > 0 then 3 end"
+    names = ", ".join(f"({i}, '{n}', {d}, '{k[0]}', {w})" for i, n, d, k, w in NAMES)
+    fields = "list_transform(list_filter(f, lambda t: lower({0}) not in ({1})), lambda t: lower(concat_ws(' ', {2})))".format(att("type"), ", ".join(f"'{k}'" for k in PT.SKIPPED_KINDS), ", ".join(att(x) for x in ("name", "id", "placeholder", "aria-label", "autocomplete", "title", "type")))
+    of = "len(list_filter(f, lambda t: lower({0}) = '{1}'))"
+    asks = ", ".join(f"(len(list_filter(x, lambda v: regexp_matches(v, '{p}'))) > 0" + (" or secret > 0" if k == "password" else "") + f")::int as asks_{k}" for k, p in H.ASKS.items())
+    words = ", ".join(f"least(len(list_distinct(regexp_extract_all(lower(said), {quoted('|'.join(p))}))), 5) as phrases_{g}" for g, p in H.PHRASES.items())
+    links = " union all ".join(f"select page_id, '{t}' as kind, unnest(list_filter(list_transform({EL.format(t)}, lambda t: trim({att(a)})), lambda v: regexp_matches(v, '(?i)^(https?:)?//'))) as v from p" for t, a in (("form", "action"), ("script", "src"), ("a", "href")))
+    host_of = HOST_SQL.replace("url", "regexp_replace(v, '^//', 'https://')")
+    return f"""with p as (select page_id, {ODD} as url, {AUG} as html from pages),
+h as (select page_id, url, {HOST_SQL} as host, coalesce(nullif(regexp_extract(url, {rest}, 1), ''), '/') as path from p),
+u as (select *, regexp_matches(host, '^[0-9.]+$') as ip, replace(host, 'xn--bcher-kva', 'bücher') as seen, {tail('host', 2)} as reg, {site('host')} as site, string_split({tail('host', 2)}, '.')[1] as l, string_split({tail('replace(host, \'xn--bcher-kva\', \'bücher\')', 2)}, '.')[1] as label, string_split(host, '.')[:-3] as below from h),
+b(ord, name, domains, l, keys) as (values {names}),
+off as (select u.host, arg_min(name, ord) as body from (select distinct host from u) u, (select ord, name, unnest(domains) as d from b) b where u.host = d or ends_with(u.host, '.' || d) group by 1),
+im as (select host, arg_min(name, ((k > 0)::int, ord)) as imitated, arg_min(k, ((k > 0)::int, ord)) as k from (select u.host, b.ord, b.name, {kinds} as k from (select distinct host, l, below from u where not ip) u, b where host not in (select host from off)) x where k is not null group by 1),
+link as (select u.page_id, length(seen) as host_length, length(path) as path_length, length(path) - length(replace(path, '/', '')) as path_depth, length(host) - length(replace(host, '.', '')) as host_dots, starts_with(url, 'https://')::int as https,
+case when ip then 0 else greatest(len(string_split(host, '.')) - 2, 0) end as subdomain_depth, case when ip then 0 else round(len(regexp_extract_all(seen, '[0-9]')) / length(seen), 2) end as digit_ratio, case when ip then 0 else length(label) - length(replace(label, '-', '')) end as hyphens,
+case when ip then 0 else round({ent('label')}, 2) end as entropy, (not ip and len(list_filter(string_split_regex(lower(label), '[-_.]+'), lambda w: {odd})) > 0)::int as random_name, ip::int as is_ip, contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '@')::int as has_at,
+contains(substr(path, 2), '//')::int as double_slash_path, (string_split(host, '.')[-1] in ('xyz', 'top'))::int as abused_tld, 0 as shortener, regexp_matches(url, ':8080')::int as odd_port, contains(host, 'xn--')::int as punycode,
+len(list_filter(list_distinct(string_split_regex(lower(regexp_extract(url, {rest}, 1) || ' ' || regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)), '[^a-z0-9-]+') || string_split_regex(host, '[^a-z0-9]+')), lambda w: w in ({', '.join(quoted(w) for w in L.URL_WORDS)}))) as url_words,
+(k is not null)::int as lookalike, 0 as lookalike_homograph, (coalesce(k, 9) in (0, 1))::int as lookalike_typo, (coalesce(k, 9) = 2)::int as lookalike_combo, (coalesce(k, 9) = 3)::int as lookalike_subdomain, imitated, body from u left join im using (host) left join off using (host)),
+fs as (select page_id, html, {EL.format('input|select|textarea')} as f, {EL.format('form')} as fm, {EL.format('iframe')} as fr, {EL.format('meta')} as m, list_transform({EL.format('a')}, lambda t: trim({att('href')})) as a, {TEXT_SQL} as text, trim(substr(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 1, 200)) as title, {TAGS_SQL} as tg, {WORDS_SQL} as wd from p),
+ft as (select *, list_transform(fm, lambda t: trim({att('action')})) as ac, {fields} as x, {of.format(att('type'), 'password')} as secret, concat_ws(' ', title, text, array_to_string(list_transform({EL.format('img')}, lambda t: {att('alt')}), ' ')) as said from fs),
+page as (select page_id, 1 as captured, len(fm) as forms, len(f) as inputs, secret as password_fields, {of.format(att('type'), 'hidden')} as hidden_fields, {asks}, (len(list_filter(ac, lambda v: v in ('', '#', 'about:blank') or regexp_matches(v, '(?i)^javascript:'))) > 0)::int as form_without_target, (len(list_filter(ac, lambda v: regexp_matches(v, '(?i)^mailto:'))) > 0)::int as mailto_form,
+regexp_matches(text, '\\b0x[a-fA-F0-9]{{40}}\\b')::int + regexp_matches(text, '\\b(bc1[ac-hj-np-z02-9]{{25,60}}|[13][a-km-zA-HJ-NP-Z1-9]{{25,34}})\\b')::int + regexp_matches(text, '\\bT[1-9A-HJ-NP-Za-km-z]{{33}}\\b')::int as wallets, {words},
+len(fr) as iframes, len(list_filter(fr, lambda t: {att('width')} in ('0', '1') or {att('height')} in ('0', '1') or contains(replace({att('style')}, ' ', ''), 'display:none'))) as hidden_iframes, regexp_matches(html, '(?i)oncontextmenu *= *["'']? *return +false')::int as right_click_blocked,
+len(regexp_extract_all(html, '\\beval *\\(|\\batob *\\(|\\bunescape *\\(|String\\.fromCharCode|document\\.write *\\(')) as obfuscation, round(coalesce(list_sum(list_transform(regexp_extract_all(html, '{PT.BLOB}'), lambda v: length(v))), 0) / length(html), 3) as base64_share, len(a) as links,
+case when len(a) > 0 then round(len(list_filter(a, lambda v: v in ('', '#') or regexp_matches(v, '(?i)^javascript:'))) / len(a), 2) else 0 end as empty_link_share, least(len(list_distinct(list_filter(a, lambda v: regexp_matches(v, '(?i)\\.(exe|msi|scr|bat|cmd|ps1|vbs|jar|apk|dmg|pkg|iso)(\\?|$)')))), 10) as executable_links,
+len(list_distinct(regexp_extract_all(text, '(\\+?\\d[\\d\\s().-]{{8,}}\\d)'))) as phone_numbers, len({EL.format('script')}) as scripts, len({EL.format('img')}) as images, (len(list_filter(m, lambda t: lower({att('http-equiv')}) = 'refresh')) > 0)::int as meta_refresh, (len(list_filter(m, lambda t: lower({att('name')}) = 'robots' and contains(lower({att('content')}), 'noindex'))) > 0)::int as noindex,
+(title <> '')::int as has_title, length(title) as title_length, ln(1 + len(tg)) as tags_log, ln(1 + len(wd)) as words_log, case when len(tg) > 0 then len(wd) / len(tg) else 0 end as words_per_tag, said, title from ft),
+wb as (select b.ord, b.name, unnest(keys) as word from b),
+mn as (select page_id, name, ord, count(*) as times from (select page_id, unnest(regexp_extract_all(lower(said), '[\\p{{L}}\\p{{N}}_]+')) as word from page) w join wb using (word) group by all),
+mc as (select page_id, count(*) as brands_mentioned, arg_min(name, (-times, ord)) as top, max(times) as mentions from mn group by 1),
+ti as (select page_id, list_distinct(list(name)) as tl from (select page_id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+')) as word from page) w join wb using (word) group by 1),
+ls as (select page_id, kind, {host_of} as th from ({links}) l),
+aw as (select ls.page_id, count(*) filter (kind = 'form' and {tail('th', 2)} <> reg) as ff, count(*) filter (kind = 'script' and {tail('th', 2)} <> reg) as fsx, count(*) filter (kind = 'a' and {tail('th', 2)} <> reg) as fa, least(count(distinct {site('th')}) filter (kind = 'a' and {site('th')} <> site), 60) as fo from ls join (select page_id, case when ip then '{{}}' else reg end as reg, site from u) o using (page_id) where th <> '' group by 1),
+al as (select *, case when {' + '.join(f'asks_{k}' for k in H.ASKS)} > 0 and mentions >= 3 and brands_mentioned <= 3 then top end as about from link join page using (page_id) left join mc using (page_id) left join ti using (page_id) left join aw using (page_id)),
+z as (select *, {' + '.join(f'asks_{k}' for k in H.ASKS)} as asks_count, (coalesce(ff, 0) > 0)::int as form_to_other_domain, coalesce(len(tl), 0) as brand_in_title, len(list_distinct(list_filter([imitated] || list_filter(coalesce(tl, []) || [about], lambda v: v is distinct from body), lambda v: v is not null))) as impersonated,
+coalesce(fsx, 0) as external_scripts, case when links > 0 then round(coalesce(fa, 0) / links, 2) else 0 end as external_link_share, coalesce(fo, 0) as out_domains from al)
+select page_id, {', '.join(f'round(cast(coalesce({n}, 0) as double), 6) as {n}' for n in M.FEATURES)} from z"""
+
+
+@query("m01_vector", vector_sql())
 def m01(spark, sf):
-    v = vectors(spark, sf)
-    return v.select("id", *[F.round(F.col("features")[i].cast("double"), 4).alias(f"f{i}") for i in range(3)], F.col("features")[3].cast("int").alias("f3"))
+    """The 78 numbers of every page."""
+    v = M.page_vector(odd_pages(spark, sf), LT.suffix_table(spark), spark.createDataFrame(NAMES, "ord int, name string, domains array<string>, labels array<string>, keywords array<string>"))
+    return v.select("page_id", *[F.round(n, 6).alias(n) for n in M.FEATURES])
 
 
 #: Two small trees for checks by hand; f -1 marks a leaf.
