@@ -150,6 +150,75 @@ def ip_number(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), p[0].cast("long") * 16777216 + p[1].cast("long") * 65536 + p[2].cast("long") * 256 + p[3].cast("long"))
 
 
+#: Special IPv4 blocks, first and last address, and what they are; smaller blocks before those that hold them.
+BLOCKS = [
+    ("169.254.169.254", "169.254.169.254", "metadata"),
+    ("0.0.0.0", "0.0.0.0", "unspecified"),
+    ("192.0.0.9", "192.0.0.10", None),
+    ("192.0.0.0", "192.0.0.255", "private"),
+    ("192.0.2.0", "192.0.2.255", "private"),
+    ("198.51.100.0", "198.51.100.255", "private"),
+    ("203.0.113.0", "203.0.113.255", "private"),
+    ("169.254.0.0", "169.254.255.255", "link-local"),
+    ("192.168.0.0", "192.168.255.255", "private"),
+    ("198.18.0.0", "198.19.255.255", "private"),
+    ("172.16.0.0", "172.31.255.255", "private"),
+    ("100.64.0.0", "100.127.255.255", "reserved"),
+    ("0.0.0.0", "0.255.255.255", "private"),
+    ("10.0.0.0", "10.255.255.255", "private"),
+    ("127.0.0.0", "127.255.255.255", "loopback"),
+    ("224.0.0.0", "239.255.255.255", "multicast"),
+    ("240.0.0.0", "255.255.255.255", "private"),
+]
+
+
+def _blocked4(n: Column) -> Column:
+    number = lambda a: sum(int(x) << s for x, s in zip(a.split("."), (24, 16, 8, 0)))
+    out = F.lit(None).cast("string")
+    for lo, hi, kind in reversed(BLOCKS):
+        out = F.when(n.between(number(lo), number(hi)), F.lit(kind)).otherwise(out)
+    return out
+
+
+def bound(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often `then` reads it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def ip6_groups(c: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address in any spelling, null for anything else."""
+    pair = lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(65535).cast("long"))))
+    spelt = lambda t: F.when(t.contains("."), F.concat(F.regexp_replace(t, "[0-9.]+$", ""), bound(ip_number(F.regexp_extract(t, r"([0-9.]+)$", 1)), pair))).otherwise(t)
+    part = lambda t, k: F.filter(F.split(F.coalesce(F.get(F.split(t, "::"), F.lit(k)), F.lit("")), ":"), lambda x: x != "")
+    filled = lambda t: lambda s: F.concat(s["a"], F.array_repeat(F.lit("0"), F.when(t.contains("::"), 8 - F.size(s["a"]) - F.size(s["z"])).otherwise(0)), s["z"])
+    groups = lambda t: F.transform(bound(F.struct(part(t, 0).alias("a"), part(t, 1).alias("z")), filled(t)), lambda x: F.conv(x, 16, 10).cast("int"))
+    read = lambda t: F.when(t.rlike("^[0-9a-fA-F:]+$") & t.contains(":"), bound(groups(t), lambda g: F.when(F.size(g) == 8, g)))
+    return bound(bound(F.regexp_replace(F.lower(c), "%.*$", ""), spelt), read)
+
+
+def _blocked6(g: Column) -> Column:
+    low = lambda i: g[i].cast("long") * 65536 + g[i + 1]
+    zero = lambda at, n: F.forall(F.slice(g, at + 1, n), lambda x: x == 0)
+    inner = (
+        F.when(zero(0, 5) & (g[5] == 0xFFFF), low(6)).when(g[0] == 0x2002, low(1)).when((g[0] == 0x2001) & (g[1] == 0), F.lit(0xFFFFFFFF) - low(6))
+        .when((g[0] == 0x64) & (g[1] == 0xFF9B) & zero(2, 4), low(6))
+    )
+    private = (
+        g[0].between(0xFC00, 0xFDFF) | ((g[0] == 0x2001) & ((g[1] == 0xDB8) | (g[1] < 0x200))) | ((g[0] == 0x64) & (g[1] == 0xFF9B) & (g[2] == 1))
+        | ((g[0] == 0x100) & zero(1, 3)) | ((g[0] == 0x3FFF) & (g[1] < 0x1000))
+    )
+    six = (
+        F.when((g[0] == 0xFD00) & (g[1] == 0xEC2) & zero(2, 5) & (g[7] == 0x254), "metadata").when(zero(0, 7) & (g[7] == 1), "loopback").when(zero(0, 8), "unspecified")
+        .when(g[0].between(0xFE80, 0xFEBF), "link-local").when(g[0] >= 0xFF00, "multicast").when(private, "private").when((g[0] < 0x2000) | g[0].between(0x4000, 0xFBFF) | g[0].between(0xFE00, 0xFE7F), "reserved")
+    )
+    return bound(inner, lambda n: F.when(n.isNotNull(), _blocked4(n)).otherwise(six))
+
+
+def blocked(c: Column) -> Column:
+    """Why an address is not public, null if it is (or is none); an IPv6 form that carries an IPv4 address is judged by that."""
+    return F.when(c.contains(":"), bound(ip6_groups(c), _blocked6)).otherwise(bound(ip_number(c), _blocked4))
+
+
 def parse_date(c: Column) -> Column:
     """A date in any of seven common spellings, null otherwise."""
     v = F.trim(c)

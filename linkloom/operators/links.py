@@ -63,13 +63,13 @@ def facts(urls: DataFrame, suffixes: DataFrame, key: str = "page_id", url: str =
     address = F.col("host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | F.col("host").startswith("[")
     shown = F.coalesce("seen", "host")
     label = F.coalesce(F.try_element_at(F.split(shown, r"\."), -F.size(F.split("registered_domain", r"\."))), F.lit(""))
-    path = F.coalesce(F.nullif(L.path(u), F.lit("")), F.lit("/"))
+    path = F.when(L.path(u) == "", "/").otherwise(L.path(u))
     words = F.array_union(F.split(F.lower(F.concat(L.path(u), F.lit(" "), L.query(u))), "[^a-z0-9-]+"), F.split("host", "[^a-z0-9]+"))
     named = lambda c: F.when(address, F.lit(0).cast(c[1])).otherwise(c[0].cast(c[1]))
     below = F.length("host") - F.length("registered_domain") - 1
     return rows.select(
         key, "host", "site", "registered_domain", "label", "free_hosting", F.when(below > 0, F.substring("host", F.lit(1), below)).otherwise("").alias("subdomain"),
-        F.length(shown).alias("host_length"), F.length(path).alias("path_length"), F.regexp_count(path, F.lit("/")).alias("path_depth"), F.regexp_count("host", F.lit("[.]")).alias("host_dots"), u.rlike("(?i)^https://").alias("https"),
+        F.length(u).alias("length"), F.length(shown).alias("host_length"), F.length(path).alias("path_length"), F.regexp_count(path, F.lit("/")).alias("path_depth"), F.regexp_count("host", F.lit("[.]")).alias("host_dots"), u.rlike("(?i)^https://").alias("https"),
         named((F.col("subdomain_depth"), "int")).alias("subdomain_depth"), named((F.round(F.regexp_count(shown, F.lit("[0-9]")) / F.greatest(F.length(shown), F.lit(1)), 2), "double")).alias("digit_ratio"),
         named((F.regexp_count(label, F.lit("-")), "int")).alias("hyphens"), named((F.round(L.entropy(label), 2), "double")).alias("entropy"), (L.looks_random(label) & ~address).alias("random_name"), address.alias("is_ip"),
         L.authority(u).contains("@").alias("has_at"), F.substring(L.path(u), F.lit(2), F.length(u)).contains("//").alias("double_slash_path"),

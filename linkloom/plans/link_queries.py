@@ -110,27 +110,24 @@ def u12(spark, sf):
 def u13(spark, sf):
     """Names as people see them, label by label; broken punycode loses its prefix only."""
     h = pages(spark, sf).select("page_id", F.concat(F.element_at(F.array(F.lit("xn--bcher-kva."), F.lit("xn--80ak6aa92e."), F.lit("xn--ß."), F.lit("")), (F.col("page_id") % 4 + 1).cast("int")), L.host(F.col("url"))).alias("host"))
-    seen = lambda x: F.when(~x.startswith("xn--"), x).otherwise(F.coalesce(F.nullif(F.try_reflect(F.lit("java.net.IDN"), F.lit("toUnicode"), x, F.lit(1)), x), F.substring(x, F.lit(5), F.length(x))))
-    parts = h.select("page_id", "host", F.posexplode(F.split("host", r"\.")).alias("i", "x")).withColumn("x", seen(F.col("x")))
-    return parts.groupBy("page_id", "host").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]), ".").alias("seen"))
+    return h.join(O.seen_names(h), "host", "left").select("page_id", "host", F.coalesce("seen", "host").alias("seen"))
 
 
 @query("u14_link_facts", f"with {PAGE_SITES} select page_id, cast(length(url) as integer) as length, cast(greatest(len(string_split(host, '.')) - 3, 0) as integer) as subdomain_depth, round(len(regexp_extract_all(host, '[0-9]')) / length(host), 2) as digit_ratio, cast(len(regexp_extract_all(string_split(host, '.')[-2], '-')) as integer) as hyphens, contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '@') as has_at, contains(substr(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), 2), '//') as double_slash_path, string_split(host, '.')[-1] in ('xyz', 'top') as abused_ending, coalesce((select string_agg(w, ',' order by w) from (select distinct unnest(string_split_regex(lower(regexp_extract(url, '^[a-z]+://(.*)$', 1)), '[^a-z0-9]+')) as w) where w in ('free', 'win', 'login', 'verify', 'update', 'secure', 'bonus', 'gift', 'prize', 'support', 'account', 'pan')), '') as url_words from h")
 def u14(spark, sf):
-    u = F.col("url")
-    f = with_sites(spark, sf)
-    words = F.array_sort(F.array_intersect(F.array_distinct(F.split(F.lower(F.regexp_extract(u, "^[a-z]+://(.*)$", 1)), "[^a-z0-9]+")), F.array(*[F.lit(w) for w in L.URL_WORDS if "-" not in w])))
-    return f.select(
-        "page_id", F.length(u).alias("length"), "subdomain_depth", F.round(F.regexp_count("host", F.lit("[0-9]")) / F.length("host"), 2).alias("digit_ratio"), F.regexp_count("label", F.lit("-")).alias("hyphens"),
-        L.authority(u).contains("@").alias("has_at"), F.substring(L.path(u), F.lit(2), F.length(u)).contains("//").alias("double_slash_path"), F.col("suffix").isin(L.ABUSED).alias("abused_ending"), F.array_join(words, ",").alias("url_words"),
-    )
+    f = O.facts(pages(spark, sf), O.suffix_table(spark))
+    return f.select("page_id", "length", "subdomain_depth", "digit_ratio", "hyphens", "has_at", "double_slash_path", F.col("abused_tld").alias("abused_ending"), F.array_join("url_words", ",").alias("url_words"))
+
 
+BODY_SQL = "replace(host, '.example.org', case when page_id % 3 = 0 then '.bank.in' when page_id % 3 = 1 then '.gov.in' else '.in' end)"
 
-@query("u15_official", f"with {PAGE_SITES} select distinct host, upper(substr(string_split(site, '.')[1], 1, 1)) || lower(substr(string_split(site, '.')[1], 2)) as brand from h")
+
+@query("u15_official", f"with {PAGE_SITES}, x as (select distinct {BODY_SQL} as host, site from h), y as (select host, case when ends_with(host, '.bank.in') then 'a registered Indian bank' when ends_with(host, '.gov.in') then 'Government of India' when not ends_with(host, '.in') then upper(substr(site, 1, 1)) || lower(substr(string_split(site, '.')[1], 2)) end as brand from x) select * from y where brand is not null")
 def u15(spark, sf):
-    hosts = pages(spark, sf).select(L.host(F.col("url")).alias("host"))
+    """Whose own site a host is: a brand's, or that of a body that alone can register its ending."""
+    hosts = pages(spark, sf).select("page_id", L.host(F.col("url")).alias("host")).select(F.expr(BODY_SQL).alias("host"))
     b = site_brands(spark, sf)
-    return O.official(hosts, b.withColumn("name", F.concat(F.upper(F.substring(F.col("labels")[0], 1, 1)), F.lower(F.substring(F.col("labels")[0], F.lit(2), F.length(F.col("labels")[0]))))))
+    return O.official_names(hosts, b.withColumn("name", F.concat(F.upper(F.substring(F.col("labels")[0], 1, 1)), F.lower(F.substring(F.col("labels")[0], F.lit(2), F.length(F.col("labels")[0]))))))
 
 
 @query("u16_imitations", "with b as (select lower(replace(n_name, '_', '')) as l from nation), x as (select distinct case c_custkey % 4 when 0 then 'nat1on' || c_nationkey when 1 then 'nation' || c_nationkey || 'x' when 2 then 'login-nation' || c_nationkey || '-page' else lower(replace(c_name, '#', '')) end as label from customer), p as (select label, l, case when label <> l and translate(label, '01345789', 'oleastbg') = l then 0 when length(l) >= 6 and label <> l and damerau_levenshtein(label, l) <= case when length(l) >= 9 then 2 else 1 end then 1 when label <> l and (list_contains(string_split_regex(label, '[-_.0-9]+'), l) or contains(label, l)) then 2 end as k from x, b) select label as host, arg_min(l, ((k > 0)::int, l)) as brand, case when arg_min(k, ((k > 0)::int, l)) = 2 then 'combo' else 'typo' end as kind from p where k is not null group by label")
@@ -166,17 +163,19 @@ def u19(spark, sf):
     return x.withColumn("age_days", F.greatest(F.datediff(F.lit("2002-01-01").cast("date"), "created"), F.lit(0)))
 
 
-#: Special address blocks, by first and last address, and what they are.
-BLOCKS = [("0.0.0.0", "0.255.255.255", "unspecified"), ("10.0.0.0", "10.255.255.255", "private"), ("100.64.0.0", "100.127.255.255", "private"), ("127.0.0.0", "127.255.255.255", "loopback"), ("169.254.0.0", "169.254.255.255", "link-local"), ("169.254.169.254", "169.254.169.254", "metadata"), ("172.16.0.0", "172.31.255.255", "private"), ("192.168.0.0", "192.168.255.255", "private"), ("224.0.0.0", "239.255.255.255", "multicast"), ("240.0.0.0", "255.255.255.255", "reserved")]
+IP_SQL = (
+    "case o_orderkey % 7 when 0 then a || '.' || b || '.1.2' when 1 then '::ffff:' || a || '.' || b || '.1.2' when 2 then '64:FF9B::' || a || '.' || b || '.1.2' when 3 then '2002:' || lower(hex(a * 256 + b)) || ':102::1'"
+    " when 4 then '2001:0:4136:e378:8000:63bf:' || lower(hex(65535 - a * 256 - b)) || ':fefd' when 5 then '2a00:1450::' || lower(hex(a * 256 + b)) else case a % 9 when 0 then '::1' when 1 then '::' when 2 then 'fe80::1%eth0' when 3 then 'ff02::' || b when 4 then 'fd12:3456::1'"
+    " when 5 then '2001:db8:0:0:0:0:0:' || b when 6 then '169.254.169.254' when 7 then '4000::1' else 'fd00:ec2::254' end end"
+)
+IP_ROWS = "(o_orderkey * 48271) % 256 as a, o_orderkey % 256 as b"
 
 
-@query("u20_addresses", "with x as (select o_orderkey, (o_orderkey * 48271 % 256) as a, (o_orderkey % 256) as b from orders) select o_orderkey, a || '.' || b || '.1.2' as ip, case when a = 0 then 'unspecified' when a = 10 or (a = 100 and b between 64 and 127) or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) then 'private' when a = 127 then 'loopback' when a = 169 and b = 254 then 'link-local' when a between 224 and 239 then 'multicast' when a >= 240 then 'reserved' end as blocked from x")
+@query("u20_addresses", f"with x as (select o_orderkey, {IP_ROWS} from orders), y as (select *, {IP_SQL} as ip, case when a = 0 then 'private' when a in (10, 127) then case a when 10 then 'private' else 'loopback' end when a = 100 and b between 64 and 127 then 'reserved' when a = 172 and b between 16 and 31 then 'private' when a = 192 and b = 168 then 'private' when a = 198 and b in (18, 19) then 'private' when a = 169 and b = 254 then 'link-local' when a between 224 and 239 then 'multicast' when a >= 240 then 'private' end as four from x) select o_orderkey, ip, case when o_orderkey % 7 < 5 then four when o_orderkey % 7 = 5 then null else ['loopback', 'unspecified', 'link-local', 'multicast', 'private', 'private', 'metadata', 'reserved', 'metadata'][a % 9 + 1] end as blocked from y")
 def u20(spark, sf):
-    """Why an address is not public: the smallest special block that holds it, null if none."""
-    x = table(spark, sf, "orders").select("o_orderkey", F.concat_ws(".", (F.col("o_orderkey") * 48271 % 256).cast("string"), (F.col("o_orderkey") % 256).cast("string"), F.lit("1.2")).alias("ip")).withColumn("n", L.ip_number(F.col("ip")))
-    blocks = spark.createDataFrame(BLOCKS, "lo string, hi string, kind string").select(L.ip_number(F.col("lo")).alias("lo"), L.ip_number(F.col("hi")).alias("hi"), "kind")
-    hit = x.join(F.broadcast(blocks), F.col("n").between(F.col("lo"), F.col("hi")), "left")
-    return hit.groupBy("o_orderkey", "ip").agg(F.min_by("kind", F.col("hi") - F.col("lo")).alias("blocked"))
+    """Why an address is not public, null if it is: IPv4, IPv6, and IPv6 forms that carry an IPv4 address."""
+    x = table(spark, sf, "orders").selectExpr("o_orderkey", *IP_ROWS.split(", ")).select("o_orderkey", F.expr(IP_SQL).alias("ip"))
+    return x.withColumn("blocked", L.blocked(F.col("ip")))
 
 
 @query("j07_listed", f"with {PAGE_SITES}, links as (select distinct host || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') as key from h where page_id % 7 = 0), doms as (select distinct site as key from h where page_id % 11 = 0), k as (select page_id, url, site, host || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') as key from h), a as (select k.page_id as scan_id, 'link' as match, k.url, k.key, k.site from k join links using (key)), b as (select page_id as scan_id, 'domain' as match, url, site as key, site from h join doms on doms.key = h.site where page_id not in (select scan_id from a)), u as (select * from a union all select * from b), p as (select site from h group by 1 having count(*) >= 5) select scan_id, match, url, key, p.site is not null as popular from u left join p using (site)")

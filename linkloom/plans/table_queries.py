@@ -134,24 +134,56 @@ def s19(spark, sf):
     return rows.select("o_orderkey", F.trim(bit[0]).alias("url"), F.nullif(F.trim(bit[1]), F.lit("")).alias("note"))
 
 
-@query("s20_a10_certificates", "with c as (select o_custkey as domain, o_orderkey % 4000 as id, 'O=' || o_orderpriority || ', C=US' as dn, min(o_orderdate) as d from orders group by all), f as (select id, arg_min(domain, (d, domain, dn)) as domain, arg_min(dn, (d, domain, dn)) as dn, min(d) as d from c group by id), i as (select domain, regexp_extract(dn, 'O=([^,]+)', 1) as issuer, count(*) as n from f group by all), r as (select *, row_number() over (partition by domain order by n desc, issuer) as k from i) select f.domain, count(*) as certs, min(d) as first_seen, max(d) as latest, (select string_agg(issuer, '+' order by k) from r where r.domain = f.domain and k <= 3) as issuers from f group by f.domain")
+#: Certificate rows of two providers over orders; the same text in both dialects.
+DOMAIN = "'d' || (o_custkey % 50) || '.com'"
+LINES = "'*.D' || (o_custkey % 50) || '.com' || chr(10) || 'a' || (o_orderkey % 9) || '.d' || (o_custkey % 50) || '.com' || chr(10) || 'x.e' || (o_orderkey % 40) || '.org' || chr(10)"
+CERT_SQL = f"""with l as (select {DOMAIN} as domain, o_orderkey % 4000 as id, o_orderdate as d, {LINES} as v, o_orderpriority as o from orders where o_orderkey % 3 > 0),
+f as (select domain, id, min((d, v, o)) as m from l group by all), c as (select 'log' as source, domain, m[1] as d, m[2] as v, m[3] as issuer from (select domain, id, [cast(struct_extract(m, 1) as varchar), struct_extract(m, 2), struct_extract(m, 3)] as m from f)
+union all select 'current', {DOMAIN}, cast(o_orderdate as varchar), 'b' || (o_orderkey % 40) || '.d' || (o_custkey % 50) || '.com' || chr(10) || 'd1.com', case when o_orderkey % 4 > 0 then o_orderstatus end from orders where o_orderkey % 3 = 0),
+i as (select source, domain, issuer, count(*) as n from c where issuer is not null group by all), r as (select *, row_number() over (partition by source, domain order by n desc, issuer) as k from i),
+n as (select distinct source, domain, regexp_replace(lower(trim(x)), '^\\*\\.', '') as name from (select source, domain, unnest(string_split(v, chr(10))) as x from c)),
+t as (select distinct source, domain, ends_with(name, '.' || domain) as below, case when ends_with(name, '.' || domain) then name else array_to_string(string_split(name, '.')[-2:], '.') end as name from n where name <> '' and name <> domain),
+q as (select *, row_number() over (partition by source, domain, below order by name) as k from t where name <> domain)
+select source, domain, count(*) as certs, cast(min(d) as date) as first_seen, cast(max(d) as date) as latest, coalesce((select string_agg(issuer, '+' order by k) from r where r.source = c.source and r.domain = c.domain and k <= 3), '') as issuers,
+coalesce((select string_agg(name, ',' order by name) from q where q.source = c.source and q.domain = c.domain and below and k <= 30), '') as subdomains, coalesce((select string_agg(name, ',' order by name) from q where q.source = c.source and q.domain = c.domain and not below and k <= 30), '') as other_domains from c group by source, domain"""
+
+
+@query("s20_a10_certificates", CERT_SQL)
 def s20(spark, sf):
-    """Certificates: first row of each id, then history per domain with its three main issuers."""
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("domain"), (F.col("o_orderkey") % 4000).alias("id"), F.concat(F.lit("O="), "o_orderpriority", F.lit(", C=US")).alias("dn"), F.col("o_orderdate").alias("d"))
-    return D.certificate_history(o)
+    """Certificates of two providers, the first row of each id; then the history of each domain."""
+    from linkloom.operators import links as LT
 
+    o = table(spark, sf, "orders").withColumn("domain", F.expr(DOMAIN)).withColumn("not_before", F.col("o_orderdate").cast("date"))
+    log = o.where("o_orderkey % 3 > 0").select("domain", (F.col("o_orderkey") % 4000).alias("id"), "not_before", F.expr(LINES).alias("name_value"), F.concat(F.lit("C=US, O="), "o_orderpriority", F.lit(", CN=x")).alias("issuer_name"))
+    names = F.array(F.concat(F.lit("b"), (F.col("o_orderkey") % 40).cast("string"), F.lit("."), "domain"), F.lit("d1.com"))
+    current = o.where("o_orderkey % 3 = 0").select("domain", names.alias("dns_names"), "not_before", F.struct(F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderstatus")).alias("friendly_name")).alias("issuer"))
+    found = D.certificate_history(D.certificates(log, current), lambda h: LT.sites(h, LT.suffix_table(spark)))
+    return found.select("source", "domain", "certs", "first_seen", "latest", F.array_join("issuers", "+").alias("issuers"), F.array_join("subdomains", ",").alias("subdomains"), F.array_join("other_domains", ",").alias("other_domains"))
 
-@query("s21_registrations", "select c_custkey, c_mktsegment as registrar, 'abuse@' || c_custkey || '.org' as abuse, 'a.ns,b.ns' as name_servers from customer")
+
+CARD = "\"vcardArray\":[\"vcard\",[[\"version\",{},\"text\",\"4.0\"],[\"%s\",{\"type\":\"x\"},\"text\",\"%s\"]]]"
+REGISTRATION_DOC = (
+    "'{\"events\":[{\"eventAction\":\"registration\",\"eventDate\":\"2001-0' || (1 + c_custkey % 9) || '-03T04:05:06Z\"},{\"eventAction\":\"expiration\",\"eventDate\":\"2030-01-01\"}],\"status\":[\"client hold\",\"ok\"],\"secureDNS\":{\"delegationSigned\":' || (case when c_custkey % 2 = 0 then 'true' else 'false' end) || '},"
+    "\"nameservers\":[{\"ldhName\":\"NS' || c_nationkey || '.X\"},{\"ldhName\":\"a.x\"},{\"ldhName\":\"\"}],\"entities\":[' || case when c_custkey % 5 = 0 then '' else '{\"roles\":[\"registrar\"]," + CARD % ("fn", "' || c_mktsegment || '")
+    + ",\"entities\":[{\"roles\":[\"abuse\"]," + CARD % ("email", "abuse@' || c_custkey || '.org") + "}]},' end || '{\"roles\":[\"technical\"],\"entities\":[{\"roles\":[\"registrant\"]," + CARD % ("org", "' || c_name || '") + "}]}]}'"
+)
+
+
+@query("s21_registrations", "select c_custkey, case when c_custkey % 5 > 0 then c_mktsegment end as registrar, case when c_custkey % 5 > 0 then 'abuse@' || c_custkey || '.org' end as abuse, c_name as registrant, make_date(2001, 1 + (c_custkey % 9)::int, 3) as created, cast(null as varchar) as updated, '2030-01-01' as expires, cast(date_diff('day', make_date(2001, 1 + (c_custkey % 9)::int, 3), date '2002-01-01') as integer) as age_days, 'a.x,ns' || c_nationkey || '.x' as nameservers, 'client hold,ok' as flags, c_custkey % 2 = 0 as dnssec from customer")
 def s21(spark, sf):
-    """Registration documents with nested entities to a flat table."""
-    doc = F.expr("concat('{\"entities\":[{\"roles\":[\"registrar\"],\"name\":\"', c_mktsegment, '\"},{\"roles\":[\"abuse\"],\"mail\":\"abuse@', c_custkey, '.org\"}],\"nameservers\":[\"B.ns.\",\"a.ns\",\"b.ns\"]}')")
-    return D.registrations(table(spark, sf, "customer").select("c_custkey", doc.alias("doc")), "c_custkey")
+    """Registration documents with nested entities and contact cards to a flat table."""
+    docs = table(spark, sf, "customer").select("c_custkey", F.expr(REGISTRATION_DOC).alias("doc"))
+    return D.registrations(docs, "c_custkey", F.lit("2002-01-01").cast("date")).withColumn("nameservers", F.array_join("nameservers", ",")).withColumn("flags", F.array_join("flags", ","))
 
 
-@query("s22_owner_columns", "select c_custkey, c_nationkey || '.ns,x.ns' as ns_key from customer")
+@query("s22_owner_columns", "select c_custkey, substr(repeat(c_name, 30), 1, 200) as title, substr('https://a.com/' || repeat('p', 1900 + (c_custkey % 300)::int), 1, 2000) as url, '2001-02-03' as domain_created, c_nationkey || '.ns,x.ns' as ns_key, array_to_string(list_transform(range(0, 25 + c_custkey % 10), lambda i: 'o' || i || '.org') || list_transform(range(0, least(15 - c_custkey % 10, 30)), lambda i: 'n' || i || '.net'), ',') as cert_domains from customer")
 def s22(spark, sf):
+    """What the library stores of a page's title, link, server and owner, cut to its lengths."""
+    c = F.col("c_custkey")
     ns = F.array(F.lit("X.NS."), F.concat(F.col("c_nationkey").cast("string"), F.lit(".Ns")))
-    return table(spark, sf, "customer").select("c_custkey", D.ns_key(ns).alias("ns_key"))
+    named = lambda n, a, z: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit(a), i.cast("string"), F.lit(z)))
+    others = named(25 + c % 10, "o", ".org")
+    return table(spark, sf, "customer").select("c_custkey", *D.owner_columns(F.repeat("c_name", F.lit(30)), F.concat(F.lit("https://a.com/"), F.repeat(F.lit("p"), (1900 + c % 300).cast("int"))), F.lit("2001-02-03T04:05:06"), ns, others, F.concat(F.slice(others, 1, 3), named(F.lit(30), "n", ".net")))).withColumn("cert_domains", F.array_join("cert_domains", ","))
 
 
 # --- predicates ----------------------------------------------------------------------------------------------------

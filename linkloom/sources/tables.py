@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import links as L
@@ -66,21 +67,80 @@ def still_valid(cache: DataFrame, as_of: Column) -> DataFrame:
     return cache.where(F.col("expires_at") > as_of).groupBy("key").agg(F.max_by("value", "ts").alias("value"))
 
 
-def certificate_history(rows: DataFrame, top: int = 3) -> DataFrame:
-    """Per domain: certificates (first row of each id), first and latest day, main issuers. rows: domain, id, dn, d."""
-    first = rows.groupBy("id").agg(F.min(F.struct("d", "domain", "dn")).alias("m")).select("m.*").withColumn("issuer", F.regexp_extract("dn", "O=([^,]+)", 1))
-    counts = first.groupBy("domain", "issuer").agg(F.count("*").alias("n"), F.min("d").alias("a"), F.max("d").alias("z"))
-    by = counts.groupBy("domain").agg(F.sum("n").alias("certs"), F.min("a").alias("first_seen"), F.max("z").alias("latest"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "issuer"))), 1, top).alias("i"))
-    return by.select("domain", "certs", "first_seen", "latest", F.array_join(F.transform("i", lambda x: x["issuer"]), "+").alias("issuers"))
+def issuer_organisation(dn: Column) -> Column:
+    """The first O= part of an issuer's name, null if there is none."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(dn, r"(?:^|,)\s*O=([^,]+)", 1), '^"+|"+$', ""), F.lit(""))
 
 
-def ns_key(names: Column) -> Column:
-    """Name servers in lower case without trailing dot, sorted, unique, joined."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(names, lambda x: F.regexp_replace(F.lower(x), r"\.$", "")))), ",")
+def certificates(log: DataFrame, current: DataFrame) -> DataFrame:
+    """(source, domain, names, not_before, issuer) of two providers' rows.
+
+    log: domain, id, name_value (names on lines), not_before, issuer_name; the first row of each domain and id stays (by day,
+    then names). current: domain, dns_names, not_before, issuer (a struct with friendly_name); every row stays.
+    """
+    first = log.groupBy("domain", "id").agg(F.min(F.struct("not_before", "name_value", "issuer_name")).alias("m"))
+    old = first.select(F.lit("log").alias("source"), "domain", F.split(F.coalesce("m.name_value", F.lit("")), "\n").alias("names"), "m.not_before", issuer_organisation(F.col("m.issuer_name")).alias("issuer"))
+    return old.unionByName(current.select(F.lit("current").alias("source"), "domain", F.coalesce("dns_names", F.array().cast("array<string>")).alias("names"), "not_before", F.col("issuer.friendly_name").alias("issuer")))
+
 
+def certificate_history(certs: DataFrame, sites, top: int = 3, most: int = 30) -> DataFrame:
+    """Per source and domain: certificates, first and latest day, main issuers, and names below it and elsewhere, sorted.
 
-def registrations(docs: DataFrame, key: str, doc: str = "doc") -> DataFrame:
-    """Flat columns of nested registration documents: registrar, abuse mail, name servers."""
-    d = docs.select(key, F.from_json(doc, "entities array<struct<roles:array<string>,name:string,mail:string>>, nameservers array<string>").alias("d"))
-    role = lambda r: F.get(F.filter("d.entities", lambda e: F.array_contains(e["roles"], r)), F.lit(0))
-    return d.select(key, role("registrar")["name"].alias("registrar"), role("abuse")["mail"].alias("abuse"), ns_key(F.col("d.nameservers")).alias("name_servers"))
+    certs: as from `certificates`; sites: adds registered_domain to rows with `host`. Issuers of equal count go by name.
+    Names are made unique before they meet or are gathered, and a domain keeps `most` of each kind.
+    """
+    by = ["source", "domain"]
+    counts = certs.groupBy(*by, "issuer").agg(F.count("*").alias("n"), F.min("not_before").alias("a"), F.max("not_before").alias("z"))
+    main = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("issuer").isNotNull(), F.struct((-F.col("n")).alias("m"), "issuer")))), 1, top), lambda x: x["issuer"])
+    facts = counts.groupBy(*by).agg(F.sum("n").alias("certs"), F.min("a").alias("first_seen"), F.max("z").alias("latest"), main.alias("issuers"))
+    names = certs.select(*by, F.explode("names").alias("raw")).select(*by, F.regexp_replace(F.lower(F.trim("raw")), r"^\*\.", "").alias("host")).where("host <> '' and host <> domain").distinct()
+    below = F.endswith("host", F.concat(F.lit("."), F.col("domain")))
+    other = sites(names.where(~below)).select(*by, F.lit("other").alias("kind"), F.col("registered_domain").alias("name")).where("name <> domain").distinct()
+    told = names.where(below).select(*by, F.lit("below").alias("kind"), F.col("host").alias("name")).unionByName(other)
+    w = W.partitionBy(*by, "kind").orderBy("name")
+    kept = told.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).groupBy(*by).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("name")))).alias(k) for k in ("below", "other")])
+    empty = F.array().cast("array<string>")
+    return facts.join(kept, by, "left").select(*by, "certs", "first_seen", "latest", "issuers", F.coalesce("below", empty).alias("subdomains"), F.coalesce("other", empty).alias("other_domains"))
+
+
+def ns_key(names: Column) -> Column:
+    """Name servers in lower case without trailing dot, sorted, unique, joined; null if there is none."""
+    return F.nullif(F.array_join(F.array_sort(F.array_distinct(F.transform(names, lambda x: F.regexp_replace(F.lower(x), r"\.$", "")))), ","), F.lit(""))
+
+
+def owner_columns(title: Column, url: Column, created: Column, nameservers: Column, other_domains: Column, names: Column) -> list[Column]:
+    """title, url, domain_created, ns_key, cert_domains of a library row: redacted and cut to what the library stores."""
+    both = F.concat(F.coalesce(other_domains, F.array().cast("array<string>")), F.coalesce(names, F.array().cast("array<string>")))
+    return [
+        F.nullif(F.substring(title, 1, 200), F.lit("")).alias("title"), F.substring(L.redact(url), 1, 2000).alias("url"), F.nullif(F.substring(created, 1, 10), F.lit("")).alias("domain_created"),
+        ns_key(nameservers).alias("ns_key"), F.slice(F.array_distinct(both), 1, 40).alias("cert_domains"),
+    ]
+
+
+#: Registration documents: entities hold entities, three levels are read.
+_CARD = "roles array<string>, vcardArray array<string>"
+REGISTRATION = f"events array<struct<eventAction:string,eventDate:string>>, nameservers array<struct<ldhName:string>>, status array<string>, secureDNS struct<delegationSigned:boolean>, entities array<struct<{_CARD}, entities array<struct<{_CARD}, entities array<struct<{_CARD}>>>>>>"
+
+
+def registrations(docs: DataFrame, key: str, as_of: Column, doc: str = "doc") -> DataFrame:
+    """One flat row per registration document: who registered a name where and when, its servers, flags and signing.
+
+    An entity is found by its role, on its own level before the levels below each entity in turn. Broken documents have nulls.
+    """
+    d = docs.select(key, F.from_json(doc, REGISTRATION).alias("d"))
+    plain = lambda e: F.struct(e["roles"].alias("roles"), e["vcardArray"].alias("card"))
+    none = F.array().cast("array<struct<roles:array<string>,card:array<string>>>")
+    deep = lambda e: F.concat(F.array(plain(e)), F.coalesce(F.flatten(F.transform(e["entities"], lambda x: F.concat(F.array(plain(x)), F.coalesce(F.transform(x["entities"], plain), none)))), none))
+    having = lambda items, role: F.get(F.filter(items, lambda e: F.array_contains(e["roles"], role)), F.lit(0))
+    everyone = F.coalesce(F.flatten(F.transform("d.entities", deep)), none)
+    under = lambda e: F.coalesce(F.slice(deep(e), 2, 10_000), none)
+    agent = F.get(F.filter(F.flatten(F.transform("d.entities", lambda e: F.array(F.struct(plain(e).alias("e"), under(e).alias("below"))))), lambda x: F.array_contains(x["e"]["roles"], "registrar")), F.lit(0))
+    cells = lambda e: F.from_json(e["card"][1], "array<array<string>>")
+    field = lambda e, name: F.nullif(F.trim(F.get(F.filter(cells(e), lambda i: i[0] == name), F.lit(0))[3]), F.lit(""))
+    day = lambda action: F.get(F.filter("d.events", lambda e: e["eventAction"] == action), F.lit(0))["eventDate"]
+    rows = d.select(key, "d", having(everyone, "registrant").alias("owner"), having(everyone, "registrar").alias("agent"), having(agent["below"], "abuse").alias("abuse"), L.parse_date(day("registration")).alias("created"))
+    return rows.select(
+        key, field(F.col("agent"), "fn").alias("registrar"), field(F.col("abuse"), "email").alias("abuse"), F.coalesce(field(F.col("owner"), "org"), field(F.col("owner"), "fn")).alias("registrant"),
+        "created", day("last changed").alias("updated"), day("expiration").alias("expires"), F.greatest(F.datediff(as_of, "created"), F.lit(0)).alias("age_days"),
+        F.array_sort(F.array_distinct(F.filter(F.transform("d.nameservers", lambda n: F.lower(n["ldhName"])), lambda n: n != ""))).alias("nameservers"), F.col("d.status").alias("flags"), F.col("d.secureDNS.delegationSigned").alias("dnssec"),
+    )

@@ -241,3 +241,49 @@ def test_blocks_cover_ranges_exactly(spark):
     rows = spark.createDataFrame(cases, "lo long, hi long").select("lo", "hi", tables.blocks(F.col("lo"), F.col("hi")).alias("b")).collect()
     for r in rows:
         assert sorted(x for k, at in r.b for x in range(at << k, (at + 1) << k)) == list(range(r.lo, r.hi + 1))
+
+
+def test_addresses_in_every_spelling(spark):
+    import ipaddress
+
+    from linkloom.functions import links
+
+    def want(a):
+        six = a.version == 6
+        inner = (a.ipv4_mapped or a.sixtofour or (a.teredo[1] if a.teredo else None) or (ipaddress.IPv4Address(int(a) & 0xFFFFFFFF) if a in ipaddress.ip_network("64:ff9b::/96") else None)) if six else None
+        if inner is not None:
+            return want(inner)
+        if str(a) in ("169.254.169.254", "fd00:ec2::254"):
+            return "metadata"
+        kinds = [(a.is_loopback, "loopback"), (a.is_unspecified, "unspecified"), (a.is_link_local, "link-local"), (a.is_multicast, "multicast"), (a.is_private, "private"), (a.is_reserved or not a.is_global, "reserved")]
+        return next((k for yes, k in kinds if yes), None)
+
+    texts = ["8.8.8.8", "0.0.0.0", "0.1.2.3", "10.1.2.3", "100.64.0.1", "127.9.9.9", "169.254.169.254", "169.254.1.1", "172.31.0.1", "172.32.0.1", "192.168.1.1", "192.0.2.5", "198.19.0.1", "224.0.0.1", "250.0.0.1"]
+    texts += ["::1", "::", "fe80::1", "ff02::1", "fd00::1", "fd00:ec2::254", "2001:db8::1", "2a00:1450:4001:81b::200e", "::ffff:10.0.0.1", "::ffff:808:808", "64:ff9b::7f00:1", "64:ff9b::8.8.8.8", "2002:a00:1::", "2001:0:4136:e378:8000:63bf:3fff:fdd2", "4000::1", "1:2:3:4:5:6:7:8"]
+    got = {r.a: r.b for r in spark.createDataFrame([(t,) for t in texts + ["no address", "", None]], "a string").select("a", links.blocked(links.F.col("a")).alias("b")).collect()}
+    assert {t: got[t] for t in texts} == {t: want(ipaddress.ip_address(t)) for t in texts}
+    assert got["no address"] is got[""] is got[None] is None
+
+
+def test_page_vector_of_odd_pages(spark):
+    from linkloom.operators import links, model
+
+    rows = [(1, None, None), (2, "https://1.2.3.4/a", ""), (3, "http://paypa1.com/login?x=1", '<title>Paypal</title><form action="https://evil.net"><input type=password></form>' + "paypal " * 3), (4, "https://shop.paypal.com", "<p>" * 5000)]
+    brands = spark.createDataFrame([(1, "Paypal", ["paypal.com"], ["paypal"], ["paypal"])], "ord int, name string, domains array<string>, labels array<string>, keywords array<string>")
+    v = {r.page_id: r for r in model.page_vector(spark.createDataFrame(rows, "page_id int, url string, html string"), links.suffix_table(spark), brands).collect()}
+    assert len(model.FEATURES) == 78 and len(v) == 4
+    assert set(v[1][1:]) == {0.0}
+    assert v[2].is_ip == 1 and v[2].captured == 0 and v[2].host_length == 7
+    assert v[3].lookalike_typo == v[3].impersonated == v[3].asks_password == v[3].form_to_other_domain == v[3].brand_in_title == v[3].url_words == 1
+    assert v[4].lookalike == v[4].impersonated == 0 and abs(v[4].tags_log - 8.5174) < 1e-3
+    empty = model.page_vector(spark.createDataFrame([], "page_id int, url string, html string"), links.suffix_table(spark), brands)
+    assert empty.count() == 0 and len(model.assembled(empty).columns) == 2
+
+
+def test_broken_registrations_have_nulls(spark):
+    from linkloom.sources import tables
+
+    rows = [(1, None), (2, "{"), (3, "{}"), (4, '{"entities":[{"roles":["registrar"],"vcardArray":["vcard",[["fn",{},"text"," A "]]]}]}')]
+    got = {r.k: r for r in tables.registrations(spark.createDataFrame(rows, "k int, doc string"), "k", tables.F.lit("2020-01-01").cast("date")).collect()}
+    assert len(got) == 4 and all(got[k].registrar is None and got[k].abuse is None for k in (1, 2, 3))
+    assert got[4].registrar == "A" and got[4].registrant is None
