@@ -141,3 +141,31 @@ def for_map(edges: DataFrame, labels: DataFrame, most: int = 45) -> DataFrame:
     role = F.when(F.col("site") == F.col("probe"), "scanned").when(F.col("i") & F.col("o"), "both").when(F.col("i"), "in").when(F.col("o"), "out").otherwise("near")
     w = W.partitionBy("probe").orderBy(F.col("site") != F.col("probe"), F.col("label") == 0, F.col("i").isNull(), "site")
     return rows.withColumn("role", role).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("probe", "site", "role", "n")
+
+
+def visit_graph(hops: DataFrame, contacted: DataFrame, stopped: DataFrame, servers: DataFrame, most_domains: int = 24, most_blocked: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) of each visit: nodes are visit, id, kind, pos; links are visit, src, dst, kind, pos.
+
+    hops: visit, n (order), host, blocked; contacted and stopped: visit, host; servers: visit, ip. Equal hosts in a row stand once.
+    Other hosts that a visit contacted, and those that were blocked, hang on its last host, by name and up to the stated
+    numbers; the server does unless the last hop was blocked. A visit's hops meet in one task, as a visit has few.
+    """
+    w = W.partitionBy("visit").orderBy("n")
+    chain = hops.withColumn("p", F.lag("host").over(w)).withColumn("end", F.last("blocked").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).where("p is null or p <> host")
+    chain = chain.select("visit", "host", F.coalesce("end", F.lit(False)).alias("end"), F.row_number().over(w).alias("pos"), F.lead("host").over(w).alias("dst"), F.lead("host", 2).over(w).isNull().alias("ends"))
+    last = chain.where("dst is null").select("visit", F.col("host").alias("final"), "end")
+
+    def hung(rows: DataFrame, most: int) -> DataFrame:
+        other = rows.select("visit", "host").where("host is not null").distinct().join(chain, ["visit", "host"], "left_anti")
+        return other.withColumn("pos", F.row_number().over(W.partitionBy("visit").orderBy("host"))).where(F.col("pos") <= most).join(last, "visit")
+
+    loads, shut = hung(contacted, most_domains), hung(stopped, most_blocked)
+    shut = shut.withColumn("host", F.concat(F.lit("blocked:"), "host"))
+    hosted = servers.where("ip is not null").groupBy("visit").agg(F.concat(F.lit("server:"), F.min("ip")).alias("host")).join(last.where("not end"), "visit").withColumn("pos", F.lit(1))
+    kind = F.when(F.col("dst").isNull(), F.when(F.col("end"), "blocked").otherwise("final")).when(F.col("pos") == 1, "origin").otherwise("hop")
+    nodes = chain.select("visit", F.col("host").alias("id"), kind.alias("kind"), "pos")
+    links = chain.where("dst is not null").select("visit", F.col("host").alias("src"), "dst", F.when(F.col("ends") & F.col("end"), "blocked").otherwise("hop").alias("kind"), "pos")
+    for rows, node, link in ((loads, "domain", "loads"), (shut, "blocked", "blocked"), (hosted, "server", "hosted")):
+        nodes = nodes.unionByName(rows.select("visit", F.col("host").alias("id"), F.lit(node).alias("kind"), "pos"))
+        links = links.unionByName(rows.select("visit", F.col("final").alias("src"), F.col("host").alias("dst"), F.lit(link).alias("kind"), "pos"))
+    return nodes, links

@@ -104,13 +104,27 @@ def w06(spark, sf):
     return G.for_map(*hood(spark, sf))
 
 
-@query("g12_visit_graph", "with h as (select user_id as visit, event_type as host, row_number() over (partition by user_id order by ts, event_id) as n from events), c as (select *, lag(host) over (partition by visit order by n) as p from h), k as (select visit, host, row_number() over (partition by visit order by n) as pos from c where p is null or p <> host) select a.visit, a.host as src, b.host as dst, 'redirect' as kind, a.pos from k a join k b on a.visit = b.visit and b.pos = a.pos + 1 where a.pos <= 5")
+VISIT_SQL = """with h as (select user_id as visit, event_type as host, event_id % 5 = 0 as blocked, row_number() over (partition by user_id order by ts, event_id) as n from events),
+c as (select *, lag(host) over (partition by visit order by n) as p, last_value(blocked) over (partition by visit order by n rows between unbounded preceding and unbounded following) as stop from h),
+k as (select visit, host, stop, row_number() over (partition by visit order by n) as pos, count(*) over (partition by visit) as total from c where p is null or p <> host),
+f as (select visit, host as final, stop from k where pos = total),
+o as (select visit, kind, host, row_number() over (partition by visit, kind order by host) as pos from (select distinct user_id as visit, 'loads' as kind, case when event_id % 3 = 0 then event_type else 'c' || (event_id % 40) || '.com' end as host from events union select distinct user_id, 'blocked', 'b' || (event_id % 30) || '.com' from events where event_id % 4 = 0) x where not exists (select 1 from k where k.visit = x.visit and k.host = x.host)),
+e as (select visit, kind, case when kind = 'blocked' then 'blocked:' || host else host end as dst, final as src, pos from o join f using (visit) where pos <= case when kind = 'loads' then 24 else 8 end
+union all select user_id, 'hosted', 'server:10.0.0.' || (user_id % 250), final, 1 from (select distinct user_id from events where user_id % 3 = 0) join f on f.visit = user_id where not stop)
+select 'link' as part, a.visit, a.host as a, b.host as b, case when b.pos = b.total and a.stop then 'blocked' else 'hop' end as kind, a.pos from k a join k b on a.visit = b.visit and b.pos = a.pos + 1
+union all select 'node', visit, host, '', case when pos = total then case when stop then 'blocked' else 'final' end when pos = 1 then 'origin' else 'hop' end, pos from k
+union all select 'link', visit, src, dst, kind, pos from e union all select 'node', visit, dst, '', case kind when 'loads' then 'domain' when 'blocked' then 'blocked' else 'server' end, pos from e"""
+
+
+@query("g12_visit_graph", VISIT_SQL)
 def g12(spark, sf):
-    """Chains of hosts per visit as typed links: repeats in a row removed, five links a visit."""
-    w = W.partitionBy("visit").orderBy("ts", "event_id")
-    h = table(spark, sf, "events").select(F.col("user_id").alias("visit"), F.col("event_type").alias("host"), "ts", "event_id").withColumn("p", F.lag("host").over(w)).where("p is null or p <> host")
-    k = h.select("visit", "host", F.row_number().over(w).alias("pos"), F.lead("host").over(w).alias("dst"))
-    return k.where("dst is not null and pos <= 5").select("visit", F.col("host").alias("src"), "dst", F.lit("redirect").alias("kind"), "pos")
+    """Each visit as typed nodes and links: the chain of hosts, what the last one loads, what was blocked, the server."""
+    e = table(spark, sf, "events").withColumnRenamed("user_id", "visit")
+    hops = e.select("visit", F.struct("ts", "event_id").alias("n"), F.col("event_type").alias("host"), (F.col("event_id") % 5 == 0).alias("blocked"))
+    loaded = e.select("visit", F.expr("case when event_id % 3 = 0 then event_type else 'c' || (event_id % 40) || '.com' end").alias("host"))
+    shut = e.where("event_id % 4 = 0").select("visit", F.expr("'b' || (event_id % 30) || '.com'").alias("host"))
+    nodes, links = G.visit_graph(hops, loaded, shut, e.where("visit % 3 = 0").select("visit", F.expr("'10.0.0.' || (visit % 250)").alias("ip")))
+    return links.select(F.lit("link").alias("part"), "visit", F.col("src").alias("a"), F.col("dst").alias("b"), "kind", "pos").unionByName(nodes.select(F.lit("node").alias("part"), "visit", F.col("id").alias("a"), F.lit("").alias("b"), "kind", "pos"))
 
 
 @query("w08_moving_hosts", "with c as (select user_id as visit, event_type as host, ts, event_id, lag(event_type) over (partition by user_id order by ts, event_id) as p from events) select visit, string_agg(host, ' > ' order by ts, event_id) as hosts from c where p is null or p <> host group by 1")
