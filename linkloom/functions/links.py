@@ -101,12 +101,14 @@ def redact(c: Column) -> Column:
 
     def pair(p: Column) -> Column:
         k, v = F.regexp_extract(p, "^([^=]*)", 1), F.regexp_extract(p, "^[^=]*=(.*)$", 1)
-        return F.concat(k, F.lit("="), F.when(k.rlike(SENSITIVE_KEY) | v.rlike(EMAIL) | tokenish(v), MARK).otherwise(v))
+        return F.concat(k, F.lit("="), F.when(k.rlike(SENSITIVE_KEY) | (v.contains("@") & v.rlike(EMAIL)) | tokenish(v), MARK).otherwise(v))
 
     q = F.array_join(F.transform(F.filter(F.split(query(c), "&"), lambda p: p != ""), pair), "&")
     f = fragment(c)
-    safe_f = F.when(f.rlike(EMAIL) | f.contains("token"), MARK).otherwise(f)
-    return F.concat(head, auth, F.regexp_replace(path(c), EMAIL, MARK), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""), F.when(safe_f != "", F.concat(F.lit("#"), safe_f)).otherwise(""))
+    safe_f = F.when((f.contains("@") & f.rlike(EMAIL)) | f.contains("token"), MARK).otherwise(f)
+    # Looking for e-mails in a long path takes the square of its length, so only where there can be one.
+    safe_p = F.when(path(c).contains("@"), F.regexp_replace(path(c), EMAIL, MARK)).otherwise(path(c))
+    return F.concat(head, auth, safe_p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""), F.when(safe_f != "", F.concat(F.lit("#"), safe_f)).otherwise(""))
 
 
 def host_suffixes(h: Column) -> Column:
