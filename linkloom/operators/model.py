@@ -173,8 +173,9 @@ def rated(rows: DataFrame) -> DataFrame:
     """Adds total and free: rule score plus the model's points with and without the limits, in 0..100.
 
     rows: p, rule, backing, trusted, shared. Without limits the page counts as backed; trusted sites stay as they are.
+    A null p adds nothing, a null rule gives null.
     """
-    clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), x))
+    clamp = lambda x: F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), x)))
     c = {n: F.col(n) for n in ("p", "rule", "backing", "trusted", "shared")}
     bound = say(c["p"], c["rule"], c["backing"], c["trusted"], c["shared"])
     free = say(c["p"], c["rule"], F.lit(100), F.lit(False), F.lit(False))
@@ -185,3 +186,34 @@ def report(scored: DataFrame, cutoffs: list[int]) -> DataFrame:
     from linkloom.operators.tables import rates
 
     return rates(cut(scored, "scored"), cutoffs)
+
+
+def evaluation(rows: DataFrame, bounds: list[int], safe: int = 30, suspicious: int = 69) -> DataFrame:
+    """The tables of an evaluation: section, line, confusion counts and rates (0 where undefined).
+
+    rows: y (0/1), p and plain (the chances by a model with and one without group weights), size, fresh (on a site that
+    training never saw), outside (an honest page from elsewhere), rule, backing, trusted, shared. Sections: cutoff and low
+    (p at or above, at or below percent), fresh, size (steps between bounds), small (the two lowest steps), scan (rules, both, both without limits),
+    plain (the unweighted model), outside. Outside pages count in their own section only. A test on a null counts as
+    not met; rows whose y is null are left out. One aggregate reads the rows once and moves one row a partition.
+    """
+    from linkloom.operators.tables import size_step
+
+    p, plain = F.col("p"), F.col("plain")
+    step, inner = size_step(F.col("size"), bounds), ~F.coalesce(F.col("outside"), F.lit(False))
+    always, half = F.lit(True), p >= 0.5
+    lines = [("cutoff", str(c), always, p >= c / 100) for c in (95, 80, 60, 50, 40)] + [("low", str(c), always, p <= c / 100) for c in (5, 15)]
+    lines += [("fresh", "50", F.col("fresh"), half)] + [("size", str(k), step == k, half) for k in range(len(bounds) + 1)] + [("small", "50", step <= 1, half)]
+    lines += [("scan", f"{n} {at}", always, F.col(c) > level) for n, c in (("rules", "rule"), ("both", "total"), ("unlimited", "free")) for at, level in (("suspicious", safe), ("dangerous", suspicious))]
+    lines += [("plain", "50", always, plain >= 0.5), ("plain", "small", step <= 1, plain >= 0.5)]
+    lines = [(s, n, inner & among, hit) for s, n, among, hit in lines]
+    lines += [("outside", str(c), ~inner, p >= c / 100) for c in (40, 60, 80, 95)] + [("outside", "plain 60", ~inner, plain >= 0.6)] + [("outside", n, ~inner, F.col(c) > safe) for n, c in (("both suspicious", "total"), ("unlimited suspicious", "free"))]
+    counts = []
+    for i, (_, _, among, hit) in enumerate(lines):
+        hit, scam, honest = F.coalesce(hit, F.lit(False)), among & (F.col("y") == 1), among & (F.col("y") == 0)
+        counts += [F.count_if(scam & hit).alias(f"tp{i}"), F.count_if(honest & hit).alias(f"fp{i}"), F.count_if(scam & ~hit).alias(f"fn{i}"), F.count_if(honest & ~hit).alias(f"tn{i}")]
+    one = rated(rows).agg(*counts)
+    table = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("line"), *[F.col(f"{k}{i}").alias(k) for k in ("tp", "fp", "fn", "tn")]) for i, (s, n, _, _) in enumerate(lines)])
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return one.select(F.explode(table).alias("r")).select("r.*").select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(fp, fp + tn).alias("false_alarms"))

@@ -160,8 +160,9 @@ def reputation_reasons() -> Column:
 
 
 def total(reasons: Column, backed: bool = False) -> Column:
-    """Points added up, between 0 and 100; backed: without signs that honest and scam sites share."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(reasons, F.lit(0), lambda a, r: a + (F.when(r["backs"], r["points"]).otherwise(0) if backed else r["points"]))))
+    """Points added up, between 0 and 100; no reasons (null) are 0, null points too. backed: without signs that honest and scam sites share."""
+    points = lambda r: F.coalesce(F.when(r["backs"], r["points"]) if backed else r["points"], F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.aggregate(reasons, F.lit(0), lambda a, r: a + points(r)), F.lit(0))))
 
 
 def judge(df: DataFrame, reasons: str = "reasons", stopped: str = "stopped") -> DataFrame:
@@ -173,8 +174,41 @@ def judge(df: DataFrame, reasons: str = "reasons", stopped: str = "stopped") ->
     return df.withColumn("rule_score", rule).withColumn("backing", total(F.col(reasons), backed=True)).withColumn("score", score).withColumn("verdict", F.when(score <= SAFE_MAX, "safe").when(score <= SUSPICIOUS_MAX, "suspicious").otherwise("dangerous"))
 
 
-def own_score(reasons: str = "reasons") -> Column:
-    return total(F.filter(reasons, lambda r: r["area"] != "blacklist"))
+def own_score(reasons: Column | str = "reasons") -> Column:
+    return total(F.filter(reasons, lambda r: ~F.coalesce(r["area"] == "blacklist", F.lit(False))))
+
+
+FOUND = "array<struct<text:string,points:int,area:string>>"
+#: A stored scan document, as far as comparisons read it. Parts of which only the number counts stay JSON text.
+SCAN = (
+    f"id string, created_at string, analysis struct<score:int,verdict:string,summary:string,scam_type:string,partial:boolean,reasons:{FOUND},good_signs:{FOUND},model:struct<probability:double>,link:struct<unicode_host:string,lookalike:string>>, "
+    "visit struct<final_url:string,title:string,stopped:string,notes:array<string>,hops:array<string>,blocked:array<string>,downloads:array<string>,bot_check:string>, "
+    "recon struct<registration:struct<registrar:string,created:string,age_days:int>,server:struct<country:string,as_org:string,abuse_email:string>,cert_history:struct<first_seen:string,cert_count:int>>, "
+    "blacklists struct<sources:array<struct<id:string,name:string,status:string,note:string>>>, "
+    "family struct<status:string,note:string,copied_site:string,library_size:long,family:struct<label:string>>, "
+    "siblings struct<same_server:struct<total:long>,same_owner:struct<total:long>,same_design:struct<total:long>,lookalikes:struct<total:long>>"
+)
+
+
+def comparison(scans: DataFrame, key: str, document: str = "document") -> DataFrame:
+    """key and the 39 fields that a comparison of scans shows, from each scan's JSON document.
+
+    A missing part is null; lists that are missing are empty, counts 0. A document that is null or no JSON reads as one without parts.
+    """
+    d = F.col("d")
+    found = lambda path: F.coalesce(d[path[0]][path[1]], F.from_json(F.lit("[]"), FOUND))
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    analysis, visit, recon, family = d["analysis"], d["visit"], d["recon"], d["family"]
+    reasons, good = found(("analysis", "reasons")), found(("analysis", "good_signs"))
+    fields = {
+        "id": d["id"], "scanned_at": d["created_at"], "score": analysis["score"], "own_score": own_score(F.concat(reasons, good)), "verdict": analysis["verdict"], "summary": analysis["summary"], "scam_type": analysis["scam_type"], "partial": analysis["partial"],
+        "reasons": reasons, "good_signs": good, "model": analysis["model"]["probability"], "unicode_host": analysis["link"]["unicode_host"], "lookalike": analysis["link"]["lookalike"],
+        "final_url": visit["final_url"], "title": visit["title"], "stopped": visit["stopped"], "notes": texts(visit["notes"]), "hops": F.size(texts(visit["hops"])), "blocked": texts(visit["blocked"]), "downloads": F.size(texts(visit["downloads"])), "bot_check": visit["bot_check"],
+        "registrar": recon["registration"]["registrar"], "created": recon["registration"]["created"], "age_days": recon["registration"]["age_days"], "country": recon["server"]["country"], "network": recon["server"]["as_org"], "abuse_email": recon["server"]["abuse_email"],
+        "certs_first_seen": recon["cert_history"]["first_seen"], "cert_count": recon["cert_history"]["cert_count"], "lists": F.coalesce(d["blacklists"]["sources"], F.from_json(F.lit("[]"), "array<struct<id:string,name:string,status:string,note:string>>")),
+        "family_status": family["status"], "family_note": family["note"], "copied_site": family["copied_site"], "library_size": family["library_size"], "family_name": family["family"]["label"],
+    } | {k: F.coalesce(d["siblings"][k]["total"], F.lit(0)) for k in ("same_server", "same_owner", "same_design", "lookalikes")}
+    return scans.select(key, F.from_json(F.col(document).cast("string"), SCAN).alias("d")).select(key, *[c.alias(n) for n, c in fields.items()])
 
 
 def ordered(reasons: str = "reasons") -> Column:

@@ -164,6 +164,36 @@ def m02(spark, sf):
     return M.report(raw, [40, 60, 80, 95])
 
 
+#: An evaluation's lines for the twin: section, line, which rows, what is met.
+LINES = (
+    [("cutoff", c, "true", f"p >= {c / 100}") for c in (95, 80, 60, 50, 40)] + [("low", c, "true", f"p <= {c / 100}") for c in (5, 15)] + [("fresh", 50, "fresh", "p >= 0.5")]
+    + [("size", k, f"step = {k}", "p >= 0.5") for k in range(5)] + [("small", 50, "step <= 1", "p >= 0.5"), ("plain", 50, "true", "plain >= 0.5"), ("plain", "small", "step <= 1", "plain >= 0.5")]
+    + [("scan", f"{n} {w}", "true", f"{c} > {at}") for n, c in (("rules", "rule"), ("both", "total"), ("unlimited", "free")) for w, at in (("suspicious", 30), ("dangerous", 69))]
+)
+OUTSIDE_LINES = [("outside", c, "outside", f"p >= {c / 100}") for c in (40, 60, 80, 95)] + [("outside", "plain 60", "outside", "plain >= 0.6"), ("outside", "both suspicious", "outside", "total > 30"), ("outside", "unlimited suspicious", "outside", "free > 30")]
+#: How an evaluation's other columns follow from a labelled row, in both dialects: f0 to f3 and y as in FEATURE_SQL.
+SEEN = {"size": "cast(round(exp(f0) - 1) as bigint)", "fresh": "f3 = 0", "outside": "y = 0 and f1 = 0", "rule": "cast(least(floor(f2 * 1500), 100) as int)", "backing": "cast(least(floor(f2 * 500), 100) as int)", "trusted": "f2 < 0.01", "shared": "f1 > 0.03"}
+EVALUATION_SQL = (
+    f"with {FEATURE_SQL}, {TREE_SQL.replace('select id, y,', 'select f.*,')}, x as (select *, 1 / (1 + exp(-raw)) as p, 1 / (1 + exp(case when a then 0.8 when b then -1.0 else -2.2 end)) as plain, {', '.join(f'{v} as {k}' for k, v in SEEN.items())} from s), "
+    "g as (select *, case when size < 200 then 0 when size < 1000 then 1 when size < 3000 then 2 when size < 8000 then 3 else 4 end as step, case when p >= 0.95 then 50 when p >= 0.8 then 40 when p >= 0.6 then 25 when p >= 0.4 then 10 when p <= 0.05 then -20 when p <= 0.15 then -10 else 0 end as pts from x), "
+    "t as (select *, least(greatest(rule + pts, 0), 100) as free, least(greatest(rule + case when pts > 0 and trusted then 0 when pts > 0 and backing < 8 then greatest(0, least(pts, 20, 30 - rule)) when pts > 0 and shared then least(pts, 20) else pts end, 0), 100) as total from g), "
+    f"l as ({' union all '.join(f"select '{a}' as section, '{b}' as line, y, {hit} as hit, {among} as among from t where {'' if a == 'outside' else 'not '}outside" for a, b, among, hit in LINES + OUTSIDE_LINES)}), "
+    "k as (select section, line, count(*) filter (among and hit and y = 1) as tp, count(*) filter (among and hit and y = 0) as fp, count(*) filter (among and not hit and y = 1) as fn, count(*) filter (among and not hit and y = 0) as tn from l group by all) "
+    "select *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) as false_alarms from k"
+)
+
+
+@query("m09_evaluation", EVALUATION_SQL)
+def m09(spark, sf):
+    """All tables of an evaluation, for two small trees against the first of them alone."""
+    rows = cut(labelled(spark, sf), "labelled")
+    v = M.vector(rows, "id", ["n_chars"], ["marks", "capitals"], ["english"])
+    chance = lambda nodes, name: M.score(v, spark.createDataFrame(nodes, "tree int, node int, f int, t double, l int, r int, v double")).select("id", (1 / (1 + F.exp(-F.col("raw")))).alias(name))
+    both = chance(TREES, "p").join(chance([n for n in TREES if n[0] == 0], "plain"), "id")
+    seen = rows.select("id", "y", F.log1p("n_chars").alias("f0"), F.col("marks").alias("f1"), F.col("capitals").alias("f2"), F.col("english").cast("int").alias("f3"))
+    return M.evaluation(seen.withColumns({k: F.expr(e) for k, e in SEEN.items()}).join(both, "id"), [200, 1000, 3000, 8000])
+
+
 @query("m08_gain_shares")
 def m08(spark, sf):
     """How much of the trees' gain each feature has, fifteen at most."""

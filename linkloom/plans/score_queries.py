@@ -121,12 +121,47 @@ def r13(spark, sf):
     return judged(spark, sf).select(K, S.own_score().alias("own_score"))
 
 
-@query("r14_comparison", f"with {JUDGE_SQL} select event_id, event_id % 150 as length, cast(score as integer) as score, len(l) as n_lists, blocked from z")
+#: Scan documents of pages as JSON text, parts missing here and there; the same text in both dialects.
+SCAN_PARTS = (
+    """'{"id":"p' || page_id || '","created_at":"2024-01-01T00:00:00Z"'""",
+    """case when page_id % 7 = 0 then '' else ',"analysis":{"score":' || (length(html) % 101) || ',"verdict":"safe","summary":"s' || length(url) || '","scam_type":' || case when page_id % 3 = 0 then 'null' else '"banking"' end || ',"partial":false,"reasons":[{"text":"on a list","points":45,"area":"blacklist","backs":true},{"text":"length","points":' || (length(url) % 60) || ',"area":"link"}]' || case when page_id % 2 = 0 then '' else ',"good_signs":[{"text":"old","points":-' || (length(html) % 30) || ',"area":"domain"}]' end || ',"model":{"probability":0.' || (10 + length(html) % 90) || '},"link":{"unicode_host":null,"lookalike":"typo"}}' end""",
+    """case when page_id % 5 = 0 then ',"visit":null' else ',"visit":{"final_url":"' || url || '","title":"t' || page_id || '","stopped":' || case when page_id % 4 = 0 then '"blocked"' else 'null' end || ',"notes":["a","b"],"hops":[{"url":"' || url || '"},{"url":"x"}],"downloads":[],"bot_check":null}' end""",
+    """case when page_id % 3 = 0 then '' else ',"recon":{"registration":{"registrar":"r' || (length(url) % 9) || '","created":"2020-01-01","age_days":' || length(html) || '},"server":{"country":"NL","as_org":"o' || (length(html) % 5) || '"},"cert_history":{"first_seen":"2021-01-01","cert_count":' || (length(url) % 7) || '}}' end""",
+    """',"blacklists":{"sources":[{"id":"urlhaus","name":"u","status":"listed","note":"n' || page_id || '","live":true}]},"family":{"status":"matched","library_size":' || length(html) || ',"family":{"label":"f' || (length(html) % 5) || '","pages":3}}'""",
+    """case when page_id % 2 = 0 then '' else ',"siblings":{"same_server":{"total":' || (length(url) % 5) || '},"lookalikes":{"total":2}}' end || '}'""",
+)
+SCAN_DOCUMENT = " || ".join(SCAN_PARTS)
+_TEXT = lambda path: f"d->>'$.{path}'"
+_FIELDS = {
+    "id": "id", "scanned_at": "created_at", "verdict": "analysis.verdict", "summary": "analysis.summary", "scam_type": "analysis.scam_type", "unicode_host": "analysis.link.unicode_host", "lookalike": "analysis.link.lookalike", "final_url": "visit.final_url",
+    "title": "visit.title", "stopped": "visit.stopped", "bot_check": "visit.bot_check", "registrar": "recon.registration.registrar", "created": "recon.registration.created", "country": "recon.server.country", "network": "recon.server.as_org", "abuse_email": "recon.server.abuse_email",
+    "certs_first_seen": "recon.cert_history.first_seen", "family_status": "family.status", "family_note": "family.note", "copied_site": "family.copied_site", "family_name": "family.family.label",
+}
+_NUMBERS = {"score": "analysis.score", "model": "analysis.model.probability", "age_days": "recon.registration.age_days", "cert_count": "recon.cert_history.cert_count", "library_size": "family.library_size"}
+_FOUND = lambda k: f"coalesce(json_extract(d, '$.analysis.{k}[*]'), [])"
+_SHOWN = lambda k: f"array_to_string(list_transform({_FOUND(k)}, lambda r: concat_ws('/', r->>'$.text', r->>'$.points', r->>'$.area')), ',')"
+R14_SQL = (
+    f"with x as (select page_id, ({SCAN_DOCUMENT})::json as d from pages) select page_id, "
+    + ", ".join(f"{_TEXT(p)} as {n}" for n, p in _FIELDS.items())
+    + ", "
+    + ", ".join(f"cast({_TEXT(p)} as {'double' if n == 'model' else 'bigint' if n == 'library_size' else 'integer'}) as {n}" for n, p in _NUMBERS.items())
+    + f", cast({_TEXT('analysis.partial')} as boolean) as partial, {_SHOWN('reasons')} as reasons, {_SHOWN('good_signs')} as good_signs, "
+    + f"cast(least(greatest(coalesce(list_sum(list_transform(list_filter({_FOUND('reasons')} || {_FOUND('good_signs')}, lambda r: r->>'$.area' <> 'blacklist'), lambda r: cast(r->>'$.points' as integer))), 0), 0), 100) as integer) as own_score, "
+    + "array_to_string(coalesce(json_extract_string(d, '$.visit.notes[*]'), []), ',') as notes, array_to_string(coalesce(json_extract_string(d, '$.visit.blocked[*]'), []), ',') as blocked, "
+    + "cast(coalesce(json_array_length(d, '$.visit.hops'), 0) as integer) as hops, cast(coalesce(json_array_length(d, '$.visit.downloads'), 0) as integer) as downloads, "
+    + "array_to_string(list_transform(json_extract(d, '$.blacklists.sources[*]'), lambda s: concat_ws('/', s->>'$.id', s->>'$.name', s->>'$.status', s->>'$.note')), ',') as lists, "
+    + ", ".join(f"coalesce(cast({_TEXT(f'siblings.{k}.total')} as bigint), 0) as {k}" for k in ("same_server", "same_owner", "same_design", "lookalikes"))
+    + " from x"
+)
+
+
+@query("r14_comparison", R14_SQL)
 def r14(spark, sf):
-    """Fields picked from a nested scan document."""
-    d = judged(spark, sf).select(K, F.struct(F.struct("length").alias("link"), F.struct("score", "verdict").alias("result"), F.col("sources").alias("lists"), "stopped").alias("scan"))
-    n = F.size(F.filter("scan.lists", lambda s: s["status"].isin("listed", "info") & ~((s["id"] == "safe_browsing") & (s["status"] == "info"))))
-    return d.select(K, "scan.link.length", "scan.result.score", n.alias("n_lists"), F.col("scan.stopped").isNotNull().alias("blocked"))
+    """The fields that a comparison shows, from stored scan documents; lists as text."""
+    c = S.comparison(table(spark, sf, "pages").select("page_id", F.expr(SCAN_DOCUMENT).alias("document")), "page_id")
+    shown = lambda n, *parts: F.array_join(F.transform(n, lambda r: F.concat_ws("/", *[r[p].cast("string") for p in parts])), ",")
+    lists = {"reasons": ("text", "points", "area"), "good_signs": ("text", "points", "area"), "lists": ("id", "name", "status", "note")}
+    return c.withColumns({n: shown(n, *parts) for n, parts in lists.items()} | {n: F.array_join(n, ",") for n in ("notes", "blocked")})
 
 
 @query("r15_ledger", f"with {JUDGE_SQL} select event_id, 'lists' as line, cast(list_sum(l) as bigint) as points from z where len(l) > 0 union all select event_id, 'good signs', cast(rp as bigint) from z where rp < 0 union all select event_id, 'raised', cast(score - rule_score as bigint) from z where score > rule_score union all select event_id, 'findings', cast(lp as bigint) from z where lp > 0")

@@ -287,3 +287,36 @@ def test_broken_registrations_have_nulls(spark):
     got = {r.k: r for r in tables.registrations(spark.createDataFrame(rows, "k int, doc string"), "k", tables.F.lit("2020-01-01").cast("date")).collect()}
     assert len(got) == 4 and all(got[k].registrar is None and got[k].abuse is None for k in (1, 2, 3))
     assert got[4].registrar == "A" and got[4].registrant is None
+
+
+def test_comparison_of_odd_documents(spark):
+    from linkloom.operators.score import comparison
+
+    rows = [(1, None), (2, "no json"), (3, "{}"), (4, '{"id":"a","analysis":{"reasons":[{"text":"x","points":70,"area":"blacklist"},{"text":"y","points":60},{"text":"z","points":50,"area":"page"}]},"visit":{"hops":[{"url":"u"},{"url":"v"}],"blocked":[{"host":"h"}]}}'), (4, "{}")]
+    got = comparison(spark.createDataFrame(rows, "k int, document string"), "k").orderBy("k", F.desc("id")).collect()
+    assert len(got) == 5 and len(got[0]) == 40
+    assert all((r["own_score"], r["hops"], r["reasons"], r["lookalikes"], r["verdict"]) == (0, 0, [], 0, None) for r in got if r["id"] is None)
+    assert (got[3]["own_score"], got[3]["hops"], len(got[3]["reasons"]), got[3]["blocked"]) == (100, 2, 3, ['{"host":"h"}'])
+
+
+def test_evaluation_of_odd_rows(spark):
+    from linkloom.operators.model import evaluation
+
+    kind = "y int, p double, plain double, size long, fresh boolean, outside boolean, rule int, backing int, trusted boolean, shared boolean"
+    bounds = [200, 1000, 3000, 8000]
+    rows = [(None, 0.9, 0.9, 10, True, False, 50, 9, False, False), (1, None, None, None, None, None, None, None, None, None), (1, 0.9, 0.2, 10, True, False, 40, 9, False, False), (0, 0.7, 0.1, 500, False, True, 10, 0, False, False)]
+    got = {(r["section"], r["line"]): tuple(r)[2:6] for r in evaluation(spark.createDataFrame(rows, kind), bounds).collect()}
+    assert got["cutoff", "80"] == (1, 0, 1, 0) and got["cutoff", "95"] == (0, 0, 2, 0)
+    assert got["outside", "60"] == (0, 1, 0, 0) and got["outside", "both suspicious"] == (0, 0, 0, 1) and got["outside", "unlimited suspicious"] == (0, 1, 0, 0)
+    assert got["plain", "50"] == (0, 0, 2, 0) and got["scan", "both dangerous"] == (1, 0, 1, 0)
+    empty = evaluation(spark.createDataFrame([], kind), bounds).collect()
+    assert len(empty) == len(got) and all(tuple(r)[2:6] == (0, 0, 0, 0) for r in empty)
+
+
+def test_scores_of_nulls(spark):
+    from linkloom.operators.score import REASON, total
+
+    rows = spark.createDataFrame([(None,), ([],), ([("a", None, "page", True), ("b", 30, "page", None)],)], f"reasons array<{REASON}>")
+    assert [tuple(r) for r in rows.select(total(F.col("reasons")), total(F.col("reasons"), backed=True)).collect()] == [(0, 0), (0, 0), (30, 0)]
+    rated = model.rated(spark.createDataFrame([(None, 20, 9, False, False), (0.9, None, 9, False, False), (0.9, 20, 9, None, None)], "p double, rule int, backing int, trusted boolean, shared boolean"))
+    assert [(r["total"], r["free"]) for r in rated.collect()] == [(20, 20), (None, None), (60, 60)]
