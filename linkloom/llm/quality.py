@@ -167,7 +167,9 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", **how) -> Data
 
     base_failed: under 10 words, or over 20 in 100 of them in repeated windows. kept: not base_failed and no rule covers
     the row. Several labels of a document: the best counts; null labels and null ids count for nothing. No labels or no
-    bad ones: only the base decides. Repeated rows: each is judged. Empty table: no rows.
+    bad ones: only the base decides. Repeated rows: each is judged. Very long texts: one row in memory with its windows'
+    hashes, 8 bytes a word. A value equal to a threshold is not above it; of thresholds with equal gain the first by feature, then the
+    lowest, stands. Empty table: no rows.
     """
     rows = cut(statistics(docs, text), "statistics")
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg((F.max("quality") == 0).alias("bad"))
