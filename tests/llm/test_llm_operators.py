@@ -188,7 +188,7 @@ def test_columns_named_as_a_result_are_replaced_and_others_kept(spark):
         first = out.where("doc_id = 1").first()
         assert all((first[c] == rows[0][i]) == (c not in new) for i, c in enumerate(docs.columns))
     wide = docs.select("*", *[docs.text.alias(c) for c in ("size", "rate", "key", "copies", "kept", "spans", "h", "n", "row")])
-    assert mixing.mix(wide).columns[: len(wide.columns)] == wide.columns and lm.score(wide).count() == simhash.near_duplicates(wide).count() == 2
+    assert mixing.mix(wide, source="language").columns[: len(wide.columns)] == wide.columns and lm.score(wide).count() == simhash.near_duplicates(wide).count() == 2
 
 
 def test_near_duplicates_odd_rows(docs, none):
