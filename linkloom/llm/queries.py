@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, licenses, lm, media, mixing, packing, quality, simhash, suffixes, tokencount
+from linkloom.llm import langid, licenses, lm, media, mixing, packing, quality, simhash, spelling, suffixes, tokencount
 from linkloom.session import table
 
 
@@ -55,7 +55,16 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(stored).select("doc_id", "n_bytes", "samples.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op4_mixing, op5_packing, op6_suffixes, op7_tokens, op8_quality, op9_licenses, op10_media)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "run")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
+    at = (h % F.length("run")).cast("int")
+    less = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
+    words = found.select(F.when(h % 31 == 0, less).otherwise(F.col("run")).alias("word"))
+    return spelling.forms(spelling.vocabulary(words))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op4_mixing, op5_packing, op6_suffixes, op7_tokens, op8_quality, op9_licenses, op10_media, op13_spelling)}
 #: Every 200-byte string of every text, counted; the bytes of those that occur twice go.
 SUFFIXES_SQL = """with h as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
 st as (select r, i, md5(substr(x, 2 * i + 1, 400)) as k from (select r, x, unnest(range(0, greatest(length(x) // 2 - 199, 0))) as i from h)),
