@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, licenses, lm, media, mixing, packing, quality, simhash, spelling, suffixes, tokencount
+from linkloom.llm import langid, licenses, lm, media, mixing, negatives, packing, quality, simhash, spelling, suffixes, tokencount
 from linkloom.session import table
 
 
@@ -55,6 +55,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_back(stored).select("doc_id", "n_bytes", "samples.*")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given, step = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(step % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # floor() of a double beyond a long would not fit one; rounding down by rint keeps the double.
+    whole = F.transform("embedding", lambda x: F.rint(256 * x.cast("double")) - (F.rint(256 * x.cast("double")) > 256 * x.cast("double")).cast("double"))
+    return negatives.mine(given.select(step.alias("id"), label.alias("label"), whole.alias("vector"), (step % 50 == 0).alias("anchor")))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "run")
     h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
@@ -64,7 +72,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.forms(spelling.vocabulary(words))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op4_mixing, op5_packing, op6_suffixes, op7_tokens, op8_quality, op9_licenses, op10_media, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op4_mixing, op5_packing, op6_suffixes, op7_tokens, op8_quality, op9_licenses, op10_media, op11_negatives, op13_spelling)}
 #: Every 200-byte string of every text, counted; the bytes of those that occur twice go.
 SUFFIXES_SQL = """with h as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
 st as (select r, i, md5(substr(x, 2 * i + 1, 400)) as k from (select r, x, unnest(range(0, greatest(length(x) // 2 - 199, 0))) as i from h)),
@@ -76,4 +84,11 @@ n as (select r, cast(sum(e - a) as bigint) as n_removed, count(*) as n_spans, ma
 p as (select r, coalesce(lag(e) over (partition by r order by a), 0) as s, a as t from sp union all select h.r, coalesce(n.e, 0), length(x) // 2 from h left join n using (r)),
 k as (select r, string_agg(substr(x, 2 * s + 1, 2 * (t - s)), '' order by s) as kept from p join h using (r) group by r)
 select doc_id, length(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept)) as kept_sha256 from h left join n using (r) join k using (r)"""
-ORACLES: dict[str, str] = {"op6_suffixes": SUFFIXES_SQL}
+#: All anchors against all rows.
+NEGATIVES_SQL = """with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+ where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as s from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (select * from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p.b as pb, p.s as ps, s.b as nb, s.s as ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) as k from p join s on s.a = p.a and not s.same and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s)
+select a as anchor_id, pb as positive_id, cast(k as integer) as rank, nb as negative_id, ps as positive_score, ns as negative_score from n where k <= 3"""
+ORACLES: dict[str, str] = {"op6_suffixes": SUFFIXES_SQL, "op11_negatives": NEGATIVES_SQL}
