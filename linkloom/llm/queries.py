@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import langid, licenses, lm, media, mixing, negatives, packing, quality, simhash, spelling, suffixes, tokencount
+from linkloom.llm import langid, licenses, lm, media, mixing, negatives, packing, quality, sharding, simhash, spelling, suffixes, tokencount
 from linkloom.session import table
 
 
@@ -63,6 +63,13 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(given.select(step.alias("id"), label.alias("label"), whole.alias("vector"), (step % 50 == 0).alias("anchor")))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    narrow = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    dealt = sharding.assign(narrow, shards=16, order=["doc_id", "text_crc32", "size"])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "run")
     h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
@@ -72,7 +79,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.forms(spelling.vocabulary(words))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op4_mixing, op5_packing, op6_suffixes, op7_tokens, op8_quality, op9_licenses, op10_media, op11_negatives, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_simhash, op3_lm, op4_mixing, op5_packing, op6_suffixes, op7_tokens, op8_quality, op9_licenses, op10_media, op11_negatives, op12_sharding, op13_spelling)}
 #: Every 200-byte string of every text, counted; the bytes of those that occur twice go.
 SUFFIXES_SQL = """with h as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
 st as (select r, i, md5(substr(x, 2 * i + 1, 400)) as k from (select r, x, unnest(range(0, greatest(length(x) // 2 - 199, 0))) as i from h)),
