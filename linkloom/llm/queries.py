@@ -98,4 +98,41 @@ s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_
 p as (select * from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
 n as (select p.a, p.b as pb, p.s as ps, s.b as nb, s.s as ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) as k from p join s on s.a = p.a and not s.same and 50 * p.s <= 100 * s.s and 100 * s.s <= 95 * p.s)
 select a as anchor_id, pb as positive_id, cast(k as integer) as rank, nb as negative_id, ps as positive_score, ns as negative_score from n where k <= 3"""
-ORACLES: dict[str, str] = {"op6_suffixes": SUFFIXES_SQL, "op11_negatives": NEGATIVES_SQL}
+#: CRC-32 of the byte lists in a column, from its polynomial.
+CRC_TABLE = "select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"
+
+
+def crc32_sql(hexed: str, table: str) -> str:
+    """The checksum of bytes given as hex digits."""
+    octets = f"list_transform(range(length({hexed}) // 2), lambda i: cast('0x' || substr({hexed}, 2 * i + 1, 2) as bigint))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, {table}[1 + (xor(c, b) & 255)])))"
+
+
+def permutation_sql(x: str, half: str) -> str:
+    """sharding.permute without the walk, rounds folded over a packed pair of halves."""
+    mask = f"((1 << {half}) - 1)"
+    r = f"((xor(s & {mask}, k) * {sharding.M1} & 1099511627775) >> 11) * {sharding.M2} >> 17"
+    return f"list_reduce(list_prepend({x}, {sharding.keys(0)}::bigint[]), lambda s, k: ((s & {mask}) << {half}) | xor(s >> {half}, ({r}) & {mask}))"
+
+
+SHARDING_SQL = f"""with recursive t as ({CRC_TABLE}),
+d as (select doc_id, cast(length(h) // 2 + 1 as bigint) as size, cast({crc32_sql('h', 't.t')} as bigint) as text_crc32 from (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), t),
+n as (select count(*) as n, cast(ceil(greatest(1, length(bin(greatest(count(*), 2) - 1))) / 2) as bigint) as h from d),
+r as (select *, row_number() over (order by doc_id nulls first, text_crc32, size) - 1 as row from d),
+w as (select row, {permutation_sql('row', 'n.h')} as y from r, n union all select row, {permutation_sql('y', 'n.h')} from w, n where y >= n.n)
+select doc_id, size, text_crc32, 'rows' as law, cast(y % 16 as integer) as shard, cast(y // 16 as bigint) as slot, cast(null as integer) as grown_shard from r join w using (row), n where y < n.n"""
+#: Words that share a string reached by at most one deletion are the only ones that can be near.
+SPELLING_SQL = f"""with recursive t as ({CRC_TABLE}),
+o as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents where text is not null),
+l as (select coalesce(cast(doc_id as varchar), '') as d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from o where length(run) >= 7 group by all),
+c as (select run, n, {crc32_sql('h', 't.t')} as crc from (select *, hex(encode(d || ':' || run)) as h from l), t),
+v as (select case when crc % 31 = 0 then substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) else run end as word, cast(sum(n) as bigint) as n from c group by 1 having length(word) >= 7 and sum(n) >= 2),
+k as (select distinct word, n, case when i = 0 then word else substr(word, 1, i - 1) || substr(word, i + 1) end as k from (select word, n, unnest(range(length(word) + 1)) as i from v)),
+p as (select distinct a.word, a.n, b.word as near, b.n as near_n from k a join k b using (k) where a.word <> b.word and
+ (length(a.word) <> length(b.word) or len(list_filter(range(length(a.word)), lambda i: substr(a.word, i + 1, 1) <> substr(b.word, i + 1, 1))) = 1)),
+q as (select *, count(*) over (partition by word) as n_near, row_number() over (partition by word order by near_n desc, encode(near)) as r from p),
+f as (select v.word, case when near_n >= 10 * v.n then near end as form, v.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * v.n then near_n end as form_n from v left join (select * from q where r = 1) q using (word)),
+g as (select word, form as root from f where form is not null union all select g.word, f.form from g join f on f.word = g.root where f.form is not null),
+e as (select g.word, root from g join f on f.word = g.root where f.form is null)
+select f.word, f.form, coalesce(e.root, f.word) as root, f.n, cast(f.n_near as bigint) as n_near, cast(f.form_n as bigint) as form_n from f left join e using (word)"""
+ORACLES: dict[str, str] = {"op6_suffixes": SUFFIXES_SQL, "op11_negatives": NEGATIVES_SQL, "op12_sharding": SHARDING_SQL, "op13_spelling": SPELLING_SQL}
