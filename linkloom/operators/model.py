@@ -65,42 +65,6 @@ def assembled(vectors: DataFrame, key: str = "page_id") -> DataFrame:
     return vectors.select(key, F.array(*[F.col(n).cast("float") for n in FEATURES]).alias("features"))
 
 
-def train(rows: DataFrame, max_iter: int = 20, rate: float = 0.06, depth: int = 5, seed: int = 7):
-    """Boosted trees on rows of features (array), y, weight, held_back; stops once the held-back rows gain no more."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    data = rows.select(array_to_vector(F.col("features").cast("array<double>")).alias("features"), F.col("y").cast("double").alias("label"), "weight", "held_back")
-    return GBTClassifier(weightCol="weight", validationIndicatorCol="held_back", maxIter=max_iter, stepSize=rate, maxDepth=depth, subsamplingRate=0.8, seed=seed).fit(data)
-
-
-def flatten(model, spark) -> DataFrame:
-    """Node rows (tree, node, f, t, l, r, v) of a fitted model: f -1 marks a leaf, values carry the tree's weight.
-
-    A model of some hundred trees has a bounded number of nodes; they are walked on the driver.
-    """
-    rows = []
-    for k, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
-        todo, n = [(tree._call_java("rootNode"), 0)], 1
-        while todo:
-            node, at = todo.pop()
-            value = float(node.prediction()) * float(weight)
-            if node.subtreeDepth() == 0:
-                rows.append((k, at, -1, 0.0, -1, -1, value))
-            else:
-                split = node.split()
-                rows.append((k, at, int(split.featureIndex()), float(split.threshold()), n, n + 1, value))
-                todo += [(node.leftChild(), n), (node.rightChild(), n + 1)]
-                n += 2
-    return spark.createDataFrame(rows, "tree int, node int, f int, t double, l int, r int, v double")
-
-
-def gain_shares(model, spark, names: list[str], top: int = 15) -> DataFrame:
-    """feature, share: the features with most of the trees' gain; as many rows as the model has features."""
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, share double").orderBy(F.desc("share"), "feature").limit(top)
-
-
 def score(rows: DataFrame, nodes: DataFrame, key: str = "id", most_nodes: int = 200_000) -> DataFrame:
     """key, raw, roots, steps: the sum of leaves, that of roots, and what each feature on the paths adds; roots and steps add up to raw.
 

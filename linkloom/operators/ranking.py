@@ -10,7 +10,7 @@ from linkloom.session import cut
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], into: str = "n") -> DataFrame:
-    """Adds the place of each row in its group, from 1.
+    """Adds the place of each row in its group, from 1; null is a group like any other.
 
     Rows are range-partitioned by (group, order), ranked inside each partition, and shifted by the counts of the
     partitions before: a group that holds a third of all rows spreads over a third of the partitions.
@@ -19,7 +19,9 @@ def ranked(df: DataFrame, group: list[str], order: list[str], into: str = "n") -
     counts = laid.groupBy(*group, "__p").agg(F.count("*").alias("__c"))
     before = counts.select(*group, "__p", F.coalesce(F.sum("__c").over(W.partitionBy(*group).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = laid.withColumn("__r", F.row_number().over(W.partitionBy(*group, "__p").orderBy(*order)))
-    return own.join(before, [*group, "__p"]).withColumn(into, F.col("__before") + F.col("__r")).drop("__p", "__r", "__before")
+    shift = before.select(F.col("__p").alias("__q"), "__before", *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)])
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    return own.join(shift, [F.col("__p") == F.col("__q"), *same]).withColumn(into, F.col("__before") + F.col("__r")).select(*df.columns, into)
 
 
 def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.operators.ranking import ranked
+from linkloom.operators.ranking import ranked, running
 from linkloom.operators.similar import NOTICE
+from linkloom.session import cut
 
 
 def looks_dead(status: Column, stopped: Column, tags: Column, title: Column) -> Column:
@@ -161,12 +162,13 @@ def group_weights(rows: DataFrame, bounds: list[int]) -> DataFrame:
 def hold_out(rows: DataFrame, key: str, day: str, share: float) -> DataFrame:
     """key, held_back: whether a row comes after the first `share` of all rows by (day, key).
 
-    Days are counted first (a small table), and only rows of the day in which the cut falls are ranked.
+    Days are counted first (a small table), and only rows of the day in which the cut falls are ranked, over range
+    partitions. A null day comes first.
     """
-    days = rows.groupBy(day).agg(F.count("*").alias("c"))
-    run = days.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("c").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    cut_at = run.withColumn("take", F.floor(F.col("total") * share) - F.col("before"))
-    j = rows.join(cut_at.select(day, "c", "take"), day)
+    days = cut(rows.groupBy(day).agg(F.count("*").alias("c")), "days")
+    total = days.agg(F.sum("c")).first()[0] or 0
+    run = running(days, [day], {"before": "c"}).select(F.col(day).alias("__day"), "c", (F.floor(F.lit(total) * share) - F.col("before")).alias("take"))
+    j = rows.select(key, day).join(run, F.col(day).eqNullSafe(F.col("__day")))
     clear = j.where((F.col("take") <= 0) | (F.col("take") >= F.col("c"))).select(key, (F.col("take") <= 0).alias("held_back"))
-    inside = j.where((F.col("take") > 0) & (F.col("take") < F.col("c"))).withColumn("n", F.row_number().over(W.partitionBy(day).orderBy(key)))
-    return clear.unionByName(inside.select(key, (F.col("n") > F.col("take")).alias("held_back")))
+    inside = ranked(j.where((F.col("take") > 0) & (F.col("take") < F.col("c"))).select(key, "take"), [], [key], "__n")
+    return clear.unionByName(inside.select(key, (F.col("__n") > F.col("take")).alias("held_back")))

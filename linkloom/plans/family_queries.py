@@ -9,7 +9,7 @@ from linkloom.functions.html import words as split_words
 from linkloom.operators import similar as S
 from linkloom.plans.page_queries import PRINTS_SQL, fingerprints, shingle_sql, sim_sql
 from linkloom.plans.registry import query
-from linkloom.session import cut, kept, table
+from linkloom.session import cut, kept, spread, table
 
 LIB_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}]+'), lambda w: length(w) between 3 and 30)"
 LIB_SQL = (
@@ -29,7 +29,7 @@ def library(spark, sf):
 
 
 def library_rows(d, lab):
-    base = d.join(lab, "doc_id", "left").select(
+    base = spread(d).join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("source").alias("site"), F.col("lang").alias("brand"), F.when(F.col("toxic") == 1, "phish").when(F.col("quality") == 1, "benign").otherwise("unknown").alias("label"), split_words(F.col("text")).alias("w"), "n_chars",
     )
     # Written first: else the text would be split again for every shingle.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from linkloom.functions import html as H
 from linkloom.functions import links as L
 from linkloom.functions import prints as P
+from linkloom.operators import boosting as B
 from linkloom.operators import links as LT
 from linkloom.operators import model as M
 from linkloom.operators import pages as PT
@@ -28,6 +30,8 @@ def labelled(spark, sf):
 
 FEATURE_SQL = "f as (select doc_id as id, ln(1 + n_chars) as f0, len(regexp_extract_all(text, '[!#*$%&|]')) / greatest(length(text), 1) as f1, len(regexp_extract_all(text, '[A-Z]')) / greatest(length(text), 1) as f2, (lang = 'en')::int as f3, (quality = 0)::int as y from documents join labels using (doc_id))"
 
+FEATURE_ROWS_SQL = "fl as (select doc_id as id, n_chars, len(regexp_extract_all(text, '[!#*$%&|]')) / greatest(length(text), 1) as marks, len(regexp_extract_all(text, '[A-Z]')) / greatest(length(text), 1) as capitals, (quality = 0)::int as y from documents join labels using (doc_id))"
+
 
 def vectors(spark, sf):
     return M.vector(labelled(spark, sf), "id", ["n_chars"], ["marks", "capitals"], ["english"])
@@ -145,25 +149,83 @@ def m07(spark, sf):
     return M.auc(rows).select(F.round("roc_auc", 6).alias("roc_auc"), F.round("pr_auc", 6).alias("pr_auc"))
 
 
-def trained(spark, sf):
-    """(model, rows): boosted trees on the first 85 % of labelled rows with group weights."""
-    rows = cut(labelled(spark, sf), "labelled")
+def labelled_vectors(spark, sf):
+    """id, size, path and features of every page, y: a page that says it is not in English stands for a scam (the pages have no labels)."""
+    odd, names = odd_pages(spark, sf), spark.createDataFrame(NAMES, "ord int, name string, domains array<string>, labels array<string>, keywords array<string>")
+    v = cut(M.page_vector(odd, LT.suffix_table(spark), names), "vectors")
+    known = odd.select("page_id", (~F.col("html").rlike('(?i)<html[^>]* lang="?en')).cast("int").alias("y"))
+    return v.select("page_id", "tags_log", "path_length").join(M.assembled(v), "page_id").join(known, "page_id").withColumnRenamed("page_id", "id")
+
+
+def training_rows(rows):
+    """Adds held_back (the last 15 % by date, here the id) and weight (honest pages of groups with more scams count for more)."""
     held = T.hold_out(rows.withColumn("day", F.floor(F.col("id") / 1000)), "id", "day", 0.85)
-    weights = T.group_weights(rows.select(F.col("y"), F.col("n_chars").alias("size"), F.col("english").alias("bare")), [200, 1000, 3000, 8000])
-    stepped = rows.withColumn("step", T.size_step(F.col("n_chars"), [200, 1000, 3000, 8000])).join(weights.withColumnRenamed("bare", "english"), ["step", "english"])
-    v = M.vector(rows, "id", ["n_chars"], ["marks", "capitals"], ["english"])
-    data = cut(v.join(stepped.select("id", "y", F.when(F.col("y") == 0, F.col("weight")).otherwise(1.0).alias("weight")), "id").join(held, "id"), "training")
-    return M.train(data, max_iter=8, depth=3), data
+    sized = rows.join(held, "id").withColumn("size", F.round(F.expm1("tags_log")).cast("long")).withColumn("bare", F.col("path_length") < 2)
+    edges = [40, 100, 300, 1000]
+    weights = T.group_weights(sized.where("not held_back").select("y", "size", "bare"), edges)
+    stepped = sized.withColumn("step", T.size_step(F.col("size"), edges)).join(weights.select("step", "bare", "weight"), ["step", "bare"])
+    return stepped.withColumn("weight", F.when(F.col("y") == 0, F.col("weight")).otherwise(1.0))
+
+
+def trained(spark, sf, trees=12):
+    """(node rows, training rows): boosted trees on the 78 numbers of the pages; a dozen trees, as each takes some passes."""
+    v = labelled_vectors(spark, sf)
+    data = cut(training_rows(v).select("id", "features", "y", "weight", "held_back"), "training")
+    return B.fit(data, settings=B.Settings(trees=trees)).nodes(spark), data
 
 
 @query("m02_m03_m09_training")
 def m02(spark, sf):
-    """Train, flatten the trees, score all rows by the table of nodes, report rates."""
-    model, data = trained(spark, sf)
-    raw = M.score(data, M.flatten(model, spark)).select("id", (100 / (1 + F.exp(-2 * F.col("raw")))).alias("score")).join(data.select("id", "y"), "id")
+    """Train on the vectors of pages, score all of them by the table of nodes, report rates."""
+    nodes, data = trained(spark, sf)
+    raw = M.score(data, nodes).select("id", (100 / (1 + F.exp(-F.col("raw")))).alias("score")).join(data.select("id", "y"), "id")
     return M.report(raw, [40, 60, 80, 95])
 
 
+#: The first two trees of one split each, over stated thresholds, from sums over all labelled rows.
+STUMP_STEPS = {"n_chars": [200, 1000, 3000, 8000], "marks": [0.0, 0.01, 0.02, 0.05], "capitals": [0.01, 0.02, 0.05]}
+STUMP_SQL = (
+    "y0 as (select id, y, array[n_chars::double, marks, capitals] as x from fl), base as (select ln(sum(y) / sum(1 - y)) as b from y0), r0 as (select id, y, x, (select b from base) as m from y0), "
+    + ", ".join(
+        f"g{k} as (select id, y, x, m, 1 / (1 + exp(-m)) as p from r{k}), c{k} as (select f, t, sum(p - y) filter (x[f + 1] <= t) as gl, sum(p * (1 - p)) filter (x[f + 1] <= t) as hl, count(*) filter (x[f + 1] <= t) as nl, sum(p - y) as g, sum(p * (1 - p)) as h, count(*) as n from g{k}, cand group by all), "
+        f"b{k} as (select *, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) as gain from c{k} where nl >= 40 and n - nl >= 40 order by gain desc, f, t limit 1), r{k + 1} as (select id, y, x, m - 0.3 * case when x[f + 1] <= t then gl / (hl + 1) else (g - gl) / (h - hl + 1) end as m from r{k}, b{k})"
+        for k in range(2)
+    )
+    + ", nodes as ("
+    + " union all ".join(
+        f"select {k} as tree, 0 as node, f, t, 1 as l, 2 as r, -0.3 * g / (h + 1) + {'b' if k == 0 else '0'} as v, gain, n from b{k}, base union all select {k}, 1, -1, 0, -1, -1, -0.3 * gl / (hl + 1) + {'b' if k == 0 else '0'}, 0, nl from b{k}, base "
+        f"union all select {k}, 2, -1, 0, -1, -1, -0.3 * (g - gl) / (h - hl + 1) + {'b' if k == 0 else '0'}, 0, n - nl from b{k}, base"
+        for k in range(2)
+    )
+    + ")"
+)
+STUMP_CAND = "cand as (select f, t from (" + " union all ".join(f"select {i} as f, {float(t)}::double as t" for i, x in enumerate(STUMP_STEPS.values()) for t in x) + "))"
+
+
+def stumps(spark, sf):
+    rows = labelled(spark, sf).select("id", "y", F.array(F.col("n_chars").cast("double"), "marks", "capitals").alias("features"), F.lit(1.0).alias("weight"), F.lit(False).alias("held_back"))
+    bounds = [np.array(x, float) for x in STUMP_STEPS.values()]
+    return B.fit(rows, settings=B.Settings(rate=0.3, leaves=2, trees=2, rows=1.0, features=1.0), bounds=bounds).nodes(spark)
+
+
+@query("m03_nodes", f"with {FEATURE_ROWS_SQL}, {STUMP_CAND}, {STUMP_SQL} select tree, node, cast(f as integer) as f, round(cast(t as double), 6) as t, l, r, round(v, 3) as v, round(gain, 2) as gain, n from nodes")
+def m03(spark, sf):
+    """Trees as rows: two trees of one split, learnt from all labelled documents."""
+    return stumps(spark, sf).select("tree", "node", "f", F.round("t", 6).alias("t"), "l", "r", F.round("v", 3).alias("v"), F.round("gain", 2).alias("gain"), "n")
+
+
+@query("m08_gain_shares", f"with {FEATURE_ROWS_SQL}, {STUMP_CAND}, {STUMP_SQL} select ['n_chars', 'marks', 'capitals'][f + 1] as feature, round(sum(gain) / (select sum(gain) from nodes where f >= 0), 3) as share from nodes where f >= 0 group by 1")
+def m08(spark, sf):
+    """How much of those trees' gain each feature has."""
+    return B.gain_shares(stumps(spark, sf), list(STUMP_STEPS)).withColumn("share", F.round("share", 3))
+
+
+@query("m08_page_gains")
+def m08b(spark, sf):
+    """The fifteen numbers of a page with most of the gain of the trees learnt on pages."""
+    return B.gain_shares(trained(spark, sf)[0], M.FEATURES).withColumn("share", F.round("share", 6))
+
+
 #: An evaluation's lines for the twin: section, line, which rows, what is met.
 LINES = (
     [("cutoff", c, "true", f"p >= {c / 100}") for c in (95, 80, 60, 50, 40)] + [("low", c, "true", f"p <= {c / 100}") for c in (5, 15)] + [("fresh", 50, "fresh", "p >= 0.5")]
@@ -194,12 +256,6 @@ def m09(spark, sf):
     return M.evaluation(seen.withColumns({k: F.expr(e) for k, e in SEEN.items()}).join(both, "id"), [200, 1000, 3000, 8000])
 
 
-@query("m08_gain_shares")
-def m08(spark, sf):
-    """How much of the trees' gain each feature has, fifteen at most."""
-    return M.gain_shares(trained(spark, sf)[0], spark, ["n_chars", "marks", "capitals", "english"])
-
-
 # --- fingerprints of vectors ---------------------------------------------------------------------------------------
 
 

@@ -45,7 +45,7 @@ def test_twin(spark, duck, name):
 
 
 def test_only_learnt_trees_have_no_twin():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"m02_m03_m09_training", "m08_gain_shares"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"m02_m03_m09_training", "m08_page_gains"}
 
 
 def test_entry(spark):
