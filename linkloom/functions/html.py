@@ -1,4 +1,4 @@
-"""Page columns: what the raw html says, by regular expressions and array functions inside the JVM."""
+"""Page columns: what the tokens of a page (functions/tokens.py) say, by array functions inside the JVM."""
 
 from __future__ import annotations
 
@@ -34,19 +34,15 @@ def first(items: Column, most: int | None) -> Column:
     return items if most is None else F.slice(items, 1, most)
 
 
-def tags(html: Column, most: int | None = None) -> Column:
+def tags(tokens: Column, most: int | None = None) -> Column:
     """Names of all opening tags in order, or of the first `most`."""
-    return first(F.transform(F.regexp_extract_all(html, F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1), lambda t: F.lower(t)), most)
+    return first(F.transform(F.filter(tokens, lambda t: t["open"]), lambda t: t["name"]), most)
 
 
-def visible_text(html: Column) -> Column:
-    """The page without comments, scripts, styles and the like, and without tags; entities and runs of blanks are one blank."""
-    out = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    for name in ("script", "style", "noscript", "template", "svg", "head"):
-        out = F.regexp_replace(out, rf"(?is)<{name}[ >].*?</{name}>", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    out = F.regexp_replace(out, r"&[a-zA-Z0-9#]+;", " ")
-    return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
+def visible_text(tokens: Column) -> Column:
+    """The texts of a page one after the other, without those that are not shown; runs of blanks are one blank."""
+    shown = F.filter(tokens, lambda t: t["seen"] & t["text"].isNotNull() & (t["name"].isNull() | (t["name"] == "textarea")))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(shown, lambda t: t["text"]), " "), r"[ \t\r\n]+", " "))
 
 
 def words(text: Column, most: int | None = None) -> Column:
@@ -54,16 +50,20 @@ def words(text: Column, most: int | None = None) -> Column:
     return first(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: F.length(w).between(3, 30)), most)
 
 
-def title(html: Column) -> Column:
-    return F.trim(F.substring(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), 1, 200))
+def title(tokens: Column) -> Column:
+    """The first title, 200 characters at most; empty if there is none."""
+    titles = F.filter(tokens, lambda t: t["open"] & (t["name"] == "title"))
+    return F.coalesce(F.trim(F.substring(F.get(titles, F.lit(0))["text"], 1, 200)), F.lit(""))
 
 
-def elements(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?i)<(?:{name})(?:[ /][^>]*)?>"), 0)
+def elements(tokens: Column, *names: str) -> Column:
+    """The attributes of each element of these names, in order."""
+    return F.transform(F.filter(tokens, lambda t: t["open"] & t["name"].isin(*names)), lambda t: t["attrs"])
 
 
 def attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?i) {name}=[\"']?([^\"'>]*)", 1)
+    """Its value, empty if there is none."""
+    return F.coalesce(F.try_element_at(tag, F.lit(name)), F.lit(""))
 
 
 def phrase_hits(text: Column, group: str) -> Column:

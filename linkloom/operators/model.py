@@ -13,7 +13,7 @@ from linkloom.functions import links as L
 from linkloom.operators import links as LT
 from linkloom.operators import pages as PT
 from linkloom.operators.ranking import running
-from linkloom.session import cut
+from linkloom.session import cut, spread
 
 
 def vector(df: DataFrame, key: str, sizes: list[str], shares: list[str], flags: list[str]) -> DataFrame:
@@ -39,6 +39,7 @@ def page_vector(pages: DataFrame, suffixes: DataFrame, brands: DataFrame, key: s
     suffixes as in links.sites; brands: ord, name, domains, labels, keywords (a stated set of names). The html is read once;
     what it says is written and then read for counts of brand names and of other sites. What is absent is 0.
     """
+    pages = spread(pages)
     link = cut(LT.facts(pages, suffixes, key), "links")
     page = cut(PT.page_facts(pages.withColumn("host", L.host(F.col("url"))), key), "pages")
     away = PT.reach(page, link, lambda h: LT.sites(h, suffixes), key)

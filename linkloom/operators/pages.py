@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import html as H
 from linkloom.functions import links as L
+from linkloom.functions import tokens as T
 
 SKIPPED_KINDS = ("hidden", "submit", "button", "image", "reset", "checkbox", "radio")
 #: Fixed values: (technology, header, text in its value; "" for any value).
@@ -55,23 +56,30 @@ BLOB = "[A-Za-z0-9+/]{200,}={0,2}"
 SECURITY_HEADERS = ("strict-transport-security", "content-security-policy", "x-frame-options", "x-content-type-options", "referrer-policy")
 
 
-def forms(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def read(html: str, tokens: str | None) -> Column:
+    """The column of tokens, walked from the html where the caller has none."""
+    return F.col(tokens) if tokens else T.tokens(F.col(html))
+
+
+def forms(pages: DataFrame, key: str = "page_id", html: str = "html", tokens: str | None = None) -> DataFrame:
     """(key, forms, inputs, hidden_fields, password_fields, asks): asks is the sorted list of private data asked for."""
-    fields = H.elements(F.col(html), "input|select|textarea")
+    page = read(html, tokens)
+    fields = H.elements(page, "input", "select", "textarea")
     kind = lambda t: F.lower(H.attribute(t, "type"))
     open_fields = F.filter("fields", lambda t: ~kind(t).isin(*SKIPPED_KINDS))
     texts = F.transform(open_fields, lambda t: F.lower(F.concat_ws(" ", *[H.attribute(t, a) for a in ("name", "id", "placeholder", "aria-label", "autocomplete", "title", "type")])))
     matching = lambda p: F.exists("texts", lambda x: x.rlike(p))
     secret = F.exists("fields", lambda t: kind(t) == "password")
     asks = F.array_sort(F.filter(F.array(*[F.when(matching(p) | secret if k == "password" else matching(p), F.lit(k)) for k, p in H.ASKS.items()]), lambda x: x.isNotNull()))
-    rows = pages.select(key, fields.alias("fields"), F.size(H.elements(F.col(html), "form")).alias("forms"))
+    rows = pages.select(key, fields.alias("fields"), F.size(H.elements(page, "form")).alias("forms"))
     rows = rows.withColumn("texts", texts)
     return rows.select(key, "forms", F.size("fields").alias("inputs"), F.size(F.filter("fields", lambda t: kind(t) == "hidden")).alias("hidden_fields"), F.size(F.filter("fields", lambda t: kind(t) == "password")).alias("password_fields"), asks.alias("asks"))
 
 
-def form_targets(pages: DataFrame, key: str = "page_id", html: str = "html", host: str = "host") -> DataFrame:
+def form_targets(pages: DataFrame, key: str = "page_id", html: str = "html", host: str = "host", tokens: str | None = None) -> DataFrame:
     """(key, targets, mailto, without_target): other hosts that forms send to, sorted."""
-    actions = F.transform(H.elements(F.col(html), "form"), lambda t: F.trim(H.attribute(t, "action")))
+    page = read(html, tokens)
+    actions = F.transform(H.elements(page, "form"), lambda t: F.trim(H.attribute(t, "action")))
     rows = pages.select(key, host, actions.alias("a"))
     away = F.filter(F.transform(F.filter("a", lambda x: x.rlike("(?i)^https?://")), L.host), lambda h: (h != "") & (h != F.col(host)))
     empty = F.exists("a", lambda x: (x == "") | x.isin("#", "about:blank") | x.rlike("(?i)^javascript:"))
@@ -91,22 +99,23 @@ def terms(pages: DataFrame, key: str = "page_id", words: str = "words", most: in
 
 def out_sites(pages: DataFrame, key: str = "page_id", html: str = "html", host: str = "host", most: int = 60) -> DataFrame:
     """(key, pos, target): hosts that absolute links of a page lead to, its own left out, first-seen order."""
-    hrefs = F.slice(F.transform(H.elements(F.col(html), "a"), lambda t: F.trim(H.attribute(t, "href"))), 1, 2000)
+    page = T.tokens(F.col(html))
+    hrefs = F.slice(F.transform(H.elements(page, "a"), lambda t: F.trim(H.attribute(t, "href"))), 1, 2000)
     hosts = F.array_distinct(F.filter(F.transform(F.filter(hrefs, lambda x: x.rlike("(?i)^(https?:)?//")), lambda x: L.host(F.regexp_replace(x, "^//", "https://"))), lambda h: h.contains(".")))
     rows = pages.select(key, host, hosts.alias("hosts"))
     return rows.select(key, F.posexplode(F.slice(F.filter("hosts", lambda h: h != F.col(host)), 1, most)).alias("pos", "target"))
 
 
-def structure(pages: DataFrame, key: str = "page_id", html: str = "html", host: str = "host") -> DataFrame:
+def structure(pages: DataFrame, key: str = "page_id", html: str = "html", host: str = "host", tokens: str | None = None) -> DataFrame:
     """Counts of scripts, images, frames and links, and the tricks a page plays."""
-    c = F.col(html)
-    scripts = F.transform(H.elements(c, "script"), lambda t: H.attribute(t, "src"))
-    frames = H.elements(c, "iframe")
-    hrefs = F.transform(H.elements(c, "a"), lambda t: F.trim(H.attribute(t, "href")))
+    c, page = F.col(html), read(html, tokens)
+    scripts = F.transform(H.elements(page, "script"), lambda t: H.attribute(t, "src"))
+    frames = H.elements(page, "iframe")
+    hrefs = F.transform(H.elements(page, "a"), lambda t: F.trim(H.attribute(t, "href")))
     away = lambda x: x.rlike("(?i)^(https?:)?//") & (L.host(F.regexp_replace(x, "^//", "https://")) != F.col(host))
     empty = lambda x: (x == "") | (x == "#") | x.rlike("(?i)^javascript:")
     hidden = lambda t: H.attribute(t, "width").isin("0", "1") | H.attribute(t, "height").isin("0", "1") | F.replace(H.attribute(t, "style"), F.lit(" "), F.lit("")).contains("display:none")
-    rows = pages.select(key, host, html, scripts.alias("s"), frames.alias("f"), hrefs.alias("a"), F.size(H.elements(c, "img")).alias("images"), H.elements(c, "meta").alias("m"))
+    rows = pages.select(key, host, html, scripts.alias("s"), frames.alias("f"), hrefs.alias("a"), F.size(H.elements(page, "img")).alias("images"), H.elements(page, "meta").alias("m"))
     share = lambda n: F.when(F.size("a") > 0, F.round(n / F.size("a"), 2)).otherwise(F.lit(0.0))
     return rows.select(
         key, F.size("s").alias("scripts"), F.size(F.filter("s", away)).alias("external_scripts"), "images", F.size("f").alias("iframes"), F.size(F.filter("f", hidden)).alias("hidden_iframes"),
@@ -144,14 +153,14 @@ def technology(rows: DataFrame, key: str, headers: str, html: str | None = None)
     return rows.select(key, found.alias("technologies"), missing.alias("missing"), named.alias("generator"))
 
 
-def refresh_target(html: Column) -> Column:
-    """Where the first meta refresh leads; empty if nowhere."""
-    metas = F.filter(H.elements(html, "meta"), lambda t: F.lower(H.attribute(t, "http-equiv")) == "refresh")
-    return F.coalesce(F.regexp_extract(F.get(metas, F.lit(0)), "(?i)url=([^\"'>]*)", 1), F.lit(""))
+def refresh_target(page: Column) -> Column:
+    """Where the first meta refresh among a page's tokens leads; empty if nowhere."""
+    metas = F.filter(H.elements(page, "meta"), lambda t: F.lower(H.attribute(t, "http-equiv")) == "refresh")
+    return F.coalesce(F.regexp_extract(H.attribute(F.get(metas, F.lit(0)), "content"), "(?i)url=([^\"'>]*)", 1), F.lit(""))
 
 
-def declared_icon(html: Column) -> Column:
-    icons = F.filter(H.elements(html, "link"), lambda t: F.lower(H.attribute(t, "rel")).contains("icon"))
+def declared_icon(page: Column) -> Column:
+    icons = F.filter(H.elements(page, "link"), lambda t: F.lower(H.attribute(t, "rel")).contains("icon"))
     return F.coalesce(H.attribute(F.get(icons, F.lit(0)), "href"), F.lit(""))
 
 
@@ -193,10 +202,10 @@ def beside(rows: DataFrame, operator) -> DataFrame:
     return operator(packed).select("__row.*", "*").drop("__row")
 
 
-def reached(html: Column) -> Column:
+def reached(page: Column) -> Column:
     """(kind, host) of every absolute form target, script and link, in order."""
     host = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), L.host(F.regexp_replace(x, "^//", "https://")).alias("host"))
-    found = lambda tag, a: F.transform(F.filter(F.transform(H.elements(html, tag), lambda t: F.trim(H.attribute(t, a))), lambda x: x.rlike("(?i)^(https?:)?//")), host(tag))
+    found = lambda tag, a: F.transform(F.filter(F.transform(H.elements(page, tag), lambda t: F.trim(H.attribute(t, a))), lambda x: x.rlike("(?i)^(https?:)?//")), host(tag))
     return F.filter(F.concat(found("form", "action"), found("script", "src"), found("a", "href")), lambda r: r["host"] != "")
 
 
@@ -206,15 +215,16 @@ def page_facts(pages: DataFrame, key: str = "page_id", html: str = "html", host:
     A null or empty page is not captured and has empty facts.
     """
     rows = pages.select(key, F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    rows = rows.withColumn("tokens", T.tokens(F.col("html")))
     for operator in (forms, form_targets, structure):
-        rows = beside(rows, lambda x, f=operator: f(x, key="__row", html="__row.html", **({} if f is forms else {"host": "__row.host"})))
-    c = F.col("html")
-    rows = rows.withColumn("title", H.title(c)).withColumn("text", H.visible_text(c))
-    alts = F.array_join(F.transform(H.elements(c, "img"), lambda t: H.attribute(t, "alt")), " ")
+        rows = beside(rows, lambda x, f=operator: f(x, key="__row", html="__row.html", tokens="__row.tokens", **({} if f is forms else {"host": "__row.host"})))
+    c, page = F.col("html"), F.col("tokens")
+    rows = rows.withColumn("title", H.title(page)).withColumn("text", H.visible_text(page))
+    alts = F.array_join(F.transform(H.elements(page, "img"), lambda t: H.attribute(t, "alt")), " ")
     rows = rows.withColumn("said", F.concat_ws(" ", "title", "text", alts))
-    kept = [x for x in rows.columns if x not in ("html", "text", "host", "targets")]
+    kept = [x for x in rows.columns if x not in ("html", "tokens", "text", "host", "targets")]
     return rows.select(
-        *kept, (c != "").alias("captured"), reached(c).alias("reached"), F.size(H.tags(c)).alias("tags"), F.size(H.words(F.col("text"))).alias("words"), blob_share(c).alias("base64_share"),
+        *kept, (c != "").alias("captured"), reached(page).alias("reached"), F.size(H.tags(page)).alias("tags"), F.size(H.words(F.col("text"))).alias("words"), blob_share(c).alias("base64_share"),
         F.size(wallets(F.col("text"))).alias("wallets"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\+?\d[\d\s().-]{8,}\d)"), 0))).alias("phone_numbers"),
         *[F.size(H.phrase_hits(F.col("said"), g)).alias(f"phrases_{g}") for g in H.PHRASES],
     )

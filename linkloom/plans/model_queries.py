@@ -15,7 +15,7 @@ from linkloom.operators import pages as PT
 from linkloom.operators import tables as T
 from linkloom.operators.similar import near_sets
 from linkloom.plans.link_queries import HOST_SQL
-from linkloom.plans.page_queries import ATT, AUG, EL, TAGS_SQL, TEXT_SQL, WORDS_SQL, quoted, read, shingle_sql
+from linkloom.plans.page_queries import ATT, AUG, EL, TAGS_SQL, TEXT_SQL, WORDS_SQL, decoded, quoted, read, shingle_sql
 from linkloom.plans.registry import query
 from linkloom.session import cut, table
 from linkloom.sources import tables as D
@@ -84,7 +84,7 @@ case when ip then 0 else round({ent('label')}, 2) end as entropy, (not ip and le
 contains(substr(path, 2), '//')::int as double_slash_path, (string_split(host, '.')[-1] in ('xyz', 'top'))::int as abused_tld, 0 as shortener, regexp_matches(url, ':8080')::int as odd_port, contains(host, 'xn--')::int as punycode,
 len(list_filter(list_distinct(string_split_regex(lower(regexp_extract(url, {rest}, 1) || ' ' || regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)), '[^a-z0-9-]+') || string_split_regex(host, '[^a-z0-9]+')), lambda w: w in ({', '.join(quoted(w) for w in L.URL_WORDS)}))) as url_words,
 (k is not null)::int as lookalike, 0 as lookalike_homograph, (coalesce(k, 9) in (0, 1))::int as lookalike_typo, (coalesce(k, 9) = 2)::int as lookalike_combo, (coalesce(k, 9) = 3)::int as lookalike_subdomain, imitated, body from u left join im using (host) left join off using (host)),
-fs as (select page_id, html, {EL.format('input|select|textarea')} as f, {EL.format('form')} as fm, {EL.format('iframe')} as fr, {EL.format('meta')} as m, list_transform({EL.format('a')}, lambda t: trim({att('href')})) as a, {TEXT_SQL} as text, trim(substr(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 1, 200)) as title, {TAGS_SQL} as tg, {WORDS_SQL} as wd from p),
+fs as (select page_id, html, {EL.format('input|select|textarea')} as f, {EL.format('form')} as fm, {EL.format('iframe')} as fr, {EL.format('meta')} as m, list_transform({EL.format('a')}, lambda t: trim({att('href')})) as a, {TEXT_SQL} as text, trim(substr({decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, 1, 200)) as title, {TAGS_SQL} as tg, {WORDS_SQL} as wd from p),
 ft as (select *, list_transform(fm, lambda t: trim({att('action')})) as ac, {fields} as x, {of.format(att('type'), 'password')} as secret, concat_ws(' ', title, text, array_to_string(list_transform({EL.format('img')}, lambda t: {att('alt')}), ' ')) as said from fs),
 page as (select page_id, 1 as captured, len(fm) as forms, len(f) as inputs, secret as password_fields, {of.format(att('type'), 'hidden')} as hidden_fields, {asks}, (len(list_filter(ac, lambda v: v in ('', '#', 'about:blank') or regexp_matches(v, '(?i)^javascript:'))) > 0)::int as form_without_target, (len(list_filter(ac, lambda v: regexp_matches(v, '(?i)^mailto:'))) > 0)::int as mailto_form,
 regexp_matches(text, '\\b0x[a-fA-F0-9]{{40}}\\b')::int + regexp_matches(text, '\\b(bc1[ac-hj-np-z02-9]{{25,60}}|[13][a-km-zA-HJ-NP-Z1-9]{{25,34}})\\b')::int + regexp_matches(text, '\\bT[1-9A-HJ-NP-Za-km-z]{{33}}\\b')::int as wallets, {words},

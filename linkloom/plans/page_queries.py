@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from linkloom.functions import html as H
 from linkloom.functions import links as L
 from linkloom.functions import prints as P
+from linkloom.functions import tokens as T
 from linkloom.operators import pages as O
 from linkloom.plans.link_queries import HOST_SQL, pages
 from linkloom.plans.registry import query
-from linkloom.session import cut, kept
+from linkloom.session import cut, kept, spread
 
 #: Forms, frames and wording that the given pages lack, added by page number; the same text in both dialects.
 AUG = (
@@ -25,7 +26,17 @@ ATT = "regexp_extract({0}, '(?i) {1}=[\"'']?([^\"''>]*)', 1)"
 TEXT_SQL = "regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g')"
 for _n in ("script", "style", "noscript", "template", "svg", "head"):
     TEXT_SQL = f"regexp_replace({TEXT_SQL}, '(?is)<{_n}[ >].*?</{_n}>', ' ', 'g')"
-TEXT_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace({TEXT_SQL}, '(?s)<[^>]*>', ' ', 'g'), '&[a-zA-Z0-9#]+;', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+
+def decoded(x: str) -> str:
+    """The character references that the pages have, replaced."""
+    for name, char in (("quot;", '"'), ("copy;", "©"), ("middot;", "·")):
+        x = f"replace({x}, '&{name}', '{char}')"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+
+
+TEXT_SQL = "trim(regexp_replace(" + decoded(f"regexp_replace({TEXT_SQL}, '(?s)<[^>]*>', ' ', 'g')") + ", '[ \\t\\r\\n]+', ' ', 'g'))"
 WORDS_SQL = f"list_filter(string_split_regex(lower({TEXT_SQL}), '[^\\p{{L}}\\p{{M}}]+'), lambda w: length(w) between 3 and 30)"
 TAGS_SQL = "list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda t: lower(t))"
 STOP_SQL = ", ".join(f"'{w}'" for w in H.STOPWORDS)
@@ -37,18 +48,18 @@ def augmented(spark, sf):
 
 def read(spark, sf):
     """page_id, host, tags, words, title of every page."""
-    p = pages(spark, sf)
-    return p.select("page_id", L.host(F.col("url")).alias("host"), H.tags(F.col("html")).alias("tags"), H.words(H.visible_text(F.col("html"))).alias("words"), H.title(F.col("html")).alias("title"))
+    p = spread(pages(spark, sf))
+    return p.select("page_id", L.host(F.col("url")).alias("host"), H.tags(T.tokens(F.col("html"))).alias("tags"), H.words(H.visible_text(T.tokens(F.col("html")))).alias("words"), H.title(T.tokens(F.col("html"))).alias("title"))
 
 
 @query("h01_tags", f"select page_id, len(t) as n_tags, md5(array_to_string(t, ' ')) as tags_md5 from (select page_id, {TAGS_SQL} as t from pages)")
 def h01(spark, sf):
-    return pages(spark, sf).select("page_id", H.tags(F.col("html")).alias("t")).select("page_id", F.size("t").alias("n_tags"), F.md5(F.array_join("t", " ").cast("binary")).alias("tags_md5"))
+    return pages(spark, sf).select("page_id", H.tags(T.tokens(F.col("html"))).alias("t")).select("page_id", F.size("t").alias("n_tags"), F.md5(F.array_join("t", " ").cast("binary")).alias("tags_md5"))
 
 
 @query("h02_text", f"select page_id, length(t) as n_chars, md5(t) as text_md5 from (select page_id, {TEXT_SQL} as t from pages)")
 def h02(spark, sf):
-    return pages(spark, sf).select("page_id", H.visible_text(F.col("html")).alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
+    return pages(spark, sf).select("page_id", H.visible_text(T.tokens(F.col("html"))).alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
 
 @query("h03_words", f"select page_id, len(w) as n_words, md5(array_to_string(w, ' ')) as words_md5 from (select page_id, {WORDS_SQL} as w from pages)")
@@ -111,7 +122,7 @@ PHRASE_SQL = f"with {AUG_SQL}, t as (select page_id, lower({TEXT_SQL}) as x from
 @query("h08_phrases", PHRASE_SQL)
 def h08(spark, sf):
     """Wording of all eight groups, five different hits a group at most."""
-    t = augmented(spark, sf).select("page_id", H.visible_text(F.col("html")).alias("x"))
+    t = augmented(spark, sf).select("page_id", H.visible_text(T.tokens(F.col("html"))).alias("x"))
     return t.select("page_id", *[F.array_join(H.phrase_hits(F.col("x"), g), ",").alias(g) for g in H.PHRASES])
 
 
@@ -127,13 +138,13 @@ def word_brands(spark, sf):
 
 @query("h09_mentions", f"with {BRAND_SQL}, w as (select page_id, unnest(regexp_extract_all(lower({TEXT_SQL}), '[\\p{{L}}\\p{{N}}_]+')) as word from pages), c as (select page_id, k as brand, ord, count(*) as times from w join b on b.k = w.word group by all), r as (select *, row_number() over (partition by page_id order by times desc, ord) as n from c) select page_id, brand, times from r where n = 1")
 def h09(spark, sf):
-    t = pages(spark, sf).select("page_id", H.visible_text(F.col("html")).alias("text"))
+    t = pages(spark, sf).select("page_id", H.visible_text(T.tokens(F.col("html"))).alias("text"))
     return O.first_mention(O.mentions(t, word_brands(spark, sf)), "page_id")
 
 
 @query("h10_wallets_phones", f"with {AUG_SQL}, t as (select page_id, {TEXT_SQL} as x from a) select page_id, case when regexp_matches(x, '\\b0x[a-fA-F0-9]{{40}}\\b') then 'Ethereum' else '' end as wallets, len(list_distinct(regexp_extract_all(x, '(\\+?\\d[\\d\\s().-]{{8,}}\\d)'))) as phones from t")
 def h10(spark, sf):
-    t = augmented(spark, sf).select("page_id", H.visible_text(F.col("html")).alias("x"))
+    t = augmented(spark, sf).select("page_id", H.visible_text(T.tokens(F.col("html"))).alias("x"))
     return t.select("page_id", F.array_join(O.wallets(F.col("x")), ",").alias("wallets"), F.size(F.array_distinct(F.regexp_extract_all("x", F.lit(r"(\+?\d[\d\s().-]{8,}\d)"), 0))).alias("phones"))
 
 
@@ -142,6 +153,39 @@ def h11(spark, sf):
     return O.structure(augmented(spark, sf)).withColumn("programs", F.array_join("programs", ","))
 
 
+#: Broken markup by page number; the same text in both dialects.
+BROKEN = (
+    "html || case page_id % 6 when 0 then '<A HREF=\"https://Up.example.net/x?a=1&amp;b=' || page_id || '\" title=\"a > b\">q</A><a/href=/slash>r</a>'"
+    " when 1 then '<!-- <a href=\"no\"> <form> --><script>document.write(\"<a href=x>\");</script><a\thref=plain' || page_id || '>t</a>' when 2 then '<a href=\"unclosed>t</a><img alt=\"x>y\" src=z><img alt=\"x>y\" src=z>'"
+    " when 3 then '<input type=password name=Pass disabled><INPUT TYPE=\"hidden\"><textarea name=t><input name=in></textarea>' when 4 then 'a < b <3 <a data-href=\"n\" href=\"d' || page_id || '\" href=\"d2\">d</a><!-- open <a href=\"gone\">'"
+    " else '<title><a href=x></title><p <b>t</p></ x>u<img alt=\"cut' || page_id || '\"><a href=\"cut' end"
+)
+HREF_SQL = "regexp_extract({0}, '(?is)[\\s/]{1}\\s*=\\s*(?:\"([^\"]*)\"|([^\\s>\"]+))', {2})"
+
+
+def valued(t: str, name: str) -> str:
+    return decoded("(" + " || ".join(f"coalesce({HREF_SQL.format(t, name, g)}, '')" for g in (1, 2)) + ")")
+
+
+BARE_SQL = "regexp_replace(html, '(?is)<!--.*?(?:-->|$)', '', 'g')"
+for _n in ("script", "style", "textarea", "title"):
+    BARE_SQL = f"regexp_replace({BARE_SQL}, '(?is)(<{_n}(?:[\\s/][^>]*)?>).*?(</{_n}[\\s/>])', '\\1\\2', 'g')"
+BROKEN_SQL = f"""with b as (select page_id, {BROKEN} as html from pages), c as (select page_id, {BARE_SQL} as html from b),
+t as (select page_id, regexp_extract_all(html, '<[a-zA-Z][^\\s/>]*(?:[^>=]|=\\s*"[^"]*"|=)*>') as t from c),
+k as (select page_id, list_transform(t, lambda x: lower(regexp_extract(x, '^<([^\\s/>]+)', 1))) as n, t from t),
+z as (select page_id, n, list_filter(t, lambda x: regexp_matches(x, '(?i)^<a[\\s/>]')) as a, list_filter(t, lambda x: regexp_matches(x, '(?i)^<(input|textarea)[\\s/>]')) as i, list_filter(t, lambda x: regexp_matches(x, '(?i)^<img[\\s/>]')) as m from k)
+select page_id, len(n) as tags, len(a) as links, array_to_string(list_transform(a, lambda x: {valued('x', 'href')}), '|') as hrefs, len(i) as inputs, len(list_filter(i, lambda x: lower({valued('x', 'type')}) = 'password')) as password_fields, len(list_filter(i, lambda x: lower({valued('x', 'type')}) = 'hidden')) as hidden_fields, array_to_string(list_transform(m, lambda x: {valued('x', 'alt')}), '|') as alts from z"""
+
+
+@query("h01_h12_broken", BROKEN_SQL)
+def broken(spark, sf):
+    """Tags, links, fields and descriptions of pages with broken markup: open quotes and comments, > in quotes, upper case, a/href, code that holds tags."""
+    p = pages(spark, sf).select("page_id", T.tokens(F.expr(BROKEN)).alias("t"))
+    listed = lambda tag, name: F.array_join(F.transform(H.elements(F.col("t"), tag), lambda x: H.attribute(x, name)), "|")
+    kind = lambda k: F.size(F.filter(H.elements(F.col("t"), "input", "textarea"), lambda x: F.lower(H.attribute(x, "type")) == k))
+    return p.select("page_id", F.size(H.tags(F.col("t"))).alias("tags"), F.size(H.elements(F.col("t"), "a")).alias("links"), listed("a", "href").alias("hrefs"), F.size(H.elements(F.col("t"), "input", "textarea")).alias("inputs"), kind("password").alias("password_fields"), kind("hidden").alias("hidden_fields"), listed("img", "alt").alias("alts"))
+
+
 #: Response headers that the given pages lack, by page number; the same text in both dialects.
 HEADERS = {
     "server": "case page_id % 9 when 0 then 'cloudflare' when 1 then 'nginx/1.2' when 2 then 'Apache/2.4' when 3 then 'AmazonS3' when 4 then 'GitHub.com' when 5 then 'Google Frontend' when 6 then 'LiteSpeed' when 7 then 'Microsoft-IIS/10' end",
@@ -189,7 +233,7 @@ BOT_SQL = (
 def h15(spark, sf):
     """Where a page refreshes to, its declared icon, and the vendor of a bot check (first match wins)."""
     a, html = pages(spark, sf).select("page_id", F.expr(BOT_HTML).alias("html")), F.col("html")
-    return a.select("page_id", O.refresh_target(html).alias("refresh"), O.declared_icon(html).alias("icon"), O.bot_check(html).alias("bot_check"))
+    return a.select("page_id", O.refresh_target(T.tokens(html)).alias("refresh"), O.declared_icon(T.tokens(html)).alias("icon"), O.bot_check(html).alias("bot_check"))
 
 
 BLOB_HTML = AUG + " || repeat(md5(url), 1 + cast(page_id % 13 as int))"
@@ -201,7 +245,7 @@ def h10b(spark, sf):
     return pages(spark, sf).select("page_id", O.blob_share(F.expr(BLOB_HTML)).alias("blob_share"))
 
 
-POSE_SQL = f"""with {BRAND_SQL}, pg as (select page_id, {HOST_SQL} as host, {TEXT_SQL} as text, lower(trim(substr(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 1, 200))) as title from pages),
+POSE_SQL = f"""with {BRAND_SQL}, pg as (select page_id, {HOST_SQL} as host, {TEXT_SQL} as text, lower(trim(substr({decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, 1, 200))) as title from pages),
 w as (select page_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as word from pg), c as (select page_id, k, ord, count(*) as times from w join b on b.k = w.word group by all),
 f as (select page_id, count(*) as named, arg_min(k, (-times, ord)) as top, max(times) as mentions from c group by 1),
 t as (select page_id, list_sort(list_distinct(list(k))) as l from (select page_id, unnest(regexp_extract_all(title, '[\\p{{L}}\\p{{N}}_]+')) as word from pg) join b on b.k = word group by 1),
@@ -213,7 +257,7 @@ select page_id, coalesce(array_to_string(list_filter([imitated], lambda v: v is
 def r10(spark, sf):
     """Brands that each page poses as: a link that imitates one, the title, or a page about one that asks for data."""
     brands = word_brands(spark, sf)
-    p = pages(spark, sf).select("page_id", L.host(F.col("url")).alias("host"), H.visible_text(F.col("html")).alias("text"), H.title(F.col("html")).alias("title"))
+    p = pages(spark, sf).select("page_id", L.host(F.col("url")).alias("host"), H.visible_text(T.tokens(F.col("html"))).alias("text"), H.title(T.tokens(F.col("html"))).alias("title"))
     named = O.mentions(p, brands)
     most = O.first_mention(named, "page_id").select("page_id", F.col("brand").alias("top"), F.col("times").alias("mentions")).join(named.groupBy("page_id").agg(F.count("*").alias("named")), "page_id")
     titled = O.mentions(p, brands, text="title").groupBy("page_id").agg(F.array_sort(F.collect_list("brand")).alias("in_title"))
