@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import links as L
 
-MOST_LABELS = 5_000
 #: Endings that only one kind of body can register, and what that body is.
 RESTRICTED = [(".bank.in", "a registered Indian bank"), (".gov.in", "Government of India"), (".nic.in", "Government of India")]
 
@@ -92,29 +91,79 @@ def official(hosts: DataFrame, brands: DataFrame) -> DataFrame:
     return names.join(domains, "domain").where("domain like '%.%' or host <> domain").groupBy("host").agg(F.min_by("brand", "ord").alias("brand"))
 
 
+def _without(text: Column, i: Column) -> Column:
+    return F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.lit(9999)))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """The text and what is left of it without one letter, or without one and without two."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    one = F.transform(places, lambda i: _without(text, i))
+    if most == 1:
+        return F.array_distinct(F.concat(F.array(text), one))
+    two = F.flatten(F.transform(F.filter(places, lambda i: i < F.length(text)), lambda i: F.transform(F.sequence(i, F.greatest(F.length(text) - 1, F.lit(1))), lambda j: _without(_without(text, i), j))))
+    return F.array_distinct(F.concat(F.array(text), one, two))
+
+
+def _swaps(text: Column) -> Column:
+    """The text with each two neighbours swapped."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.lit(1)), F.substring(text, i, F.lit(1)), F.substring(text, i + 2, F.lit(9999))))
+
+
+def _slips(n: Column) -> Column:
+    """How many slips a brand label of that length may be away."""
+    return F.when(n >= 9, 2).when(n >= 6, 1).otherwise(0)
+
+
+def _keys(*given: tuple[str, Column]) -> Column:
+    """One array of keys, each told apart by its kind."""
+    told = lambda kind: lambda v: F.xxhash64(F.lit(kind), v)
+    return F.array_distinct(F.concat(*[F.transform(F.coalesce(x, F.array().cast("array<string>")), told(k)) for k, x in given]))
+
+
 def imitations(labels: DataFrame, brands: DataFrame) -> DataFrame:
     """Which brand a label (of a host that is not official) imitates, and how: (host, brand, kind).
 
-    labels: host, label, subdomain. Look-alike letters and digits win outright, in brand order; else the first of a near
-    spelling, added words or a sub-domain. The brand table is a stated set of names, MOST_LABELS at most (counted here,
-    more is an error), which every distinct label is compared with; beyond that, pass it in parts and keep the least row.
+    labels: host, label, subdomain. brands: ord, name, labels; any number of either. Look-alike letters and digits win outright, in
+    brand order; else the first of a near spelling, added words or a sub-domain.
+    Labels meet brand labels by equal keys only, then every pair that met is checked: the letters that a label looks like; what is
+    left of both without one or two letters (names one or two slips apart, swaps among them, share one such rest); the words in a
+    label and its runs of five letters; the parts of a sub-domain and what stands before their hyphens.
     """
-    forms = brands.select("ord", F.col("name").alias("brand"), F.posexplode("labels").alias("pos", "b"))
-    if (n_forms := forms.count()) > MOST_LABELS:
-        raise ValueError(f"{n_forms} brand labels; {MOST_LABELS} at most")
+    forms = brands.select("ord", F.col("name").alias("brand"), F.posexplode("labels").alias("pos", "b")).where("b is not null and b <> ''")
     rows = labels.select("host", "label", "subdomain").where("label is not null").distinct()
-    n = F.length("b")
-    far = F.when(n >= 9, 2).when(n >= 6, 1).otherwise(0)
-    swaps = F.transform(F.sequence(F.lit(1), F.greatest(F.length("label") - 1, F.lit(1))), lambda i: F.concat(F.substring("label", F.lit(1), i - 1), F.substring("label", i + 1, F.lit(1)), F.substring("label", i, F.lit(1)), F.substring("label", i + 2, F.lit(9999))))
-    near = (F.levenshtein("label", "b") <= far) | (F.exists(swaps, lambda s: F.levenshtein(s, F.col("b")) <= far - 1))
+    n, size, none = F.length("b"), F.length("label"), F.array().cast("array<string>")
+    longest = forms.agg(F.max(n)).first()[0] or 0
+    five = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 4, F.lit(1))), lambda i: F.substring(x, i, F.lit(5)))
     tokens, parts = F.split(F.lower("label"), "[-_.0-9]+"), F.split(F.lower("subdomain"), r"\.")
+    before = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(F.split(p, "-"))), lambda i: F.array_join(F.slice(F.split(p, "-"), 1, i), "-"))))
+
+    known = forms.withColumn("key", F.explode(_keys(
+        ("looks", F.array("b")), ("one", F.when(n.between(6, 8), shortened(F.col("b"), 1))), ("two", F.when(n >= 9, shortened(F.col("b"), 2))),
+        ("word", F.array("b")), ("five", F.when(n >= 5, F.array(F.substring("b", 1, 5)))),
+    )))
+    by_label = rows.select("label").distinct().withColumn("key", F.explode(_keys(
+        ("looks", F.array(L.skeleton(F.col("label")))), ("one", F.when(size.between(5, 9), shortened(F.col("label"), 1))), ("two", F.when(size.between(7, longest + 2), shortened(F.col("label"), 2))),
+        ("word", tokens), ("five", F.when(size >= 5, five(F.col("label")))),
+    )))
+    under = forms.withColumn("part", F.col("b"))
+    by_part = rows.select("subdomain").distinct().withColumn("part", F.explode(F.array_distinct(F.concat(parts, before))))
+    pair = ["ord", "brand", "pos", "b"]
+    met = by_label.join(known, "key").select("label", *pair).distinct().join(rows, "label").select("host", "label", "subdomain", *pair)
+    met = met.unionByName(by_part.join(under, "part").select("subdomain", *pair).distinct().join(rows, "subdomain").select("host", "label", "subdomain", *pair)).distinct()
+
+    far = _slips(n)
+    # One slip is a letter in, out or other, or a swap of neighbours; of two slips any, in either order.
+    ours, theirs = _swaps(F.col("label")), _swaps(F.col("b"))
+    near = (F.levenshtein("label", "b") <= far) | F.exists(ours, lambda s: F.levenshtein(s, F.col("b")) <= far - 1) | F.exists(theirs, lambda s: F.levenshtein(s, F.col("label")) <= far - 1) | ((far == 2) & F.arrays_overlap(ours, theirs))
+    other = F.col("label") != F.col("b")
     kind = (
-        F.when((F.col("label") != F.col("b")) & (L.skeleton(F.col("label")) == F.col("b")), F.when(F.col("label").rlike(r"[^\x00-\x7F]"), "homograph").otherwise("swap"))
-        .when((far > 0) & (F.col("label") != F.col("b")) & near, "typo")
-        .when((F.col("label") != F.col("b")) & (F.array_contains(tokens, F.col("b")) | ((n >= 5) & F.col("label").contains(F.col("b")))), "combo")
-        .when(F.array_contains(parts, F.col("b")) | F.exists(parts, lambda s: s.startswith(F.concat(F.col("b"), F.lit("-")))), "subdomain")
+        F.when(other & (L.skeleton(F.col("label")) == F.col("b")), F.when(F.col("label").rlike(r"[^\x00-\x7F]"), "homograph").otherwise("swap"))
+        .when((far > 0) & other & near, "typo")
+        .when(other & (F.array_contains(tokens, F.col("b")) | ((n >= 5) & F.col("label").contains(F.col("b")))), "combo")
+        .when(F.array_contains(F.coalesce(parts, none), F.col("b")) | F.exists(F.coalesce(parts, none), lambda s: s.startswith(F.concat(F.col("b"), F.lit("-")))), "subdomain")
     )
-    found = rows.join(F.broadcast(forms), F.lit(True)).withColumn("kind", kind).where("kind is not null")
+    found = met.withColumn("kind", kind).where("kind is not null")
     first = F.struct(F.when(F.col("kind").isin("homograph", "swap"), 0).otherwise(1).alias("turn"), "ord", "pos", "brand", "kind")
     return found.groupBy("host").agg(F.min(first).alias("m")).select("host", "m.brand", F.when(F.col("m.kind") == "swap", "typo").otherwise(F.col("m.kind")).alias("kind"))
 
