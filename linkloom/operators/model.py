@@ -33,11 +33,13 @@ FEATURES = (
 ).split()
 
 
-def page_vector(pages: DataFrame, suffixes: DataFrame, brands: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and a double for each of FEATURES, from the link and the html alone. pages: key (unique), url, html.
+def read_pages(pages: DataFrame, suffixes: DataFrame, brands: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, a double for each of FEATURES and what else link and html say: url, host, site, registered_domain, free_hosting, official
+    (whose own site it is), imitation (how the link imitates a brand), posed (brands the page poses as), asks and title.
 
-    suffixes as in links.sites; brands: ord, name, domains, labels, keywords (a stated set of names). The html is read once;
-    what it says is written and then read for counts of brand names and of other sites. What is absent is 0.
+    pages: key (unique), url, html. suffixes as in links.sites; brands: ord, name, domains, labels, keywords (a stated set of
+    names). The html is walked once; what it says is written and then read for counts of brand names and of other sites.
+    What is absent is 0.
     """
     pages = spread(pages)
     link = cut(LT.facts(pages, suffixes, key), "links")
@@ -48,17 +50,27 @@ def page_vector(pages: DataFrame, suffixes: DataFrame, brands: DataFrame, key: s
     named = PT.mentions(page, brands, key, "said")
     counted = named.groupBy(key).agg(F.count("*").alias("brands_mentioned")).join(PT.first_mention(named, key).select(key, F.col("brand").alias("top"), F.col("times").alias("mentions")), key)
     titled = PT.mentions(page, brands, key, "title").groupBy(key).agg(F.array_sort(F.collect_list("brand")).alias("in_title"))
-    rows = link.join(posing, "host", "left").join(official.withColumnRenamed("brand", "body"), "host", "left")
+    rows = link.join(posing, "host", "left").join(official.withColumnRenamed("brand", "official"), "host", "left")
     rows = rows.join(page.drop("said", "reached", "external_scripts", "external_link_share"), key).join(away, key, "left").join(counted, key, "left").join(titled, key, "left")
-    own = F.when(F.col("body").isNull(), F.array().cast("array<string>")).otherwise(F.array("body"))
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("official").isNull(), none).otherwise(F.array("official"))
+    posed = PT.impersonated(F.col("imitated"), F.col("in_title"), F.col("top"), F.coalesce("mentions", F.lit(0)), F.coalesce("brands_mentioned", F.lit(0)), F.size("asks"), own)
+    rows = rows.withColumn("posed", posed)
     values = {
-        "url_words": F.size("url_words"), "lookalike": F.col("kind").isNotNull(), "asks_count": F.size("asks"), "form_without_target": F.col("without_target"), "mailto_form": F.col("mailto"), "brand_in_title": F.size(F.coalesce("in_title", F.array().cast("array<string>"))),
-        "impersonated": F.size(PT.impersonated(F.col("imitated"), F.col("in_title"), F.col("top"), F.coalesce("mentions", F.lit(0)), F.coalesce("brands_mentioned", F.lit(0)), F.size("asks"), own)),
+        "url_words": F.size("url_words"), "lookalike": F.col("kind").isNotNull(), "asks_count": F.size("asks"), "form_without_target": F.col("without_target"), "mailto_form": F.col("mailto"), "brand_in_title": F.size(F.coalesce("in_title", none)),
+        "impersonated": F.size("posed"),
         "executable_links": F.least(F.size("programs"), F.lit(10)), "external_link_share": F.when(F.col("links") > 0, F.round(F.coalesce("external_links", F.lit(0)) / F.col("links"), 2)), "has_title": F.col("title") != "", "title_length": F.length("title"),
         "tags_log": F.log1p("tags"), "words_log": F.log1p("words"), "words_per_tag": F.when(F.col("tags") > 0, F.col("words") / F.col("tags")),
     }
     values |= {f"lookalike_{k}": F.col("kind") == k for k in ("homograph", "typo", "combo", "subdomain")} | {f"asks_{k}": F.array_contains("asks", k) for k in H.ASKS}
-    return rows.select(key, *[F.coalesce(values.get(n, F.col(n)).cast("double"), F.lit(0.0)).alias(n) for n in FEATURES])
+    told = ["host", "site", "registered_domain", "free_hosting", "official", F.col("kind").alias("imitation"), "posed", "asks", "title", F.col("length").alias("url_length"), F.col("words").cast("long").alias("n_words")]
+    out = rows.select(key, *told, *[F.coalesce(values.get(n, F.col(n)).cast("double"), F.lit(0.0)).alias(n) for n in FEATURES])
+    return out
+
+
+def page_vector(pages: DataFrame, suffixes: DataFrame, brands: DataFrame, key: str = "page_id") -> DataFrame:
+    """key and a double for each of FEATURES, see read_pages."""
+    return read_pages(pages, suffixes, brands, key).select(key, *FEATURES)
 
 
 def assembled(vectors: DataFrame, key: str = "page_id") -> DataFrame:

@@ -240,9 +240,49 @@ def scam_type() -> Column:
     return F.when(best["points"] >= 3, best["type"])
 
 
-def summary(verdict: Column, kind: Column, brand: Column) -> Column:
-    tail = F.when(kind.isNotNull(), F.concat(F.lit(": looks like "), F.replace(kind, F.lit("_"), F.lit(" ")), F.when(brand.isNotNull(), F.concat(F.lit(" posing as "), brand)).otherwise(F.lit("")))).otherwise(F.lit(""))
-    return F.concat(F.when(verdict == "safe", "No strong warning signs").when(verdict == "suspicious", F.concat(F.lit("Be careful"), tail)).otherwise(F.concat(F.lit("Do not open"), tail)), F.lit("."))
+#: What a type of scam is called, and what is said of one without a brand.
+TYPE_NOUNS = {
+    "banking": "banking page", "credentials": "login page", "crypto": "crypto wallet page", "prize": "prize or lottery scam", "shop": "online shop",
+    "tech_support": "tech support page", "malware": "download that may be malware", "job": "job or task offer", "government": "government notice",
+}
+TYPE_SAID = {
+    "banking": "This looks like a fake banking page that steals account details.", "credentials": "This looks like a fake login page that steals passwords.",
+    "crypto": "This looks like a crypto scam that tries to take your wallet.", "prize": "This looks like a fake prize or lottery scam.", "shop": "This looks like a fake online shop.",
+    "tech_support": "This looks like a tech support scam.", "malware": "This link tries to get you to download something that may be malware.",
+    "job": "This looks like a job or task scam.", "government": "This looks like a fake government notice.",
+}
+#: Types in whose sentence the brand's name is used by a page, not the page's own.
+NAME_USED = ("prize", "job", "malware", "tech_support")
+
+
+def summary(verdict: Column, kind: Column, brand: Column, official: Column, rank: Column, stopped: Column, listed_by: Column, partial: Column, small_signs: Column) -> Column:
+    """One sentence on a judged scan: a private address, lists without a type, the type and brand, strong or some signs, else what a safe page is.
+
+    kind and brand: of the judged scam type, null if there is none; official: whose own site it is; listed_by: names of lists that
+    list it; partial: the page could not be read; small_signs: a safe page with findings. Null flags count as false.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    safe, lists = verdict == "safe", F.coalesce(listed_by, F.array().cast("array<string>"))
+    noun = lookup(TYPE_NOUNS, kind)
+    article = F.when(F.substring(noun, 1, 1).isin(*"aeiou"), "an").otherwise("a")
+    branded = F.when(kind.isin(*NAME_USED), F.concat(F.lit("This looks like "), article, F.lit(" "), noun, F.lit(" using "), brand, F.lit("'s name."))).otherwise(F.concat(F.lit("This looks like a fake "), brand, F.lit(" "), noun, F.lit(".")))
+    found = F.when(flag(small_signs), "Only small warning signs found").otherwise("No warning signs found")
+    calm = (
+        F.when(official.isNotNull(), F.concat(F.lit("This looks like the real website of "), official, F.lit(". "), found, F.lit(".")))
+        .when(rank.isNotNull(), F.concat(F.lit("A well-known site with "), F.when(flag(small_signs), "only small").otherwise("no"), F.lit(" warning signs found.")))
+        .when(flag(partial) & flag(small_signs), "Only small warning signs found, but the page itself couldn't be checked.")
+        .when(flag(partial), "No warning signs in the link, but the page itself couldn't be checked.")
+        .otherwise(F.concat(found, F.lit(". That doesn't guarantee it's safe, so stay careful.")))
+    )
+    return (
+        F.when(stopped == "blocked", "This link leads to a private address, which real websites never do. Don't trust it.")
+        .when((F.size(lists) > 0) & ~safe & kind.isNull(), F.concat(F.array_join(F.slice(lists, 1, 2), " and "), F.when(F.size(lists) == 1, " lists").otherwise(" list"), F.lit(" this link as unsafe. Don't open it.")))
+        .when(~safe & kind.isNotNull() & brand.isNotNull(), branded)
+        .when(~safe & kind.isNotNull(), F.coalesce(lookup(TYPE_SAID, kind), F.lit("This link shows several warning signs.")))
+        .when(verdict == "dangerous", "Several strong warning signs. Treat this link as dangerous.")
+        .when(~safe, F.concat(F.lit("Some warning signs. Be careful with this link."), F.when(flag(partial), " The page itself couldn't be checked.").otherwise("")))
+        .otherwise(calm)
+    )
 
 
 def ledger(df: DataFrame, key: str, reasons: str = "reasons") -> DataFrame:

@@ -9,9 +9,11 @@ from linkloom.functions import html as H
 from linkloom.functions import links as L
 from linkloom.functions import prints as P
 from linkloom.operators import boosting as B
+from linkloom.operators import digest as DG
 from linkloom.operators import links as LT
 from linkloom.operators import model as M
 from linkloom.operators import pages as PT
+from linkloom.operators import score as S2
 from linkloom.operators import tables as T
 from linkloom.operators.similar import near_sets
 from linkloom.plans.link_queries import HOST_SQL
@@ -52,7 +54,7 @@ def odd_pages(spark, sf):
     return p.select("page_id", F.expr(ODD).alias("url"), F.expr(AUG).alias("html"))
 
 
-def vector_sql() -> str:
+def vector_sql(final: str | None = None) -> str:
     """The vector in DuckDB: link, forms, wording, structure, names and other sites, each from the link and the html."""
     att = lambda n: ATT.format("t", n)
     tail = lambda h, n: f"array_to_string(string_split({h}, '.')[-{n}:], '.')"
@@ -74,7 +76,7 @@ def vector_sql() -> str:
     host_of = HOST_SQL.replace("url", "regexp_replace(v, '^//', 'https://')")
     return f"""with p as (select page_id, {ODD} as url, {AUG} as html from pages),
 h as (select page_id, url, {HOST_SQL} as host, coalesce(nullif(regexp_extract(url, {rest}, 1), ''), '/') as path from p),
-u as (select *, regexp_matches(host, '^[0-9.]+$') as ip, replace(host, 'xn--bcher-kva', 'bücher') as seen, {tail('host', 2)} as reg, {site('host')} as site, string_split({tail('host', 2)}, '.')[1] as l, string_split({tail('replace(host, \'xn--bcher-kva\', \'bücher\')', 2)}, '.')[1] as label, string_split(host, '.')[:-3] as below from h),
+u as (select *, length(url) as url_length, regexp_matches(host, '^[0-9.]+$') as ip, replace(host, 'xn--bcher-kva', 'bücher') as seen, {tail('host', 2)} as reg, {site('host')} as site, string_split({tail('host', 2)}, '.')[1] as l, string_split({tail('replace(host, \'xn--bcher-kva\', \'bücher\')', 2)}, '.')[1] as label, string_split(host, '.')[:-3] as below from h),
 b(ord, name, domains, l, keys) as (values {names}),
 off as (select u.host, arg_min(name, ord) as body from (select distinct host from u) u, (select ord, name, unnest(domains) as d from b) b where u.host = d or ends_with(u.host, '.' || d) group by 1),
 im as (select host, arg_min(name, ((k > 0)::int, ord)) as imitated, arg_min(k, ((k > 0)::int, ord)) as k from (select u.host, b.ord, b.name, {kinds} as k from (select distinct host, l, below from u where not ip) u, b where host not in (select host from off)) x where k is not null group by 1),
@@ -83,7 +85,7 @@ case when ip then 0 else greatest(len(string_split(host, '.')) - 2, 0) end as su
 case when ip then 0 else round({ent('label')}, 2) end as entropy, (not ip and len(list_filter(string_split_regex(lower(label), '[-_.]+'), lambda w: {odd})) > 0)::int as random_name, ip::int as is_ip, contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '@')::int as has_at,
 contains(substr(path, 2), '//')::int as double_slash_path, (string_split(host, '.')[-1] in ('xyz', 'top'))::int as abused_tld, 0 as shortener, regexp_matches(url, ':8080')::int as odd_port, contains(host, 'xn--')::int as punycode,
 len(list_filter(list_distinct(string_split_regex(lower(regexp_extract(url, {rest}, 1) || ' ' || regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)), '[^a-z0-9-]+') || string_split_regex(host, '[^a-z0-9]+')), lambda w: w in ({', '.join(quoted(w) for w in L.URL_WORDS)}))) as url_words,
-(k is not null)::int as lookalike, 0 as lookalike_homograph, (coalesce(k, 9) in (0, 1))::int as lookalike_typo, (coalesce(k, 9) = 2)::int as lookalike_combo, (coalesce(k, 9) = 3)::int as lookalike_subdomain, imitated, body from u left join im using (host) left join off using (host)),
+(k is not null)::int as lookalike, 0 as lookalike_homograph, (coalesce(k, 9) in (0, 1))::int as lookalike_typo, (coalesce(k, 9) = 2)::int as lookalike_combo, (coalesce(k, 9) = 3)::int as lookalike_subdomain, imitated, body, k, url_length from u left join im using (host) left join off using (host)),
 fs as (select page_id, html, {EL.format('input|select|textarea')} as f, {EL.format('form')} as fm, {EL.format('iframe')} as fr, {EL.format('meta')} as m, list_transform({EL.format('a')}, lambda t: trim({att('href')})) as a, {TEXT_SQL} as text, trim(substr({decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, 1, 200)) as title, {TAGS_SQL} as tg, {WORDS_SQL} as wd from p),
 ft as (select *, list_transform(fm, lambda t: trim({att('action')})) as ac, {fields} as x, {of.format(att('type'), 'password')} as secret, concat_ws(' ', title, text, array_to_string(list_transform({EL.format('img')}, lambda t: {att('alt')}), ' ')) as said from fs),
 page as (select page_id, 1 as captured, len(fm) as forms, len(f) as inputs, secret as password_fields, {of.format(att('type'), 'hidden')} as hidden_fields, {asks}, (len(list_filter(ac, lambda v: v in ('', '#', 'about:blank') or regexp_matches(v, '(?i)^javascript:'))) > 0)::int as form_without_target, (len(list_filter(ac, lambda v: regexp_matches(v, '(?i)^mailto:'))) > 0)::int as mailto_form,
@@ -102,7 +104,7 @@ aw as (select ls.page_id, count(*) filter (kind = 'form' and {tail('th', 2)} <>
 al as (select *, case when {' + '.join(f'asks_{k}' for k in H.ASKS)} > 0 and mentions >= 3 and brands_mentioned <= 3 then top end as about from link join page using (page_id) left join mc using (page_id) left join ti using (page_id) left join aw using (page_id)),
 z as (select *, {' + '.join(f'asks_{k}' for k in H.ASKS)} as asks_count, (coalesce(ff, 0) > 0)::int as form_to_other_domain, coalesce(len(tl), 0) as brand_in_title, len(list_distinct(list_filter([imitated] || list_filter(coalesce(tl, []) || [about], lambda v: v is distinct from body), lambda v: v is not null))) as impersonated,
 coalesce(fsx, 0) as external_scripts, case when links > 0 then round(coalesce(fa, 0) / links, 2) else 0 end as external_link_share, coalesce(fo, 0) as out_domains from al)
-select page_id, {', '.join(f'round(cast(coalesce({n}, 0) as double), 6) as {n}' for n in M.FEATURES)} from z"""
+""" + (final or f"select page_id, {', '.join(f'round(cast(coalesce({n}, 0) as double), 6) as {n}' for n in M.FEATURES)} from z")
 
 
 @query("m01_vector", vector_sql())
@@ -112,6 +114,33 @@ def m01(spark, sf):
     return v.select("page_id", *[F.round(n, 6).alias(n) for n in M.FEATURES])
 
 
+#: What the rules say of a page, from its numbers.
+DIGEST_SQL = vector_sql(
+    "select * from (with q as (select page_id, body, k, coalesce(impersonated, 0) > 0 as posing, " + ", ".join(f"coalesce({n}, 0) as {n}" for n in M.FEATURES if n not in ("impersonated", "captured", "tags_log", "words_log")) + ", round(exp(words_log) - 1) as n_words, imitated, tl, about, url_length from z), "
+    "f as (select *, list_filter([" + ", ".join(f"case when asks_{k} > 0 then {v} end" for k, v in S2.FIELD_POINTS.items()) + "], lambda v: v is not null) as fp, coalesce([imitated], []) || list_sort(coalesce(tl, [])) || [about] as claimed, coalesce(body is not null and k is null, false) as own, n_words < 600 as short from q), "
+    "s as (select *, list_filter(claimed, lambda v, i: v is not null and (i = 1 or v is distinct from body) and list_position(claimed, v) = i) as posed, (case when lookalike_typo > 0 then 35 when lookalike_combo > 0 then 25 when lookalike_subdomain > 0 then 30 else 0 end + 20 * is_ip + 15 * has_at + 10 * punycode + 8 * abused_tld + 8 * (subdomain_depth >= 3)::int + 8 * random_name + 5 * (hyphens >= 2)::int + case when body is null then least(4 * url_words, 12) else 0 end + 5 * (url_length > 100)::int + 8 * odd_port + 5 * double_slash_path "
+    "+ case when len(fp) > 0 and not own then least(list_max(fp) + 5 * (len(fp) - 1), 45) + 20 * (1 - https) else 0 end + case when posing and len(fp) > 0 then 25 when posing and brand_in_title > 0 then 10 else 0 end + 15 * form_to_other_domain + case when len(fp) > 0 then 5 * form_without_target else 0 end + 10 * mailto_form + 10 * (wallets > 0)::int "
+    + " ".join(f"+ case when short and phrases_{g} > 0" + (" and not own" if g in ("urgency", "government") else "") + f" then {v} else 0 end" for g, v in S2.PHRASE_POINTS.items())
+    + " + 15 * (executable_links > 0)::int + 8 * right_click_blocked + 8 * (obfuscation >= 3)::int + 5 * (hidden_iframes > 0)::int + 8 * (links >= 5 and empty_link_share > 0.5)::int + 5 * (base64_share > 0.3)::int) as risk, case when own then 40 else 0 end as credit from f), "
+    "r as (select *, cast(greatest(0, least(100, risk - credit)) as integer) as rule_score from s), v as (select *, case when rule_score <= 30 then 'safe' when rule_score <= 69 then 'suspicious' else 'dangerous' end as verdict, "
+    "[case when asks_netbanking + asks_otp + asks_upi_pin + asks_atm_pin + asks_card + asks_cvv + asks_bank_account > 0 then 2 else 0 end, case when asks_password > 0 then 2 + form_to_other_domain else 0 end, 4 * asks_seed_phrase + 2 * (wallets > 0)::int + 2 * (phrases_crypto >= 2)::int, "
+    "case when phrases_prize >= 2 then 3 when phrases_prize > 0 then 1 else 0 end + (phrases_prize > 0 and asks_card + asks_cvv + asks_bank_account + asks_upi_pin > 0)::int, 2 * (phrases_shopping >= 2)::int + (phrases_shopping > 0 and asks_card + asks_cvv > 0)::int, 3 * (phrases_tech_support >= 2)::int + (phrases_tech_support > 0 and phone_numbers > 0)::int, "
+    "2 * (executable_links > 0)::int + (phrases_download > 0)::int, 3 * (phrases_job >= 2)::int, 2 * (phrases_government > 0)::int + (phrases_government > 0 and asks_card + asks_cvv + asks_upi_pin + asks_bank_account + asks_aadhaar + asks_pan > 0)::int] as e from r), "
+    "t as (select *, case when verdict <> 'safe' and list_max(e) >= 3 then [" + ", ".join(f"'{k}'" for k in S2.SCAM_TYPES) + "][list_position(e, list_max(e))] end as scam_type from v) "
+    "select page_id, rule_score, verdict, scam_type, array_to_string(posed, ',') as posed, own as trusted, case when scam_type is not null and len(posed) > 0 then case when scam_type in ('prize', 'job', 'malware', 'tech_support') then 'This looks like a ' || noun || ' using ' || posed[1] || '''s name.' else 'This looks like a fake ' || posed[1] || ' ' || noun || '.' end "
+    "when scam_type is not null then said when verdict = 'dangerous' then 'Several strong warning signs. Treat this link as dangerous.' when verdict = 'suspicious' then 'Some warning signs. Be careful with this link.' when body is not null then 'This looks like the real website of ' || body || case when risk > 0 then '. Only small warning signs found.' else '. No warning signs found.' end "
+    "else case when risk > 0 then 'Only small warning signs found' else 'No warning signs found' end || '. That doesn''t guarantee it''s safe, so stay careful.' end as summary from t left join (values " + ", ".join(f"('{k}', '{S2.TYPE_NOUNS[k]}', '{S2.TYPE_SAID[k]}')" for k in S2.SCAM_TYPES) + ") w(scam_type, noun, said) using (scam_type))"
+)
+
+
+@query("h14_r12_digest", DIGEST_SQL)
+def h14b(spark, sf):
+    """What link and html say of every page as a judgement: rule score, verdict, type, brands it poses as, one sentence."""
+    names = spark.createDataFrame(NAMES, "ord int, name string, domains array<string>, labels array<string>, keywords array<string>")
+    d = DG.digest(odd_pages(spark, sf), LT.suffix_table(spark), names)
+    return d.select("page_id", "rule_score", "verdict", "scam_type", F.array_join("posed", ",").alias("posed"), "trusted", "summary")
+
+
 #: Two small trees for checks by hand; f -1 marks a leaf.
 TREES = [(0, 0, 1, 0.02, 1, 2, 0.1), (0, 1, -1, 0.0, -1, -1, -0.8), (0, 2, 0, 8.0, 3, 4, 1.5), (0, 3, -1, 0.0, -1, -1, 1.0), (0, 4, -1, 0.0, -1, -1, 2.2), (1, 0, 2, 0.1, 1, 2, 0.1), (1, 1, -1, 0.0, -1, -1, -0.3), (1, 2, -1, 0.0, -1, -1, 1.4)]
 TREE_SQL = "s as (select id, y, case when f1::float <= 0.02 then -0.8 when f0::float <= 8.0 then 1.0 else 2.2 end + case when f2::float <= 0.1 then -0.3 else 1.4 end as raw, (f1::float <= 0.02) as a, (f0::float <= 8.0) as b, (f2::float <= 0.1) as c from f)"

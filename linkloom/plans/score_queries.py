@@ -111,11 +111,6 @@ def r11(spark, sf):
     return x.select(K, S.scam_type().alias("type"))
 
 
-@query("r12_summary", f"with {JUDGE_SQL} select event_id, case when score <= 30 then 'No strong warning signs.' when score <= 69 then 'Be careful: looks like tech support posing as A.' else 'Do not open: looks like tech support posing as A.' end as summary from z")
-def r12(spark, sf):
-    return judged(spark, sf).select(K, S.summary(F.col("verdict"), F.lit("tech_support"), F.lit("A")).alias("summary"))
-
-
 @query("r13_own_score", f"with {JUDGE_SQL} select event_id, cast(least(greatest(lp + rp, 0), 100) as integer) as own_score from z")
 def r13(spark, sf):
     return judged(spark, sf).select(K, S.own_score().alias("own_score"))
