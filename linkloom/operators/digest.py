@@ -47,10 +47,13 @@ def judged(rows: DataFrame, categories: DataFrame | None = None, popular: DataFr
         "wallets": many("wallets"), "words": c("n_words"), "phrases": hits, "programs": c("executable_links"), "right_click": yes("right_click_blocked"), "obfuscation": c("obfuscation"), "hidden_frames": c("hidden_iframes"), "links": c("links"), "empty_share": c("empty_link_share"), "blob_share": c("base64_share"),
         "stopped": F.lit(None).cast("string"),
     }
+    # Written in steps: in one projection the code of all rules would outgrow what is compiled.
     seen = rows.select(key, *[v.alias(k) for k, v in view.items()], F.when(loaded, 1).otherwise(0).alias("downloads"), c("phone_numbers").alias("phones"), "categories", F.create_map(*[x for g in H.PHRASES for x in (F.lit(g), c(f"phrases_{g}").cast("int"))]).alias("phrase_counts"), (c("captured") > 0).alias("captured"))
+    seen = cut(seen, "view")
     load = S.reason(c("downloads") > 0, "downloads a file", 30, "behaviour")
-    found = S.judge(seen.withColumn("reasons", F.concat(S.link_reasons(), S.page_reasons(), S.listed(load), S.reputation_reasons())))
-    found = found.withColumn("hits", c("phrases")).withColumn("phrases", c("phrase_counts"))
+    found = cut(seen.withColumn("by_link", S.link_reasons()), "by_link").withColumn("by_page", S.page_reasons())
+    found = cut(S.judge(cut(found, "by_page").withColumn("reasons", F.concat("by_link", "by_page", S.listed(load), S.reputation_reasons())).drop("by_link", "by_page")), "judged")
+    found = found.withColumn("phrases", c("phrase_counts"))
     found = found.withColumn("scam_type", F.when(c("verdict") != "safe", S.scam_type())).withColumn("scam_brand", F.when(c("scam_type").isNotNull(), c("impersonated")))
     risks = F.exists("reasons", lambda r: r["points"] > 0)
     said = S.summary(c("verdict"), c("scam_type"), c("scam_brand"), c("official"), c("rank"), c("stopped"), none, ~c("captured"), risks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ from linkloom.operators.similar import near_sets
 from linkloom.plans.link_queries import HOST_SQL
 from linkloom.plans.page_queries import ATT, AUG, EL, TAGS_SQL, TEXT_SQL, WORDS_SQL, decoded, quoted, read, shingle_sql
 from linkloom.plans.registry import query
-from linkloom.session import cut, table
+from linkloom.session import cut, folder, table
 from linkloom.sources import tables as D
+from linkloom.sources.snapshots import Table
 from linkloom.streaming import jobs as S
 
 
@@ -358,32 +361,103 @@ def t03b(spark, sf):
     return S.run_once(S.trends(event_stream(spark, sf).withColumnRenamed("event_type", "verdict")))
 
 
-@query("t04_quota", "with recursive c as (select event_id as id, user_id as caller, epoch_us(ts) / 1e6 as tm, row_number() over (partition by user_id order by ts, event_id) as n from events), q as (select id, caller, n, true as allowed, 0.0::double as wait_s, tm as last from c where n = 1 union all select c.id, c.caller, c.n, last <= c.tm - 36000, case when last <= c.tm - 36000 then 0.0::double else last + 36000 - c.tm end, case when last <= c.tm - 36000 then c.tm else last end from q join c on c.caller = q.caller and c.n = q.n + 1) select id, caller, allowed, wait_s from q")
+QUOTA_SQL = "with recursive c as (select event_id as id, user_id as caller, epoch_us(ts) / 1e6 as tm, row_number() over (partition by user_id order by ts, event_id) as n from events), q as (select id, caller, n, true as allowed, 0.0::double as wait_s, tm as last from c where n = 1 union all select c.id, c.caller, c.n, last <= c.tm - 36000, case when last <= c.tm - 36000 then 0.0::double else last + 36000 - c.tm end, case when last <= c.tm - 36000 then c.tm else last end from q join c on c.caller = q.caller and c.n = q.n + 1) select id, caller, allowed, wait_s from q"
+
+
+@query("t04_quota", QUOTA_SQL)
 def t04(spark, sf):
     return S.quota(table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("caller"), F.col("ts").cast("timestamp").alias("ts")), limit=1, seconds=36_000)
 
 
+@query("t04_quota_stream", QUOTA_SQL)
+def t04b(spark, sf):
+    """The quota of callers on a stream: state and timers by event time."""
+    calls = event_stream(spark, sf).select(F.col("event_id").alias("id"), F.col("user_id").alias("caller"), F.col("ts").cast("timestamp").alias("ts"))
+    return S.run_once(S.quota_stream(calls, limit=1, seconds=36_000, late="60 days"))
+
+
 @query("t05_latest", "select user_id, arg_max(event_type, (ts, event_id)) as event_type from events group by 1")
 def t05(spark, sf):
     return S.latest(table(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"])
 
 
-@query("t06_feedback", "select event_id, event_id % 500 as scan_id, 'mail [email removed] now' as note, s.event_type as verdict from events e join (select event_id as sid, event_type from events) s on s.sid = e.event_id % 500 where e.event_type in ('click', 'view')")
+FEEDBACK_SQL = "select event_id, event_id % 500 as scan_id, 'mail [email removed] now' as note, s.event_type as verdict from events e join (select event_id as sid, event_type from events) s on s.sid = e.event_id % 500 where e.event_type in ('click', 'view')"
+
+
+def feedback_of(e, scans):
+    notes = e.select("event_id", (F.col("event_id") % 500).alias("scan_id"), F.col("event_type").alias("kind"), F.concat(F.lit(" mail me"), F.col("user_id").cast("string"), F.lit("@mail.com now ")).alias("note"))
+    return S.feedback(notes, scans.select(F.col("event_id").alias("scan_id"), F.col("event_type").alias("verdict")), ("click", "view")).drop("kind")
+
+
+@query("t06_feedback", FEEDBACK_SQL)
 def t06(spark, sf):
     e = table(spark, sf, "events")
-    notes = e.select("event_id", (F.col("event_id") % 500).alias("scan_id"), F.col("event_type").alias("kind"), F.concat(F.lit(" mail me"), F.col("user_id").cast("string"), F.lit("@mail.com now ")).alias("note"))
-    return S.feedback(notes, e.select(F.col("event_id").alias("scan_id"), F.col("event_type").alias("verdict")), ("click", "view")).drop("kind")
+    return feedback_of(e, e)
+
+
+def table_at(spark, name, rows, keys, parts=4):
+    """A new table of the snapshot kind in this application's folder."""
+    t = Table(spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}")
+    t.create(rows, keys, parts)
+    return t
+
+
+def brought(spark, stream, target, name, rows, **how):
+    """The table once the stream has been brought into it."""
+    S.into_table(stream, target, name, rows, f"{target.path}-state", **how).awaitTermination()
+    return target.read()
 
 
-@query("t02_pages_to_library", "select page_id as source_ref, length(html) as n_html from pages where length(html) >= 200")
+@query("t05_latest_stream", "select user_id, arg_max(event_type, (ts, event_id)) as event_type from events group by 1")
+def t05b(spark, sf):
+    """The last state of each caller, kept by a stream in update mode and brought into a table in one step a batch."""
+    state = S.latest(event_stream(spark, sf), "user_id", "event_type", ["ts", "event_id"])
+    target = table_at(spark, "latest", spark.createDataFrame([], "user_id long, event_type string"), ["user_id"])
+    return brought(spark, state, target, "latest", lambda b: b, output="update")
+
+
+@query("t06_feedback_stream", FEEDBACK_SQL)
+def t06b(spark, sf):
+    """Notes as a stream, joined to the table of scans."""
+    return S.run_once(feedback_of(event_stream(spark, sf), table(spark, sf, "events")))
+
+
+LEDGER_SQL = "with l as (select event_id, 'http://site' || user_id || '.com/' || event_type as url from events), old as (select 'http://site' || user_id || '.com/view' as url from events where user_id % 3 = 0) select url, max(seen) as seen from (select url, 'before' as seen from old union all select url, 'stream' from l where url not in (select url from old)) group by 1"
+
+
+@query("t01_ledger", LEDGER_SQL)
+def t01b(spark, sf):
+    """A feed brought into the ledger of seen links: only those not in it are added, each once."""
+    ledger = "url_hash long, url string, seen string"
+    rows = lambda b, seen: b.select(L.md5_long(F.col("url")).alias("url_hash"), "url", F.lit(seen).alias("seen")).to(spark.createDataFrame([], ledger).schema)
+    old = table(spark, sf, "events").where("user_id % 3 = 0").select(F.concat(F.lit("http://site"), "user_id", F.lit(".com/view")).alias("url")).distinct()
+    target = table_at(spark, "ledger", rows(old, "before"), ["url_hash"])
+    feed = event_stream(spark, sf).select("ts", F.expr(LINE).alias("line"))
+    clean = lambda b: S.feed(b).select("url")
+    return brought(spark, feed, target, "feed", lambda b: rows(clean(b), "stream"), mode="insert_absent").select("url", "seen")
+
+
+LIBRARY = ["source", "source_ref", "url", "site", "title", "brand", "scam_type", "verdict", "rule_score", "words"]
+LIBRARY_PAGES_SQL = (
+    f"with g as ({DIGEST_SQL}), p as (select page_id, {ODD} as url, {AUG} as html from pages), w as (select page_id, url, trim(substr({decoded('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')}, 1, 200)) as title, len({WORDS_SQL}) as words from p where length(html) >= 200), "
+    f"h as (select page_id, {HOST_SQL} as host from p) select 'feed' as source, md5(url) as source_ref, replace(replace(url, 'user@', 'REDACTED@'), 'account=1', 'account=REDACTED') as url, array_to_string(string_split(host, '.')[-2:], '.') as site, nullif(title, '') as title, nullif(string_split(posed, ',')[1], '') as brand, scam_type, verdict, rule_score, words from w join g using (page_id) join h using (page_id) qualify row_number() over (partition by url order by page_id desc) = 1"
+)
+
+
+@query("t02_pages_to_library", LIBRARY_PAGES_SQL)
 def t02(spark, sf):
-    """Captured pages landing as files, through the admission filter to library rows."""
-    schema = table(spark, sf, "pages").schema
-    stream = S.landed(spark, sf, schema, "pages*.parquet").where(F.length("html") >= 200)
-    batch = table(spark, sf, "pages").where(F.length("html") >= 200)
-    rows = lambda d: d.select(F.col("page_id").alias("source_ref"), F.length("html").alias("n_html"))
-    got = S.run_once(rows(stream))
-    return D.upsert(rows(batch).where("source_ref % 2 = 0"), got, ["source_ref"])
+    """Captured pages landing as files, through the admission filter and the digest, to rows of the library; a page that is there already is replaced."""
+    names = spark.createDataFrame(NAMES, "ord int, name string, domains array<string>, labels array<string>, keywords array<string>")
+    suffixes = LT.suffix_table(spark)
+
+    def rows(batch):
+        odd = batch.select("page_id", F.expr(ODD).alias("url"), F.expr(AUG).alias("html"))
+        return D.library_rows(odd, DG.digest(odd, suffixes, names), "feed").select(*LIBRARY)
+
+    old = rows(table(spark, sf, "pages").where("page_id % 50 = 0")).withColumn("verdict", F.lit("old"))
+    target = table_at(spark, "library", old, ["source", "source_ref"])
+    stream = S.landed(spark, sf, table(spark, sf, "pages").schema, "pages*.parquet")
+    return brought(spark, stream, target, "pages", rows)
 
 
 @query("u06_redact_record", "select page_id, 'https://x.com/?q=1&token=REDACTED' as final, 'https://y.com/#top' as popup, 2 as n from pages")

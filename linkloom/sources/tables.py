@@ -117,6 +117,23 @@ def owner_columns(title: Column, url: Column, created: Column, nameservers: Colu
     ]
 
 
+def library_rows(pages: DataFrame, digests: DataFrame, source: str, key: str = "page_id") -> DataFrame:
+    """Rows of the page library from captured pages and their digests: admitted pages only (200 characters of html and a web link).
+
+    pages: key, url, html; digests: as from digest.digest. source_ref is the digest of the link, so a page captured again is
+    the same row; of pages with one link the largest key stays. The link is redacted and cut, as is the title.
+    """
+    admitted = pages.where((F.length("html") >= 200) & F.col("url").rlike("(?i)^https?://")).select(key, "url")
+    url, title, _, _, _ = owner_columns(F.col("title"), F.col("url"), F.lit(None).cast("string"), F.array().cast("array<string>"), F.array().cast("array<string>"), F.array().cast("array<string>"))
+    rows = admitted.join(digests, key).select(
+        key, F.lit(source).alias("source"), F.md5(F.col("url").cast("binary")).alias("source_ref"), url, "site", title, F.get("posed", F.lit(0)).alias("brand"), "scam_type", "verdict", "rule_score",
+        "tags", "words", "dom_hash", "dom", "txt", "bands", "features",
+    )
+    rest = [c for c in rows.columns if c not in (key, "source", "source_ref")]
+    one = rows.groupBy("source", "source_ref").agg(F.max_by(F.struct(*rest), key).alias("m"))
+    return one.select("source", "source_ref", *[F.col(f"m.{c}").alias(c) for c in rest])
+
+
 #: Registration documents: entities hold entities, three levels are read.
 _CARD = "roles array<string>, vcardArray array<string>"
 REGISTRATION = f"events array<struct<eventAction:string,eventDate:string>>, nameservers array<struct<ldhName:string>>, status array<string>, secureDNS struct<delegationSigned:boolean>, entities array<struct<{_CARD}, entities array<struct<{_CARD}, entities array<struct<{_CARD}>>>>>>"
