@@ -33,16 +33,183 @@ MAGIC = {
 }
 
 
+STRIDE = 512
+#: The polynomial of the check sum, lowest power in the highest bit.
+CRC32 = 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two such polynomials."""
+    out = 0
+    while a:
+        if a & 0x80000000:
+            out ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (CRC32 if b & 1 else 0)
+    return out
+
+
+#: x to the powers 8, 16, 32, ...: what one, two, four, ... more bytes do to a sum.
+MORE = [0x00800000]
+for _ in range(47):
+    MORE.append(_times(MORE[-1], MORE[-1]))
+
+
+def crc_shifted(crc: int, n: int) -> int:
+    """What a check sum becomes in that of n further bytes: crc32(a + b) is crc_shifted(crc32(a), len(b)) ^ crc32(b)."""
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            crc = _times(MORE[k], crc)
+    return crc
+
+
 class Buffer:
     """Bytes in which items are looked for. What formats say at their end is listed once, so no hit reads on to the end itself."""
 
     def __init__(self, data: bytes):
         self.data = data
         self.gif_places: dict[int, int] = {}
+        #: For chunk chains: by place the next place, a further one on the chain, its depth, and how many fmt and data chunks lie on it.
+        self.riff: dict[int, tuple[int, int, int, int, int]] = {}
+        self.png_ends: dict[int, int] = {}
+        self.jpeg_places: dict[int, int] = {}
+        self.deflated: dict[int, tuple[int, int, int] | None] = {}
 
     def __len__(self) -> int:
         return len(self.data)
 
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        return np.flatnonzero(np.frombuffer(self.data, np.uint8) == 0)
+
+    @cached_property
+    def sums(self) -> list[int]:
+        """Check sums of the first k * STRIDE bytes."""
+        view, out = memoryview(self.data), [0]
+        for at in range(0, len(self.data) - STRIDE + 1, STRIDE):
+            out.append(zlib.crc32(view[at : at + STRIDE], out[-1]))
+        return out
+
+    def crc32(self, begin: int, end: int) -> int:
+        """The check sum of a range; a long one from those of its ends, so that its length does not matter."""
+        view = memoryview(self.data)
+        if end - begin <= 8 * STRIDE:
+            return zlib.crc32(view[begin:end])
+        at = lambda i: zlib.crc32(view[i // STRIDE * STRIDE : i], self.sums[i // STRIDE])
+        return at(end) ^ crc_shifted(at(begin), end - begin)
+
+    def riff_holds(self, begin: int, end: int) -> bool:
+        """Whether the chunks that go on at `begin` come to `end`, a fmt and a data chunk among them.
+
+        What follows a place does not depend on where the chain began: each place is walked once over all hits, and each
+        keeps one far jump, so any place on a chain is found in a logarithmic number of steps.
+        """
+        data, fresh, at = self.data, [], begin
+        while at not in self.riff:
+            fresh.append(at)
+            if at + 8 > len(data):
+                break
+            n = struct.unpack_from("<I", data, at + 4)[0]
+            at += 8 + n + (n & 1)
+        for here in reversed(fresh):
+            if here + 8 > len(data):
+                self.riff[here] = (here, here, 0, 0, 0)
+                continue
+            name, n = data[here : here + 4], struct.unpack_from("<I", data, here + 4)[0]
+            to = here + 8 + n + (n & 1)
+            _, far, depth, fmt, content = self.riff[to]
+            farther, level = self.riff[far][1], self.riff[far][2]
+            jump = farther if depth - level == level - self.riff[farther][2] else to
+            self.riff[here] = (to, jump, depth + 1, fmt + (name == b"fmt "), content + (name == b"data"))
+        at = begin
+        while at < end:
+            to, jump = self.riff[at][:2]
+            if to == at:
+                return False
+            at = jump if jump <= end else to
+        return at == end and self.riff[begin][3] > self.riff[end][3] and self.riff[begin][4] > self.riff[end][4]
+
+    def png_end(self, at: int) -> int:
+        """End of the PNG whose chunks go on at that place, 0 if they break off or a check sum is wrong; each place once."""
+        walked, end = [], 0
+        while at not in self.png_ends:
+            walked.append(at)
+            if at + 12 > len(self.data):
+                break
+            n, name = struct.unpack_from(">I", self.data, at)[0], self.data[at + 4 : at + 8]
+            if at + 12 + n > len(self.data) or self.crc32(at + 4, at + 8 + n) != struct.unpack_from(">I", self.data, at + 8 + n)[0]:
+                break
+            at += 12 + n
+            if name == b"IEND":
+                end = at
+                break
+        else:
+            end = self.png_ends[at]
+        self.png_ends.update(dict.fromkeys(walked, end))
+        return end
+
+    def jpeg_end(self, at: int) -> int:
+        """End of the JPEG whose segments go on at that place, 0 if they break off; each place once."""
+        data, walked, end = self.data, [], 0
+        while at not in self.jpeg_places:
+            walked.append(at)
+            if at + 4 > len(data) or data[at] != 0xFF:
+                break
+            kind, n = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+            if kind == 0xDA:
+                i = bisect.bisect_left(self.jpeg_ends, at + 6)
+                end = self.jpeg_ends[i] if i < len(self.jpeg_ends) else 0
+                break
+            if n < 2:
+                break
+            at += 2 + n
+        else:
+            end = self.jpeg_places[at]
+        self.jpeg_places.update(dict.fromkeys(walked, end))
+        return end
+
+    def inflated(self, at: int) -> tuple[int, int, int] | None:
+        """(end, check sum, length of the content) of the deflated blocks that go on at that byte, None if they break off.
+
+        Stored blocks are passed over by their lengths, and each place once over all hits; their sums are those of ranges. Coded
+        blocks are inflated from the place where they begin. Raises if those reach back before it: then what went before matters.
+        """
+        data, walked = self.data, []
+        while at not in self.deflated:
+            if at + 5 > len(data) and (at >= len(data) or not data[at] & 6):
+                self.deflated[at] = None
+                break
+            if data[at] & 6:
+                one, to, crc, n = zlib.decompressobj(-15), at, 0, 0
+                try:
+                    while not one.eof and to < len(data):
+                        left = memoryview(data)[to : to + (1 << 16)]
+                        to += len(left)
+                        while len(left) and not one.eof:
+                            out = one.decompress(left, 1 << 20)
+                            crc, n, left = zlib.crc32(out, crc), n + len(out), one.unconsumed_tail
+                except zlib.error as error:
+                    if "too far back" in str(error) and walked:
+                        raise
+                    self.deflated[at] = None
+                    break
+                self.deflated[at] = (to - len(one.unused_data), crc, n) if one.eof else None
+                break
+            n, check = struct.unpack_from("<HH", data, at + 1)
+            if n ^ check != 0xFFFF or at + 5 + n > len(data):
+                self.deflated[at] = None
+                break
+            if data[at] & 1:
+                self.deflated[at] = (at + 5 + n, self.crc32(at + 5, at + 5 + n), n)
+                break
+            walked.append((at, n))
+            at += 5 + n
+        rest = self.deflated[at]
+        for here, n in reversed(walked):
+            rest = rest and (rest[0], crc_shifted(self.crc32(here + 5, here + 5 + n), rest[2]) ^ rest[1], n + rest[2])
+            self.deflated[here] = rest
+        return rest
+
     @cached_property
     def jpeg_ends(self) -> list[int]:
         return [m.end() for m in re.finditer(rb"\xff\xd9", self.data)]
@@ -111,39 +278,20 @@ def _wav(buffer: Buffer, start: int) -> int:
     total = start + 8 + struct.unpack_from("<I", data, start + 4)[0]
     if total > len(data):
         return 0
-    at, seen = start + 12, set()
-    while at + 8 <= total:
-        name, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        seen.add(name)
-        at += 8 + n + (n & 1)
-    return total - start if at == total and {b"fmt ", b"data"} <= seen else 0
+    return total - start if buffer.riff_holds(start + 12, total) else 0
 
 
 def _png(buffer: Buffer, start: int) -> int:
-    data, view, at = buffer.data, memoryview(buffer.data), start + 8
-    while at + 12 <= len(data):
-        n, name = struct.unpack_from(">I", data, at)[0], data[at + 4 : at + 8]
-        if at == start + 8 and (name != b"IHDR" or n != 13):
-            return 0
-        if at + 12 + n > len(data) or zlib.crc32(view[at + 4 : at + 8 + n]) != struct.unpack_from(">I", data, at + 8 + n)[0]:
-            return 0
-        at += 12 + n
-        if name == b"IEND":
-            return at - start
-    return 0
+    data, at = buffer.data, start + 8
+    if at + 12 > len(data) or data[at + 4 : at + 8] != b"IHDR" or struct.unpack_from(">I", data, at)[0] != 13:
+        return 0
+    end = buffer.png_end(at)
+    return end - start if end else 0
 
 
 def _jpeg(buffer: Buffer, start: int) -> int:
-    data, at = buffer.data, start + 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
-        kind, n = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-        if kind == 0xDA:
-            i = bisect.bisect_left(buffer.jpeg_ends, at + 6)
-            return buffer.jpeg_ends[i] - start if i < len(buffer.jpeg_ends) else 0
-        if n < 2:
-            return 0
-        at += 2 + n
-    return 0
+    end = buffer.jpeg_end(start + 2)
+    return end - start if end else 0
 
 
 def _gif(buffer: Buffer, start: int) -> int:
@@ -171,6 +319,35 @@ def _zip(buffer: Buffer, start: int) -> int:
 
 
 def _gzip(buffer: Buffer, start: int) -> int:
+    """Head, deflated blocks, then the sum and the length of their content."""
+    data, at = buffer.data, start + 10
+    if at > len(data) or (flags := data[start + 3]) & 0xE0:
+        return 0
+    if flags & 4:
+        if at + 2 > len(data):
+            return 0
+        at += 2 + struct.unpack_from("<H", data, at)[0]
+    for kind in (8, 16):
+        if flags & kind:
+            i = int(np.searchsorted(buffer.zeros, at))
+            if i == len(buffer.zeros):
+                return 0
+            at = int(buffer.zeros[i]) + 1
+    if flags & 2:
+        if at + 2 > len(data) or buffer.crc32(start, at) & 0xFFFF != struct.unpack_from("<H", data, at)[0]:
+            return 0
+        at += 2
+    try:
+        found = buffer.inflated(at) if at <= len(data) else None
+    except zlib.error:
+        return _inflate(buffer, start)
+    if not found or found[0] + 8 > len(data) or struct.unpack_from("<II", data, found[0]) != (found[1], found[2] & 0xFFFFFFFF):
+        return 0
+    return found[0] + 8 - start
+
+
+def _inflate(buffer: Buffer, start: int) -> int:
+    """The same by reading from the head on, for coded blocks that repeat what stored ones before them hold."""
     view, one, at = memoryview(buffer.data), zlib.decompressobj(31), start
     try:
         while not one.eof and at < len(view):

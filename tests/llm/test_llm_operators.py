@@ -558,6 +558,65 @@ def test_repeated_magic_bytes_take_linear_time(part):
     assert time.process_time() - began < 10
 
 
+def chained(kind: str, n: int) -> bytes:
+    """Heads that each lead to one shared chain."""
+    import struct
+    import zlib as z
+
+    if kind == "wav":
+        heads, tail = n // 64, b"junk\0\0\0\0" * (n // 16)
+        total = heads * 32 + len(tail)
+        return b"".join(b"RIFF" + struct.pack("<I", total - 32 * i - 8) + b"WAVEjunk" + struct.pack("<I", 32 * (heads - i) - 20) + b"\0" * 8 for i in range(heads)) + tail
+    if kind == "png":
+        head = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + (ihdr := b"IHDR" + b"\0" * 13) + struct.pack(">I", z.crc32(ihdr))
+        size, heads = len(head) + 8, n // 2 // (len(head) + 8)
+        total = heads * size + n // 2
+        return b"".join(head + struct.pack(">I", total - i * size - len(head) - 12) + b"IDAT" for i in range(heads)) + b"x" * (n // 2)
+    head = b"\x1f\x8b\x08\0\0\0\0\0\0\0"
+    heads = min(n // 2 // 15, 65_000 // 15)
+    block = lambda m: b"\0" + struct.pack("<HH", m, m ^ 0xFFFF)
+    return b"".join(head + block(15 * (heads - i) - 15) for i in range(heads)) + block(0) * (n // 10)
+
+
+@pytest.mark.parametrize("kind", ["wav", "png", "gzip"])
+def test_heads_of_one_chain_take_linear_time(kind):
+    import time
+
+    data, found = chained(kind, 1_000_000), media.automaton()
+    began = time.process_time()
+    assert media.sniff(data, found) == []
+    assert time.process_time() - began < 10
+
+
+def test_sums_of_ranges_and_gzip_items():
+    import gzip
+    import zlib as z
+
+    rng = random.Random(3)
+    data = rng.randbytes(20_000)
+    buffer = media.Buffer(data)
+    for _ in range(50):
+        a, b = sorted((rng.randrange(20_001), rng.randrange(20_001)))
+        assert buffer.crc32(a, b) == z.crc32(data[a:b])
+    found = media.automaton()
+    for level in (0, 1, 9):
+        for body in (b"", b"a", b"text " * 4000, rng.randbytes(200_000)):
+            item = gzip.compress(body, level)
+            named = item[:3] + b"\x08" + item[4:10] + b"name\0" + item[10:]
+            for one in (item, named):
+                assert media.sniff(b"xx" + one + b"yy", found)[:1] == [(2, len(one), "application/gzip")]
+                broken = one[:-6] + bytes([one[-6] ^ 1]) + one[-5:]
+                assert (2, len(one), "application/gzip") not in media.sniff(b"xx" + broken, found)
+    # A stored block, then coded ones that repeat it.
+    c = z.compressobj(9, z.DEFLATED, -15)
+    body = rng.randbytes(500)
+    stored = b"\0" + len(body).to_bytes(2, "little") + (len(body) ^ 0xFFFF).to_bytes(2, "little") + body
+    d = z.compressobj(9, z.DEFLATED, -15, zdict=body)
+    coded = d.compress(body * 3) + d.flush()
+    whole = b"\x1f\x8b\x08\0\0\0\0\0\0\0" + stored + coded + z.crc32(body * 4).to_bytes(4, "little") + (len(body) * 4).to_bytes(4, "little")
+    assert c and media.sniff(whole, found) == [(0, len(whole), "application/gzip")]
+
+
 def test_licence_places_equal_brute_force():
     rng, found = random.Random(5), licenses.automaton()
     for _ in range(500):
