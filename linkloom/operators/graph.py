@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,11 +81,22 @@ def judged(edges: DataFrame, labels: DataFrame, probes: DataFrame) -> DataFrame:
     return rows.withColumn("label", label).withColumn("status", F.when(known == 0, "no_links").when(F.col("label").isNull(), "abstained").otherwise("labelled"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 30, alpha: float = 0.85) -> DataFrame:
+def _written(new: DataFrame, value: str, before: DataFrame | None, name: str, scale: float = 1.0) -> tuple[DataFrame, float]:
+    """The round's values, written, and how far they are in sum from those of the round before (times scale), summed while they are written."""
+    if before is None:
+        return cut(new, name), float("inf")
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    both = new.join(before.select("site", F.col(value).alias("__before")), "site")
+    out = cut(both.observe(seen, F.sum(F.abs(F.col(value) * scale - F.col("__before"))).alias("moved")).drop("__before"), name)
+    return out, seen.get["moved"] or 0.0
+
+
+def pagerank(edges: DataFrame, tolerance: float = 1e-6, most: int = 100, alpha: float = 0.85) -> DataFrame:
     """site, rank over the whole graph (src, dst); what sites without links hold is spread evenly. Ranks sum to 1.
 
-    Spreading that mass evenly only scales the solution that lets it go, so it is let go and the sum set to 1 at the end:
-    a round is then one join and one aggregate. Every fifth round is written, which bounds the plan.
+    Rounds go on until ranks move by less than `tolerance` a site in one of them; it is an error if `most` do not do. Spreading
+    that mass evenly only scales the solution that lets it go, so it is let go and the sum set to 1 at the end: a
+    round is then one join and one aggregate over links that are dealt by src once. Every fifth round is written and measured.
     """
     e = cut(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     nodes = cut(e.select(F.col("src").alias("site")).union(e.select("dst")).distinct(), "nodes")
@@ -92,29 +105,51 @@ def pagerank(edges: DataFrame, rounds: int = 30, alpha: float = 0.85) -> DataFra
         return nodes.withColumn("rank", F.lit(0.0))
     links = cut(e.join(e.groupBy("src").agg(F.count("*").alias("out")), "src"), "links")
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(rounds):
+    for k in range(most):
+        before = rank
         gives = links.join(rank, links.src == rank.site).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         rank = nodes.join(gives, nodes.site == gives.dst, "left").select("site", ((1 - alpha) / n + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        rank = cut(rank, "rank") if k % 5 == 4 or k == rounds - 1 else rank
+        if k % 5 == 4:
+            rank, moved = _written(rank, "rank", before, "rank")
+            if moved < n * tolerance:
+                break
+        elif k % 5 == 3:
+            rank = cut(rank, "rank")  # read twice by the next round
+    else:
+        raise RuntimeError(f"ranks did not settle in {most} rounds")
     total = rank.agg(F.sum("rank")).first()[0]
     return rank.select("site", (F.col("rank") / total).alias("rank"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def eigenvector(edges: DataFrame, tolerance: float = 1e-4, most: int = 200) -> DataFrame:
     """site, score: eigenvector centrality of the undirected graph, of length 1, by power iteration on A + 1.
 
-    A round is one join and one aggregate; lengths are set back to 1 every fifth round, when scores are written.
+    Rounds go on until scores move by less than `tolerance` a site in one of them; it is an error if `most` do not do. A round is one
+    join and one aggregate; every fifth, scores are set back to length 1, written and measured.
     """
     plain = edges.where("src <> dst").select("src", "dst")
     both = plain.union(plain.select("dst", "src")).union(plain.select("src", "src")).union(plain.select("dst", "dst")).toDF("src", "dst").distinct()
     both = cut(both, "both")
-    score = both.select(F.col("src").alias("site")).distinct().withColumn("score", F.lit(1.0))
-    for k in range(rounds):
+    nodes = cut(both.select(F.col("src").alias("site")).distinct(), "nodes")
+    n = nodes.count()
+    score = nodes.withColumn("score", F.lit(1.0 / max(n, 1) ** 0.5))
+    length = lambda s: s.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
+    for k in range(most if n else 0):
+        before = score
         score = both.join(score, both.src == score.site).groupBy("dst").agg(F.sum("score").alias("score")).withColumnRenamed("dst", "site")
-        if k % 5 == 4 or k == rounds - 1:
+        if k % 5 == 3:
             score = cut(score, "score")
-            norm = score.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
+            norm = length(score)
             score = score.select("site", (F.col("score") / norm).alias("score"))
+        elif k % 5 == 4:
+            score = cut(score, "score")
+            norm = length(score)
+            score, moved = _written(score.select("site", (F.col("score") / norm).alias("score")), "score", before, "score")
+            if moved < n * tolerance:
+                break
+    else:
+        if n:
+            raise RuntimeError(f"scores did not settle in {most} rounds")
     return score
 
 

@@ -86,12 +86,12 @@ def g09(spark, sf):
 
 @query("g10_pagerank", RANK_SQL)
 def g10(spark, sf):
-    return G.pagerank(edges(spark, sf)).withColumn("rank", F.round("rank", 7))
+    return G.pagerank(edges(spark, sf), tolerance=1e-12).withColumn("rank", F.round("rank", 7))
 
 
 @query("g11_eigenvector", CENTRE_SQL)
 def g11(spark, sf):
-    return G.eigenvector(edges(spark, sf)).withColumn("score", F.round("score", 5))
+    return G.eigenvector(edges(spark, sf), tolerance=1e-9).withColumn("score", F.round("score", 5))
 
 
 @query("g11_clustering", f"with {EDGE_SQL}, u as (select distinct least(src, dst) as a, greatest(src, dst) as b from ed), n as (select a as s, b as t from u union all select b, a from u), d as (select s, count(*) as d from n group by 1), w as (select x.s, count(*) as t from n x join n y on x.s = y.s and x.t < y.t join u on u.a = x.t and u.b = y.t group by 1) select d.s as site, round(case when d > 1 then 2 * coalesce(t, 0) / (d * (d - 1)) else 0 end, 6) as clustering from d left join w using (s)")

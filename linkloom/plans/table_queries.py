@@ -165,7 +165,7 @@ CARD = "\"vcardArray\":[\"vcard\",[[\"version\",{},\"text\",\"4.0\"],[\"%s\",{\"
 REGISTRATION_DOC = (
     "'{\"events\":[{\"eventAction\":\"registration\",\"eventDate\":\"2001-0' || (1 + c_custkey % 9) || '-03T04:05:06Z\"},{\"eventAction\":\"expiration\",\"eventDate\":\"2030-01-01\"}],\"status\":[\"client hold\",\"ok\"],\"secureDNS\":{\"delegationSigned\":' || (case when c_custkey % 2 = 0 then 'true' else 'false' end) || '},"
     "\"nameservers\":[{\"ldhName\":\"NS' || c_nationkey || '.X\"},{\"ldhName\":\"a.x\"},{\"ldhName\":\"\"}],\"entities\":[' || case when c_custkey % 5 = 0 then '' else '{\"roles\":[\"registrar\"]," + CARD % ("fn", "' || c_mktsegment || '")
-    + ",\"entities\":[{\"roles\":[\"abuse\"]," + CARD % ("email", "abuse@' || c_custkey || '.org") + "}]},' end || '{\"roles\":[\"technical\"],\"entities\":[{\"roles\":[\"registrant\"]," + CARD % ("org", "' || c_name || '") + "}]}]}'"
+    + ",\"entities\":[{\"roles\":[\"abuse\"]," + CARD % ("email", "abuse@' || c_custkey || '.org") + "}]},' end || repeat('{\"roles\":[\"technical\"],\"entities\":[', 1 + cast(c_custkey % 6 as int)) || '{\"roles\":[\"registrant\"]," + CARD % ("org", "' || c_name || '") + "}' || repeat(']}', 1 + cast(c_custkey % 6 as int)) || ']}'"
 )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import links as L
-from linkloom.session import folder
+from linkloom.session import cut, folder
 
 
 def write_features(rows: DataFrame, split: str, per_file: int = 3072) -> str:
@@ -134,28 +134,46 @@ def library_rows(pages: DataFrame, digests: DataFrame, source: str, key: str = "
     return one.select("source", "source_ref", *[F.col(f"m.{c}").alias(c) for c in rest])
 
 
-#: Registration documents: entities hold entities, three levels are read.
-_CARD = "roles array<string>, vcardArray array<string>"
-REGISTRATION = f"events array<struct<eventAction:string,eventDate:string>>, nameservers array<struct<ldhName:string>>, status array<string>, secureDNS struct<delegationSigned:boolean>, entities array<struct<{_CARD}, entities array<struct<{_CARD}, entities array<struct<{_CARD}>>>>>>"
+#: Registration documents; entities hold entities to any depth and are read level by level.
+REGISTRATION = "events array<struct<eventAction:string,eventDate:string>>, nameservers array<struct<ldhName:string>>, status array<string>, secureDNS struct<delegationSigned:boolean>, entities array<string>"
+ENTITY = "roles array<string>, vcardArray array<string>, entities array<string>"
+
+
+def entities(docs: DataFrame, key: str, raw: str = "entities", most: int = 100) -> DataFrame:
+    """(key, path, roles, card): every entity in the documents, with its place on each level.
+
+    docs: key, and entities as JSON texts. Each pass reads one more level of those that have one, until none has; it is an
+    error if documents go deeper than `most`. In order of path an entity comes before those in it, and those before the next.
+    """
+    level = docs.select(key, F.posexplode(raw).alias("at", "text")).select(key, F.array("at").alias("path"), "text")
+    found = None
+    for _ in range(most):
+        read = cut(level.select(key, "path", F.from_json("text", ENTITY).alias("e")).select(key, "path", "e.roles", F.col("e.vcardArray").alias("card"), F.col("e.entities").alias("inside")), "entities")
+        found = read.drop("inside") if found is None else found.unionByName(read.drop("inside"))
+        deeper = read.where(F.size("inside") > 0)
+        if deeper.isEmpty():
+            return found
+        level = deeper.select(key, "path", F.posexplode("inside").alias("at", "text")).select(key, F.concat("path", F.array("at")).alias("path"), "text")
+    raise ValueError(f"entities go deeper than {most} levels")
 
 
 def registrations(docs: DataFrame, key: str, as_of: Column, doc: str = "doc") -> DataFrame:
     """One flat row per registration document: who registered a name where and when, its servers, flags and signing.
 
-    An entity is found by its role, on its own level before the levels below each entity in turn. Broken documents have nulls.
+    An entity is the first that has its role, those inside each looked at before the next; the contact for abuse is looked for
+    inside the registrar. Broken documents have nulls.
     """
-    d = docs.select(key, F.from_json(doc, REGISTRATION).alias("d"))
-    plain = lambda e: F.struct(e["roles"].alias("roles"), e["vcardArray"].alias("card"))
-    none = F.array().cast("array<struct<roles:array<string>,card:array<string>>>")
-    deep = lambda e: F.concat(F.array(plain(e)), F.coalesce(F.flatten(F.transform(e["entities"], lambda x: F.concat(F.array(plain(x)), F.coalesce(F.transform(x["entities"], plain), none)))), none))
-    having = lambda items, role: F.get(F.filter(items, lambda e: F.array_contains(e["roles"], role)), F.lit(0))
-    everyone = F.coalesce(F.flatten(F.transform("d.entities", deep)), none)
-    under = lambda e: F.coalesce(F.slice(deep(e), 2, 10_000), none)
-    agent = F.get(F.filter(F.flatten(F.transform("d.entities", lambda e: F.array(F.struct(plain(e).alias("e"), under(e).alias("below"))))), lambda x: F.array_contains(x["e"]["roles"], "registrar")), F.lit(0))
+    d = cut(docs.select(key, F.from_json(doc, REGISTRATION).alias("d")).withColumn("__id", F.monotonically_increasing_id()), "registrations")
+    every = entities(d.select("__id", "d.entities"), "__id")
+    having = lambda role: F.min(F.when(F.array_contains("roles", role), F.struct("path", "card")))
+    main = every.groupBy("__id").agg(having("registrant").alias("owner"), having("registrar").alias("agent"))
+    under = every.join(main.where("agent is not null").select("__id", F.col("agent.path").alias("above")), "__id")
+    inside = under.where((F.size("path") > F.size("above")) & (F.slice("path", F.lit(1), F.size("above")) == F.col("above")))
+    abuse = inside.groupBy("__id").agg(having("abuse").alias("abuse"))
     cells = lambda e: F.from_json(e["card"][1], "array<array<string>>")
     field = lambda e, name: F.nullif(F.trim(F.get(F.filter(cells(e), lambda i: i[0] == name), F.lit(0))[3]), F.lit(""))
     day = lambda action: F.get(F.filter("d.events", lambda e: e["eventAction"] == action), F.lit(0))["eventDate"]
-    rows = d.select(key, "d", having(everyone, "registrant").alias("owner"), having(everyone, "registrar").alias("agent"), having(agent["below"], "abuse").alias("abuse"), L.parse_date(day("registration")).alias("created"))
+    rows = d.join(main, "__id", "left").join(abuse, "__id", "left").withColumn("created", L.parse_date(day("registration")))
     return rows.select(
         key, field(F.col("agent"), "fn").alias("registrar"), field(F.col("abuse"), "email").alias("abuse"), F.coalesce(field(F.col("owner"), "org"), field(F.col("owner"), "fn")).alias("registrant"),
         "created", day("last changed").alias("updated"), day("expiration").alias("expires"), F.greatest(F.datediff(as_of, "created"), F.lit(0)).alias("age_days"),

@@ -150,7 +150,7 @@ def test_the_majority_is_strict(spark, good, status):
 
 def test_ranks_of_a_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (1, 5)], "src long, dst long")
-    rank = {r.site: r.rank for r in graph.pagerank(edges, rounds=60).collect()}
+    rank = {r.site: r.rank for r in graph.pagerank(edges, tolerance=1e-9).collect()}
     assert sum(rank.values()) == pytest.approx(1) and rank[1] == max(rank.values())
     n, x = 5, dict.fromkeys(range(1, 6), 0.2)
     out = {1: [2, 5], 2: [3], 3: [1], 4: [1], 5: []}
@@ -161,7 +161,7 @@ def test_ranks_of_a_graph(spark):
                 y[b] += 0.85 * x[a] / len(targets)
         x = y
     assert all(rank[k] == pytest.approx(x[k], abs=1e-4) for k in x)
-    score = {r.site: r.score for r in graph.eigenvector(edges, rounds=60).collect()}
+    score = {r.site: r.score for r in graph.eigenvector(edges, tolerance=1e-8).collect()}
     assert sum(s * s for s in score.values()) == pytest.approx(1) and max(score, key=score.get) == 1
 
 
@@ -280,6 +280,31 @@ def test_page_vector_of_odd_pages(spark):
     assert empty.count() == 0 and len(model.assembled(empty).columns) == 2
 
 
+def test_registrations_are_read_at_any_depth(spark):
+    import json
+
+    from linkloom.sources import tables
+
+    def card(**fields):
+        return ["vcard", [[k, {}, "text", v] for k, v in fields.items()]]
+
+    deep = {"roles": ["registrant"], "vcardArray": card(org="Deep Ltd")}
+    for _ in range(12):
+        deep = {"roles": ["technical"], "entities": [deep]}
+    first = {"entities": [{"roles": ["abuse"], "vcardArray": card(email="no@x.org")}, {"roles": ["registrar", "sponsor"], "vcardArray": card(fn=" Reg "), "entities": [{"roles": ["x"], "entities": [{"roles": ["abuse"], "vcardArray": card(email="a@r.org")}]}, {"roles": ["abuse"], "vcardArray": card(email="late@r.org")}]}, deep, {"roles": ["registrant"], "vcardArray": card(fn="Later")}]}
+    rows = [(1, json.dumps(first)), (1, json.dumps({"entities": [{"roles": ["registrar"]}]})), (None, json.dumps({"entities": [deep]})), (2, "{}")]
+    got = tables.registrations(spark.createDataFrame(rows, "k int, doc string"), "k", tables.F.lit("2020-01-01").cast("date")).collect()
+    assert sorted(((r.k, r.registrar, r.abuse, r.registrant) for r in got), key=str) == sorted([(1, "Reg", "a@r.org", "Deep Ltd"), (1, None, None, None), (None, None, None, "Deep Ltd"), (2, None, None, None)], key=str)
+
+
+def test_graph_rounds_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (1, 5)], "src long, dst long")
+    for job in (graph.pagerank, graph.eigenvector):
+        with pytest.raises(RuntimeError, match="did not settle in 5 rounds"):
+            job(edges, tolerance=0.0, most=5)
+    assert graph.pagerank(edges.limit(0)).count() == graph.eigenvector(edges.limit(0)).count() == 0
+
+
 def test_broken_registrations_have_nulls(spark):
     from linkloom.sources import tables
 
