@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import links as L
+from linkloom.operators import answers as A
 from linkloom.operators import links as O
 from linkloom.plans.registry import query
 from linkloom.session import table
@@ -76,11 +78,16 @@ def u07(spark, sf):
     return O.link_keys(rows).withColumn("kind", F.lit("link")).select(*cols).unionByName(O.host_keys(rows).withColumn("kind", F.lit("host")).select(*cols))
 
 
-@query("u08_links_to_check", "with e as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as n, count(*) over (partition by user_id) as c from events) select user_id, string_agg(cast(event_id as varchar), ',' order by n) as chosen from e where n <= 7 or n = c group by user_id")
+HOP_URL = "case when event_type = 'error' and event_id % 2 = 0 then 'ftp://x/' || event_id else 'https://h' || (event_id % 40) || '.com/p?token=' || event_id || '&n=' || (event_id % 3) end"
+HOPS_SQL = f"with e as (select user_id, event_id, value, replace({HOP_URL}, 'token=' || event_id, 'token=REDACTED') as url, row_number() over (partition by user_id order by ts, event_id) as pos from events), o as (select user_id, url, min(pos) as pos from e where url like 'https:%' and not (value > 300) group by all), r as (select *, row_number() over (partition by user_id order by pos) as n, count(*) over (partition by user_id) as c from o)"
+
+
+@query("u08_links_to_check", f"{HOPS_SQL} select user_id, cast(case when n = c and c > 8 then 8 else n end as integer) as n, url from r where n <= 7 or n = c or (n = 8 and c = 8)")
 def u08(spark, sf):
-    a = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("a"))
-    links = F.array_distinct(F.transform("a", lambda x: x["event_id"].cast("string")))
-    return a.select("user_id", links.alias("l")).select("user_id", F.array_join(F.when(F.size("l") > 8, F.concat(F.slice("l", 1, 7), F.slice("l", -1, 1))).otherwise(F.col("l")), ",").alias("chosen"))
+    """The links of each caller's visits that are worth asking about: not blocked, redacted, each once, eight with the last."""
+    pos = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    hops = table(spark, sf, "events").select("user_id", pos.alias("pos"), F.expr(HOP_URL).alias("url"), (F.col("value") > 300).alias("blocked"))
+    return A.links_to_check(hops, "user_id")
 
 
 MD5_SQL = "(select case when u >= 9223372036854775808 then (u::hugeint - 18446744073709551616)::bigint else u::bigint end from (select ('0x' || substr(md5({0}), 1, 16))::ubigint as u))"
@@ -144,14 +151,12 @@ def u17(spark, sf):
     return O.variants(with_sites(spark, sf).select(F.concat(F.regexp_extract("site", r"^([^.]*)", 1), F.lit(".com")).alias("domain")).distinct())
 
 
-@query("u18_display_brand", "with b as (select distinct p_brand as name from part), x as (select o_orderkey, case o_orderkey % 4 when 0 then lower('Brand#' || (o_orderkey % 30)) when 1 then ' other ' when 2 then lower(o_orderpriority) else o_orderpriority end as raw from orders) select o_orderkey, case when lower(trim(raw)) in ('', 'none', 'other', 'unknown', 'generic', 'n/a', 'na', 'null') then null when b.name is not null then b.name when trim(raw) <> lower(trim(raw)) then trim(raw) else upper(substr(trim(raw), 1, 1)) || substr(trim(raw), 2) end as brand from x left join b on lower(b.name) = lower(trim(raw))")
+@query("u18_display_brand", "with b as (select distinct p_brand as name, lower(replace(p_brand, '#', '-')) as label from part), x as (select o_orderkey, case o_orderkey % 5 when 0 then lower('Brand#' || (o_orderkey % 30)) when 1 then ' other ' when 2 then lower(o_orderpriority) when 3 then 'brand-' || (o_orderkey % 60) else o_orderpriority end as raw from orders) select o_orderkey, case when lower(trim(raw)) in ('', 'none', 'other', 'unknown', 'generic', 'n/a', 'na', 'null') then null when b.name is not null then b.name when trim(raw) <> lower(trim(raw)) then trim(raw) else upper(substr(trim(raw), 1, 1)) || substr(trim(raw), 2) end as brand from x left join b on lower(b.name) = lower(trim(raw)) or b.label = lower(trim(raw))")
 def u18(spark, sf):
-    """Outside names tidied: placeholders go, known names get their spelling, the rest a capital."""
-    b = table(spark, sf, "part").select(F.col("p_brand").alias("name")).distinct()
-    raw = F.expr("case o_orderkey % 4 when 0 then lower(concat('Brand#', o_orderkey % 30)) when 1 then ' other ' when 2 then lower(o_orderpriority) else o_orderpriority end")
-    x = table(spark, sf, "orders").select("o_orderkey", F.trim(raw).alias("t"))
-    j = x.join(b, F.lower("name") == F.lower("t"), "left")
-    return j.select("o_orderkey", F.when(F.lower("t").isin("", "none", "other", "unknown", "generic", "n/a", "na", "null"), None).when(F.col("name").isNotNull(), F.col("name")).when(F.col("t") != F.lower("t"), F.col("t")).otherwise(F.concat(F.upper(F.substring("t", 1, 1)), F.substring("t", F.lit(2), F.length("t")))).alias("brand"))
+    """Outside names tidied: placeholders go, known names and labels get their spelling, the rest a capital."""
+    b = table(spark, sf, "part").select(F.col("p_brand").alias("ord"), F.col("p_brand").alias("name"), F.array(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))).alias("labels")).distinct()
+    raw = F.expr("case o_orderkey % 5 when 0 then lower(concat('Brand#', o_orderkey % 30)) when 1 then ' other ' when 2 then lower(o_orderpriority) when 3 then 'brand-' || (o_orderkey % 60) else o_orderpriority end")
+    return A.display_brand(table(spark, sf, "orders").select("o_orderkey", raw.alias("raw")), b).select("o_orderkey", "brand")
 
 
 @query("u19_dates", "select o_orderkey, cast(o_orderdate as date) as created, cast(greatest(date_diff('day', cast(o_orderdate as date), date '2002-01-01'), 0) as integer) as age_days from orders")

@@ -6,7 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom.functions import links as L
+from linkloom.operators import answers as A
+from linkloom.operators import links as LT
 from linkloom.operators import tables as T
+from linkloom.operators.ranking import ranked
 from linkloom.plans.link_queries import HOST_SQL, PAGE_SITES, with_sites
 from linkloom.plans.registry import query
 from linkloom.session import table
@@ -189,12 +192,20 @@ def s22(spark, sf):
 # --- predicates ----------------------------------------------------------------------------------------------------
 
 
-@query("p01_noise", f"with {PAGE_SITES}, p as (select site from h group by 1 having count(*) >= 6) select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) in ('', '/') or (site in (select site from p) and contains(url, '#top')) as noise from h")
+#: Feed links by page number: notices, away pages and front pages beside the pages' own; the same text in both dialects.
+FEED_URL = "case page_id % 9 when 0 then 'https://l.facebook.com/l.php?u=' || page_id when 1 then 'https://vk.com/away' || page_id when 2 then 'https://' || site || '/' when 3 then 'https://www.' || site when 4 then 'https://' || site || '/?q=' || page_id when 5 then 'https://m.' || site || '/' when 6 then 'https://vk.com/feed' else url end"
+POPULAR_SQL = "p as (select site, cast(row_number() over (order by count(*) desc, site) as integer) as rank from h group by 1 having count(*) >= 3)"
+
+
+@query("p01_noise", f"with {PAGE_SITES}, {POPULAR_SQL}, f as (select page_id, {FEED_URL} as url, site from h) select page_id, url, page_id % 9 in (0, 1) or (page_id % 9 in (2, 3) and site in (select site from p where rank <= 20)) or (page_id % 9 > 6 and regexp_matches(url, '^[a-z]+://[^/?#]*/?$') and string_split(url, '/')[3] = site and site in (select site from p where rank <= 20)) as noise from f")
 def p01(spark, sf):
+    """Feed links that are not worth a visit."""
     s = with_sites(spark, sf)
-    popular = s.groupBy("site").count().where("count >= 6").select("site", F.lit(True).alias("popular"))
-    front = L.path(F.col("url")).isin("", "/")
-    return s.join(popular, "site", "left").select("page_id", (front | (F.coalesce("popular", F.lit(False)) & F.col("url").contains("#top"))).alias("noise"))
+    first = s.groupBy("site").agg(F.count("*").alias("c")).where("c >= 3").withColumn("all", F.lit(0))
+    popular = ranked(first.withColumn("less", -F.col("c")), ["all"], ["less", "site"], "rank").select("site", "rank")
+    feed = s.select("page_id", "site", F.expr(FEED_URL).alias("url"))
+    rows = LT.sites(feed.select("page_id", "url", L.host(F.col("url")).alias("host")), LT.suffix_table(spark)).join(popular, "site", "left")
+    return rows.select("page_id", "url", A.noise(F.col("url"), F.col("host"), F.col("site"), F.lit(None).cast("string"), F.col("rank"), popular=20).alias("noise"))
 
 
 @query("p02_dead", "select event_id, event_type = 'error' or value < 12 or event_id % 50 = 0 as dead from events")
@@ -296,11 +307,18 @@ def a07(spark, sf):
     return top_share(o, "o_custkey", "priority", 0.4)
 
 
-@query("a11_vendors", "select user_id, count(*) filter (event_type = 'error') as malicious, count(*) as engines, string_agg(event_id, ',' order by event_type <> 'error', event_id) filter (event_type in ('error', 'click')) as flagged from events group by 1")
+ENGINE = "case event_type when 'view' then 'Alpha' when 'click' then 'beta' when 'error' then 'Gamma' when 'purchase' then 'delta' else event_type end || (event_id % 11)"
+SAYS = "case event_id % 5 when 0 then 'malicious' when 1 then 'suspicious' when 2 then 'harmless' when 3 then 'undetected' else 'timeout' end"
+
+
+@query("a11_vendors", f"with r as (select user_id, {ENGINE} as engine, min({SAYS}) as says from events group by all), c as (select user_id, string_agg(distinct event_type, ',' order by event_type) as categories from events where value > 100 group by 1) select user_id, {', '.join(f"count(*) filter (says = '{x}') as {x}" for x in A.STATS)}, count(*) as engines, coalesce(string_agg(engine || '=' || says, ',' order by says <> 'malicious', lower(engine), engine) filter (says in ('malicious', 'suspicious')), '') as flagged, coalesce(max(categories), '') as categories from r left join c using (user_id) group by 1")
 def a11(spark, sf):
-    """Vendor verdicts per link: counts, and those that flag it, malicious first."""
-    v = table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("malicious"), F.count("*").alias("engines"), F.array_sort(F.collect_list(F.when(F.col("event_type").isin("error", "click"), F.struct((F.col("event_type") != "error").alias("a"), "event_id")))).alias("f"))
-    return v.select("user_id", "malicious", "engines", F.array_join(F.transform("f", lambda x: x["event_id"].cast("string")), ",").alias("flagged"))
+    """Vendor reports per link: counts by verdict, who flags it, malicious first, and the categories it is put in."""
+    e = table(spark, sf, "events")
+    results = e.select("user_id", F.expr(ENGINE).alias("engine"), F.expr(SAYS).alias("category"), F.lit("x").alias("label"))
+    v = A.vendor_reports(results, e.where("value > 100").select("user_id", F.col("event_type").alias("category")), "user_id")
+    flagged = F.array_join(F.transform("flagged", lambda x: F.concat_ws("=", x["engine"], x["category"])), ",")
+    return v.select("user_id", *A.STATS, "engines", flagged.alias("flagged"), F.array_join("categories", ",").alias("categories"))
 
 
 @query("a12_history", f"with r as (select *, {VERDICT_SQL} as verdict, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) select user_id, count(*) as scans, count(*) filter (verdict = 'dangerous') as dangerous, arg_min(verdict, n) as last_verdict, arg_min(value, n) as last_score from r where n <= 50 group by 1")
@@ -338,19 +356,48 @@ def a18(spark, sf):
     return table(spark, sf, "pages").agg(F.count("*").alias("read"), F.count_if(F.length("html") >= 2000).alias("kept"), F.count_if(F.length("html") < 2000).alias("skipped"))
 
 
-@query("a19_answers", "with a as (select user_id, event_type as source, max(event_id % 7) as bad from events group by all), s as (select *, case when bad >= 3 then 'listed' when bad >= 1 then 'info' else 'clean' end as status from a) select user_id, string_agg(source, ',' order by source) filter (status = 'listed') as listed_by, max(bad) as worst from s group by 1")
+ANSWER_SQL = """with e as (select *, 'u' || event_id as url from events),
+v as (select user_id, arg_max(event_id % 7, (event_id % 7, -event_id)) filter (event_id % 3 > 0) as bad, arg_max(event_id % 2, (event_id % 7, -event_id)) filter (event_id % 3 > 0) as sus, arg_max(url, (event_id % 7, -event_id)) filter (event_id % 3 > 0) as url from e where event_type = 'view' group by 1),
+m as (select user_id, min(event_id) filter (event_id % 4 = 0 and value > 200) as link, min(event_id) filter (event_id % 4 > 0 and value > 120) as host from e where event_type = 'click' group by 1),
+s as (select user_id, sum(event_id % 3) as total, count(*) filter (value > 180) as bad from e where event_type = 'purchase' group by 1),
+a as (select user_id, 'virustotal' as source, case when bad is null then 'unknown' when bad >= 3 then 'listed' when bad > 0 or sus > 0 then 'info' else 'clean' end as status, case when bad >= 3 then url end as matched, coalesce(bad, 0) as bad from v
+ union all select user_id, 'urlhaus', case when link is not null then 'listed' when host is null then 'clean' when host % 5 > 0 then 'listed' else 'info' end, case when link is not null then 'u' || link end, case when coalesce(link, host) is null then 0 else 2 end from m
+ union all select user_id, 'urlscan', case when total = 0 then 'unknown' when bad > 0 then 'listed' else 'info' end, null, bad from s)"""
+
+
+def folded(spark, sf):
+    e = table(spark, sf, "events").withColumn("url", F.concat(F.lit("u"), "event_id"))
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    c, n = F.col("event_id"), F.col("value")
+    vendors = of("view").select("user_id", c.alias("pos"), "url", (c % 3 > 0).alias("known"), (c % 7).alias("malicious"), (c % 2).alias("suspicious"))
+    malware = of("click").select("user_id", c.alias("pos"), F.when(c % 4 == 0, "url").otherwise("host").alias("kind"), F.col("url").alias("key"), F.when(n > F.when(c % 4 == 0, 200).otherwise(120), 2).otherwise(0).alias("hits"), (c % 5).alias("live"))
+    scans = of("purchase").select("user_id", (c % 3).alias("total"), F.when(n > 180, 1).otherwise(0).alias("malicious"))
+    return A.answers(vendors, malware, scans, "user_id")
+
+
+@query("a19_answers", f"{ANSWER_SQL} select user_id, source, status, matched, cast(bad as bigint) as bad from a")
 def a19(spark, sf):
-    """Outside answers folded to one status per source, and who lists the link."""
-    a = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("source")).agg(F.max(F.col("event_id") % 7).alias("bad"))
-    s = a.withColumn("status", F.when(F.col("bad") >= 3, "listed").when(F.col("bad") >= 1, "info").otherwise("clean"))
-    g = s.groupBy("user_id").agg(F.array_sort(F.collect_list(F.when(F.col("status") == "listed", F.col("source")))).alias("l"), F.max("bad").alias("worst"))
-    return g.select("user_id", F.when(F.size("l") > 0, F.array_join("l", ",")).alias("listed_by"), "worst")
+    """Outside answers folded to one status a source: the worst link of vendors, links over hosts, scans judged malicious."""
+    return folded(spark, sf).select("user_id", "source", "status", "matched", "bad")
+
+
+@query("a19_listed_by", f"{ANSWER_SQL} select user_id, coalesce(string_agg(source, ',' order by list_position(['virustotal', 'urlhaus', 'urlscan'], source)) filter (status = 'listed'), '') as listed_by from a group by 1")
+def a19b(spark, sf):
+    """Who lists a link, in the order of sources."""
+    return A.listed_by(folded(spark, sf), "user_id").select("user_id", F.array_join("listed_by", ",").alias("listed_by"))
+
+
+CONNECTION_SQL = "with e as (select user_id, event_type || (event_id % 4) as host, cast(80 + event_id % 2 as integer) as port, case when event_id % 3 > 0 then '10.0.0.' || (event_id % 250) end as ip, value <= 150 as allowed, case when event_id % 5 > 0 then 'reason ' || (event_id % 5) end as reason, row_number() over (partition by user_id order by ts, event_id) as seq from events)"
 
 
-@query("a20_connections", "with f as (select user_id, event_type as host, arg_min(event_id, (ts, event_id)) as ip from events group by all) select user_id, string_agg(host || '=' || ip, ',' order by host) as hosts from f group by 1")
+@query("a20_connections", f"{CONNECTION_SQL} select user_id, 'reached' as kind, host, cast(null as integer) as port, arg_min(ip, seq) filter (ip is not null) as told, cast(null as integer) as pos from e where allowed group by user_id, host union all select user_id, 'blocked', host, port, arg_min(coalesce(reason, 'blocked'), seq), cast(min(seq) as integer) from e where not allowed group by user_id, host, port")
 def a20(spark, sf):
-    f = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("host")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("ip"))
-    return f.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "host", F.col("ip").cast("string")))), ",").alias("hosts"))
+    """What each visit reached, with the first address, and the host and port pairs that were kept from it, with the first reason."""
+    c, seq = F.col("event_id"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    log = table(spark, sf, "events").select("user_id", seq.alias("seq"), F.concat("event_type", (c % 4).cast("string")).alias("host"), (80 + c % 2).cast("int").alias("port"), F.when(c % 3 > 0, F.concat(F.lit("10.0.0."), (c % 250).cast("string"))).alias("ip"), (F.col("value") <= 150).alias("allowed"), F.when(c % 5 > 0, F.concat(F.lit("reason "), (c % 5).cast("string"))).alias("reason"))
+    reached, shut = A.connections(log, "user_id")
+    none = F.lit(None).cast("int")
+    return reached.select("user_id", F.lit("reached").alias("kind"), "host", none.alias("port"), F.col("ip").alias("told"), none.alias("pos")).unionByName(shut.select("user_id", F.lit("blocked").alias("kind"), "host", "port", F.col("reason").alias("told"), "pos"))
 
 
 # --- windows and sets ----------------------------------------------------------------------------------------------
