@@ -2,14 +2,15 @@
 
 Counts of words and word pairs are gathered from all training texts. A gram of count c is entered once for each
 quantised level up to that of c; its count is read back by probing level after level until one is absent. The
-filters hold every gram, so they grow with the input and are not broadcast: they stay in slices on the executors.
-The distinct grams of each block of texts are sent to their slices, entered and probed there, and their levels sent
-back. Words also bring their exact counts, from which the base follows.
+filters hold every gram, so they grow with the input; they are written in slices, and those are the model. Where they are
+small enough they are broadcast and texts are scored where they lie; else the distinct grams of each block of texts are sent to
+their slices, probed there, and their levels sent back. The table that the model is learnt from is scored in the same pass:
+its grams are at the slices already. There words also bring their exact counts, from which the base follows.
 """
 
 from __future__ import annotations
 
-import typing
+import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.langid import held_out
 from linkloom.llm.textops import groups, mix, utf8, word_hashes
-from linkloom.session import cut
+from linkloom.session import cut, folder
 
 END = np.uint64(0x6A09E667F3BCC909)
 START = np.uint64(0xBB67AE8584CAA73B)
@@ -34,7 +35,9 @@ TEXT_BLOCK = 1 << 24
 TEXT_ROW = 1 << 16
 PER_SLICE = 400_000_000
 SENT = "place int, block long, part int, keys binary, counts binary, ids array<long>, held array<boolean>, n array<long>"
-BACK = "block long, part int, a binary, b binary, c binary, stats array<long>, ids array<long>, held array<boolean>, n array<long>"
+BACK = "block long, part int, a binary, b binary, c binary, stats array<long>, ids array<long>, held array<boolean>, n array<long>, filter binary, filter_blocks long"
+#: A model whose filters have fewer bytes is broadcast.
+BROADCAST = 200_000_000
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -70,6 +73,11 @@ class Slices:
     def grams(self) -> int:
         return self.pairs + (1 << self.word_bits)
 
+    @property
+    def text_block(self) -> int:
+        """Bytes of text in a block: more, up to four times, where there are more slices for its grams to spread over."""
+        return TEXT_BLOCK << min(2, max(0, self.pair_bits - 12) // 3)
+
     @property
     def ranks(self) -> int:
         return self.grams
@@ -128,11 +136,11 @@ def pairs(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(0x9E3779B97F4A7C15) + word) & PAIR_MASK
 
 
-def positions(keys: np.ndarray, at: int, blocks: int) -> np.ndarray:
+def positions(keys: np.ndarray, at: int, blocks: int | np.ndarray) -> np.ndarray:
     """Bit places of level `at` inside the key's slice: (keys, probes), all in one block."""
     x = mix(keys ^ np.uint64((at * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
     y = mix(x)
-    base = ((x >> np.uint64(20)) % np.uint64(blocks)) * np.uint64(BLOCK)
+    base = ((x >> np.uint64(20)) % np.asarray(blocks, np.uint64)) * np.uint64(BLOCK)
     return np.stack([base + ((y >> np.uint64(9 * i)) & np.uint64(BLOCK - 1)) for i in range(PROBES)], axis=1)
 
 
@@ -148,6 +156,15 @@ class LogFrequencyFilter:
             keys, own = keys[own >= at], own[own >= at]
             self.bits[positions(keys, at, self.blocks)] = True
 
+    def packed(self) -> bytes:
+        return np.packbits(self.bits, bitorder="little").tobytes()
+
+    @classmethod
+    def unpacked(cls, blocks: int, bits: bytes) -> LogFrequencyFilter:
+        out = cls.__new__(cls)
+        out.blocks, out.bits = blocks, np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        return out
+
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Quantised level of each key, 0 where the lowest probe fails; never too low."""
         out = np.zeros(len(keys), np.int64)
@@ -159,6 +176,33 @@ class LogFrequencyFilter:
         return out
 
 
+class FilterSet:
+    """The filters of all slices side by side, for tasks that score texts where they lie."""
+
+    def __init__(self, dealt: Slices, rows: list[tuple[int, int, bytes]]):
+        """rows: slice, blocks, packed bits; a slice that no gram fell to has none."""
+        self.dealt = dealt
+        self.blocks, self.begin = np.zeros(dealt.grams, np.int64), np.zeros(dealt.grams, np.int64)
+        at = 0
+        for place, blocks, _ in rows:
+            self.blocks[place], self.begin[place] = blocks, at
+            at += blocks * BLOCK
+        self.bits = np.frombuffer(b"".join(bits for *_, bits in rows), np.uint8)
+
+    def probe(self, keys: np.ndarray, words: bool) -> np.ndarray:
+        """Quantised level of each pair or word, as LogFrequencyFilter.probe has it."""
+        bits, first = (self.dealt.word_bits, self.dealt.pairs) if words else (self.dealt.pair_bits, 0)
+        place = (keys >> np.uint64(64 - bits)).astype(np.int64) + first
+        out = np.zeros(len(keys), np.int64)
+        alive, at = np.flatnonzero(self.blocks[place] > 0), 1
+        while len(alive) and at < len(VALUES):
+            where = self.begin[place[alive]][:, None] + positions(keys[alive], at, self.blocks[place[alive]].astype(np.uint64)).astype(np.int64)
+            alive = alive[(self.bits[where >> 3] >> (where & 7).astype(np.uint8) & 1).all(axis=1)]
+            out[alive] = at
+            at += 1
+        return out
+
+
 @dataclass(frozen=True)
 class Model:
     """total, kinds, texts: N, V and the number of training texts; pull: the weight of the word model."""
@@ -224,7 +268,7 @@ def send(marked: DataFrame, dealt: Slices) -> DataFrame:
         block = 0
         for batch in batches:
             ids, texts, held = batch.column(0), batch.column(1), batch.column(2)
-            for a, b in groups([len(x or b"") for x in texts.cast(pa.binary()).to_pylist()], TEXT_BLOCK):
+            for a, b in groups([len(x or b"") for x in texts.cast(pa.binary()).to_pylist()], dealt.text_block):
                 grams, n = tokens(texts.slice(a, b - a).to_pylist())
                 mine, own_ids = held.slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool), ids.slice(a, b - a)
                 train = np.repeat(~mine, n)
@@ -249,21 +293,46 @@ def send(marked: DataFrame, dealt: Slices) -> DataFrame:
 SINGLES, TOTAL, KINDS, ENDS, LEVELS = 0, 1, 2, 3, 4
 
 
-def slices(sent: DataFrame, dealt: Slices) -> DataFrame:
+def slices(sent: DataFrame, dealt: Slices, filters: DataFrame | None = None) -> DataFrame:
     """What `send` sent, with the levels of grams in their place: each slice's filter is built from all its training
-    counts, at eight bits an entry, and probed once for each gram that any block has. Words keep their keys, from which
-    those of pairs follow, and their exact counts. A task holds one slice at a time.
+    counts, at eight bits an entry, kept in the slice's first row, and probed once for each gram that any block has. Words keep
+    their keys, from which those of pairs follow, and their exact counts. A task holds one slice at a time.
+
+    filters (part, blocks, bits): the filters of a model. Then those are probed, counts are not read, and words have the
+    counts that their levels stand for.
     """
-    schema = _arrow(BACK)
+    schema, saved = _arrow(BACK), filters is not None
+    if filters is not None:
+        none = F.lit(None)
+        given = filters.select(F.col("part").alias("place"), F.lit(-1).cast("long").alias("block"), "part", F.col("bits").alias("keys"), none.cast("binary").alias("counts"), none.cast("array<long>").alias("ids"), none.cast("array<boolean>").alias("held"), F.array(F.col("blocks").cast("long")).alias("n"))
+        sent = sent.unionByName(given)
+
+    def probed(held: list[tuple]) -> pa.RecordBatch | None:
+        """The levels of a slice's grams by the model's filter, which comes first; without one no gram is known."""
+        own = LogFrequencyFilter.unpacked(held[0][4][0], held[0][2]) if held[0][0] < 0 else None
+        held = held[1:] if own else held
+        if not held:
+            return None
+        grams = [unpack_keys(x[2]) for x in held]
+        levels = [(own.probe(k) if own else np.zeros(len(k), np.int64)).astype(np.uint8) for k in grams]
+        words, n = held[0][1] >= dealt.pairs, len(held)
+        return _rows(
+            schema, n, block=[x[0] for x in held], part=[x[1] for x in held], a=[pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in levels], b=[x[2] if words else None for x in held],
+            c=[_planes(np.rint(VALUES[x]).astype(np.int64)) for x in levels] if words else [None] * n, n=[[len(k)] for k in grams],
+        )
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
+    def flush(held: list[tuple]) -> pa.RecordBatch | None:
+        if saved:
+            return probed(held)
+        held = [x[:4] for x in held]
         grams = [unpack_keys(k) for *_, k, _ in held]
         keys, at = np.unique(np.concatenate(grams), return_inverse=True)
         given = np.concatenate([_unplanes(c, len(k), "<u4") for k, (*_, c) in zip(grams, held)])
         counts = np.zeros(len(keys), np.int64)
         np.add.at(counts, at, given.astype(np.int64))
         own = level(counts)
-        read = LogFrequencyFilter(keys, own).probe(keys).astype(np.uint8)[at]
+        filled = LogFrequencyFilter(keys, own)
+        read = filled.probe(keys).astype(np.uint8)[at]
         cuts = np.cumsum([len(k) for k in grams])[:-1]
         words, n = held[0][1] >= dealt.pairs, len(held)
         if words:
@@ -274,6 +343,7 @@ def slices(sent: DataFrame, dealt: Slices) -> DataFrame:
         return _rows(
             schema, n, block=[x[0] for x in held], part=[x[1] for x in held], a=[pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(read, cuts)], b=[x[2] if words else None for x in held],
             c=[_planes(x) for x in np.split(counts[at], cuts)] if words else [None] * n, stats=[stats] + [None] * (n - 1), n=[[len(k)] for k in grams],
+            filter=[filled.packed()] + [None] * (n - 1), filter_blocks=[filled.blocks] + [None] * (n - 1),
         )
 
     def run(batches):
@@ -283,15 +353,17 @@ def slices(sent: DataFrame, dealt: Slices) -> DataFrame:
             rest = batch.filter(pa.array(part >= dealt.grams))
             if rest.num_rows:
                 yield pa.RecordBatch.from_arrays([rest.column("keys" if f.name == "a" else f.name) if f.name in ("a", "block", "part", "ids", "held", "n") else pa.nulls(rest.num_rows, f.type) for f in schema], schema=schema)
-            for x in zip(*(batch.filter(pa.array(part < dealt.grams)).column(c).to_pylist() for c in ("block", "part", "keys", "counts"))):
+            for x in zip(*(batch.filter(pa.array(part < dealt.grams)).column(c).to_pylist() for c in ("block", "part", "keys", "counts", "n"))):
                 if held and held[0][1] != x[1]:
-                    yield flush(held)
+                    if (out := flush(held)) is not None:
+                        yield out
                     held = []
                 held.append(x)
-        if held:
-            yield flush(held)
+        if held and (out := flush(held)) is not None:
+            yield out
 
-    return sent.repartition("place").sortWithinPartitions("place", "part").mapInArrow(run, BACK)
+    by = ["place", "part"] + (["block"] if saved else [])
+    return sent.repartition("place").sortWithinPartitions(*by).mapInArrow(run, BACK)
 
 
 def learnt(back: DataFrame) -> Model:
@@ -348,7 +420,76 @@ def gather(back: DataFrame, model: Model, dealt: Slices) -> DataFrame:
         if texts:
             yield flush()
 
-    return back.drop("stats").repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, SCHEMA)
+    return back.drop("stats", "filter", "filter_blocks").repartition("block").sortWithinPartitions("block", "part").mapInArrow(run, SCHEMA)
+
+
+@dataclass(frozen=True)
+class Fitted:
+    """A model on disk: its numbers, how grams are dealt out, and the folder of its filters (part, blocks, bits)."""
+
+    model: Model
+    dealt: Slices
+    path: str
+
+    def save(self, spark, path: str) -> Fitted:
+        """The model in a folder of its own: filters and one row of numbers."""
+        spark.read.parquet(self.path).where("filter is not null").select("part", F.col("filter_blocks").alias("blocks"), F.col("filter").alias("bits")).write.parquet(f"{path}/filters")
+        m = self.model
+        spark.createDataFrame([(m.total, m.kinds, m.texts, float(m.pull), self.dealt.pair_bits, self.dealt.word_bits)], "total long, kinds long, texts long, pull double, pair_bits int, word_bits int").coalesce(1).write.parquet(f"{path}/numbers")
+        return replace(self, path=f"{path}/filters")
+
+    @staticmethod
+    def load(spark, path: str) -> Fitted:
+        r = spark.read.parquet(f"{path}/numbers").first()
+        return Fitted(Model(r.total, r.kinds, r.texts, r.pull), Slices(r.pair_bits, r.word_bits), f"{path}/filters")
+
+    def score(self, docs: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
+        """(doc_id, n_tokens, n_known, score) of any table's whole texts, from the saved filters alone.
+
+        Filters of up to `broadcast` bytes (their sizes are added up first) go to every task, which scores texts where they lie; larger ones
+        stay in slices and grams are sent to them. Both give the same rows. n_known counts tokens that the filter knows.
+        Null text: empty, one end token. Repeated rows: each is scored. Empty table: no rows.
+        """
+        spark, model, dealt = docs.sparkSession, self.model, self.dealt
+        filters = spark.read.parquet(self.path)
+        given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        size = filters.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("n")).first().n
+        if size > broadcast:
+            back = cut(slices(send(given.withColumn("held_out", F.lit(True)), dealt), dealt, filters), "levels")
+            return gather(back, model, dealt).select("doc_id", "n_tokens", "n_known", "score")
+        sent = spark.sparkContext.broadcast([tuple(r) for r in filters.select("part", "blocks", "bits").collect()])
+
+        def run(batches):
+            known = FilterSet(dealt, sent.value)
+            for batch in batches:
+                for a, b in groups([len(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()], 1 << 20):
+                    grams, n = tokens(batch.column(1).slice(a, b - a).to_pylist())
+                    at = np.cumsum(n) - n
+                    words, own = np.unique(grams, return_inverse=True)
+                    links, code = np.unique(pairs(before(grams, n), grams), return_inverse=True)
+                    count, both = VALUES[known.probe(words, True)], VALUES[known.probe(links, False)]
+                    context = np.empty(len(own), np.float64)
+                    context[1:], context[at] = count[own][:-1], model.texts
+                    chances = model.smoothed(both[code], context, count[own], model.chance(count)[own])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(np.add.reduceat((count > 0).astype(np.int64)[own], at)), pa.array(np.add.reduceat(chances, at))], ["doc_id", "n_tokens", "n_known", "score"])
+
+        return given.mapInArrow(run, "doc_id long, n_tokens long, n_known long, score double")
+
+
+def _fitted(docs: DataFrame, folds: int) -> tuple[Fitted, DataFrame]:
+    """The model learnt from docs outside the held-out fold, and what scoring docs themselves still takes."""
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(folds=folds))
+    n_bytes = marked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    dealt = planned(n_bytes)
+    path = f"{folder(docs.sparkSession)}/levels-{uuid.uuid4().hex}"
+    slices(send(marked, dealt), dealt).write.option("compression", "zstd").parquet(path)
+    back = docs.sparkSession.read.schema(BACK).parquet(path)
+    return Fitted(learnt(back), dealt, path), back
+
+
+def fit(docs: DataFrame, path: str, folds: int = 5) -> Fitted:
+    """Learn from the texts outside the held-out fold and save the model at path; see Fitted.score and Fitted.load."""
+    return _fitted(docs, folds)[0].save(docs.sparkSession, path)
 
 
 def score(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -361,10 +502,6 @@ def score(docs: DataFrame, folds: int = 5) -> DataFrame:
     counted and scored. Texts that tie have equal scores. No training text: every probability is the smoothing's.
     Empty table: no rows. Other columns are not read.
     """
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(folds=folds))
-    n_bytes = marked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    dealt = planned(n_bytes)
-    back = cut(slices(send(marked, dealt), dealt), "levels")
-    model = learnt(back)
-    scored = gather(back, model, dealt)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    made, back = _fitted(docs, folds)
+    scored = gather(back, made.model, made.dealt)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(made.model.total).cast("long").alias("train_tokens"), "base_score", "score")

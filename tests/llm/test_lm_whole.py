@@ -58,3 +58,26 @@ def test_slices_grow_with_the_input():
     for n in (10**13, 10**14):
         dealt = lm.planned(n)
         assert n / dealt.pairs <= 2 * lm.PER_SLICE and dealt.pairs <= 1 << 24
+
+
+def test_a_second_table_is_scored_from_the_saved_filters(spark, tmp_path):
+    r = random.Random(8)
+    kinds = [f"w{i}" for i in range(800)]
+    text = lambda: " ".join(r.choice(kinds[: r.choice([20, 800])]) for _ in range(r.randint(1, 60)))
+    first = spark.createDataFrame([(i, text()) for i in range(500)], "doc_id long, text string").repartition(3)
+    own = lm.score(first, folds=5)
+    made = lm.fit(first, f"{tmp_path}/model")
+    loaded = lm.Fitted.load(spark, f"{tmp_path}/model")
+    assert loaded == made
+    # The table it was learnt from: the same scores as in the pass in which it was learnt.
+    want = {x.doc_id: (x.n_tokens, pytest.approx(x.score)) for x in own.collect()}
+    for limit in (1 << 30, 0):
+        assert {x.doc_id: (x.n_tokens, x.score) for x in loaded.score(first, broadcast=limit).collect()} == want
+    # Another table, unknown words, null and empty texts, repeated rows among it.
+    rows = [(i, text()) for i in range(60)] + [(70, "never seen words"), (71, None), (72, ""), (70, "never seen words"), (None, "w1 w2")]
+    second = spark.createDataFrame([(*x, "x") for x in rows], "doc_id long, text string, score string").repartition(4)
+    by_task, by_slice = (sorted((str(x.doc_id), x.n_tokens, x.n_known, round(x.score, 9)) for x in loaded.score(second, broadcast=limit).collect()) for limit in (1 << 30, 0))
+    assert by_task == by_slice and len(by_task) == len(rows)
+    plain = {x[0]: x for x in by_task}
+    assert plain["71"] == plain["72"][:0] + ("71", *plain["72"][1:]) and plain["70"][2] <= 2 and plain["72"][1] == 1
+    assert loaded.score(second.limit(0)).count() == 0
