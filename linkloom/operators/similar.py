@@ -94,12 +94,42 @@ def likeness(joined: DataFrame) -> DataFrame:
     return out.withColumn("match", (F.col("points") >= 3.0) & (F.size("kinds") >= 2) & content)
 
 
-def compared(candidates: DataFrame, library: DataFrame, icons: DataFrame) -> DataFrame:
-    """(a, b, points, kinds, percent, match) of candidate pairs; library: id and its prints."""
+def code_distances(candidates: DataFrame, structures: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b, code) of candidate pairs whose code is nearly the same: 0 for one structure, up to 60 for a tenth and 100 for a fifth of it.
+
+    structures: id, structure (the first page of the same one); near: a, b, distance (structures that share four fifths or
+    more, see near_sets). Pairs of other structures have no row.
+    """
+    side = lambda s: structures.select(F.col("id").alias(s), F.col("structure").alias(f"{s}_s"))
+    met = candidates.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    met = met.select("a", "b", F.least("a_s", "b_s").alias("x"), F.greatest("a_s", "b_s").alias("y"))
+    known = near.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance")
+    code = F.when(F.col("x") == F.col("y"), 0).otherwise(F.least(F.round(F.col("distance") * 600), F.lit(100)).cast("int"))
+    return met.join(known, ["x", "y"], "left").select("a", "b", code.alias("code")).where("code is not null")
+
+
+def recall(library: DataFrame, icons: DataFrame, groups: DataFrame, every: int = 50) -> DataFrame:
+    """(matches, together, recall): of the matches of every `every`th page with all pages that it meets in any bucket, how many are in its group.
+
+    What large buckets leave out (see pairs) is measured so: each page asked about is compared with whole buckets.
+    """
+    met = buckets(library, icons).select("kind", "value", "id")
+    asked = met.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("kind", "value", F.col("id").alias("p"))
+    both = asked.join(met, ["kind", "value"]).where("p <> id").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+    found = compared(both, library, icons).where("match").select("a", "b")
+    side = lambda k: groups.select(F.col("id").alias(k), F.col("component").alias(f"{k}_g"))
+    placed = found.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    one = placed.agg(F.count("*").alias("matches"), F.count_if(F.col("a_g") == F.col("b_g")).alias("together"))
+    return one.withColumn("recall", F.try_divide("together", "matches"))
+
+
+def compared(candidates: DataFrame, library: DataFrame, icons: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """(a, b, points, kinds, percent, match) of candidate pairs; library: id and its prints; codes: a, b, code, see code_distances."""
     prints = ["dom_hash", "dom", "txt", "look", "icon", "tags"]
     plain = library.join(icons.withColumn("common", F.lit(True)), "icon", "left").withColumn("icon", F.when(F.col("common").isNull(), F.col("icon"))).select("id", *prints)
     side = lambda s, k: plain.select(F.col("id").alias(k), *[F.col(p).alias(f"{s}_{p}") for p in prints])
-    joined = candidates.join(side("x", "a"), "a").join(side("y", "b"), "b").withColumn("code", F.lit(None).cast("int"))
+    joined = candidates.join(side("x", "a"), "a").join(side("y", "b"), "b")
+    joined = joined.join(codes, ["a", "b"], "left") if codes is not None else joined.withColumn("code", F.lit(None).cast("int"))
     return likeness(joined).select("a", "b", "points", "kinds", "percent", "match")
 
 

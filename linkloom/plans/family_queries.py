@@ -93,6 +93,13 @@ def g02(spark, sf):
     return S.grouped(matches(spark, sf, library(spark, sf)))
 
 
+@query("g02_recall")
+def g02_recall(spark, sf):
+    """How many matches of every fiftieth page with whole buckets the groups hold, though large buckets are not compared in full."""
+    lib = library(spark, sf)
+    return S.recall(lib, S.common_icons(lib), S.grouped(matches(spark, sf, lib)))
+
+
 FAM_SQL = "mem as (select lib.id, component, label, site, brand from cc join lib using (id)), fam as (select component, count(*) as size, count(distinct site) as sites, count(*) filter (label = 'phish') as scams, count(*) filter (label = 'benign') as ordinary from mem group by 1), fk as (select * from fam where size >= 3 and sites >= 2 and scams >= 2 and not (ordinary >= 2 and scams / (scams + ordinary) < 0.6)), tb as (select component, brand, count(*) as n, min(id) as f from mem where label = 'phish' group by all), tt as (select component, sum(n) as t from tb group by 1), tr as (select tb.component, brand, n, t, row_number() over (partition by tb.component order by n desc, f) as r from tb join tt using (component) where brand is not null)"
 
 

@@ -17,9 +17,10 @@ from linkloom.operators import model as M
 from linkloom.operators import pages as PT
 from linkloom.operators import score as S2
 from linkloom.operators import tables as T
+from linkloom.operators import similar
 from linkloom.operators.similar import near_sets
 from linkloom.plans.link_queries import HOST_SQL
-from linkloom.plans.page_queries import ATT, AUG, EL, TAGS_SQL, TEXT_SQL, WORDS_SQL, decoded, quoted, read, shingle_sql
+from linkloom.plans.page_queries import ATT, AUG, EL, PRINTS_SQL, TAGS_SQL, TEXT_SQL, WORDS_SQL, decoded, fingerprints, quoted, read, shingle_sql
 from linkloom.plans.registry import query
 from linkloom.session import cut, folder, table
 from linkloom.sources import tables as D
@@ -320,7 +321,10 @@ def f06(spark, sf):
     return near.withColumn("points", F.when(F.col("distance") <= 0.05, 2.5).when(F.col("distance") <= 0.1, 2.0).otherwise(1.0))
 
 
-@query("f07_look_hash", "with s as (select vec_id, b, sum(case when hash_bit = 1 then x else -x end) as s from (select vec_id, b, embedding[i + 1] as x, ('0x' || substr(md5(b || '/' || i), 1, 1))::integer & 1 as hash_bit from embeddings, range(64) t(b), range(64) u(i)) group by all) select vec_id, cast(sum(case when s > 0 then case when b = 63 then -9223372036854775808::hugeint else (1::hugeint << b::integer) end else 0 end) as bigint) as look from s group by 1")
+LOOK_SQL = "with s as (select vec_id, b, sum(case when hash_bit = 1 then x else -x end) as s from (select vec_id, b, embedding[i + 1] as x, ('0x' || substr(md5(b || '/' || i), 1, 1))::integer & 1 as hash_bit from embeddings, range(64) t(b), range(64) u(i)) group by all) select vec_id, cast(sum(case when s > 0 then case when b = 63 then -9223372036854775808::hugeint else (1::hugeint << b::integer) end else 0 end) as bigint) as look from s group by 1"
+
+
+@query("f07_look_hash", LOOK_SQL)
 def f07(spark, sf):
     """A 64-bit sign hash of each embedding: 64 fixed planes of plus and minus ones."""
     import hashlib
@@ -335,6 +339,30 @@ def f07(spark, sf):
     return signs.select("vec_id", value.alias("look"))
 
 
+ALIKE_SQL = f"""with {PRINTS_SQL}, lk as ({LOOK_SQL}), {CODE_SQL}, x as (select page_id, len(s) as n, unnest(s) as i from cg where page_id = structure),
+j as (select x.page_id as a, y.page_id as b, x.n + y.n - count(*) as u, count(*) as c from x join x y using (i) where x.page_id < y.page_id group by x.page_id, y.page_id, x.n, y.n), nr as (select a, b, round((u - c) / u, 4) as distance from j where c >= 0.8 * u - 1e-9),
+q as (select prints.*, look, structure from prints left join lk on vec_id = page_id left join cg using (page_id)),
+p2 as (select x.page_id as a, y.page_id as b, x.dom_hash is not distinct from y.dom_hash as same, xor(x.dom, y.dom) as xd, xor(x.txt, y.txt) as xt, bit_count(xor(x.look, y.look)) as ld, least(x.structure, y.structure) as s1, greatest(x.structure, y.structure) as s2 from q x join q y on x.page_id < y.page_id where x.tags >= 15 and y.tags >= 15 and x.words >= 20 and y.words >= 20),
+p3 as (select p2.*, bit_count(xd) as sd, bit_count(xt) as wd, case when s1 = s2 then 0 else cast(least(round(distance * 600), 100) as integer) end as code from p2 left join nr on nr.a = s1 and nr.b = s2 where same or {' or '.join(f'((xd >> {16 * i}) & 65535) = 0 or ((xt >> {16 * i}) & 65535) = 0' for i in range(4))}),
+s as (select *, case when code <= 30 then 2.5 when code <= 60 then 2.0 when code <= 100 then 1.0 else 0 end as cp, case when same then 1.5 when sd <= 3 then 1.25 when sd <= 8 then 0.75 else 0 end as sp, case when wd <= 4 then 2.0 when wd <= 8 then 1.25 when wd <= 12 then 0.5 else 0 end as wp, case when ld <= 4 then 2.0 when ld <= 8 then 1.25 when ld <= 10 then 0.5 else 0 end as lp from p3)
+select a, b, round(cp + sp + wp + lp, 2)::double as points, concat_ws(',', case when cp > 0 then 'code' end, case when sp > 0 then 'structure' end, case when wp > 0 then 'words' end, case when lp > 0 then 'look' end) as kinds from s where cp + sp + wp + lp >= 3.0 and (cp > 0)::int + (sp > 0)::int + (wp > 0)::int + (lp > 0)::int >= 2 and (wp > 0 or lp > 0)"""
+
+
+@query("g01_all_kinds", ALIKE_SQL)
+def g01_kinds(spark, sf):
+    """Pages alike by code (shared runs of tags), structure, words and look (sign hashes of the vectors of the same number)."""
+    f = cut(fingerprints(spark, sf), "prints")
+    look = f07(spark, sf).select(F.col("vec_id").alias("page_id"), "look")
+    none = F.lit(None)
+    lib = f.join(look, "page_id", "left").select(F.col("page_id").alias("id"), none.cast("string").alias("title"), "words", "tags", "dom_hash", "dom", "txt", F.concat(P.bands(F.col("dom"), 0), P.bands(F.col("txt"), 1)).alias("bands"), none.cast("int").alias("icon"), "look")
+    lib, icons = cut(lib, "library"), spark.createDataFrame([], "icon int")
+    s = cut(structures(spark, sf), "structures")
+    near = near_sets(s.where("page_id = structure"), "page_id", "s").select("a", "b", F.round((F.col("both") - F.col("same")) / F.col("both"), 4).alias("distance"))
+    pairs = cut(similar.pairs(similar.buckets(lib, icons), lib), "pairs")
+    codes = similar.code_distances(pairs, s.select(F.col("page_id").alias("id"), "structure"), near)
+    return similar.compared(pairs, lib, icons, codes).where("match").select("a", "b", "points", F.array_join("kinds", ",").alias("kinds"))
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 
 
