@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from linkloom.operators import tables as T
 from linkloom.operators.ranking import ranked
 from linkloom.plans.link_queries import HOST_SQL, PAGE_SITES, with_sites
 from linkloom.plans.registry import query
-from linkloom.session import table
+from linkloom.session import folder, table
 from linkloom.sources import tables as D
 
 VERDICT_SQL = "case event_type when 'error' then 'dangerous' when 'click' then 'suspicious' else 'safe' end"
@@ -33,6 +35,15 @@ def s01(spark, sf):
     return p.where((F.length("html") >= 200) & F.col("url").rlike("^https?://")).join(done, "page_id", "left_anti").select("page_id", "url", F.length("html").alias("kept"))
 
 
+@query("s01_rows", "select doc_id, place from (select doc_id, row_number() over () - 1 as place from documents) where place >= (select count(*) // 5 from documents) and place < (select count(*) // 5 + count(*) // 2 from documents)")
+def s01_rows(spark, sf):
+    """Half of a dataset after its first fifth, in dataset order; files wholly outside are not opened."""
+    from linkloom.sources.dataset import files, read_rows
+
+    n = files(spark, f"{sf}/documents.parquet").agg(F.sum("rows")).first()[0]
+    return read_rows(spark, f"{sf}/documents.parquet", ["doc_id"], skip=n // 5, limit=n // 2)
+
+
 @query("s03_s04_features", "select doc_id, cast(n_chars % 100 as smallint) as rule_score, cast(n_chars as float) as chars, lang as split from documents")
 def s03(spark, sf):
     """A feature table written by split as zstd Parquet, read back behind a schema gate."""
@@ -105,6 +116,59 @@ def s14(spark, sf):
     return D.retained(e, "ts", F.lit("2024-01-30").cast("timestamp"), {"props": 10}, (F.col("event_type") == "view"), 20).select("event_id", "props")
 
 
+TABLE_SQL = """with o as (select o_orderkey as k, o_custkey as c, o_orderpriority as v, cast(o_orderdate as date) as day from orders),
+old as (select * from o where k % 3 <> 0), up as (select k, c, 'up' as v, day from o where k % 5 = 0), u as (select * from old where k not in (select k from up) union all select * from up),
+i as (select * from u union all select k, c, 'added' as v, day from o where k % 7 = 0 and k not in (select k from u))
+select k, c, case when day < date '1995-01-01' then null else v end as v from i"""
+
+
+@query("s11_s14_table", TABLE_SQL)
+def s11_table(spark, sf):
+    """A stored table through an upsert, an insert of what is absent and the retention of old rows, each in one step."""
+    from linkloom.sources.snapshots import Table
+
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("v"), F.col("o_orderdate").cast("date").alias("day"))
+    t = Table(spark, f"{folder(spark)}/orders-{uuid.uuid4().hex}")
+    t.create(o.where("k % 3 <> 0"), ["k"], 8)
+    t.upsert(o.where("k % 5 = 0").withColumn("v", F.lit("up")))
+    t.insert_absent(o.where("k % 7 = 0").withColumn("v", F.lit("added")))
+    old = F.col("day") < "1995-01-01"
+    t.change(old & F.col("v").isNotNull(), lambda d: d.withColumn("v", F.when(~old, F.col("v"))))
+    return t.read().select("k", "c", "v")
+
+
+@query("s13_one_step", "with o as (select o_custkey as k, min(o_orderkey) as family from orders where o_orderkey % 2 = 0 group by 1), n as (select o_custkey as k, min(o_orderkey) as family from orders where o_orderkey % 4 < 3 group by 1) select k, n.family as family, o.family is distinct from n.family as moved from n left join o using (k)")
+def s13_table(spark, sf):
+    """An assignment replaced in one step: readers of the version before go on with it, and what moved is the difference of the two."""
+    from linkloom.sources.snapshots import Table
+
+    first = lambda where: table(spark, sf, "orders").where(where).groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("family"))
+    t = Table(spark, f"{folder(spark)}/families-{uuid.uuid4().hex}")
+    before = t.create(first("o_orderkey % 2 = 0"), ["k"], 8)
+    t.replace(first("o_orderkey % 4 < 3"))
+    old = t.read(before.number).withColumnRenamed("family", "was")
+    return t.read().join(old, "k", "left").select("k", "family", (~F.col("family").eqNullSafe(F.col("was"))).alias("moved"))
+
+
+@query("s15_a18_runs", "select event_type as job, true as ok, count(*) as fetched, count(*) filter (value > 100) as added, count(*) filter (event_id % 10 = 0) as failed, null as note from events group by 1 union all select 'broken', false, null, null, null, 'ValueError: no feed'")
+def s15_runs(spark, sf):
+    """A run for each kind of event, and one that fails, in the log of runs; counts are observed while the run reads its rows."""
+    from linkloom.sources.snapshots import Table, run_logged
+
+    e, log = table(spark, sf, "events"), Table(spark, f"{folder(spark)}/runs-{uuid.uuid4().hex}")
+    for job in [r[0] for r in e.select("event_type").distinct().collect()]:
+        run_logged(log, job, e.where(F.col("event_type") == job), lambda d: d.where("value > 100").count(), failed=F.col("event_id") % 10 == 0)
+
+    def broken(_):
+        raise ValueError("no feed")
+
+    try:
+        run_logged(log, "broken", e, broken)
+    except ValueError:
+        pass  # it is in the log
+    return log.read().select("job", "ok", "fetched", "added", "failed", "note")
+
+
 @query("s15_run_log", "select event_type as job, count(*) as fetched, count(*) filter (value > 100) as added, count(*) filter (value is null) as failed, min(ts) as started_at, max(ts) as finished_at, true as ok from events group by 1")
 def s15(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("job")).agg(F.count("*").alias("fetched"), F.count_if(F.col("value") > 100).alias("added"), F.count_if(F.col("value").isNull()).alias("failed"), F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"), F.lit(True).alias("ok"))
