@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkloom.functions import links as L
 from linkloom.operators.ranking import ranked, running
 from linkloom.operators.similar import NOTICE
 from linkloom.session import cut
@@ -15,6 +16,36 @@ def looks_dead(status: Column, stopped: Column, tags: Column, title: Column) ->
     return F.coalesce(status >= 400, F.lit(False)) | stopped.isNotNull() | F.coalesce(tags < 12, F.lit(False)) | F.coalesce(title.rlike(NOTICE), F.lit(False))
 
 
+def library_label(verdict: Column, official: Column, rank: Column) -> Column:
+    """What a scan teaches the library: a dangerous one is a scam, a safe one on a known site is honest, the rest is unknown."""
+    return F.when(verdict == "dangerous", "phish").when((verdict == "safe") & (official.isNotNull() | rank.isNotNull()), "benign").otherwise("unknown")
+
+
+def led_to_private(scans: DataFrame, blocked: DataFrame, scan: str = "scan") -> DataFrame:
+    """(scan, private): whether the pasted link itself led to a private or local address; such scans are never joined to outside data.
+
+    scans: scan (unique), url; blocked: scan, host, reason.
+    """
+    why = F.lower("reason").rlike("private|local|reserved")
+    shut = blocked.where(why).select(scan, F.lower("host").alias("__host")).distinct()
+    own = scans.select(scan, L.host(F.col("url")).alias("__host")).where("__host <> ''")
+    hit = own.join(shut, [scan, "__host"]).select(scan, F.lit(True).alias("private"))
+    return scans.select(scan).join(hit, scan, "left").select(scan, F.coalesce("private", F.lit(False)).alias("private"))
+
+
+def popularity(lines: DataFrame, most: int = 100_000) -> DataFrame:
+    """(domain, rank, list_id) of a popularity list's lines (pos, line): `rank,domain`, and `#list_id=` for which list it is.
+
+    Domains in lower case; of a domain named twice the last line counts, of several list ids too. Other lines drop out.
+    """
+    said = lines.select("pos", F.trim("line").alias("line"))
+    head = said.where(F.col("line").startswith("#list_id=")).agg(F.max_by(F.substring("line", 10, 1000), "pos").alias("list_id"))
+    rows = said.where(F.col("line").rlike(r"^\d{1,9},\s*\S")).select("pos", F.substring_index("line", ",", 1).cast("int").alias("rank"), F.lower(F.trim(F.regexp_extract("line", r"^\d+,(.*)$", 1))).alias("domain"))
+    list_id = head.first()[0]
+    one = rows.where(F.col("rank") <= most).groupBy("domain").agg(F.max_by("rank", "pos").alias("rank"))
+    return one.withColumn("list_id", F.lit(list_id).cast("string"))
+
+
 def trusted(official: Column, lookalike: Column, rank: Column) -> Column:
     return (official.isNotNull() & lookalike.isNull()) | F.coalesce(rank <= 10_000, F.lit(False))
 

@@ -64,13 +64,14 @@ def s06(spark, sf):
     return table(spark, sf, "events").select(F.col("event_type").alias("feed"), "event_id", "ts").withColumn("n", F.row_number().over(W.partitionBy("feed").orderBy(F.desc("ts"), "event_id"))).drop("ts")
 
 
-@query("s07_popularity", f"with {PAGE_SITES}, t as (select site, count(*) as c from h group by 1), r as (select site, row_number() over (order by c desc, site) as rank from t) select page_id, site, case when rank <= 100000 then rank end as rank from h left join r using (site)")
+@query("s07_popularity", f"with {PAGE_SITES}, t as (select site, count(*) as c from h group by 1), r as (select site, cast(row_number() over (order by c desc, site) as integer) as rank from t) select page_id, site, case when rank <= 40 then rank end as rank, case when rank <= 40 then 'L' || (select count(*) from t) end as list_id from h left join r using (site)")
 def s07(spark, sf):
-    """A popularity list (here: sites by pages) joined to pages; ranks beyond the list are null."""
+    """A popularity list (here: sites by pages, written as its lines with a header) joined to pages; ranks beyond the list are null."""
     s = with_sites(spark, sf)
-    top = s.groupBy("site").count().orderBy(F.desc("count"), "site").limit(100_000)
-    ranks = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("count"), "site"))).select("site", "rank")
-    return s.select("page_id", "site").join(ranks, "site", "left")
+    counted = s.groupBy("site").agg((-F.count("*")).alias("less")).withColumn("all", F.lit(0))
+    placed = ranked(counted, ["all"], ["less", "site"], "pos")
+    lines = placed.select("pos", F.concat(F.col("pos").cast("string"), F.lit(","), F.upper("site")).alias("line")).unionByName(placed.agg(F.lit(0).cast("long").alias("pos"), F.concat(F.lit("#list_id=L"), F.count("*").cast("string")).alias("line")))
+    return s.select("page_id", "site").join(T.popularity(lines, most=40).withColumnRenamed("domain", "site"), "site", "left").select("page_id", "site", "rank", "list_id")
 
 
 @query("s08_brand_dimension", "select distinct p_brand as name, lower(p_brand) as label from part")
@@ -283,14 +284,18 @@ def p04(spark, sf):
     e = events(spark, sf)
     trusted = T.trusted(F.when(F.col("event_id") % 2 == 0, F.when(F.col("user_id") % 3 == 0, "brand")), F.lit(None).cast("string"), F.when(F.col("user_id") <= 10, F.col("user_id")))
     screen = T.bot_screen(F.when(F.col("event_type") == "view", "check"), F.lit(True), F.lit(0), F.col("value"))
-    label = F.when(F.col("verdict") == "dangerous", "phish").when((F.col("verdict") == "safe") & (F.col("user_id") <= 10), "benign").otherwise("unknown")
+    label = T.library_label(F.col("verdict"), F.lit(None).cast("string"), F.when(F.col("user_id") <= 10, F.col("user_id")))
     return e.select("event_id", trusted.alias("trusted"), screen.alias("bot_screen"), label.alias("label"))
 
 
-@query("p06_private", "select user_id, bool_or(event_type = 'error' and value < 5) as private from events group by 1")
+@query("p06_private", "with b as (select user_id, case when event_id % 3 = 0 then 'H' || user_id || '.com' else 'other.com' end as host, case event_id % 4 when 0 then 'a Private address' when 1 then 'reserved' else 'too slow' end as reason from events where event_type = 'error' and value < 20) select user_id, coalesce(bool_or(lower(host) = 'h' || user_id || '.com' and regexp_matches(reason, '(?i)private|local|reserved')), false) as private from (select distinct user_id from events) u left join b using (user_id) group by 1")
 def p06(spark, sf):
-    b = table(spark, sf, "events").select("user_id", F.struct(F.when((F.col("event_type") == "error") & (F.col("value") < 5), "a private address").otherwise("too slow").alias("reason")).alias("b"))
-    return b.groupBy("user_id").agg(F.bool_or(F.col("b.reason").rlike("private|local|reserved")).alias("private"))
+    """Callers whose own link led to a private address: the host that was blocked is that of the link, and the reason says so."""
+    e, c = table(spark, sf, "events"), F.col("event_id")
+    scans = e.select("user_id").distinct().withColumn("url", F.concat(F.lit("https://h"), "user_id", F.lit(".com/x")))
+    host = F.when(c % 3 == 0, F.concat(F.lit("H"), "user_id", F.lit(".com"))).otherwise("other.com")
+    reason = F.when(c % 4 == 0, "a Private address").when(c % 4 == 1, "reserved").otherwise("too slow")
+    return T.led_to_private(scans, e.where("event_type = 'error' and value < 20").select("user_id", host.alias("host"), reason.alias("reason")), "user_id")
 
 
 @query("p08_honest_rows", "select event_id, coalesce(case when event_id % 3 = 0 then 'https://final/' || event_id end, 'https://link/' || event_id) as link from events where event_type <> 'error' and not (event_type = 'view' and value < 50)")
@@ -464,6 +469,10 @@ def a20(spark, sf):
     return reached.select("user_id", F.lit("reached").alias("kind"), "host", none.alias("port"), F.col("ip").alias("told"), none.alias("pos")).unionByName(shut.select("user_id", F.lit("blocked").alias("kind"), "host", "port", F.col("reason").alias("told"), "pos"))
 
 
+#: Links with words in host, path and query; the same text in both dialects.
+WORD_URL = "case page_id % 4 when 0 then 'https://login-secure' || page_id || '.com/verify/account?bonus=1' when 1 then 'https://free.gift.com/claim-it/claim?wallet' when 2 then 'https://example.com/Account/UPDATE' else url end"
+
+
 # --- windows and sets ----------------------------------------------------------------------------------------------
 
 
@@ -519,6 +528,13 @@ def x03(spark, sf):
     return a.select("user_id", F.array_join(F.filter("f", lambda x: ~F.array_contains("l", x)), ",").alias("fresh"), F.array_join(F.array_sort(F.array_intersect("l", F.array(F.lit("click"), F.lit("error")))), ",").alias("hits"))
 
 
+@query("x04_url_words", f"select page_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || ' ' || regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)), '[^a-z0-9-]+') || string_split_regex({HOST_SQL}, '[^a-z0-9]+'), lambda w: w in ({', '.join(f"'{w}'" for w in L.URL_WORDS)})))), ',') as words from (select page_id, {WORD_URL} as url from pages)")
+def x04(spark, sf):
+    """Scam words among the words of host, path and query together."""
+    p = table(spark, sf, "pages").select("page_id", F.expr(WORD_URL).alias("url"))
+    return LT.facts(p, LT.suffix_table(spark)).select("page_id", F.array_join("url_words", ",").alias("words"))
+
+
 @query("j06_host_counts", f"select {HOST_SQL} as host, count(*) as pages from pages group by 1")
 def j06(spark, sf):
     return table(spark, sf, "pages").groupBy(L.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
