@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from linkloom.llm.textops import groups, mix, utf8
 from linkloom.session import cut
@@ -302,6 +303,32 @@ def _own_repeats(data: bytes, length: int) -> list[tuple[int, int]]:
     return out
 
 
+def _kept(data: bytes, copies: int, found: list | None, length: int) -> tuple[int, int, int, bytes]:
+    """(bytes, removed bytes, removed runs, the remaining bytes) of a text with the spans that others share."""
+    pieces = [(s["start"], s["end"]) for s in found or []] + _own_repeats(data, length)
+    if copies > 1 and len(data) >= length:
+        pieces = [(0, len(data))]
+    kept, removed, runs = [], 0, 0
+    end = None
+    for s, e in sorted(pieces):
+        if end is None or s > end:
+            kept.append(data[end or 0 : s])
+            runs += 1
+            removed += e - s
+            end = e
+        elif e > end:
+            removed += e - end
+            end = e
+    kept.append(data[end or 0 :])
+    return len(data), removed, runs, b"".join(kept)
+
+
+def _with_spans(docs: DataFrame, text: str, length: int, most: int) -> DataFrame:
+    """(key, body, copies, spans) of every distinct text, dealt by key."""
+    texts, spans = covered(docs, text, length, most)
+    return texts.join(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "key", "left").select("key", "body", "copies", "spans")
+
+
 def strip_repeats(docs: DataFrame, text: str = "text", length: int = 200, most: int = 60_000, texts_too: bool = True) -> DataFrame:
     """Per distinct text: (key, n_bytes, n_removed, n_spans, kept, kept_sha256).
 
@@ -316,38 +343,34 @@ def strip_repeats(docs: DataFrame, text: str = "text", length: int = 200, most:
     text. Strings that tie in their anchor's hash take the last place, in every copy alike. Empty table: no rows. Other
     columns are not read.
     """
-    texts, spans = covered(docs, text, length, most)
-    joined = texts.join(spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "key", "left").select("key", "body", "copies", "spans")
-
     def run(batches):
         for batch in batches:
-            rows = []
-            for key, body, copies, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                data = utf8(body)
-                pieces = [(s["start"], s["end"]) for s in found or []] + _own_repeats(data, length)
-                if copies > 1 and len(data) >= length:
-                    pieces = [(0, len(data))]
-                kept, at, removed, runs = [], 0, 0, 0
-                end = None
-                for s, e in sorted(pieces):
-                    if end is None or s > end:
-                        if end is not None:
-                            at = end
-                        kept.append(data[at:s])
-                        runs += 1
-                        removed += e - s
-                        end = e
-                    elif e > end:
-                        removed += e - end
-                        end = e
-                kept.append(data[at if end is None else end :])
-                left = b"".join(kept)
-                rows.append((key, len(data), removed, runs, left.decode("utf-8", "ignore") if texts_too else None, hashlib.sha256(left).hexdigest()))
+            rows = [(key, *_kept(utf8(body), copies, found, length)) for key, body, copies, found in zip(*(batch.column(i).to_pylist() for i in range(4)))]
+            rows = [(*r[:4], r[4].decode("utf-8", "ignore") if texts_too else None, hashlib.sha256(r[4]).hexdigest()) for r in rows]
             if rows:
                 kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return joined.mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string")
+    return _with_spans(docs, text, length, most).mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string")
+
+
+def stripped(docs: DataFrame, text: str = "text", length: int = 200, most: int = 60_000) -> DataFrame:
+    """docs with each text without its removed bytes (see strip_repeats); a null text stays null, other columns stay as they are.
+
+    The other columns come to the texts, before these are cut: what is kept is not moved again. Repeated rows: each is returned.
+    """
+    others = [F.col(c) for c in docs.columns if c != text]
+    rest = docs.select(text_key(text).alias("key"), F.struct(F.col(text).isNull().alias("__null"), *others).alias("row"))
+    joined = _with_spans(docs, text, length, most).join(rest, "key").select("body", "copies", "spans", "row")
+
+    def run(batches):
+        for batch in batches:
+            left = [_kept(utf8(body), copies, found, length)[3].decode("utf-8", "ignore") for body, copies, found in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(left, pa.string())], ["row", "kept"])
+
+    schema = StructType([joined.schema["row"], StructField("kept", StringType())])
+    cut_ = joined.mapInArrow(run, schema)
+    return cut_.select(*[F.when(~F.col("row.__null"), F.col("kept")).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, text: str = "text", length: int = 200, most: int = 60_000) -> DataFrame:

@@ -73,3 +73,17 @@ def test_sql_twin(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     got = queries.QUERIES["op6_suffixes"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLES["op6_suffixes"]).fetchall())
+
+
+def test_rows_with_their_texts_stripped(spark):
+    from linkloom.llm import suffixes
+
+    shared = "".join(chr(97 + i * i % 23) for i in range(260))
+    rows = [(1, "head " + shared, "a", 5), (2, shared + " tail", None, None), (3, None, "a", 1), (None, "", "b", 0), (4, "x" * 50, "c", 2), (4, "x" * 50, "c", 2), (5, "é" * 150, "d", 3), (6, "é" * 150, "d", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, kept long").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.row, r.kept) for r in suffixes.stripped(docs).collect()), key=str)
+    texts = {r.key: r.kept for r in suffixes.strip_repeats(docs).collect()}
+    keys = docs.select("*", suffixes.text_key().alias("key")).collect()
+    assert got == sorted(((r.doc_id, None if r.text is None else texts[r.key], r.row, r.kept) for r in keys), key=str)
+    assert {g[0]: g[1] for g in got}[1].startswith("head") and len({g[0]: g[1] for g in got}[2]) < 30
+    assert suffixes.stripped(docs.limit(0)).count() == 0
