@@ -37,11 +37,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the bytes of passages that occur more than once in what is left; a null text stays null."""
-    kept = suffixes.strip_repeats(docs).select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    rest = docs.withColumn("__null", F.col("text").isNull()).withColumn("__key", suffixes.text_key()).drop("text")
-    text = F.when(~F.col("__null"), F.col("__kept"))
-    changed = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return rest.join(kept, "__key").select(*[changed.get(c, F.col(c)) for c in docs.columns])
+    left = suffixes.stripped(docs)
+    changed = {"n_chars": F.length("text").cast("long").alias("n_chars")}
+    return left.select(*[changed.get(c, F.col(c)) for c in docs.columns])
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
