@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom.operators import score as S
-from linkloom.plans.registry import query
+from linkloom.plans.registry import ORACLES, query
 from linkloom.session import cut, table
 
 K = "event_id"
@@ -111,6 +111,28 @@ def r11(spark, sf):
     return x.select(K, S.scam_type().alias("type"))
 
 
+TYPE_ROWS = ", ".join(f"('{k}', '{S.TYPE_NOUNS[k]}', '{S.TYPE_SAID[k]}', {str(k in S.NAME_USED).lower()})" for k in S.SCAM_TYPES)
+SUMMARY_SQL = f"""with {JUDGE_SQL}, ty as ({ORACLES['r11_scam_type']}), w(type, noun, said, used) as (values {TYPE_ROWS}),
+v as (select event_id, score, blocked, case when score <= 30 then 'safe' when score <= 69 then 'suspicious' else 'dangerous' end as verdict, case when event_id % 3 = 0 then 'Brand' || (event_id % 7) end as brand, event_id % 19 = 0 as official, event_id % 10 = 0 as ranked, event_id % 7 = 0 as partial, event_id % 4 = 1 as small, case when event_id % 11 = 0 then ['A', 'B', 'C'] when event_id % 13 = 0 then ['A'] else [] end as lists from z),
+j as (select v.*, case when verdict <> 'safe' then ty.type end as type from v join ty using (event_id)),
+k as (select j.*, noun, said, used, case when small then 'Only small warning signs found' else 'No warning signs found' end as found from j left join w on w.type = j.type)
+select event_id, case when blocked then 'This link leads to a private address, which real websites never do. Don''t trust it.' when len(lists) = 3 and verdict <> 'safe' and type is null then 'A and B list this link as unsafe. Don''t open it.' when len(lists) = 1 and verdict <> 'safe' and type is null then 'A lists this link as unsafe. Don''t open it.'
+ when type is not null and brand is not null and used then 'This looks like a ' || noun || ' using ' || brand || '''s name.' when type is not null and brand is not null then 'This looks like a fake ' || brand || ' ' || noun || '.' when type is not null then said when verdict = 'dangerous' then 'Several strong warning signs. Treat this link as dangerous.'
+ when verdict = 'suspicious' then 'Some warning signs. Be careful with this link.' || case when partial then ' The page itself couldn''t be checked.' else '' end when official then 'This looks like the real website of b. ' || found || '.' when ranked then 'A well-known site with ' || case when small then 'only small' else 'no' end || ' warning signs found.'
+ when partial and small then 'Only small warning signs found, but the page itself couldn''t be checked.' when partial then 'No warning signs in the link, but the page itself couldn''t be checked.' else found || '. That doesn''t guarantee it''s safe, so stay careful.' end as summary from k"""
+
+
+@query("r12_summary", SUMMARY_SQL)
+def r12(spark, sf):
+    """One sentence on each judged scan, from its verdict, type, brand, lists, site and what could be read."""
+    c = F.col(K)
+    none = F.array().cast("array<string>")
+    rows = judged(spark, sf).join(r11(spark, sf), K).withColumn("type", F.when(F.col("verdict") != "safe", F.col("type")))
+    lists = F.when(c % 11 == 0, F.array(*map(F.lit, "ABC"))).when(c % 13 == 0, F.array(F.lit("A"))).otherwise(none)
+    brand = F.when(c % 3 == 0, F.concat(F.lit("Brand"), (c % 7).cast("string")))
+    return rows.select(K, S.summary(F.col("verdict"), F.col("type"), brand, F.col("official"), F.col("rank"), F.col("stopped"), lists, c % 7 == 0, c % 4 == 1).alias("summary"))
+
+
 @query("r13_own_score", f"with {JUDGE_SQL} select event_id, cast(least(greatest(lp + rp, 0), 100) as integer) as own_score from z")
 def r13(spark, sf):
     return judged(spark, sf).select(K, S.own_score().alias("own_score"))
