@@ -401,7 +401,8 @@ def t04(spark, sf):
 def t04b(spark, sf):
     """The quota of callers on a stream: state and timers by event time."""
     calls = event_stream(spark, sf).select(F.col("event_id").alias("id"), F.col("user_id").alias("caller"), F.col("ts").cast("timestamp").alias("ts"))
-    return S.run_once(S.quota_stream(calls, limit=1, seconds=36_000, late="60 days"))
+    with S.rocks(spark):
+        return S.run_once(S.quota_stream(calls, limit=1, seconds=36_000, late="60 days"))
 
 
 @query("t05_latest", "select user_id, arg_max(event_type, (ts, event_id)) as event_type from events group by 1")

@@ -20,7 +20,6 @@ def build(cpus: int = 8, partitions: int = 8, app: str = "linkloom") -> SparkSes
         .config("spark.driver.memory", os.environ.get("LINKLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

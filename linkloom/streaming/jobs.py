@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections import deque
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,20 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks(spark: SparkSession):
+    """While a query with several states (see quota_stream) starts and runs, its state is kept in RocksDB, whatever the session's setting is."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
+
+
 def feed(lines: DataFrame, at: str = "ts", late: str = "1 day") -> DataFrame:
     """Cleaned links of a feed stream (ts, line), each once within the watermark; refused ones and later rows drop out."""
     ok = lines.select(at, L.clean(F.col("line")).alias("url")).where(L.reject_reason(F.col("url")).isNull())
@@ -93,7 +108,7 @@ def quota_stream(calls: DataFrame, limit: int = 3, seconds: int = 3600, late: st
     """The same rule on a stream (caller, ts, id): allowed times are a list state of each caller, and event-time timers empty it.
 
     Calls of one batch are taken in order of time, batches as they come; rows later than the watermark drop out. Needs the
-    RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    RocksDB state store (see rocks).
     """
     from pyspark.sql.streaming import StatefulProcessor
 

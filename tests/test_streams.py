@@ -114,7 +114,8 @@ def test_quota_of_a_loud_caller_in_batch_and_stream(spark, tmp_path):
     for part in (calls[:200], calls[200:]):
         land(spark, src, part, schema)
         stream = jobs.quota_stream(jobs.landed(spark, src, schema, "*.parquet"))
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        with jobs.rocks(spark):
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     got = {r.id: r.allowed for r in spark.read.parquet(out).collect()}
     assert got == want
 
