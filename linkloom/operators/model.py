@@ -81,12 +81,14 @@ def assembled(vectors: DataFrame, key: str = "page_id") -> DataFrame:
 def score(rows: DataFrame, nodes: DataFrame, key: str = "id", most_nodes: int = 200_000) -> DataFrame:
     """key, raw, roots, steps: the sum of leaves, that of roots, and what each feature on the paths adds; roots and steps add up to raw.
 
-    A value equal to a threshold goes left. The trees are a model of bounded size (`most_nodes`, an error beyond) that
+    A value equal to a threshold goes left; where the features are floats, a threshold is the nearest float. The trees are a model of bounded size (`most_nodes`, an error beyond) that
     every task holds once; rows walk all trees in Arrow batches and are not moved.
     """
     table = nodes.limit(most_nodes + 1).toPandas().sort_values(["tree", "node"])
     if len(table) > most_nodes:
         raise ValueError(f"the model has over {most_nodes} nodes")
+    if rows.schema["features"].dataType.elementType.typeName() == "float":
+        table["t"] = table["t"].astype(np.float32).astype(float)
     sent = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):

@@ -513,6 +513,7 @@ def m06(spark, sf):
 def m07b(spark, sf):
     """How far apart the walk over the table of nodes and the same trees as one expression are."""
     f = lambda i: F.get("features", F.lit(i))
-    raw = F.when(f(1) <= 0.02, -0.8).otherwise(F.when(f(0) <= 8.0, 1.0).otherwise(2.2)) + F.when(f(2) <= 0.1, -0.3).otherwise(1.4)
+    at = lambda x: F.lit(x).cast("float")
+    raw = F.when(f(1) <= at(0.02), -0.8).otherwise(F.when(f(0) <= at(8.0), 1.0).otherwise(2.2)) + F.when(f(2) <= at(0.1), -0.3).otherwise(1.4)
     v = vectors(spark, sf)
     return M.furthest(scored(spark, sf).select("id", F.col("raw").alias("p")), v.select("id", raw.alias("p"))).withColumn("worst", F.round("worst", 9))

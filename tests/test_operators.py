@@ -345,3 +345,12 @@ def test_scores_of_nulls(spark):
     assert [tuple(r) for r in rows.select(total(F.col("reasons")), total(F.col("reasons"), backed=True)).collect()] == [(0, 0), (0, 0), (30, 0)]
     rated = model.rated(spark.createDataFrame([(None, 20, 9, False, False), (0.9, None, 9, False, False), (0.9, 20, 9, None, None)], "p double, rule int, backing int, trusted boolean, shared boolean"))
     assert [(r["total"], r["free"]) for r in rated.collect()] == [(20, 20), (None, None), (60, 60)]
+
+
+def test_a_float_equal_to_a_threshold_goes_left(spark):
+    # 0.1 as a float is above 0.1 as a double.
+    rows = spark.createDataFrame([(1, [0.1]), (2, [0.100001])], "id long, features array<float>")
+    nodes = spark.createDataFrame([(0, 0, 0, 0.1, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, -1.0), (0, 2, -1, 0.0, -1, -1, 1.0)], "tree int, node int, f int, t double, l int, r int, v double")
+    assert {r.id: r.raw for r in model.score(rows, nodes).collect()} == {1: -1.0, 2: 1.0}
+    exact = rows.withColumn("features", F.col("features").cast("array<double>"))
+    assert {r.id: r.raw for r in model.score(exact, nodes).collect()} == {1: 1.0, 2: 1.0}
