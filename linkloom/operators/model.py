@@ -38,24 +38,26 @@ def read_pages(pages: DataFrame, suffixes: DataFrame, brands: DataFrame, key: st
     (whose own site it is), imitation (how the link imitates a brand), posed (brands the page poses as), asks and title.
 
     pages: key (unique), url, html. suffixes as in links.sites; brands: ord, name, domains, labels, keywords (a stated set of
-    names). The html is walked once; what it says is written and then read for counts of brand names and of other sites.
+    names). The html is walked once; what it says is written and then read for counts of brand names and of other sites. Each
+    of these is written too: as one plan they cost the driver more memory and time than the rows cost the tasks.
     What is absent is 0.
     """
     pages = spread(pages)
     link = cut(LT.facts(pages, suffixes, key), "links")
     page = cut(PT.page_facts(pages.withColumn("host", L.host(F.col("url"))), key), "pages")
-    away = PT.reach(page, link, lambda h: LT.sites(h, suffixes), key)
-    official = LT.official_names(link, brands)
-    posing = LT.imitations(link.where("registered_domain is not null").join(official, "host", "left_anti"), brands).select("host", F.col("brand").alias("imitated"), "kind")
-    named = PT.mentions(page, brands, key, "said")
-    counted = named.groupBy(key).agg(F.count("*").alias("brands_mentioned")).join(PT.first_mention(named, key).select(key, F.col("brand").alias("top"), F.col("times").alias("mentions")), key)
-    titled = PT.mentions(page, brands, key, "title").groupBy(key).agg(F.array_sort(F.collect_list("brand")).alias("in_title"))
+    away = cut(PT.reach(page, link, lambda h: LT.sites(h, suffixes), key), "away")
+    official = cut(LT.official_names(link, brands), "official")
+    labels = cut(link.where("registered_domain is not null").join(official, "host", "left_anti").select("host", "label", "subdomain").distinct(), "labels")
+    posing = cut(LT.imitations(labels, brands).select("host", F.col("brand").alias("imitated"), "kind"), "posing")
+    named = cut(PT.mentions(page, brands, key, "said"), "named")
+    counted = cut(named.groupBy(key).agg(F.count("*").alias("brands_mentioned")).join(PT.first_mention(named, key).select(key, F.col("brand").alias("top"), F.col("times").alias("mentions")), key), "counted")
+    titled = cut(PT.mentions(page, brands, key, "title").groupBy(key).agg(F.array_sort(F.collect_list("brand")).alias("in_title")), "titled")
     rows = link.join(posing, "host", "left").join(official.withColumnRenamed("brand", "official"), "host", "left")
     rows = rows.join(page.drop("said", "reached", "external_scripts", "external_link_share"), key).join(away, key, "left").join(counted, key, "left").join(titled, key, "left")
     none = F.array().cast("array<string>")
     own = F.when(F.col("official").isNull(), none).otherwise(F.array("official"))
     posed = PT.impersonated(F.col("imitated"), F.col("in_title"), F.col("top"), F.coalesce("mentions", F.lit(0)), F.coalesce("brands_mentioned", F.lit(0)), F.size("asks"), own)
-    rows = rows.withColumn("posed", posed)
+    rows = cut(rows.withColumn("posed", posed), "joined")
     values = {
         "url_words": F.size("url_words"), "lookalike": F.col("kind").isNotNull(), "asks_count": F.size("asks"), "form_without_target": F.col("without_target"), "mailto_form": F.col("mailto"), "brand_in_title": F.size(F.coalesce("in_title", none)),
         "impersonated": F.size("posed"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import links as L
 from linkloom.functions import prints as P
-from linkloom.operators import graph, links, model, ranking, similar, tables
+from linkloom.operators import digest, graph, links, model, ranking, similar, tables
 from linkloom.operators.components import components
 from linkloom.sources import tables as stored
 from linkloom.streaming import jobs
@@ -354,3 +354,20 @@ def test_a_float_equal_to_a_threshold_goes_left(spark):
     assert {r.id: r.raw for r in model.score(rows, nodes).collect()} == {1: -1.0, 2: 1.0}
     exact = rows.withColumn("features", F.col("features").cast("array<double>"))
     assert {r.id: r.raw for r in model.score(exact, nodes).collect()} == {1: 1.0, 2: 1.0}
+
+
+def some_pages(spark, *html):
+    return spark.createDataFrame([(i, f"https://a{i}.com/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+
+
+def test_the_vector_of_pages_is_read_from_written_steps(spark):
+    brands = spark.createDataFrame([(1, "Abc", ["abc.com"], ["abcde"], ["abc"])], "ord int, name string, domains array<string>, labels array<string>, keywords array<string>")
+    v = model.page_vector(some_pages(spark, "<title>abc</title>abc abc", None), links.suffix_table(spark), brands)
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert {r.page_id: (r.captured, r.brand_in_title) for r in v.collect()} == {0: (1.0, 1.0), 1: (0.0, 0.0)}
+
+
+def test_prints_of_a_digest_count_all_words_and_tags(spark):
+    rows = digest.prints(some_pages(spark, "<p>word</p>" * 7000)).collect()
+    assert [(r.tags, r.words) for r in rows] == [(7000, 7000)]
