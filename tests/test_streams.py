@@ -126,3 +126,13 @@ def test_feedback_stream_joins_a_table(spark, tmp_path):
     scans = spark.createDataFrame([(1, "safe")], "scan_id long, verdict string")
     got = {r.scan_id: r for r in jobs.run_once(jobs.feedback(jobs.landed(spark, src, "scan_id long, kind string, note string", "*.parquet"), scans, ("bug", "praise"))).collect()}
     assert set(got) == {1, 3} and got[1].note.startswith("mail [email removed] x") and len(got[1].note) == 500 and got[1].verdict == "safe" and got[3].verdict is None
+
+
+def test_a_table_of_one_file_or_a_folder_of_files_lands_whole(spark, tmp_path):
+    land(spark, f"{tmp_path}/in/rows.parquet", [(1,), (2,)], "k long")
+    land(spark, f"{tmp_path}/in/rows.parquet", [(3,)], "k long")
+    land(spark, f"{tmp_path}/in/other.parquet", [(9,)], "k long")
+    part = next((tmp_path / "in" / "other.parquet").glob("part-*.parquet"))
+    shutil.copy(part, tmp_path / "in" / "rows-2.parquet")
+    got = jobs.run_once(jobs.landed(spark, f"{tmp_path}/in", "k long", "rows*.parquet"))
+    assert sorted(r.k for r in got.collect()) == [1, 2, 3, 9]
