@@ -371,3 +371,26 @@ def test_the_vector_of_pages_is_read_from_written_steps(spark):
 def test_prints_of_a_digest_count_all_words_and_tags(spark):
     rows = digest.prints(some_pages(spark, "<p>word</p>" * 7000)).collect()
     assert [(r.tags, r.words) for r in rows] == [(7000, 7000)]
+
+
+def test_pairs_of_a_large_bucket_are_whole(spark):
+    random.seed(5)
+    base, rows = random.getrandbits(62), []
+    flipped = lambda h, n: h ^ sum(1 << b for b in random.sample(range(62), n))
+    for i in range(3 * similar.SMALL_BUCKET):
+        txt = flipped(base, random.randrange(5)) if i % 3 == 0 else random.getrandbits(62)
+        rows.append((i, None, 50, 50, f"d{i}", 7, txt, [1], None, random.getrandbits(62) if i % 2 else None))
+    lib = spark.createDataFrame(rows, "id long, title string, words int, tags int, dom_hash string, dom long, txt long, bands array<int>, icon int, look long")
+    none = spark.createDataFrame([], "icon int")
+    bits = lambda x, y: None if x is None or y is None else (x ^ y).bit_count()
+    near = lambda r, q, w, l: bits(r[6], q[6]) <= w or (bits(r[9], q[9]) is not None and bits(r[9], q[9]) <= l)
+    want = {(r[0], q[0]) for r in rows for q in rows if r[0] < q[0] and near(r, q, 8, 8)}
+    bucketed = similar.buckets(lib, none)
+    assert {(r.a, r.b) for r in similar.whole_pairs(bucketed, lib).collect()} == want
+    words = {(r[0], q[0]) for r in rows for q in rows if r[0] < q[0] and bits(r[6], q[6]) <= 4}
+    found = similar.whole_pairs(bucketed, lib, words=4, looks=-1)
+    assert {(r.a, r.b) for r in found.collect()} == words
+    # Pages of near code may differ more.
+    groups = lib.selectExpr("id", "cast(id % 2 as string) as `group`")
+    more = {(r[0], q[0]) for r in rows for q in rows if r[0] < q[0] and r[0] % 2 == q[0] % 2 and near(r, q, 12, 10)}
+    assert {(r.a, r.b) for r in similar.whole_pairs(bucketed, lib, alike=groups).collect()} == want | more
