@@ -358,8 +358,9 @@ def g01_kinds(spark, sf):
     lib, icons = cut(lib, "library"), spark.createDataFrame([], "icon int")
     s = cut(structures(spark, sf), "structures")
     near = near_sets(s.where("page_id = structure"), "page_id", "s").select("a", "b", F.round((F.col("both") - F.col("same")) / F.col("both"), 4).alias("distance"))
-    pairs = cut(similar.pairs(similar.buckets(lib, icons), lib), "pairs")
-    codes = similar.code_distances(pairs, s.select(F.col("page_id").alias("id"), "structure"), near)
+    near, coded = cut(near, "near"), s.select(F.col("page_id").alias("id"), "structure")
+    pairs = cut(similar.whole_pairs(similar.buckets(lib, icons), lib, alike=similar.code_groups(coded, near)), "pairs")
+    codes = similar.code_distances(pairs, coded, near)
     return similar.compared(pairs, lib, icons, codes).where("match").select("a", "b", "points", F.array_join("kinds", ",").alias("kinds"))
 
 
