@@ -114,14 +114,16 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, key: str, ip: str, facts: list
     """key and facts of the range that holds the address and starts last. ranges: lo, hi, tie and facts.
 
     Ranges are cut into aligned blocks and addresses look up their block of each size that occurs (33 at most), so the
-    join is an equal one, every hit is a true one, and no address meets the ranges of its neighbourhood.
+    join is an equal one, every hit is a true one, and no address meets the ranges of its neighbourhood. All addresses of a
+    block are in all its ranges, so a block keeps the one that starts last: an address has 33 hits at most, however many ranges hold it.
     """
     r = ranges.select("lo", "tie", *facts, F.explode(blocks(F.col("lo"), F.col("hi"))).alias("__b")).select("lo", "tie", *facts, "__b.k", "__b.at")
+    r = cut(r.groupBy("k", "at").agg(F.max(F.struct("lo", "tie")).alias("__last"), F.max_by(F.struct(*facts), F.struct("lo", "tie")).alias("__f")), "blocks")
     sizes = sorted(x.k for x in r.select("k").distinct().collect())
     places = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(F.col(ip), k).alias("at")) for k in sizes])
     asked = rows.select(key, F.explode(places).alias("__b")) if sizes else rows.limit(0).select(key, F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("at")).alias("__b"))
     hit = asked.select(key, "__b.k", "__b.at").join(r, ["k", "at"])
-    best = hit.groupBy(key).agg(F.max_by(F.struct(*facts), F.struct("lo", "tie")).alias("m"))
+    best = hit.groupBy(key).agg(F.max_by("__f", "__last").alias("m"))
     return best.select(key, "m.*")
 
 

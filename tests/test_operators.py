@@ -394,3 +394,12 @@ def test_pairs_of_a_large_bucket_are_whole(spark):
     groups = lib.selectExpr("id", "cast(id % 2 as string) as `group`")
     more = {(r[0], q[0]) for r in rows for q in rows if r[0] < q[0] and r[0] % 2 == q[0] % 2 and near(r, q, 12, 10)}
     assert {(r.a, r.b) for r in similar.whole_pairs(bucketed, lib, alike=groups).collect()} == want | more
+
+
+def test_a_block_of_addresses_keeps_the_range_that_starts_last(spark):
+    ranges = spark.range(200).selectExpr("0L as lo", "1023L as hi", "id as tie", "id as fact")
+    rows = spark.range(50).selectExpr("id", "id * 30 as ip")
+    found = tables.in_ranges(rows, ranges, "id", "ip", ["fact"])
+    assert {r.id: r.fact for r in found.collect()} == {i: 199 for i in range(35)}
+    read = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "__last" in x and "Relation" in x]
+    assert read
