@@ -303,7 +303,8 @@ CODE_SQL = f"ct as (select page_id, {TAGS_SQL} as t from pages), cs as (select p
 
 def structures(spark, sf):
     """page_id, its tag shingles as a sorted set, and the first page with the same set."""
-    s = cut(read(spark, sf).select("page_id", F.array_sort(F.array_distinct(P.shingles(F.col("tags"), 4))).alias("s")).where(F.size("s") > 0), "shingles")
+    # Empty sets go once the others are written: a filter would move below the walk of the page, and every page would be walked twice.
+    s = cut(read(spark, sf).select("page_id", F.array_sort(F.array_distinct(P.shingles(F.col("tags"), 4))).alias("s")), "shingles").where(F.size("s") > 0)
     return s.join(s.groupBy("s").agg(F.min("page_id").alias("structure")), "s")
 
 
