@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import prints as P
 from linkloom.functions import tokens as T
 from linkloom.operators import pages as O
+from linkloom.operators import similar
 from linkloom.plans import page_queries
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,9 @@ def test_tokens_are_held_by_portions():
 
 def test_terms_walk_a_page_once(spark):
     assert plan(O.terms(page_queries.read(spark, SF))).count("ArrowEvalPython") == 1
+
+
+def test_the_library_is_never_sent_through_the_driver(spark):
+    lib = spark.range(9).selectExpr("id", "'d' as dom_hash", "cast(null as long) as dom", "id as txt", "cast(null as long) as look", "1 as icon", "20 as tags")
+    pairs = spark.range(1).selectExpr("id as a", "id + 1 as b")
+    assert plan(similar.compared(pairs, lib, spark.range(1).selectExpr("7 as icon"))).count("SortMergeJoin") == 2
