@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import prints as P
 from linkloom.functions import tokens as T
 from linkloom.operators import pages as O
+from linkloom.operators import similar as S
 from linkloom.operators import similar
 from linkloom.plans import page_queries
 
@@ -49,3 +50,17 @@ def test_the_library_is_never_sent_through_the_driver(spark):
     lib = spark.range(9).selectExpr("id", "'d' as dom_hash", "cast(null as long) as dom", "id as txt", "cast(null as long) as look", "1 as icon", "20 as tags")
     pairs = spark.range(1).selectExpr("id as a", "id + 1 as b")
     assert plan(similar.compared(pairs, lib, spark.range(1).selectExpr("7 as icon"))).count("SortMergeJoin") == 2
+
+
+def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(S, "TASK_PAIRS", 500, raising=False)
+    monkeypatch.setattr(S, "STRETCH", 16, raising=False)
+    small, large = [range(k * 40, k * 40 + 40) for k in range(40)], range(5000, 5307)
+    rows = [("band", str(b[0]), i, len(b)) for b in (*small, large) for i in b]
+    lib = spark.createDataFrame([(i, None, None) for _, _, i, _ in rows], "id long, dom_hash string, txt long")
+    found = S.pairs(spark.createDataFrame(rows, "kind string, value string, id long, size long"), lib)
+    want = {(a, b) for x in small for a in x for b in x if a < b}
+    want |= {(a, b) for a in large for b in large if a < b and (b - a <= S.NEIGHBOURS or any((x - 5000) % 30 == 0 and (x - 5000) // 30 < S.ANCHORS for x in (a, b)))}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 4 * S.TASK_PAIRS
