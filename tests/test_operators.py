@@ -227,6 +227,30 @@ def test_a_value_shared_by_all_costs_a_lookup_no_more(spark):
         assert sorted((r.n, r.id) for r in got if r.probe == probe) == list(enumerate(order[:20], 1))
 
 
+def test_a_whole_lookup_has_every_match_however_many_share_a_value(spark):
+    """Pages with one structure or icon, far more than 800 before the one that matches: none is dropped, and what matches is what brute force finds."""
+    from linkloom.functions.prints import bands
+
+    mask, rows = (1 << 64) - 1, []
+    for i in range(1200):
+        txt = (i * 0x9E3779B97F4A7C15) & mask
+        if i % 30 == 7:
+            txt = (0x123456789ABCDEF0 ^ sum(1 << (i * 7 + k * 11) % 64 for k in range(i % 14))) & mask
+        rows.append((i, None, 30, 20, ("a", "b", None)[i % 3 if i > 900 else 0], None, txt - (1 << 64) if txt >> 63 else txt if i % 50 != 1 else None, None, 5 if i % 4 else i % 3))
+    lib = spark.createDataFrame(rows, "id long, title string, words int, tags int, dom_hash string, dom long, txt long, look long, icon int").withColumn("bands", bands(F.col("txt"), 1))
+    icons, probes = spark.createDataFrame([(1,)], "icon int"), lib.where("id % 30 = 7 or id % 100 = 0")
+    lib.cache()
+    key = lambda r: {("b", x) for x in r.bands} | ({("d", r.dom_hash)} if r.dom_hash else set()) | {("i", r.icon)}
+    every, asked = lib.collect(), {r.id for r in probes.collect()}
+    shared = [(p.id, r.id) for p in every if p.id in asked for r in every if p.id != r.id and key(p) & key(r)]
+    met = lambda pairs: {tuple(x) for x in similar.compared(pairs, lib, icons).where("match").select("a", "b").collect()}
+    found = similar.whole_lookup(probes, lib, icons).withColumnsRenamed({"probe": "a", "id": "b"})
+    want = met(spark.createDataFrame(shared, "a long, b long"))
+    assert met(found) == want and len(want) > 100
+    first = {(p, r) for p in asked for r in sorted(b for a, b in shared if a == p)[:800]}
+    assert not want <= first and found.count() < len(shared) / 50
+
+
 def test_verdict_of_the_library(spark):
     probes = spark.createDataFrame([(1, None, 50, "d"), (2, None, 50, "d"), (3, None, 50, "d"), (4, None, 50, "d"), (5, "404 Not Found", 50, "d"), (6, None, 50, None)], "id long, title string, words int, dom_hash string")
     probes = probes.withColumn("txt", F.lit(None).cast("long")).withColumn("look", F.lit(None).cast("long"))
