@@ -50,10 +50,12 @@ def read_pages(pages: DataFrame, suffixes: DataFrame, brands: DataFrame, key: st
     labels = cut(link.where("registered_domain is not null").join(official, "host", "left_anti").select("host", "label", "subdomain").distinct(), "labels")
     posing = cut(LT.imitations(labels, brands).select("host", F.col("brand").alias("imitated"), "kind"), "posing")
     named = cut(PT.mentions(page, brands, key, "said"), "named")
-    counted = cut(named.groupBy(key).agg(F.count("*").alias("brands_mentioned")).join(PT.first_mention(named, key).select(key, F.col("brand").alias("top"), F.col("times").alias("mentions")), key), "counted")
+    counted = cut(named.groupBy(key).agg(F.count("*").alias("brands_mentioned")).join(PT.first_mention(named, key).select(key, F.col("brand").alias("top"), F.col("times").alias("mentions")).hint("merge"), key), "counted")
     titled = cut(PT.mentions(page, brands, key, "title").groupBy(key).agg(F.array_sort(F.collect_list("brand")).alias("in_title")), "titled")
-    rows = link.join(posing, "host", "left").join(official.withColumnRenamed("brand", "official"), "host", "left")
-    rows = rows.join(page.drop("said", "reached", "external_scripts", "external_link_share"), key).join(away, key, "left").join(counted, key, "left").join(titled, key, "left")
+    # Merge: a stored table of a row a page looks small enough to be sent through the driver, and is not.
+    rows = link.join(posing.hint("merge"), "host", "left").join(official.withColumnRenamed("brand", "official").hint("merge"), "host", "left")
+    rows = rows.join(page.drop("said", "reached", "external_scripts", "external_link_share").hint("merge"), key)
+    rows = rows.join(away.hint("merge"), key, "left").join(counted.hint("merge"), key, "left").join(titled.hint("merge"), key, "left")
     none = F.array().cast("array<string>")
     own = F.when(F.col("official").isNull(), none).otherwise(F.array("official"))
     posed = PT.impersonated(F.col("imitated"), F.col("in_title"), F.col("top"), F.coalesce("mentions", F.lit(0)), F.coalesce("brands_mentioned", F.lit(0)), F.size("asks"), own)
@@ -75,9 +77,9 @@ def page_vector(pages: DataFrame, suffixes: DataFrame, brands: DataFrame, key: s
     return read_pages(pages, suffixes, brands, key).select(key, *FEATURES)
 
 
-def assembled(vectors: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and `features`: the floats of a table of numbers, in the order of FEATURES."""
-    return vectors.select(key, F.array(*[F.col(n).cast("float") for n in FEATURES]).alias("features"))
+def assembled(vectors: DataFrame, key: str = "page_id", *others: str) -> DataFrame:
+    """key, `others` and `features`: the floats of a table of numbers, in the order of FEATURES."""
+    return vectors.select(key, *others, F.array(*[F.col(n).cast("float") for n in FEATURES]).alias("features"))
 
 
 def score(rows: DataFrame, nodes: DataFrame, key: str = "id", most_nodes: int = 200_000) -> DataFrame:

@@ -64,3 +64,23 @@ def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 4 * S.TASK_PAIRS
+
+
+def test_no_table_of_a_row_a_page_is_sent_through_the_driver(spark, monkeypatch):
+    """Stored rows look far smaller than they are (an array of 78 counts as one number): they were broadcast until the driver's heap ran out."""
+    from linkloom.operators import model as M
+    from linkloom.plans import model_queries as Q
+    from linkloom.session import cut
+
+    plans = {}
+
+    def told(df, name="cut"):
+        plans[name] = plan(df)
+        return cut(df, name)
+
+    for module in (M, Q):
+        monkeypatch.setattr(module, "cut", told)
+    rows = Q.training_rows(Q.labelled_vectors(spark, SF))
+    for name in ("joined", "counted", "labelled"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin [page_id" not in plans[name]
+    assert "SortMergeJoin [id" in plan(rows) and "BroadcastHashJoin [id" not in plan(rows)
